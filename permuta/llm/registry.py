@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permuta.llm import decontaminate, mixing, token_output
+from permuta.llm import decontaminate, html_extract, language, mixing, quality, token_output
 from permuta.llm._store import Scratch, table
 from permuta.llm.oracles import ORACLES
 
@@ -28,7 +28,28 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find_windows(docs, table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pareto_mixing, op6_token_output, op8_wu_manber)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = quality.held_out(F.col("doc_id"), 3, 1)
+    model = language.learn(docs.where(~held))
+    return language.identify(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = quality.held_out(F.col("doc_id"), 4, 2)
+    model = quality.learn(docs.where(~held), table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+def op10_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_pareto_mixing, op6_token_output, op7_language_id, op8_wu_manber, op9_rule_ensemble, op10_tag_path_ratios)
+}
 
 
 def queries() -> dict:
