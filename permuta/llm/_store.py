@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Arrow batches of at most ``n`` rows for the jobs run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Intermediate tables of one operator call, under one folder of the shared directory."""
 

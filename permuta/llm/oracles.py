@@ -54,4 +54,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
-ORACLES = {"op2_pareto_mixing": OP2, "op8_wu_manber": OP8}
+OP3 = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e,
+    label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings),
+u AS (SELECT rid, vec_id, label, e FROM v WHERE ok),
+l AS (
+  SELECT a.rid AS ra, a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+  ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS c FROM u UNION SELECT l.b AS id, r.c FROM r JOIN l ON l.a = r.id AND r.c < l.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+n AS (SELECT ra, count(*) AS n FROM l GROUP BY ra)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.c, v.vec_id) AS component_id,
+  coalesce(v.vec_id = coalesce(m.c, v.vec_id), FALSE) AS kept
+FROM v LEFT JOIN n ON n.ra = v.rid LEFT JOIN m ON v.ok AND m.id = v.vec_id
+"""
+
+ORACLES = {"op2_pareto_mixing": OP2, "op3_spherical_kmeans": OP3, "op8_wu_manber": OP8}
