@@ -73,4 +73,20 @@ SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.c, v.vec_id) AS
 FROM v LEFT JOIN n ON n.ra = v.rid LEFT JOIN m ON v.ok AND m.id = v.vec_id
 """
 
-ORACLES = {"op2_pareto_mixing": OP2, "op3_spherical_kmeans": OP3, "op8_wu_manber": OP8}
+OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS q(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.both >= 75 * (x.n + y.n - o.both)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT l.b AS id, r.c FROM r JOIN l ON l.a = r.id AND r.c < l.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
+"""
+
+ORACLES = {"op2_pareto_mixing": OP2, "op3_spherical_kmeans": OP3, "op4_adaptive_prefix_join": OP4, "op8_wu_manber": OP8}
