@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permuta.llm import decontaminate, html_extract, language, mixing, near_vectors, ngram_join, quality, token_output
+from permuta.llm import decontaminate, hmm, html_extract, language, mixing, near_vectors, ngram_join, quality, token_output
 from permuta.llm._store import Scratch, table
 from permuta.llm.oracles import ORACLES
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"), quality.held_out(F.col("doc_id"), 7, 2), Scratch(spark, "hmm"))
+
+
 def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.pareto_mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -56,7 +60,7 @@ def op10_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_pareto_mixing, op3_spherical_kmeans, op4_adaptive_prefix_join, op6_token_output, op7_language_id, op8_wu_manber, op9_rule_ensemble, op10_tag_path_ratios)
+    for f in (op1_hidden_markov, op2_pareto_mixing, op3_spherical_kmeans, op4_adaptive_prefix_join, op6_token_output, op7_language_id, op8_wu_manber, op9_rule_ensemble, op10_tag_path_ratios)
 }
 
 
