@@ -11,9 +11,9 @@ Both are written and read by Spark's Parquet source, so they live wherever Spark
 from __future__ import annotations
 
 import hashlib
-import re
+import sys
+import types
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,71 +21,124 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from permuta.llm import _text
+from permuta.llm._store import arrow_rows
+
 END = 0
 #: Documents that the dictionary is trained on at most, and of each so many bytes of ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 4096, 65536
 #: Bytes of frames after which a shard row ends.
 SHARD_BYTES = 4 << 20
-#: Pieces remembered by a task.
-CACHE = 300_000
-#: A space that starts a pre-token whatever stands around it: no other white space beside it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces remembered by a worker process, at about 40 bytes each.
+CACHE = 1_500_000
+
+_ALL = np.arange(256)
+_WHITE = (_ALL == 32) | ((_ALL >= 9) & (_ALL <= 13))
+#: First bytes of characters that may be white space outside ASCII.
+_WIDE2, _WIDE3 = _ALL == 0xC2, (_ALL >= 0xE1) & (_ALL <= 0xE3)
+_EVERY = np.ones(256, bool)
 
 SHARDS = "dict_sha256 string, range int, first_token long, first_doc long, last_doc long, n_docs long, n_tokens long, doc_ids binary, offsets binary, counts binary, frames binary"
 
 
-class Encoder:
-    """The library's ids of whole texts, by way of a memory of the pieces between single spaces.
+def cut_points(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Start bytes of the pieces of all texts: text starts, and spaces with no white space beside them.
 
-    Byte-level pre-tokenization begins a new pre-token at every space that stands between two
-    characters that aren't white space, so the pieces cut there encode as they do in the text.
+    Byte-level pre-tokenization begins a new pre-token at such a space whatever else the text holds,
+    so the pieces encode alone as they do in the text.
     """
+    n = len(data)
+    white = _WHITE[data]
+    cut = data == 32
+    # What stands before: ASCII white space, or the last byte of a character that may be white.
+    cut[1:] &= ~white[:-1]
+    cut[2:] &= ~_WIDE2[data[:-2]]
+    cut[3:] &= ~_WIDE3[data[:-3]]
+    cut[:-1] &= ~(white | _WIDE2[data] | _WIDE3[data])[1:]
+    starts = off[:-1][off[:-1] < off[1:]]
+    last = off[1:][off[:-1] < off[1:]] - 1
+    cut[last] = False
+    cut[starts] = True
+    return np.flatnonzero(cut) if n else np.zeros(0, np.int64)
+
+
+class Encoder:
+    """The library's ids of whole texts; each distinct piece is encoded once and known by its 64-bit hash."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        #: Ids of pieces that follow a space and of texts' first pieces; pieces that touch other white space.
-        self.seen: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], before: str) -> None:
-        new = list(pieces)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            encoded = self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False)
-            known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, encoded, strict=True))
-        self.odd.update(p for p in new if not p or p[0].isspace() or p[-1].isspace())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text and the end id."""
-        if len(self.seen) + len(self.first) > CACHE:
-            self.seen, self.first, self.odd = {}, {}, set()
-        cut = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in cut}.difference(self.first), "")
-        self._learn(self.seen, {x for p in cut for x in p[1:]}.difference(self.seen), " ")
-        if self.odd:
-            for i, pieces in enumerate(cut):
-                if not self.odd.isdisjoint(pieces):
-                    cut[i] = pieces = _CUT.split(texts[i])
-                    self._learn(self.first, {pieces[0]}.difference(self.first), "")
-                    self._learn(self.seen, set(pieces[1:]).difference(self.seen), " ")
-        end = np.array([END], "<u4").tobytes()
-        return [self.first[p[0]] + b"".join(map(self.seen.__getitem__, p[1:])) + end for p in cut]
-
-
-def _groups(texts: Iterator[tuple[int, str]], limit: int = 1 << 20) -> Iterator[list[tuple[int, str]]]:
-    held, size = [], 0
-    for x in texts:
-        held.append(x)
-        size += len(x[1])
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        self._clear()
+
+    def _clear(self) -> None:
+        # Two sorted runs of hashes with the places of their ids; the short one is merged as it grows.
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.ids = np.zeros(1 << 20, "<u4")
+        self.used = 0
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted hashes: whether known, and where their ids are."""
+        known, at, size = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for keys, places, sizes in self.runs:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                on = keys[i] == h
+                known |= on
+                at[on], size[on] = places[i[on]], sizes[i[on]]
+        return known, at, size
+
+    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
+        places, sizes = [], []
+        for i in range(0, len(pieces), 5000):
+            for e in self.tokenizer.encode_batch_fast(pieces[i : i + 5000], add_special_tokens=False):
+                x = e.ids
+                if self.used + len(x) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(x)), "<u4")])
+                self.ids[self.used : self.used + len(x)] = x
+                places.append(self.used)
+                sizes.append(len(x))
+                self.used += len(x)
+        new = (h, np.array(places, np.int64), np.array(sizes, np.int64))
+        merge = len(self.runs[1][0]) + len(h) > len(self.runs[0][0]) // 8
+        into = [self.runs[1], new] + ([self.runs[0]] if merge else [])
+        joined = [np.concatenate(x) for x in zip(*into, strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        self.runs[0 if merge else 1] = tuple(x[order] for x in joined)
+        if merge:
+            self.runs[1] = tuple(x[:0] for x in self.runs[1])
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and the offsets of the texts' ids."""
+        if sum(len(keys) for keys, _, _ in self.runs) > CACHE:
+            self._clear()
+        starts = cut_points(data, off)
+        h, first, back = np.unique(_text.word_hashes(data, starts, _EVERY, _ALL), return_index=True, return_inverse=True)
+        known, at, size = self._find(h)
+        if not known.all():
+            raw, ends = data.tobytes(), np.append(starts[1:], len(data))
+            new = first[~known]
+            self._learn(h[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new], ends[new], strict=True)])
+            known, at, size = self._find(h)
+        count = size[back]
+        text = np.searchsorted(starts, off)
+        before = np.concatenate([[0], np.cumsum(count)])
+        bounds = before[text] + np.arange(len(off))
+        out = np.full(bounds[-1], END, "<u4")
+        # Each piece's ids go after those before it and one end id for each text before.
+        target = before[:-1] + np.repeat(np.arange(len(off) - 1), np.diff(text))
+        shift = np.arange(before[-1]) - np.repeat(before[:-1], count)
+        out[np.repeat(target, count) + shift] = self.ids[np.repeat(at[back], count) + shift]
+        return out, bounds
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a tokenizer file: later tasks of a worker go on with what it knows."""
+    kept = sys.modules.setdefault("_permuta_encoders", types.ModuleType("_permuta_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> bytes:
@@ -94,10 +147,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str) ->
     The documents are those of smallest hash.  Too few or too short documents give an empty
     dictionary: frames are then compressed without one.
     """
-    pick = docs.select(F.xxhash64(doc_id).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("h").limit(SAMPLE_DOCS)
-    # Only the sample's head of characters can reach the first bytes of ids.
-    texts = [r["t"] for r in pick.select(F.substring("t", 1, SAMPLE_BYTES).alias("t")).toLocalIterator()]
-    ids = [x[:SAMPLE_BYTES] for x in Encoder(tokenizer).encode(texts)] if texts else []
+    # No more characters than that reach the first bytes of ids.
+    pick = docs.select(F.xxhash64(doc_id).alias("h"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_BYTES).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
+    texts = [r["t"].encode() for r in pick.collect()]
+    x, at = encoder(tokenizer).encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    ids = [x[a:b].tobytes()[:SAMPLE_BYTES] for a, b in zip(at[:-1], at[1:], strict=True)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, ids).as_bytes()
     except zstandard.ZstdError:
@@ -119,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     d = d.repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("range", F.spark_partition_id())
 
     def shards(batches):
-        encoder = Encoder(tokenizer)
+        own = encoder(tokenizer)
         zstd = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
         frames, ids, counts, size, part, before = [], [], [], 0, 0, 0
 
@@ -133,12 +187,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
             if not batch.num_rows:
                 continue
             part = batch.column("range")[0].as_py()
-            rows = zip(batch.column("doc_id").to_pylist(), (s.as_py() for s in batch.column("text")), strict=True)
-            for group in _groups(rows):
-                for (i, _), x in zip(group, encoder.encode([t for _, t in group]), strict=True):
-                    frames.append(zstd.compress(x))
-                    ids.append(i)
-                    counts.append(len(x) // 4)
+            keys = batch.column("doc_id").to_pylist()
+            for a, b, data, off in _text.chunks(*_text.flat(batch.column("text"))):
+                x, at = own.encode(data, off)
+                for i in range(b - a):
+                    frames.append(zstd.compress(x[at[i] : at[i + 1]].tobytes()))
+                    ids.append(keys[a + i])
+                    counts.append(int(at[i + 1] - at[i]))
                     size += len(frames[-1])
                     if size >= SHARD_BYTES:
                         yield row()
@@ -147,7 +202,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
         if ids:
             yield row()
 
-    d.mapInArrow(shards, SHARDS).write.parquet(f"{path}/shards")
+    with arrow_rows(spark, 1000):
+        d.mapInArrow(shards, SHARDS).write.parquet(f"{path}/shards")
 
 
 SCHEMA = pa.schema(
