@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permuta.llm import decontaminate, hmm, html_extract, language, mixing, near_vectors, ngram_join, quality, token_output
+from permuta.llm import decontaminate, hmm, html_extract, language, mixing, near_vectors, ngram_join, quality, substrings, token_output
 from permuta.llm._store import Scratch, table
 from permuta.llm.oracles import ORACLES
 
@@ -27,6 +27,10 @@ def op4_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), Scratch(spark, "shingles"))
 
 
+def op5_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find_passages(table(spark, sf_dir, "documents"), Scratch(spark, "passages"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +64,7 @@ def op10_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hidden_markov, op2_pareto_mixing, op3_spherical_kmeans, op4_adaptive_prefix_join, op6_token_output, op7_language_id, op8_wu_manber, op9_rule_ensemble, op10_tag_path_ratios)
+    for f in (op1_hidden_markov, op2_pareto_mixing, op3_spherical_kmeans, op4_adaptive_prefix_join, op5_collinear_chaining, op6_token_output, op7_language_id, op8_wu_manber, op9_rule_ensemble, op10_tag_path_ratios)
 }
 
 
