@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, cycle: tuple[int, ...], share: float, max_repeat:
     return t.select("source", "source_size", F.least(F.col("w") * F.col("level"), F.col("cap").cast("double")).alias("target"))
 
 
-def pareto_mix(
+def with_copies(
     docs: DataFrame,
     text: str = "text",
     source: str = "source",
@@ -54,37 +54,54 @@ def pareto_mix(
     max_repeat: int = 3,
     seed: int = 17,
 ) -> DataFrame:
-    """One row for each document: key, source, size, source_size, target, copies.
+    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (0 to ``max_repeat``) added.
 
-    ``copies`` is 0 to ``max_repeat``; a source's taken words differ from its target by at most half
-    of one document.  Null text has size 0; null source is a source of its own, last in order; null
-    keys share one random number.  Rows alike in key and size are interchangeable, so repeated rows
-    and ties give the same multiset on every run.  An empty table gives no rows.  Other columns are
-    not read.
+    A source's taken words differ from its target by at most half of one document.  Null text has
+    size 0; null source is a source of its own, last in order; null keys share one random number.
+    Rows alike in source, key and size are taken or left together, so repeated rows and ties give the
+    same result on every run.  An empty table gives no rows.  Columns of these names are replaced.
+
+    Where a source's order is cut is found from sums over ranges of the rank and from the rows of the
+    one range in which its words run out; every row is then decided by itself.
     """
-    d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, share, max_repeat)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = (
-        t.withColumn("whole", F.floor(rate))
-        .withColumn("part", rate - F.col("whole"))
-        .withColumn("left_over", F.col("target") - F.col("whole") * F.col("source_size"))
-    )
-    d = d.join(t, d["source"].eqNullSafe(t["source"]), "inner").drop(t["source"])
-    u = uniform(F.col("key"), seed)
-    rank = (u / (F.lit(1.0) - u)) / (F.col("part") / (F.lit(1.0) - F.col("part")))
-    d = d.withColumn("rank", F.when(F.col("part") > 0, rank)).withColumn(
-        "bucket", F.when(F.col("part") > 0, F.least(F.floor(F.lit(float(BUCKETS)) * F.col("rank") / (F.lit(1.0) + F.col("rank"))), F.lit(BUCKETS - 1))).otherwise(F.lit(-1))
-    )
-    sums = d.where("part > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "bucket", "words", F.coalesce(F.sum("words").over(run), F.lit(0)).alias("before"))
-    # Only the bucket in which a source's words run out needs an order inside it.
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before", (F.col("before") + F.col("words")).alias("after"))
-    d = d.join(sums, d["source"].eqNullSafe(F.col("s")) & (d["bucket"] == F.col("b")), "left")
-    open_ = F.coalesce((F.col("before") <= F.col("left_over")) & (F.col("after") >= F.col("left_over")), F.lit(False))
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = d.where(open_).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    edge = edge.withColumn("extra", F.when(F.col("start") + F.col("size") / 2 <= F.col("left_over"), 1).otherwise(0)).drop("start")
-    rest = d.where(~open_).withColumn("extra", F.when(F.col("after") <= F.col("left_over"), 1).otherwise(0))
-    return rest.unionByName(edge).select("key", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).cast("int").alias("copies"))
+    added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+    docs = docs.drop(*added)
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    u = uniform(F.col(key), seed)
+    part = F.col("_part")
+    ranked = (u / (F.lit(1.0) - u)) / (part / (F.lit(1.0) - part))
+    slot = F.least(F.floor(F.lit(float(BUCKETS)) * F.col("_rank") / (F.lit(1.0) + F.col("_rank"))), F.lit(BUCKETS - 1))
+
+    def placed(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+        joined = rows.join(by_source, rows["_source"].eqNullSafe(by_source["_s"]))
+        return joined.withColumn("_rank", F.when(part > 0, ranked)).withColumn("_slot", F.when(part > 0, slot))
+
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("_size")).withColumnRenamed("_key", key)
+    t = targets(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), cycle, share, max_repeat)
+    rate = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(F.lit(0.0))
+    t = t.select(F.col("source").alias("_s"), F.col("source_size").alias("_words"), F.col("target").alias("_target"))
+    t = t.withColumn("_whole", F.floor(rate)).withColumn("_part", rate - F.col("_whole")).withColumn("_rest", F.col("_target") - F.col("_whole") * F.col("_words"))
+
+    met = placed(rows, t)
+    sums = met.where(part > 0).groupBy("_s", "_slot", "_rest").agg(F.sum("_size").alias("words"))
+    run = Window.partitionBy("_s").orderBy("_slot")
+    sums = sums.withColumn("after", F.sum("words").over(run)).where(F.col("after") >= F.col("_rest"))
+    edge = sums.groupBy("_s").agg(F.min(F.struct("_slot", (F.col("after") - F.col("words")).alias("before"))).alias("e")).select(F.col("_s").alias("_es"), F.col("e._slot").alias("_edge"), F.col("e.before").alias("_before"))
+    inner = met.join(edge, met["_s"].eqNullSafe(edge["_es"]) & (F.col("_slot") == F.col("_edge")))
+    inside = Window.partitionBy("_s", "_slot").orderBy("_rank", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = inner.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    place = F.struct("_rank", F.col(key).alias("k"), "_size")
+    last = inner.where(F.col("_start") + F.col("_size") / 2 <= F.col("_rest")).groupBy(F.col("_s").alias("_ls")).agg(F.max(place).alias("_last"))
+    t = t.join(edge, t["_s"].eqNullSafe(edge["_es"]), "left").join(last, t["_s"].eqNullSafe(last["_ls"]), "left").drop("_es", "_ls", "_before")
+
+    out = placed(docs.withColumn("_source", F.col(source)).withColumn("_size", size), t)
+    taken = (part > 0) & (F.col("_edge").isNull() | (F.col("_slot") < F.col("_edge")) | (F.col("_slot") == F.col("_edge")) & F.coalesce(place <= F.col("_last"), F.lit(False)))
+    copies = (F.col("_whole") + F.when(taken, 1).otherwise(0)).cast("int")
+    return out.select(*[out[f"`{c}`"] for c in docs.columns], F.col("_size").alias(added[0]), F.col("_words").alias(added[1]), F.col("_target").alias(added[2]), copies.alias(added[3]))
+
+
+def pareto_mix(docs: DataFrame, **settings) -> DataFrame:
+    """The mixture: each row of ``docs`` as often as ``with_copies`` takes it, columns unchanged."""
+    taken = with_copies(docs, **settings)
+    repeat = F.explode(F.expr("CASE WHEN mix_copies > 0 THEN sequence(1, mix_copies) ELSE array() END"))
+    return taken.withColumn("mix_copy", repeat).select(*[taken[f"`{c}`"] for c in docs.columns])

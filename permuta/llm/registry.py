@@ -15,8 +15,9 @@ def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.pareto_mix(table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    mixed = mixing.with_copies(table(spark, sf_dir, "documents"))
+    taken = F.col("mix_size") * F.col("mix_copies")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
 def op3_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
