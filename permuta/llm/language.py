@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 
 from permuta.llm import _text
 
-#: Labelled texts of each language that a fit uses at most, and their windows of a few words.
-SAMPLE, WINDOWS = 700, 2
-BITS = 12
+#: Labelled texts that a fit uses at most, dealt evenly to the languages, and windows cut from each.
+SAMPLE, WINDOWS = 1400, 2
+BITS = 11
 #: Families of ISO 639-1 codes; another code is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -158,7 +158,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Hierarchy:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Hierarchy:
-    """Fit on rows with text and language: of each language all, or about ``sample`` by hash of text and key.
+    """Fit on rows with text and language: all, or of each language about its part of ``sample`` by hash of text and key.
 
     Each text gives itself and ``WINDOWS`` windows of 2 to 30 of its words, so that short texts are learned too.
     """
@@ -166,7 +166,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     n = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not n:
         return Hierarchy([], {}, [], np.zeros((1 << BITS, 0)), np.zeros(0))
-    share = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, int(min(1.0, sample / c) * (1 << 20)))]), F.col("l"))
+    share = F.element_at(F.create_map(*[F.lit(v) for k, c in n.items() for v in (k, int(min(1.0, sample / len(n) / c) * (1 << 20)))]), F.col("l"))
     rows = d.where(F.pmod("h", F.lit(1 << 20)) < share)
 
     def run(batches):
