@@ -64,7 +64,7 @@ def test_random_series_with_ties(spark, seed):
 
 
 def test_small_chunks_lose_no_window(spark):
-    t = [random.Random(5).random() for _ in range(57)]
+    t = random.Random(5).sample(range(1000), 57)
     base = src.base_table(table(spark, t), 0.02)
     for m in (2, 3, 5):
         got = {(tuple(r["pattern"]), r["pos"]) for r in op.window_occurrences(base, m, chunk=4).collect()}
@@ -123,7 +123,7 @@ def test_groups_follow_from_keys(spark):
 
 
 def test_bounds_never_rule_out_a_frequent_child(spark):
-    t = [random.Random(9).random() for _ in range(120)]
+    t = random.Random(9).sample(range(1000), 120)
     base, sigma = src.base_table(table(spark, t), 0.05), 0.8
     occ = op.window_occurrences(base, 3)
     tiers = op.bound_tiers(op.candidate_pairs(op.frequent(op.pattern_support(occ), 0.2)), occ, sigma)
