@@ -100,8 +100,10 @@ def with_copies(
     return out.select(*[out[f"`{c}`"] for c in docs.columns], F.col("_size").alias(added[0]), F.col("_words").alias(added[1]), F.col("_target").alias(added[2]), copies.alias(added[3]))
 
 
-def pareto_mix(docs: DataFrame, **settings) -> DataFrame:
+def pareto_mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **settings) -> DataFrame:
     """The mixture: each row of ``docs`` as often as ``with_copies`` takes it, columns unchanged."""
-    taken = with_copies(docs, **settings)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    taken = with_copies(plain, *[f"c{names.index(c)}" for c in (text, source, key)], **settings)
     repeat = F.explode(F.expr("CASE WHEN mix_copies > 0 THEN sequence(1, mix_copies) ELSE array() END"))
-    return taken.withColumn("mix_copy", repeat).select(*[taken[f"`{c}`"] for c in docs.columns])
+    return taken.withColumn("mix_copy", repeat).select(*plain.columns).toDF(*names)
