@@ -19,15 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, n: int):
-    """Arrow batches of at most ``n`` rows for the jobs run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def arrow_rows(spark: SparkSession, n: int):
+    """Arrow batches of at most ``n`` rows for the jobs run inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 
 
 class Scratch:
@@ -40,8 +47,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
-        df.write.parquet(self.path(name))
+        """Write ``df`` and return the written table; Spark then removes the shuffle files of that job."""
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -182,16 +182,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, percen
     where = rows.join(wanted, "ent", "left_semi").groupBy("ent").agg(F.min("id").alias("id")).select("id").distinct()
 
     def sets(batches):
+        last = None  # rows that repeat a key stand together
         for batch in batches:
             ents, raw = [], []
             for _, h in _text.documents(batch, "text"):
                 s = shingle_set(h, k)
-                ents.append(entity(s) if len(s) else 0)
-                raw.append(s.tobytes())
+                if len(s) and (e := entity(s)) != last:
+                    ents.append(e)
+                    raw.append(s.tobytes())
+                    last = e
             yield pa.RecordBatch.from_arrays([pa.array(ents, pa.int64()), pa.array(raw, pa.binary())], ["ent", "s"])
 
-    found = docs.join(where, "id", "left_semi").select("text").mapInArrow(sets, "ent long, s binary")
-    found = scratch.keep(found.dropDuplicates(["ent"]), f"{name}_sets")
+    found = scratch.keep(docs.join(where, "id", "left_semi").select("text").mapInArrow(sets, "ent long, s binary"), f"{name}_sets")
 
     def check(batches):
         for batch in batches:
@@ -204,7 +206,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, percen
             yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     both = pairs.join(found.select(F.col("ent").alias("b"), F.col("s").alias("sb")), "b").join(found.select(F.col("ent").alias("a"), F.col("s").alias("sa")), "a")
-    return scratch.keep(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), name)
+    found = scratch.keep(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), name)
+    scratch.drop(f"{name}_sets")
+    return found
 
 
 def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
