@@ -25,7 +25,7 @@ from permuta.llm import _text
 from permuta.llm._store import arrow_rows
 
 END = 0
-#: Documents that the dictionary is trained on at most, and of each so many bytes of ids.
+#: Documents that the dictionary is trained on, about, and of each so many bytes of ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 2000, 4096, 65536
 #: Bytes of frames after which a shard row ends.
 SHARD_BYTES = 4 << 20
@@ -142,13 +142,17 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> bytes:
-    """A dictionary from the first ``SAMPLE_BYTES`` of ids of ``SAMPLE_DOCS`` documents at most.
+    """A dictionary from the first ``SAMPLE_BYTES`` of ids of about ``SAMPLE_DOCS`` documents, twice as many at most.
 
-    The documents are those of smallest hash.  Too few or too short documents give an empty
+    The documents are chosen by hash of their id.  Too few or too short documents give an empty
     dictionary: frames are then compressed without one.
     """
     # No more characters than that reach the first bytes of ids.
-    pick = docs.select(F.xxhash64(doc_id).alias("h"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_BYTES).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS)
+    pick = docs.select(F.xxhash64(doc_id).alias("h"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_BYTES).alias("t"))
+    n = docs.count()
+    if n > SAMPLE_DOCS:
+        pick = pick.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * SAMPLE_DOCS / n))
+    pick = pick.orderBy("h", "t").limit(2 * SAMPLE_DOCS)
     texts = [r["t"].encode() for r in pick.collect()]
     x, at = encoder(tokenizer).encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     ids = [x[a:b].tobytes()[:SAMPLE_BYTES] for a, b in zip(at[:-1], at[1:], strict=True)]
