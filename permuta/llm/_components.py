@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from permuta.llm._store import Scratch
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+def _is_done(edges: DataFrame) -> bool:
+    """Whether the edges u -> v are stars: one edge from each u, and no v that has an edge itself."""
+    if not edges.groupBy("u").count().where("count > 1").isEmpty():
+        return False
+    return edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFrame:
@@ -20,9 +23,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "star") -> DataFr
     comes to the driver.
     """
     cur = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    cur, seen, step = scratch.keep(cur, f"{name}0"), None, 0
-    while (now := _digest(cur)) != seen:
-        seen, step = now, step + 1
+    cur, step = scratch.keep(cur, f"{name}0"), 0
+    while not _is_done(cur):
+        step += 1
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: larger neighbours move to the smallest of the neighbourhood.

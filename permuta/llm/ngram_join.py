@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +25,20 @@ from permuta.llm._components import components
 from permuta.llm._store import Scratch
 
 #: Shingles a task compares for frequency at once; shingles with a known frequency at most.
-FLUSH, HOT = 3_000_000, 1 << 18
+FLUSH, HOT = 4_000_000, 1 << 20
 #: Largest number of shared prefix shingles; cost of a verification in posting reads.
 LEVELS, VERIFY = 3, 40
+#: Rounds of links to other pivots before the prefix join.
+ROUNDS = 1
+#: Posting rows that a task holds before it passes them on.
+RUN = 1_000_000
+POSTINGS = "shingle long, ent long, n int, pos int, need int, level int, probe boolean"
+POSTING = [c.split()[0] for c in POSTINGS.split(", ")]
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """Sets of one class are so alike in size that they can link: the smaller has over 86 % of the larger."""
+    return np.floor(np.log(n) / np.log(1.155)).astype(np.int64)
 
 
 def _as_long(x: np.ndarray) -> pa.Array:
@@ -51,7 +63,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
 
         def hot():
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            on = n > 2
+            on = n > 1
             return pa.RecordBatch.from_arrays([pa.array(np.ones(on.sum(), np.int32)), _as_long(h[on]), pa.array(n[on]), pa.array([None] * int(on.sum()), pa.int64())], ["kind", "id", "n", "ent"])
 
         for batch in batches:
@@ -96,18 +108,32 @@ def _frequent(hot: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Prefix shingles of each entity that a task meets: shingle, ent, n, pos, need, level, probe.
+    """Prefix shingles of each entity that a task meets: shingle, ent, n, pos, need, level, probe, pivot, key.
 
     ``need`` is the entity's number of shared shingles as the longer partner, ``level`` the least need
-    that reaches the shingle as the shorter one.
+    that reaches the shingle as the shorter one.  Of entities of like size with one shingle that a task
+    holds together the first is the others' ``pivot``, and only its row has the shingle as ``key``: a
+    shingle of very many texts sends a few rows to its bucket.  A first with company is its own pivot.
     """
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         keys, counts = held.value
-        seen = set()
+        seen, out, size = set(), [], 0
+
+        def grouped():
+            shingle, ent, n, pos, need, level, probe = (np.concatenate(x) for x in zip(*out, strict=True))
+            like = _size_class(n)
+            order = np.lexsort((ent, n, like, shingle))
+            shingle, ent, n, pos, need, level, probe, like = (x[order] for x in (shingle, ent, n, pos, need, level, probe, like))
+            start = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (like[1:] != like[:-1])])
+            first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
+            company = np.bincount(first, minlength=len(first))[first] > 1
+            key = np.where(start, shingle.view(np.int64), _text.mix(shingle ^ ent.view(np.uint64)).view(np.int64))
+            small = [pa.array(x.astype(np.int32)) for x in (n, pos, need, level)]
+            return pa.RecordBatch.from_arrays([_as_long(shingle), pa.array(ent), *small, pa.array(probe), pa.array(ent[first], mask=~company), pa.array(key)], [*POSTING, "pivot", "key"])
+
         for batch in batches:
-            out = []
             for _, h in _text.documents(batch, "text"):
                 s = shingle_set(h, k)
                 n = len(s)
@@ -125,34 +151,40 @@ def _postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.n
                 read = np.cumsum(df[order])
                 levels = range(1, min(LEVELS, n - long_) + 1)
                 need = min(levels, key=lambda m: read[long_ + m - 1] * (1 + VERIFY / m))
-                size = min(n, max(long_ + need, short + LEVELS))
-                pos = np.arange(size)
-                level = np.maximum(1, pos - short + 1)
-                out.append((s[order[:size]], np.full(size, e), np.full(size, n), pos, np.full(size, need), level, pos < long_ + need))
-                if len(seen) > 1_000_000:
-                    seen.clear()
-            if out:
-                c = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([_as_long(c[0]), pa.array(c[1]), *[pa.array(x.astype(np.int32)) for x in c[2:6]], pa.array(c[6])], ["shingle", "ent", "n", "pos", "need", "level", "probe"])
+                rows = min(n, max(long_ + need, short + LEVELS))
+                pos = np.arange(rows)
+                out.append((s[order[:rows]], np.full(rows, e, np.int64), np.full(rows, n), pos, np.full(rows, need), np.maximum(1, pos - short + 1), pos < long_ + need))
+                size += rows
+                if size > RUN:
+                    yield grouped()
+                    out, size, seen = [], 0, set()
+        if out:
+            yield grouped()
 
-    return docs.mapInArrow(run, "shingle long, ent long, n int, pos int, need int, level int, probe boolean")
+    return docs.mapInArrow(run, f"{POSTINGS}, pivot long, key long")
 
 
 def _buckets(batches):
-    """Rows of shingles that several entities post, each with the first entity of like size as its pivot.
+    """Rows of shingles that several entities post, each with its pivot, from rows sorted by key, n, ent.
 
-    Batches come sorted by shingle, n, ent; one row and the running pivot are all that is kept between
-    them, however many rows a shingle has.
+    Rows that a task gave a pivot other than themselves pass.  The rest meets the firsts of other tasks:
+    the first of like size is the pivot, and a row without company anywhere goes.  One row and the
+    running pivot are all that is kept between batches, however many rows a shingle has.
     """
     rest, last = None, None  # a row that may be alone; shingle, entity, size class and pivot of the row before
+    names = [*POSTING, "pivot"]
     for batch in batches:
+        passed = pc.fill_null(pc.not_equal(batch.column("pivot"), batch.column("ent")), False)
+        if pc.any(passed).as_py():
+            yield batch.filter(passed).select(names)
+        batch = batch.filter(pc.invert(passed))
         if rest is not None:
             batch = pa.concat_batches([rest, batch])
             rest = None
         if not batch.num_rows:
             continue
         sh, ent, n = (batch.column(c).to_numpy() for c in ("shingle", "ent", "n"))
-        size = np.floor(np.log(n) / np.log(1.155)).astype(np.int64)
+        size = _size_class(n)
         before = np.concatenate([[sh[0] if last and last[0] == sh[0] else ~sh[0]], sh[:-1]])
         ent_before = np.concatenate([[last[1] if last else 0], ent[:-1]])
         keep = ~((sh == before) & (ent == ent_before))
@@ -171,9 +203,21 @@ def _buckets(batches):
             alone[-1] = True
         else:
             last = (sh[-1], ent[-1], size[-1], pivot[-1])
-        on = ~alone
+        company = pc.is_valid(batch.column("pivot")).to_numpy(zero_copy_only=False)[i]
+        on = ~alone | company
+        if rest is not None:
+            on[-1] = False
         if on.any():
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(i[on])).columns, pa.array(pivot[on])], [*batch.schema.names, "pivot"])
+            kept = batch.take(pa.array(i[on])).select(POSTING)
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pivot[on])], names)
+    if rest is not None and rest.column("pivot")[0].is_valid:
+        yield pa.RecordBatch.from_arrays([*rest.select(POSTING).columns, rest.column("ent")], names)
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs that were not verified before, in either order."""
+    known = tried.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    return pairs.join(known, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -225,8 +269,8 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     hot = _frequent(profiles.where("kind = 1"))
     posted = _postings(d, k, percent, hot)
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = posted.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "ent")
-    buckets = scratch.keep(sorted_.mapInArrow(_buckets, "shingle long, ent long, n int, pos int, need int, level int, probe boolean, pivot long"), "buckets")
+    sorted_ = posted.repartition(parts, "key").sortWithinPartitions("key", "n", "ent")
+    buckets = scratch.keep(sorted_.mapInArrow(_buckets, f"{POSTINGS}, pivot long"), "buckets")
 
     # Links to pivots: of each entity the two pivots it meets most often.
     met = buckets.where("ent <> pivot").groupBy(F.col("ent").alias("b"), F.col("pivot").alias("a")).agg(F.count("*").alias("c"))
@@ -235,11 +279,31 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     links = _verified(first, rows, d, k, percent, scratch, "star_links")
     reached = components(links, scratch, "star")
 
+    # More links to the largest component of each bucket, by another member each round.
+    like = F.floor(F.log("n") / F.log(F.lit(1.155)))
+    tried, labelled = first, None
+    for r in range(ROUNDS + 1):
+        b = buckets.drop("pivot").join(reached, buckets["ent"] == reached["id"], "left").withColumn("c", F.coalesce("component", "ent")).drop("id", "component")
+        mixed = b.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("shingle")
+        b = scratch.keep(b.join(mixed, "shingle", "left_semi"), f"labelled{r}")
+        if labelled:
+            scratch.drop(labelled)
+        labelled = f"labelled{r}"
+        if r == ROUNDS:
+            break
+        parts_ = b.groupBy("shingle", like.alias("like"), "c").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("ent", F.lit(r)).alias("h"), "ent")).alias("one"))
+        main = parts_.groupBy("shingle", "like").agg(F.max(F.struct("size", F.col("c").alias("main"), F.col("one.ent").alias("a"))).alias("m")).select("shingle", "like", "m.main", "m.a")
+        met = b.withColumn("like", like).join(main, ["shingle", "like"]).where("c <> main").groupBy(F.col("ent").alias("b"), "a").agg(F.count("*").alias("c"))
+        more = met.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where("r <= 3").select("a", "b")
+        more = scratch.keep(_untried(more, tried), f"pairs{r}")
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        links = _verified(more, rows, d, k, percent, scratch, f"links{r}")
+        if not links.isEmpty():
+            reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), scratch, f"round{r}_")
+
     # The prefix join between entities still in different components.
-    b = buckets.drop("pivot").join(reached, buckets["ent"] == reached["id"], "left").withColumn("c", F.coalesce("component", "ent")).drop("id", "component")
-    b = scratch.keep(b, "labelled")
-    mixed = b.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("shingle")
-    b = b.join(mixed, "shingle", "left_semi")
     x = b.where(F.col("level") <= LEVELS).select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("ent", "n", "pos", "level", "c")])
     y = b.where("probe").select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("ent", "n", "pos", "need", "c")])
     # What can still be shared after the first common shingle bounds the overlap.
@@ -251,12 +315,15 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
         & (F.col("x_level") <= F.col("y_need"))
         & ((100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n")))
     )
-    second = on.groupBy(F.col("x_ent").alias("a"), F.col("y_ent").alias("b")).agg(F.count("*").alias("m"), F.max("y_need").alias("need")).where("m >= need").select("a", "b")
-    tried = first.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    second = second.join(tried, (F.least("a", "b") == F.col("p")) & (F.greatest("a", "b") == F.col("q")), "left_anti")
+    # All common shingles up to the last match are counted, so the rest bounds what may follow.
+    pair = on.groupBy(F.col("x_ent").alias("a"), F.col("y_ent").alias("b"), "x_n", "y_n").agg(
+        F.count("*").alias("m"), F.max("y_need").alias("need"), F.max("x_pos").alias("x_last"), F.max("y_pos").alias("y_last")
+    )
+    most = F.col("m") + F.least(F.col("x_n") - 1 - F.col("x_last"), F.col("y_n") - 1 - F.col("y_last"))
+    second = _untried(pair.where((F.col("m") >= F.col("need")) & ((100 + percent) * most >= percent * (F.col("x_n") + F.col("y_n")))).select("a", "b"), tried)
     second = scratch.keep(second, "prefix_pairs")
     more = _verified(second, rows, d, k, percent, scratch, "prefix_links")
-    reached = components(links.unionByName(more), scratch, "all")
+    reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "all")
 
     out = rows.join(reached.withColumnRenamed("id", "ent"), "ent", "left").withColumn("c", F.coalesce("component", "ent"))
     smallest = out.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))
