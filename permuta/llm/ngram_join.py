@@ -25,7 +25,7 @@ from permuta.llm._components import components
 from permuta.llm._store import Scratch
 
 #: Shingles a task compares for frequency at once; shingles with a known frequency at most.
-FLUSH, HOT = 4_000_000, 1 << 20
+FLUSH, HOT = 4_000_000, 1 << 19
 #: Largest number of shared prefix shingles; cost of a verification in posting reads.
 LEVELS, VERIFY = 3, 40
 #: Rounds of links to other pivots before the prefix join.
@@ -101,10 +101,16 @@ def _frequent(hot: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total, least = total + r["c"], r["s"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = count.where(F.floor(F.log2("n") * 4) >= least).toPandas()
-    h = got["id"].to_numpy(np.int64).view(np.uint64)
+
+    def pack(batches):  # arrays of 16 bytes a shingle, no row objects on the driver
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({c: [batch.column(c).to_numpy().tobytes()] for c in ("id", "n")})
+
+    got = count.where(F.floor(F.log2("n") * 4) >= least).mapInArrow(pack, "id binary, n binary").collect()
+    h = np.frombuffer(b"".join(bytes(r["id"]) for r in got), np.uint64)
+    n = np.frombuffer(b"".join(bytes(r["n"]) for r in got), np.int64)
     order = np.argsort(h)
-    return h[order], got["n"].to_numpy(np.int64)[order]
+    return h[order], n[order]
 
 
 def _postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
