@@ -1,6 +1,5 @@
 import pytest
 
-DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

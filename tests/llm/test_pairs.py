@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 import pytest
-from brute import components as brute_components
-from brute import jaccard_components, words
+from llm_brute import components as brute_components
+from llm_brute import jaccard_components, words
 from pyspark.sql import functions as F
 
 from permuta.llm import near_vectors, ngram_join, substrings

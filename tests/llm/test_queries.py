@@ -7,8 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from brute import hits, jaccard_components
-from conftest import DATA
+from llm_brute import DATA, hits, jaccard_components
 
 import corpus_pipeline
 from permuta.llm import mixing, quality, registry

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import hits, words
+from llm_brute import hits, words
 from pyspark.sql import functions as F
 
 from permuta.llm import decontaminate, hmm, language, mixing, quality, token_output
