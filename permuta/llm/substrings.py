@@ -3,7 +3,10 @@
 Seeds are minimizers of word k-mers: of every ``w`` consecutive k-mers the one of least hash.  Equal
 seeds meet in a join; each occurrence is matched with a first text that holds the seed, so n copies
 of a passage give n matches and not n * n.  A task matches the occurrences it reads with its own first
-one and sends only that to the others, so a seed of very many texts gives a few rows to its join.  The matches of two texts are chained in order with gap
+one and sends only that to the others, so a seed of very many texts gives a few rows to its join.
+The first text of a seed needn't be the one that holds the passage: where a text's seeds all stand in
+other texts, its windows of a whole passage's length meet in the same way, so every exact repeat of that
+length is found, whatever its parts match.  The matches of two texts are chained in order with gap
 costs, the best predecessor coming from a Fenwick tree; a chain's gaps and ends are aligned word by
 word, which carries passages over small edits.
 """
@@ -44,51 +47,77 @@ def minimizers(h: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
     return s[at], at
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seed occurrences: key, id, pos, src, src_pos, one row each.
+ROWS = "key long, id long, pos int, src long, src_pos int, many boolean"
+
+
+def _with_first(key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Occurrences beside the first text among them that has their key: key, id, pos, src, src_pos, many.
 
-    Of a seed that several texts of a run of batches hold, the first in order of id and pos has the seed
-    as key and no source; the others are matched with it and have a key of their own.
+    Those of the first text keep the key and have no source; ``many`` tells whether others have it.  The
+    others are matched with its first occurrence and have a key of their own.
     """
+    order = np.lexsort((pos, ids, key))
+    key, ids, pos = key[order], ids[order], pos[order]
+    start = np.concatenate([[True], key[1:] != key[:-1]])
+    own = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+    src = ids[own]
+    first, group = src == ids, np.cumsum(start) - 1
+    many = np.bincount(group, weights=~first)[group] > 0
+    key = np.where(first, key, _text.mix(ids.view(np.uint64)).view(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key), pa.array(ids), pa.array(pos), pa.array(src, mask=first), pa.array(pos[own], mask=first), pa.array(many)], [c.split()[0] for c in ROWS.split(", ")]
+    )
+
+
+def _in_runs(found: Iterator[tuple[np.ndarray, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Keys, text and positions, ``RUN`` occurrences at a time, matched with their first text."""
     held, size = [], 0
+    for key, i, at in found:
+        if len(key):
+            held.append((key.view(np.int64), np.full(len(key), i, np.int64), at.astype(np.int32)))
+            size += len(key)
+        if size > RUN:
+            yield _with_first(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield _with_first(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    def first_of_each():
-        seed, ids, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((pos, ids, seed))
-        seed, ids, pos = seed[order], ids[order], pos[order]
-        start = np.concatenate([[True], seed[1:] != seed[:-1]])
-        own = np.maximum.accumulate(np.where(start, np.arange(len(seed)), 0))
-        src = ids[own]
-        on = start | (src != ids)  # repeats inside the first text match nothing
-        matched = ~start[on]
-        key = np.where(matched, _text.mix(ids[on].view(np.uint64)).view(np.int64), seed[on])
-        gone = ~matched
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(ids[on]), pa.array(pos[on]), pa.array(src[on], mask=gone), pa.array(pos[own][on], mask=gone)], ["key", "id", "pos", "src", "src_pos"]
-        )
 
-    for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        for row, h in _text.documents(batch, "text"):
-            s, at = minimizers(h)
-            if len(s):
-                held.append((s.view(np.int64), np.full(len(s), ids[row], np.int64), at.astype(np.int32)))
-                size += len(s)
-            if size > RUN:
-                yield first_of_each()
-                held, size = [], 0
-    if held:
-        yield first_of_each()
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seed occurrences, one row each."""
+
+    def found():
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for row, h in _text.documents(batch, "text"):
+                s, at = minimizers(h)
+                yield s, ids[row], at
+
+    return _in_runs(found())
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of ``n`` words."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    power, inverse = (np.concatenate([[np.uint64(1)], np.full(len(h) - 1, x, np.uint64)]).cumprod() for x in (_text._P, _text._P_INV))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_text.mix(h) * power)])
+    return _text.mix((total[n:] - total[:-n]) * inverse[: len(h) - n + 1])
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of a seed beside the first text that has it, from rows sorted by key, id, pos.
+    """Occurrences of keys that several texts have beside the first of these, from rows sorted by key, id, pos.
 
-    Matched rows pass.  Only the running first occurrence is kept from one batch to the next, whatever a
-    seed's number of rows.
+    Matched rows pass; those of the first text have no source.  Only the running first occurrence, and
+    the first text's rows until another text is met, are kept from one batch to the next.
     """
-    last = None  # seed, id and pos of the first occurrence
+    last, known, pending = None, False, []  # key, id and pos of the first occurrence; whether others have the key
     names = ["id", "src", "pos", "src_pos"]
+
+    def rows(ids, src, pos, src_pos):
+        own = src == ids
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(src, mask=own), pa.array(pos), pa.array(src_pos.astype(np.int32), mask=own)], names)
+
     for batch in batches:
         passed = batch.filter(pc.is_valid(batch.column("src")))
         if passed.num_rows:
@@ -96,16 +125,27 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(pc.is_null(batch.column("src")))
         if not batch.num_rows:
             continue
-        seed, ids, pos = (batch.column(c).to_numpy() for c in ("key", "id", "pos"))
-        start = np.concatenate([[not (last and last[0] == seed[0])], seed[1:] != seed[:-1]])
-        group = np.maximum.accumulate(np.where(start, np.arange(len(seed)), -1))
+        key, ids, pos = (batch.column(c).to_numpy() for c in ("key", "id", "pos"))
+        start = np.concatenate([[not (last and last[0] == key[0])], key[1:] != key[:-1]])
+        group = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
         own = np.maximum(group, 0)
         src = np.where(group >= 0, ids[own], last[1] if last else 0)
         src_pos = np.where(group >= 0, pos[own], last[2] if last else 0)
-        last = (seed[-1], src[-1], src_pos[-1])
-        on = src != ids
+        last = (key[-1], src[-1], src_pos[-1])
+        number = np.cumsum(start)  # 0: the key of the batch before
+        shared = np.bincount(number, weights=(src != ids) | batch.column("many").to_numpy(zero_copy_only=False)) > 0
+        shared[0] |= known
+        if shared[0] and pending:
+            ids_, pos_ = (np.concatenate(x) for x in zip(*pending, strict=True))
+            yield rows(ids_, ids_, pos_, pos_)
+        if shared[0] or start.any():
+            pending = []
+        on = shared[number]
         if on.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (ids, src, pos, src_pos.astype(np.int32))], names)
+            yield rows(ids[on], src[on], pos[on], src_pos[on])
+        known = bool(shared[-1])
+        if not known:
+            pending.append((ids[number == number[-1]], pos[number == number[-1]]))
 
 
 class Fenwick:
@@ -241,39 +281,92 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
 
     A passage of at least ``min_words`` words (positions count ``[^\\x20\\x09-\\x0D]+`` words, A-Z folded,
     ``end`` excluded) of which at least ``min_share`` match in order a passage of the text ``src_doc_id``,
-    a smaller key: the first that holds its seeds, of all texts or of those a task reads together.  Repeats inside one text and rows of null key or text
+    a smaller key: the first that holds its seeds or a window of ``min_words`` of it, of all texts or of
+    those a task reads together.  Every exact repeat of ``min_words`` words is covered.  Repeats inside one text and rows of null key or text
     are left out; of rows that share a key the one with the greatest text counts.  Short and empty texts
     and an empty table give no rows.
     """
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = d.mapInArrow(_seeds, "key long, id long, pos int, src long, src_pos int")
-    met = seeds.repartition(parts, "key").sortWithinPartitions("key", "id", "pos").mapInArrow(_matches, "id long, src long, pos int, src_pos int")
-    met = met.groupBy("id", "src").agg(F.sort_array(F.collect_list(F.struct("pos", "src_pos"))).alias("m"))
+    seeds = d.mapInArrow(_seeds, ROWS)
+    in_order = lambda rows: rows.repartition(parts, "key").sortWithinPartitions("key", "id", "pos").mapInArrow(_matches, "id long, src long, pos int, src_pos int")
+    met = in_order(seeds).groupBy("id").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("m"))
 
     def chain_up(batches):
         for batch in batches:
             ids, srcs, out = [], [], []
-            for i, s, m in zip(batch.column("id").to_pylist(), batch.column("src").to_pylist(), batch.column("m"), strict=True):
-                pos, src = (m.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "src_pos"))
-                # A chain must span a good part of a passage before its texts are worth fetching.
-                kept = [c for c in chains(runs(pos, src)) if c[-1][0] + c[-1][2] - c[0][0] >= min_words // 3]
-                if kept:
+            for i, m in zip(batch.column("id").to_pylist(), batch.column("m"), strict=True):
+                pos, src_pos = (m.values.field(f).fill_null(0).to_numpy().astype(np.int64) for f in ("pos", "src_pos"))
+                src = m.values.field("src")
+                matched = pc.is_valid(src).to_numpy(zero_copy_only=False)
+                src = src.fill_null(0).to_numpy()
+                # In a window that other texts have, all seeds are shared: so many, so close together.
+                p = np.unique(pos)
+                cut = np.flatnonzero(np.diff(p) > W)
+                lo, hi = p[np.concatenate([[0], cut + 1])], p[np.concatenate([cut, [len(p) - 1]])]
+                on = hi - lo >= min_words - K - 2 * (W - 1)
+                if on.any():
                     ids.append(i)
-                    srcs.append(s)
-                    out.append(np.array([(n, *a) for n, c in enumerate(kept) for a in c], np.int32).tobytes())
+                    srcs.append(None)
+                    out.append(np.stack([np.maximum(lo[on] - W + 1, 0), hi[on] + K + W - 1], 1).astype(np.int32).tobytes())
+                if not matched.any():
+                    continue
+                pos, src, src_pos = pos[matched], src[matched], src_pos[matched]
+                near = np.unique(pos)
+                words = np.concatenate([[0], np.cumsum(np.minimum(np.diff(near), K))])
+
+                def fits(c):
+                    # A chain and its neighbours, whatever their source, must take a good part of a passage before texts are fetched.
+                    a, b = c[0][0], c[-1][0] + c[-1][2]
+                    x, y = np.searchsorted(near, [a - min_words, b + min_words - K + 1])
+                    return max(b - a, words[y - 1] - words[x] + K) >= min_words // 3
+
+                order = np.lexsort((pos, src))
+                for at in np.split(order, np.flatnonzero(np.diff(src[order])) + 1):
+                    kept = [c for c in chains(runs(pos[at], src_pos[at])) if fits(c)]
+                    if kept:
+                        ids.append(i)
+                        srcs.append(int(src[at[0]]))
+                        out.append(np.array([(n, *a) for n, c in enumerate(kept) for a in c], np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(srcs, pa.int64()), pa.array(out, pa.binary())], ["id", "src", "chains"])
 
-    chained = scratch.keep(met.mapInArrow(chain_up, "id long, src long, chains binary"), "chains")
-    wanted = chained.select("id").unionByName(chained.select(F.col("src").alias("id"))).distinct()
+    kind = "id long, src long, chains binary"
+    chained = scratch.keep(met.mapInArrow(chain_up, kind), "chains")
+    areas, chained = chained.where("src is null"), chained.where("src is not null")
+    wanted = areas.select("id", F.col("chains").alias("areas"))
+    for c in ("id", "src"):
+        wanted = wanted.unionByName(chained.select(F.col(c).alias("id"), F.lit(None).cast("binary").alias("areas")))
 
     def hashed(batches):
         for batch in batches:
             raw = [(h >> np.uint64(32)).astype(np.uint32).tobytes() for _, h in _text.documents(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["id", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), batch.column("areas")], ["id", "h", "areas"])
+
+    texts = d.join(wanted.groupBy("id").agg(F.max("areas").alias("areas")), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("areas").alias("areas"))
+    texts = scratch.keep(texts.mapInArrow(hashed, "id long, h binary, areas binary"), "texts")
+
+    def windows(batches):
+        def found():
+            for batch in batches:
+                for i, h, spans in zip(*[batch.column(x).to_pylist() for x in ("id", "h", "areas")], strict=True):
+                    h = np.frombuffer(h, np.uint32).astype(np.uint64)
+                    for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+                        s = window_hashes(h[a:b], min_words)
+                        yield s, i, a + np.arange(len(s))
+
+        return _in_runs(found())
+
+    def join_windows(batches):
+        for batch in batches:
+            out = []
+            for m in batch.column("m"):
+                pos, src = (m.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "src_pos"))
+                out.append(np.array([(n, *a) for n, a in enumerate(runs(pos, src, min_words, 1))], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("src"), pa.array(out, pa.binary())], ["id", "src", "chains"])
 
-    texts = d.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    texts = scratch.keep(texts.mapInArrow(hashed, "id long, h binary"), "texts")
+    whole = in_order(texts.where("areas is not null").mapInArrow(windows, ROWS)).where("src is not null")
+    whole = whole.groupBy("id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).mapInArrow(join_windows, kind)
+    pairs = chained.unionByName(whole).groupBy("id", "src").agg(F.collect_list("chains").alias("chains"))
 
     def align_all(batches):
         names = ["doc_id", "src_doc_id", "start", "end", "src_start", "src_end", "n_words", "n_same", "score"]
@@ -281,15 +374,23 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
             out = []
             for i, s, c, ha, hb in zip(*[batch.column(x).to_pylist() for x in ("id", "src", "chains", "ha", "hb")], strict=True):
                 a, b = np.frombuffer(ha, np.uint32), np.frombuffer(hb, np.uint32)
-                rows = np.frombuffer(c, np.int32).reshape(-1, 4).tolist()
-                for n in sorted({r[0] for r in rows}):
-                    start, end, src_start, src_end, same = align([tuple(r[1:]) for r in rows if r[0] == n], a, b)
+                todo = []
+                for raw in c:
+                    rows = np.frombuffer(raw, np.int32).reshape(-1, 4)
+                    todo += [[tuple(r) for r in x[:, 1:].tolist()] for x in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)]
+                found = []
+                for chain in sorted(todo, key=lambda c: (c[0][0] - c[-1][0] - c[-1][2], c)):
+                    (p, t, _), (q, u, n) = chain[0], chain[-1]
+                    if any(x[0] <= p and q + n <= x[1] and x[2] <= t and u + n <= x[3] for x in found):
+                        continue  # a part of a passage of these two texts
+                    start, end, src_start, src_end, same = align(chain, a, b)
                     if end - start >= min_words and same >= min_share * (end - start):
+                        found.append((start, end, src_start, src_end))
                         out.append((i, s, start, end, src_start, src_end, end - start, same, same / max(end - start, src_end - src_start)))
             cols = list(zip(*out, strict=True)) if out else [()] * 9
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:8]], pa.array(cols[8], pa.float64())], names)
 
-    both = chained.join(texts.select("id", F.col("h").alias("ha")), "id").join(texts.select(F.col("id").alias("src"), F.col("h").alias("hb")), "src")
+    both = pairs.join(texts.select("id", F.col("h").alias("ha")), "id").join(texts.select(F.col("id").alias("src"), F.col("h").alias("hb")), "src")
     kinds = "doc_id long, src_doc_id long, start long, end long, src_start long, src_end long, n_words long, n_same long, score double"
     return both.select("id", "src", "chains", "ha", "hb").mapInArrow(align_all, kinds).distinct()
 

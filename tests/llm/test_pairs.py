@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_brute import components as brute_components
 from llm_brute import jaccard_components, words
@@ -169,6 +170,32 @@ def test_exact_repeats_match_brute_force(docs, scratch):
     assert all((cut[i] == rows[i]) == (i not in want) for i in range(len(rows)))
 
 
+def test_repeats_whose_parts_stand_in_other_texts(docs, scratch):
+    rng = random.Random(21)
+    lines = [text(30, rng) for _ in range(6)]
+    rows = [f"{text(40, rng)} {line} {text(40, rng)}" for line in lines]
+    rows += [f"{text(25, rng)} {lines[a]} {lines[b]} {text(25, rng)}" for a, b in ((0, 1), (2, 3), (4, 5), (1, 0)) for _ in range(2)]
+    # The window at the end of 6 is held by 7 alone; each first text of its seeds has half of it.
+    got = substrings.find_passages(docs(rows), scratch).collect()
+    assert {(r["doc_id"], r["src_doc_id"]) for r in got} == {(7, 6), (9, 8), (11, 10), (13, 12)}
+    assert all(r["start"] <= 25 and r["end"] >= 85 for r in got)
+
+
+def test_matches_do_not_depend_on_batches():
+    rng = np.random.default_rng(2)
+    key, ids, pos = np.sort(rng.integers(0, 30, 200)), rng.integers(0, 4, 200), np.arange(200, dtype=np.int32)
+    order = np.lexsort((pos, ids, key))
+    rows = pa.RecordBatch.from_pydict({"key": key[order], "id": ids[order], "pos": pos[order], "src": pa.nulls(200, pa.int64()), "src_pos": pa.nulls(200, pa.int32()), "many": np.zeros(200, bool)})
+    want = set()
+    for k in set(key.tolist()):
+        at = [i for i in order if key[i] == k]
+        if len({ids[i] for i in at}) > 1:
+            want |= {(int(ids[i]), None if ids[i] == ids[at[0]] else int(ids[at[0]]), int(pos[i]), None if ids[i] == ids[at[0]] else int(pos[at[0]])) for i in at}
+    for n in (1, 3, 200):
+        got = [tuple(r.values()) for b in substrings._matches(rows.slice(i, n) for i in range(0, 200, n)) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_passages_of_edge_tables(docs, scratch):
     assert substrings.find_passages(docs([]), scratch).count() == 0
     t = text(70)
