@@ -7,13 +7,12 @@ one and sends only that to the others, so a seed of very many texts gives a few
 The first text of a seed needn't be the one that holds the passage: where a text's seeds all stand in
 other texts, its windows of a whole passage's length meet in the same way, so every exact repeat of that
 length is found, whatever its parts match.  The matches of two texts are chained in order with gap
-costs, the best predecessor coming from a Fenwick tree; a chain's gaps and ends are aligned word by
+costs, the best predecessor being sought among those near enough; a chain's gaps and ends are aligned word by
 word, which carries passages over small edits.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,29 +147,6 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pending.append((ids[number == number[-1]], pos[number == number[-1]]))
 
 
-class Fenwick:
-    """Prefix maxima over a fixed set of keys."""
-
-    def __init__(self, n: int):
-        self.best = [(-1e18, -1)] * (n + 1)
-
-    def put(self, i: int, value: tuple[float, int]) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i]:
-                self.best[i] = value
-            i += i & -i
-
-    def get(self, i: int) -> tuple[float, int]:
-        """The largest value at keys 0 to i - 1."""
-        found = (-1e18, -1)
-        while i > 0:
-            if self.best[i] > found:
-                found = self.best[i]
-            i -= i & -i
-        return found
-
-
 def runs(pos: np.ndarray, src: np.ndarray, k: int = K, reach: int = K + W) -> list[tuple[int, int, int]]:
     """Matches on one diagonal that touch or nearly touch, as (start, source start, words)."""
     order = np.lexsort((pos, pos - src))
@@ -183,32 +159,29 @@ def runs(pos: np.ndarray, src: np.ndarray, k: int = K, reach: int = K + W) -> li
 def chains(anchors: list[tuple[int, int, int]], gap: int = GAP) -> list[list[tuple[int, int, int]]]:
     """Collinear chains of anchors: each anchor's best predecessor ends before it in both texts.
 
-    The score of a link is the predecessor's score less the cost of the words between.  With end
-    coordinates added to the stored scores, the cost splits into a stored and a query part, so a Fenwick
-    tree over the source coordinate gives the best one; anchors are put in when their end is passed.
-    Chains break at gaps over ``gap`` words.
+    The score of a link is the predecessor's score less the cost of the words between and of the shift.
+    Only anchors whose end lies ``gap`` words back at most, in both texts, are asked: these are a window
+    over the anchors in order of their ends, and no two matches of two texts have one position, so the
+    window holds ``gap`` + 1 anchors at most.  An anchor with none starts a chain.
     """
-    ends = sorted({s + n for _, s, n in anchors})
-    tree = Fenwick(len(ends))
     order = sorted(range(len(anchors)), key=lambda i: anchors[i][0])
     closing = sorted(range(len(anchors)), key=lambda i: anchors[i][0] + anchors[i][2])
-    score, before, c = [0.0] * len(anchors), [-1] * len(anchors), 0
+    score, before, low, c = [0.0] * len(anchors), [-1] * len(anchors), 0, 0
     for i in order:
         p, s, n = anchors[i]
         while c < len(closing) and anchors[closing[c]][0] + anchors[closing[c]][2] <= p:
-            j = closing[c]
-            q, t, m = anchors[j]
-            tree.put(bisect.bisect_left(ends, t + m), (score[j] + GAP_COST * (q + m + t + m), j))
             c += 1
-        value, j = tree.get(bisect.bisect_right(ends, s))
-        score[i] = float(n)
-        if j >= 0:
+        while low < c and anchors[closing[low]][0] + anchors[closing[low]][2] < p - gap:
+            low += 1
+        best = 0.0
+        for j in closing[low:c]:
             q, t, m = anchors[j]
             a, b = p - q - m, s - t - m
-            linked = value - GAP_COST * (p + s) - SHIFT_COST * min(abs(a - b), 20)
-            if max(a, b) <= gap and linked > 0:
-                score[i] += linked
-                before[i] = j
+            if 0 <= b <= gap:
+                linked = score[j] - GAP_COST * (a + b) - SHIFT_COST * min(abs(a - b), 20)
+                if linked > best:
+                    best, before[i] = linked, j
+        score[i] = n + best
     used, out = [False] * len(anchors), []
     for i in sorted(range(len(anchors)), key=lambda i: -score[i]):
         chain = []

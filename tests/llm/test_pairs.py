@@ -154,6 +154,14 @@ def test_chain_respects_order_and_gaps():
     assert chain == [(0, 0, 10), (12, 13, 10), (24, 24, 8)]
 
 
+def test_chain_goes_on_after_a_long_match_that_is_too_far():
+    parts = [(500 + 13 * i, 500 + 13 * i, 10) for i in range(8)]
+    assert sorted(substrings.chains([(0, 0, 300), *parts])) == [[(0, 0, 300)], parts]
+    # Near in the text and far in the source.
+    parts = [(310 + 13 * i, 900 + 13 * i, 10) for i in range(8)]
+    assert sorted(substrings.chains([(0, 0, 300), *parts])) == [[(0, 0, 300)], parts]
+
+
 def test_exact_repeats_match_brute_force(docs, scratch):
     rng = random.Random(11)
     shared = [text(rng.randint(55, 90), rng) for _ in range(4)]
