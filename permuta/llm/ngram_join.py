@@ -171,7 +171,8 @@ def _postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.n
 
 
 def _buckets(batches):
-    """Rows of shingles that several entities post, each with its pivot, from rows sorted by key, n, ent.
+    """Rows of shingles that several entities post, each with its pivot, from rows sorted by key, n, ent,
+    with the rows that had company in their task first among those of one entity.
 
     Rows that a task gave a pivot other than themselves pass.  The rest meets the firsts of other tasks:
     the first of like size is the pivot, and a row without company anywhere goes.  One row and the
@@ -275,7 +276,7 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     hot = _frequent(profiles.where("kind = 1"))
     posted = _postings(d, k, percent, hot)
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = posted.repartition(parts, "key").sortWithinPartitions("key", "n", "ent")
+    sorted_ = posted.repartition(parts, "key").sortWithinPartitions("key", "n", "ent", F.col("pivot").isNull())
     buckets = scratch.keep(sorted_.mapInArrow(_buckets, f"{POSTINGS}, pivot long"), "buckets")
 
     # Links to pivots: of each entity the two pivots it meets most often.

@@ -75,6 +75,22 @@ def test_join_of_edge_tables(spark, docs, scratch):
     assert got == [("5", "5"), ("5", "5"), ("9", "5"), ("None", "5"), ("None", "None")]
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_pivots_keep_their_postings_when_equal_texts_stand_apart(spark, docs, scratch, monkeypatch, last):
+    postings = ngram_join._postings
+    in_order = lambda *a: scratch.keep(postings(*a).coalesce(1).sortWithinPartitions(F.col("pivot").isNull() == last), "posted")
+    monkeypatch.setattr(ngram_join, "_postings", in_order)
+    rng = random.Random(8)
+    base = [text(60, rng) for _ in range(6)]
+    alone = docs(list(enumerate(base))).coalesce(1)
+    near = docs([(10 + i, t) for i, t in enumerate(base)] + [(20 + i, edited(t, 1, rng)) for i, t in enumerate(base)]).coalesce(1)
+    join = ngram_join.join_components(alone.union(near), scratch)
+    posted = spark.read.parquet(scratch.path("buckets"))
+    others = posted.where("ent <> pivot").select("shingle", posted["pivot"].alias("ent")).distinct()
+    assert others.count() and others.join(posted, ["shingle", "ent"], "left_anti").isEmpty()
+    assert {r["doc_id"]: r["component_id"] for r in join.collect()} == {i + j: i for i in range(6) for j in (0, 10, 20)}
+
+
 def test_one_of_each_group_stays(docs, scratch):
     t, u = text(40), text(40)
     d = docs([t, u, t + " more", None, t]).withColumn("id", F.lit(1))
