@@ -341,8 +341,15 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
 def keep_first_of_group(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that represent their component (the smallest key), columns unchanged.
 
-    Of rows that repeat that key one stays.
+    Rows are told apart by a written number, not by their key: of rows of a component that repeat the
+    smallest key the first written stays, and rows that link with nothing all stay, whatever their key.
+    Null keys come after all others.
     """
-    kept = join_components(docs, scratch, text, key, k, percent).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    one = docs.join(kept, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
-    return one.dropDuplicates([key])
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    docs = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    group = join_components(docs, scratch, text, row, k, percent).select(row, F.col("component_id").alias("_group"))
+    keys = docs.select(F.col(row), F.col(key).cast("long").alias("_key")).join(group, row)
+    first = keys.groupBy("_group").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", row)).alias("_first"))
+    return docs.join(first.select(F.col(f"_first.{row}")), row, "left_semi").drop(row)

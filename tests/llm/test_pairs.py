@@ -98,6 +98,13 @@ def test_one_of_each_group_stays(docs, scratch):
     assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3]
 
 
+def test_rows_that_link_with_nothing_stay_whatever_their_key(docs, scratch):
+    t, u, v, w, x = (text(40) for _ in range(5))
+    rows = [(None, t), (None, u), (3, v), (3, w), (1, x), (3, x + " more"), (None, v), (2, t), (5, None), (5, None), (7, u), (7, u)]
+    kept = ngram_join.keep_first_of_group(docs(rows), scratch)
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("2", t), ("7", u), ("3", v), ("3", w), ("1", x), ("5", ""), ("5", "")])
+
+
 def vector_links(rows):
     usable = {}
     for i, (_, v, label) in enumerate(rows):
