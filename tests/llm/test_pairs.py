@@ -84,7 +84,8 @@ def test_pivots_keep_their_postings_when_equal_texts_stand_apart(spark, docs, sc
     base = [text(60, rng) for _ in range(6)]
     alone = docs(list(enumerate(base))).coalesce(1)
     near = docs([(10 + i, t) for i, t in enumerate(base)] + [(20 + i, edited(t, 1, rng)) for i, t in enumerate(base)]).coalesce(1)
-    join = ngram_join.join_components(alone.union(near), scratch)
+    # Written apart, so that they are read by two tasks.
+    join = ngram_join.join_components(scratch.keep(alone, "alone").union(scratch.keep(near, "near")), scratch)
     posted = spark.read.parquet(scratch.path("buckets"))
     others = posted.where("ent <> pivot").select("shingle", posted["pivot"].alias("ent")).distinct()
     assert others.count() and others.join(posted, ["shingle", "ent"], "left_anti").isEmpty()
