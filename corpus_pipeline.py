@@ -39,7 +39,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = Scratch(spark, "corpus").root
-    token_output.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_output.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), special=True)
     return token_output.read_tokens(spark, path)
 
 

@@ -63,13 +63,16 @@ def cut_points(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """The library's ids of whole texts; each distinct piece is encoded once and known by its 64-bit hash."""
+    """The library's ids of whole texts; each distinct piece is encoded once and known by its 64-bit hash.
 
-    def __init__(self, path: str):
+    ``special``: a special token's text has its id, as the library has it unless told otherwise.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self._clear()
 
     def _clear(self) -> None:
@@ -133,15 +136,15 @@ class Encoder:
         return out, bounds
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """The process's encoder for a tokenizer file: later tasks of a worker go on with what it knows."""
     kept = sys.modules.setdefault("_permuta_encoders", types.ModuleType("_permuta_encoders")).__dict__
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, special) not in kept:
+        kept[path, special] = Encoder(path, special)
+    return kept[path, special]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str, special: bool = False) -> bytes:
     """A dictionary from the first ``SAMPLE_BYTES`` of ids of about ``SAMPLE_DOCS`` documents, twice as many at most.
 
     The documents are chosen by hash of their id.  Too few or too short documents give an empty
@@ -154,7 +157,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str) ->
         pick = pick.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * SAMPLE_DOCS / n))
     pick = pick.orderBy("h", "t").limit(2 * SAMPLE_DOCS)
     texts = [r["t"].encode() for r in pick.collect()]
-    x, at = encoder(tokenizer).encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    x, at = encoder(tokenizer, special).encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     ids = [x[a:b].tobytes()[:SAMPLE_BYTES] for a, b in zip(at[:-1], at[1:], strict=True)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, ids).as_bytes()
@@ -162,22 +165,23 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str) ->
         return b""
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", level: int = 3) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", level: int = 3, special: bool = False) -> None:
     """Encode every whole text and write the dataset; ``path`` must be in a store that all executors share.
 
     Documents are in ascending order of ``doc_id``, null first; rows of one id are ordered by text.
+    With ``special``, the text of a special token is that token, as in the library's plain ``encode``.
     Null text is empty: its ids are the end id alone.  An empty table writes a dictionary and no shard.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dictionary = train_dictionary(d, tokenizer, "doc_id", "text")
+    dictionary = train_dictionary(d, tokenizer, "doc_id", "text", special)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, dictionary)], "dict_sha256 string, dictionary binary").write.parquet(f"{path}/dictionary")
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), d.rdd.getNumPartitions())
     d = d.repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("range", F.spark_partition_id())
 
     def shards(batches):
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, special)
         zstd = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True)
         frames, ids, counts, size, part, before = [], [], [], 0, 0, 0
 

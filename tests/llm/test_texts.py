@@ -133,6 +133,21 @@ def test_token_round_trip(spark, docs, tokenizer):
     assert len(token_output.read_document(spark, path, 3)) == 2 and token_output.read_document(spark, path, 10**6) == []
 
 
+def test_special_tokens_as_the_library_has_them(spark, docs, scratch, tokenizer):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from permuta.llm import registry
+
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|endoftext|> <|endoftext|>", "a  <|endoftext|>  b\n<|endoftext|>", "plain"]
+    library = Tokenizer.from_file(tokenizer)
+    want = {i: zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()) for i, t in enumerate(texts)}
+    d = docs(texts)
+    d.write.parquet(f"{scratch.root}/documents.parquet")
+    for got in (registry.queries()["op6_token_output"](spark, scratch.root), corpus_pipeline.write_ids(spark, d, scratch.root)):
+        assert {r["doc_id"]: r["ids_crc32"] for r in got.collect()} == want
+
+
 def test_token_output_of_an_empty_table(spark, docs, tokenizer):
     from permuta.llm._store import Scratch
 
