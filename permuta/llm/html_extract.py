@@ -4,7 +4,8 @@ A page is cut into blocks of text in page order.  Blocks with the same root-to-l
 one group: its text length outside links and its punctuation, each for one block, are smoothed over the
 paths' page order, fused into one ratio and thresholded.  The element that holds the blocks of the
 chosen paths is the content; its short blocks belong to it as well, whatever their path's ratio.
-Subtrees that mark themselves as boilerplate (by tag, role, class or id) never count.
+Subtrees that mark themselves as boilerplate (by tag, role, or a whole class or id) don't count, unless they hold
+an article or main element or most of the page's text; hidden ones never do.
 """
 
 from __future__ import annotations
@@ -42,35 +43,49 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?|([^<]++|<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_PART = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?、。，！？؟،।]")
 
 
-def _is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in BOILERPLATE and not (tag == "header" and in_content):
+def _attributes(text: str) -> dict[str, str]:
+    """Names and values in lower case; of a repeated name the first."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
+def _is_name(token: str) -> bool:
+    """Whether a class or id is a boilerplate name, or made of such names alone."""
+    parts = re.split(r"[-_]+", token)
+    return token in NAMES or len(parts) > 1 and NAMES.issuperset(parts)
+
+
+def _is_hidden(tag: str, found: dict[str, str]) -> bool:
+    return tag == "head" or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+
+
+def _is_boilerplate(tag: str, found: dict[str, str], in_content: bool) -> bool:
+    if tag in BOILERPLATE and not (tag == "header" and in_content) or found.get("role") in ROLES:
         return True
-    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(_PART.findall(value)):
-            return not (in_content and NAMES.intersection(_PART.findall(value)) == {"header"})
-    return False
+    if tag in ("html", "body", "article", "main"):
+        return False
+    names = {x for c in ("class", "id") for x in found.get(c, "").split() if _is_name(x)}
+    return bool(names) and not (in_content and names == {"header"})
 
 
 def blocks(page: str) -> list[tuple[tuple, str, int]]:
     """Blocks in page order: the open elements as (number, tag), the text, and its characters inside links."""
     out, text, linked, number = [], [], 0, 0
-    stack: list[tuple[int, str, bool]] = []  # element number, tag, boilerplate
+    stack: list[tuple[int, str, bool]] = []  # element number, tag, hidden
+    marked, holding, inside = set(), set(), []  # elements marked as boilerplate, those around article or main; of each block those around it
 
     def flush():
         nonlocal linked
         words = html.unescape("".join(text)).split()
         if words and not (stack and stack[-1][2]):
             out.append((tuple(x[:2] for x in stack if x[1] not in INLINE), " ".join(words), linked))
+            inside.append([x[0] for x in stack if x[0] in marked])
         text.clear()
         linked = 0
 
@@ -101,12 +116,23 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             while stack and (stack[-1][1] in INLINE or stack[-1][1] == "p" or tag in CLOSED_BY.get(stack[-1][1], ())):
                 stack.pop()
         number += 1
-        inside = bool(stack and stack[-1][2])
-        bad = inside or _is_boilerplate(tag, m[4] or m[7] or "", any(x[1] in CONTENT for x in stack))
+        found = _attributes(m[4] or m[7] or "")
+        hidden = bool(stack and stack[-1][2]) or _is_hidden(tag, found)
+        if _is_boilerplate(tag, found, any(x[1] in CONTENT for x in stack)):
+            marked.add(number)
+        if tag in CONTENT and not hidden:
+            holding.update(x[0] for x in stack)
         if not (m[4] or "").endswith("/") or tag in INLINE:
-            stack.append((number, tag, bad))
+            stack.append((number, tag, hidden))
     flush()
-    return out
+    # A mark on an element that holds the article, or most of the text outside links, doesn't count.
+    plain = [max(0, len(words) - n) for _, words, n in out]
+    held: dict[int, int] = defaultdict(int)
+    for n, around in zip(plain, inside, strict=True):
+        for x in around:
+            held[x] += n
+    marked = {x for x in marked if x not in holding and 2 * held[x] <= sum(plain)}
+    return [b for b, around in zip(out, inside, strict=True) if marked.isdisjoint(around)]
 
 
 def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
@@ -147,7 +173,9 @@ def extract(page: str | None, spread: float = 0.5) -> str:
     if holder and holder[-1][1] not in ("html", "body"):
         picked.update(i for i, (path, _, _) in enumerate(found) if path[: len(holder)] == holder)
     else:
-        # Nothing narrower than the body holds the content: its headings are those right before a chosen block.
+        # Nothing narrower than the body holds the content: it lasts from its first to its last chosen block, links apart, with
+        # the headings right before.
+        picked.update(i for i in range(min(content), max(content)) if 2 * found[i][2] < len(found[i][1]))
         for i in range(len(found) - 2, -1, -1):
             if i + 1 in picked and found[i][0] and re.fullmatch("h[1-6]", found[i][0][-1][1]):
                 picked.add(i)

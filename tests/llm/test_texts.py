@@ -233,6 +233,30 @@ def test_page():
     assert extract("<p title='a>b'>x</p>" * 3000).count("x") == 3000
 
 
+LONG = "Long text, with marks. More of it, and more."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div><p title="Hidden Figures">{LONG}</p><p>End.</p></div>',
+        f'<div><p><a href="/item?id=related-42">A link</a> {LONG}</p><p>End.</p></div>',
+        f'<div><section data-note="a hidden gem"><p>{LONG}</p><p>End.</p></section></div>',
+        *[f'<div><div class="{c}"><p>{LONG}</p><p>End.</p></div><div class="sidebar">x</div></div>' for c in ("content no-sidebar", "has-banner", "share-price", "widget")],
+        f'<form id="page"><nav><a>Menu</a></nav><article><p>{LONG}</p><p>End.</p></article></form>',
+        f'<div class="sidebar"><main><p>{LONG} End.</p></main></div><p>{LONG * 2}</p>',
+        f'<article><p>{LONG}</p><p class="hljs-comment">End.</p></article>',
+    ],
+)
+def test_marks_swallow_no_content(page):
+    assert LONG in extract(page) and extract(page).endswith("End.")
+
+
+def test_hidden_parts_and_short_blocks_in_the_body():
+    assert extract(f'<div><p>{LONG}</p><p hidden>a</p><p aria-hidden="true">b</p><p style="display: none">c</p></div>') == LONG
+    assert extract(f"<body><p>{LONG * 4}</p><ul><li>ok</li></ul><p>{LONG * 4}</p></body>").split("\n\n") == [LONG * 4, "ok", LONG * 4]
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "", 5)]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
