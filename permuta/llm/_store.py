@@ -37,6 +37,11 @@ def arrow_rows(spark: SparkSession, n: int):
     return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
 
 
+def batch_bytes(spark: SparkSession, n: int = 4 << 20):
+    """Arrow batches of about ``n`` bytes at most (a longer row is a batch by itself) for the jobs run inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(n))
+
+
 class Scratch:
     """Intermediate tables of one operator call, under one folder of the shared directory."""
 
@@ -48,7 +53,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table; Spark then removes the shuffle files of that job."""
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), batch_bytes(self.spark):
             df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

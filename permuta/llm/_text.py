@@ -7,6 +7,8 @@ Python object is made for a word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,13 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 2**64))
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (multiply, xor-shift)."""
     x = x ^ (x >> np.uint64(30))

@@ -24,15 +24,19 @@ from permuta.llm import _text
 from permuta.llm._components import components
 from permuta.llm._store import Scratch
 
-#: Shingles a task compares for frequency at once; shingles with a known frequency at most.
-FLUSH, HOT = 4_000_000, 1 << 19
+#: Counters of the frequency sketch, counters of a slice of it, shingles that a task adds at once.
+COUNTERS, SLICE, FLUSH = 1 << 23, 1 << 15, 1_000_000
+#: Steps of a counter for each doubling.
+FINE = 8
 #: Largest number of shared prefix shingles; cost of a verification in posting reads.
-LEVELS, VERIFY = 3, 40
-#: Rounds of links to other pivots before the prefix join.
-ROUNDS = 1
+LEVELS, VERIFY = 6, 40
+#: Rounds of links to other pivots end when less than this share of the tried pairs link.
+YIELD = 0.1
 #: Posting rows that a task holds before it passes them on.
-RUN = 1_000_000
-POSTINGS = "shingle long, ent long, n int, pos int, need int, level int, probe boolean"
+RUN = 400_000
+POSTINGS = "shingle long, ent long, n int, pos int, need int, level int, rank int, probe boolean"
+#: A rank is the size class and below it how rare a set's prefix is: the least rank of a class is its centre.
+CENTRE = 1 << 12
 POSTING = [c.split()[0] for c in POSTINGS.split(", ")]
 
 
@@ -55,17 +59,44 @@ def entity(s: np.ndarray) -> int:
     return int(_text.mix(total).view(np.int64)[0])
 
 
-def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: id, size and entity of each row; kind 1: shingle and rows of the task that hold it, if several."""
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
-    def run(batches):
-        seen, held, size = set(), [], 0
 
-        def hot():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            on = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(on.sum(), np.int32)), _as_long(h[on]), pa.array(n[on]), pa.array([None] * int(on.sum()), pa.int64())], ["kind", "id", "n", "ent"])
+def _tally(h: np.ndarray) -> pa.RecordBatch:
+    """Rows (1, slice, weight, null, places) that add up to the occurrences of ``h`` by counter.
+
+    A counter seen c times is in the rows of weights 1, 1, 2, 4 ... up to c in all, at least half of c.
+    ``places`` are 16-bit places in the slice, or a bitmap of it where that is shorter.
+    """
+    at, c = np.unique(_counter(h), return_counts=True)
+    slices, weights, places = [], [], []
+    weight, reach = 1, 1
+    while len(at):
+        cut = np.searchsorted(at, np.arange(0, COUNTERS + 1, SLICE))
+        for i in np.flatnonzero(np.diff(cut)):
+            own = (at[cut[i] : cut[i + 1]] - i * SLICE).astype(np.uint16)
+            if len(own) * 16 >= SLICE:
+                bits = np.zeros(SLICE, bool)
+                bits[own] = True
+                own = np.packbits(bits)
+            slices.append(int(i))
+            weights.append(weight)
+            places.append(own.tobytes())
+        weight, reach = reach, 2 * reach
+        at, c = at[c >= reach], c[c >= reach]
+    kind = pa.array(np.ones(len(slices), np.int32))
+    return pa.RecordBatch.from_arrays([kind, pa.array(slices, pa.int64()), pa.array(weights, pa.int64()), pa.nulls(len(slices), pa.int64()), pa.array(places, pa.binary())], _PROFILE)
+
+
+_PROFILE = ["kind", "id", "n", "ent", "places"]
+
 
+def _profiles(docs: DataFrame, k: int) -> DataFrame:
+    """kind 0: id, size and entity of each row; kind 1: slice, weight and places of shingles in the frequency sketch."""
+
+    def run(batches):
+        held, size, seen = [], 0, set()
         for batch in batches:
             n, ents = [], []
             for _, h in _text.documents(batch, "text"):
@@ -78,65 +109,78 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
                     held.append(s)
                     size += len(s)
                 if size > FLUSH:
-                    yield hot()
+                    yield _tally(np.concatenate(held))
                     held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("id"), pa.array(n, pa.int64()), pa.array(ents, pa.int64())], ["kind", "id", "n", "ent"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("id"), pa.array(n, pa.int64()), pa.array(ents, pa.int64()), pa.nulls(len(n), pa.binary())], _PROFILE)
         if held:
-            yield hot()
+            yield _tally(np.concatenate(held))
+        _text.release()
 
-    return docs.mapInArrow(run, "kind int, id long, n long, ent long")
+    return docs.mapInArrow(run, "kind int, id long, n long, ent long, places binary")
 
 
-def _frequent(hot: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, ``HOT`` at most, in order of their hashes, with their frequencies.
+def _frequencies(sketch: DataFrame, parts: int) -> np.ndarray:
+    """About the number of texts of each counter, as ``FINE`` times the logarithm to base 2 of one more (8 bits a counter).
 
-    They only shape the order; a shingle beyond them counts as rare, which costs time and no result.
+    Every shingle is counted.  The sketch has a fixed size: with more shingles each counter has more of
+    the rare ones beside its own, so what stands out is a frequency far above the mean.  It shapes the
+    order of shingles alone; any order gives the same links.
     """
-    count = hot.groupBy("id").agg(F.sum("n").alias("n"))
-    steps = count.groupBy(F.floor(F.log2("n") * 4).alias("s")).agg(F.count("*").alias("c")).orderBy(F.desc("s")).collect()
-    total, least = 0, None
-    for r in steps:
-        if total + r["c"] > HOT:
-            break
-        total, least = total + r["c"], r["s"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def pack(batches):  # arrays of 16 bytes a shingle, no row objects on the driver
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({c: [batch.column(c).to_numpy().tobytes()] for c in ("id", "n")})
-
-    got = count.where(F.floor(F.log2("n") * 4) >= least).mapInArrow(pack, "id binary, n binary").collect()
-    h = np.frombuffer(b"".join(bytes(r["id"]) for r in got), np.uint64)
-    n = np.frombuffer(b"".join(bytes(r["n"]) for r in got), np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+    def add(batches):
+        own, total = None, np.zeros(SLICE, np.int64)
 
+        def row():
+            level = np.minimum(np.round(FINE * np.log2(1 + total)), 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([level.tobytes()], pa.binary())], ["id", "level"])
 
-def _postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Prefix shingles of each entity that a task meets: shingle, ent, n, pos, need, level, probe, pivot, key.
-
-    ``need`` is the entity's number of shared shingles as the longer partner, ``level`` the least need
+        for batch in batches:
+            for i, weight, places in zip(*[batch.column(c).to_pylist() for c in ("id", "n", "places")], strict=True):
+                if i != own:
+                    if own is not None:
+                        yield row()
+                    own = i
+                    total[:] = 0
+                if len(places) * 8 == SLICE:
+                    total += weight * np.unpackbits(np.frombuffer(places, np.uint8)).astype(np.int64)
+                else:
+                    total[np.frombuffer(places, np.uint16)] += weight
+        if own is not None:
+            yield row()
+
+    level = np.zeros(COUNTERS, np.uint8)
+    in_order = sketch.select("id", "n", "places").repartition(parts, "id").sortWithinPartitions("id")
+    for r in in_order.mapInArrow(add, "id long, level binary").collect():  # COUNTERS bytes
+        level[r["id"] * SLICE : (r["id"] + 1) * SLICE] = np.frombuffer(bytes(r["level"]), np.uint8)
+    return level
+
+
+def _postings(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """Prefix shingles of each entity that a task meets: shingle, ent, n, pos, need, level, rank, probe, pivot, key.
+
+    ``rank`` orders entities by size class and then by the frequency of their prefix: a text that others are
+    edited copies of has the fewest shingles of its own.  ``need`` is the entity's number of shared shingles as the longer partner, ``level`` the least need
     that reaches the shingle as the shorter one.  Of entities of like size with one shingle that a task
     holds together the first is the others' ``pivot``, and only its row has the shingle as ``key``: a
     shingle of very many texts sends a few rows to its bucket.  A first with company is its own pivot.
     """
-    held = docs.sparkSession.sparkContext.broadcast(hot)
+    held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        keys, counts = held.value
+        frequency = held.value
+        about = np.exp2(np.arange(256) / FINE) - 1
         seen, out, size = set(), [], 0
 
         def grouped():
-            shingle, ent, n, pos, need, level, probe = (np.concatenate(x) for x in zip(*out, strict=True))
-            like = _size_class(n)
-            order = np.lexsort((ent, n, like, shingle))
-            shingle, ent, n, pos, need, level, probe, like = (x[order] for x in (shingle, ent, n, pos, need, level, probe, like))
+            shingle, ent, n, pos, need, level, rank, probe = (np.concatenate(x) for x in zip(*out, strict=True))
+            order = np.lexsort((ent, rank, shingle))
+            shingle, ent, n, pos, need, level, rank, probe = (x[order] for x in (shingle, ent, n, pos, need, level, rank, probe))
+            like = rank // CENTRE
             start = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (like[1:] != like[:-1])])
             first = np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))
             company = np.bincount(first, minlength=len(first))[first] > 1
             key = np.where(start, shingle.view(np.int64), _text.mix(shingle ^ ent.view(np.uint64)).view(np.int64))
-            small = [pa.array(x.astype(np.int32)) for x in (n, pos, need, level)]
+            small = [pa.array(x.astype(np.int32, copy=False)) for x in (n, pos, need, level, rank)]
             return pa.RecordBatch.from_arrays([_as_long(shingle), pa.array(ent), *small, pa.array(probe), pa.array(ent[first], mask=~company), pa.array(key)], [*POSTING, "pivot", "key"])
 
         for batch in batches:
@@ -146,36 +190,36 @@ def _postings(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.n
                 if not n or (e := entity(s)) in seen:
                     continue
                 seen.add(e)
-                df = np.ones(n, np.int64)
-                if len(keys):
-                    i = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    on = keys[i] == s
-                    df[on] = counts[i[on]]
-                order = np.lexsort((s, df))
+                df = frequency[_counter(s)]
+                order = np.argsort(df, kind="stable")  # equal ones by hash
                 long_ = n - (percent * n + 99) // 100
                 short = n - (2 * percent * n + 99 + percent) // (100 + percent)
-                read = np.cumsum(df[order])
+                read = np.cumsum(about[df[order]])
                 levels = range(1, min(LEVELS, n - long_) + 1)
                 need = min(levels, key=lambda m: read[long_ + m - 1] * (1 + VERIFY / m))
                 rows = min(n, max(long_ + need, short + LEVELS))
-                pos = np.arange(rows)
-                out.append((s[order[:rows]], np.full(rows, e, np.int64), np.full(rows, n), pos, np.full(rows, need), np.maximum(1, pos - short + 1), pos < long_ + need))
+                pos = np.arange(rows, dtype=np.int32)
+                common = int(FINE * 32 - df[order[:rows]].mean()) * CENTRE // (FINE * 32 + 1)
+                rank = int(_size_class(n)) * CENTRE + common
+                whole = lambda x: np.full(rows, x, np.int32)
+                out.append((s[order[:rows]], np.full(rows, e, np.int64), whole(n), pos, whole(need), np.maximum(1, pos - short + 1), whole(rank), pos < long_ + need))
                 size += rows
                 if size > RUN:
                     yield grouped()
                     out, size, seen = [], 0, set()
         if out:
             yield grouped()
+        _text.release()
 
     return docs.mapInArrow(run, f"{POSTINGS}, pivot long, key long")
 
 
 def _buckets(batches):
-    """Rows of shingles that several entities post, each with its pivot, from rows sorted by key, n, ent,
+    """Rows of shingles that several entities post, each with its pivot, from rows sorted by key, rank, ent,
     with the rows that had company in their task first among those of one entity.
 
     Rows that a task gave a pivot other than themselves pass.  The rest meets the firsts of other tasks:
-    the first of like size is the pivot, and a row without company anywhere goes.  One row and the
+    the first of a size class is the pivot, and a row without company anywhere goes.  One row and the
     running pivot are all that is kept between batches, however many rows a shingle has.
     """
     rest, last = None, None  # a row that may be alone; shingle, entity, size class and pivot of the row before
@@ -190,8 +234,8 @@ def _buckets(batches):
             rest = None
         if not batch.num_rows:
             continue
-        sh, ent, n = (batch.column(c).to_numpy() for c in ("shingle", "ent", "n"))
-        size = _size_class(n)
+        sh, ent, rank = (batch.column(c).to_numpy() for c in ("shingle", "ent", "rank"))
+        size = rank // CENTRE
         before = np.concatenate([[sh[0] if last and last[0] == sh[0] else ~sh[0]], sh[:-1]])
         ent_before = np.concatenate([[last[1] if last else 0], ent[:-1]])
         keep = ~((sh == before) & (ent == ent_before))
@@ -273,10 +317,9 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     profiles = scratch.keep(_profiles(d, k), "profiles")
     rows = profiles.where("kind = 0").select("id", "n", "ent")
-    hot = _frequent(profiles.where("kind = 1"))
-    posted = _postings(d, k, percent, hot)
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = posted.repartition(parts, "key").sortWithinPartitions("key", "n", "ent", F.col("pivot").isNull())
+    posted = _postings(d, k, percent, _frequencies(profiles.where("kind = 1"), parts))
+    sorted_ = posted.repartition(parts, "key").sortWithinPartitions("key", "rank", "ent", F.col("pivot").isNull())
     buckets = scratch.keep(sorted_.mapInArrow(_buckets, f"{POSTINGS}, pivot long"), "buckets")
 
     # Links to pivots: of each entity the two pivots it meets most often.
@@ -286,36 +329,42 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     links = _verified(first, rows, d, k, percent, scratch, "star_links")
     reached = components(links, scratch, "star")
 
-    # More links to the largest component of each bucket, by another member each round.
-    like = F.floor(F.log("n") / F.log(F.lit(1.155)))
-    tried, labelled = first, None
-    for r in range(ROUNDS + 1):
-        b = buckets.drop("pivot").join(reached, buckets["ent"] == reached["id"], "left").withColumn("c", F.coalesce("component", "ent")).drop("id", "component")
+    # More links to the largest component of each bucket in a set's size class and the ones beside it: to its
+    # centre first, then to another member each round.
+    like = F.floor(F.col("rank") / CENTRE).cast("int")
+    tried, b, r = first, buckets.drop("pivot"), 0
+    while True:
+        b = b.join(reached, b["ent"] == reached["id"], "left").withColumn("c", F.coalesce("component", "ent")).drop("id", "component")
         mixed = b.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("shingle")
         b = scratch.keep(b.join(mixed, "shingle", "left_semi"), f"labelled{r}")
-        if labelled:
-            scratch.drop(labelled)
-        labelled = f"labelled{r}"
-        if r == ROUNDS:
-            break
-        parts_ = b.groupBy("shingle", like.alias("like"), "c").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("ent", F.lit(r)).alias("h"), "ent")).alias("one"))
-        main = parts_.groupBy("shingle", "like").agg(F.max(F.struct("size", F.col("c").alias("main"), F.col("one.ent").alias("a"))).alias("m")).select("shingle", "like", "m.main", "m.a")
+        scratch.drop(f"labelled{r - 1}" if r else "buckets")
+        order = F.xxhash64("ent", F.lit(r)) if r else F.col("rank").cast("long")
+        parts_ = b.groupBy("shingle", like.alias("like"), "c").agg(F.count("*").alias("size"), F.min(F.struct(order.alias("h"), "ent")).alias("one"))
+        main = parts_.groupBy("shingle", "like").agg(F.max(F.struct("size", F.col("c").alias("main"), F.col("one.ent").alias("a"))).alias("m"))
+        main = main.select("shingle", F.explode(F.sequence(F.col("like") - 1, F.col("like") + 1)).alias("like"), "m.main", "m.a")
         met = b.withColumn("like", like).join(main, ["shingle", "like"]).where("c <> main").groupBy(F.col("ent").alias("b"), "a").agg(F.count("*").alias("c"))
         more = met.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where("r <= 3").select("a", "b")
         more = scratch.keep(_untried(more, tried), f"pairs{r}")
-        if more.isEmpty():
-            continue
         tried = tried.unionByName(more)
         links = _verified(more, rows, d, k, percent, scratch, f"links{r}")
-        if not links.isEmpty():
-            reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), scratch, f"round{r}_")
+        if links.isEmpty():
+            break
+        reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links), scratch, f"round{r}_")
+        b, r = b.drop("c"), r + 1
+        if links.count() < YIELD * more.count():
+            break
+    if "c" not in b.columns:
+        b = b.join(reached, b["ent"] == reached["id"], "left").withColumn("c", F.coalesce("component", "ent"))
 
     # The prefix join between entities still in different components.
+    # Partners of x have x_n to 100 / percent * x_n shingles: they are in one or two classes of size.
+    size = lambda n: F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int")
     x = b.where(F.col("level") <= LEVELS).select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("ent", "n", "pos", "level", "c")])
-    y = b.where("probe").select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("ent", "n", "pos", "need", "c")])
+    x = x.withColumn("size", F.explode(F.sequence(size(F.col("x_n")), size(F.col("x_n") * F.lit(100.0001 / percent)))))
+    y = b.where("probe").select("shingle", size(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("ent", "n", "pos", "need", "c")])
     # What can still be shared after the first common shingle bounds the overlap.
     left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos")
-    on = x.join(y, "shingle").where(
+    on = x.join(y, ["shingle", "size"]).where(
         (F.col("x_c") != F.col("y_c"))
         & ((F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x_ent") < F.col("y_ent")))
         & (100 * F.col("x_n") >= percent * F.col("y_n"))
