@@ -37,6 +37,8 @@ RUN = 400_000
 POSTINGS = "shingle long, ent long, n int, pos int, need int, level int, rank int, probe boolean"
 #: A rank is the size class and below it how rare a set's prefix is: the least rank of a class is its centre.
 CENTRE = 1 << 12
+#: 64-bit words of an entity's bitmap: each of its bits is the parity of the shingles that hash to it.
+PARITY = 8
 POSTING = [c.split()[0] for c in POSTINGS.split(", ")]
 
 
@@ -86,24 +88,32 @@ def _tally(h: np.ndarray) -> pa.RecordBatch:
         weight, reach = reach, 2 * reach
         at, c = at[c >= reach], c[c >= reach]
     kind = pa.array(np.ones(len(slices), np.int32))
-    return pa.RecordBatch.from_arrays([kind, pa.array(slices, pa.int64()), pa.array(weights, pa.int64()), pa.nulls(len(slices), pa.int64()), pa.array(places, pa.binary())], _PROFILE)
+    return pa.RecordBatch.from_arrays([kind, pa.array(slices, pa.int64()), pa.array(weights, pa.int64()), pa.nulls(len(slices), pa.int64()), pa.array(places, pa.binary()), *[pa.nulls(len(slices), pa.int64())] * PARITY], _PROFILE)
 
 
-_PROFILE = ["kind", "id", "n", "ent", "places"]
+_BITS = [f"bits{i}" for i in range(PARITY)]
+_PROFILE = ["kind", "id", "n", "ent", "places", *_BITS]
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: two sets differ in at least as many elements as their bitmaps in bits."""
+    odd = np.bincount((s & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: id, size and entity of each row; kind 1: slice, weight and places of shingles in the frequency sketch."""
+    """kind 0: id, size, entity and bitmap of each row; kind 1: slice, weight and places of shingles in the frequency sketch."""
 
     def run(batches):
         held, size, seen = [], 0, set()
         for batch in batches:
-            n, ents = [], []
-            for _, h in _text.documents(batch, "text"):
+            n, ents, bits = [], [], np.zeros((batch.num_rows, PARITY), np.int64)
+            for row, h in _text.documents(batch, "text"):
                 s = shingle_set(h, k)
                 e = entity(s) if len(s) else None
                 n.append(len(s))
                 ents.append(e)
+                bits[row] = parities(s)
                 if e is not None and e not in seen:
                     seen.add(e)
                     held.append(s)
@@ -111,12 +121,12 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
                 if size > FLUSH:
                     yield _tally(np.concatenate(held))
                     held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("id"), pa.array(n, pa.int64()), pa.array(ents, pa.int64()), pa.nulls(len(n), pa.binary())], _PROFILE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("id"), pa.array(n, pa.int64()), pa.array(ents, pa.int64()), pa.nulls(len(n), pa.binary()), *map(pa.array, bits.T.copy())], _PROFILE)
         if held:
             yield _tally(np.concatenate(held))
         _text.release()
 
-    return docs.mapInArrow(run, "kind int, id long, n long, ent long, places binary")
+    return docs.mapInArrow(run, "kind int, id long, n long, ent long, places binary" + "".join(f", {c} long" for c in _BITS))
 
 
 def _frequencies(sketch: DataFrame, parts: int) -> np.ndarray:
@@ -357,19 +367,24 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
         b = b.join(reached, b["ent"] == reached["id"], "left").withColumn("c", F.coalesce("component", "ent"))
 
     # The prefix join between entities still in different components.
+    bits = profiles.where("kind = 0").groupBy("ent").agg(*[F.first(c).alias(c) for c in _BITS])
+    b = b.join(bits, "ent")
     # Partners of x have x_n to 100 / percent * x_n shingles: they are in one or two classes of size.
     size = lambda n: F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int")
-    x = b.where(F.col("level") <= LEVELS).select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("ent", "n", "pos", "level", "c")])
+    x = b.where(F.col("level") <= LEVELS).select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("ent", "n", "pos", "level", "c", *_BITS)])
     x = x.withColumn("size", F.explode(F.sequence(size(F.col("x_n")), size(F.col("x_n") * F.lit(100.0001 / percent)))))
-    y = b.where("probe").select("shingle", size(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("ent", "n", "pos", "need", "c")])
+    y = b.where("probe").select("shingle", size(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("ent", "n", "pos", "need", "c", *_BITS)])
     # What can still be shared after the first common shingle bounds the overlap.
     left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos")
+    # What their bitmaps differ in the sets differ in as well.
+    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _BITS), F.lit(0))
     on = x.join(y, ["shingle", "size"]).where(
         (F.col("x_c") != F.col("y_c"))
         & ((F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x_ent") < F.col("y_ent")))
         & (100 * F.col("x_n") >= percent * F.col("y_n"))
         & (F.col("x_level") <= F.col("y_need"))
         & ((100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n")))
+        & ((100 + percent) * (F.col("x_n") + F.col("y_n") - differ) >= 2 * percent * (F.col("x_n") + F.col("y_n")))
     )
     # All common shingles up to the last match are counted, so the rest bounds what may follow.
     pair = on.groupBy(F.col("x_ent").alias("a"), F.col("y_ent").alias("b"), "x_n", "y_n").agg(
