@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges of the Pareto rank; sums over them replace one long running sum for each source.
 BUCKETS = 4096
+#: Parts into which each source's rows are dealt for the join with its target: one source may hold most rows.
+SALTS = 64
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -59,13 +61,17 @@ def with_copies(
     A source's taken words differ from its target by at most half of one document.  Null text has
     size 0; null source is a source of its own, last in order; null keys share one random number.
     Rows alike in source, key and size are taken or left together, so repeated rows and ties give the
-    same result on every run.  An empty table gives no rows.  Columns of these names are replaced.
+    same result on every run.  An empty table gives no rows.  Columns of these names are replaced; all
+    other columns come back unchanged, whatever they are called.
 
     Where a source's order is cut is found from sums over ranges of the rank and from the rows of the
     one range in which its words run out; every row is then decided by itself.
     """
     added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
     docs = docs.drop(*added)
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, source, key = (f"c{names.index(c)}" for c in (text, source, key))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     u = uniform(F.col(key), seed)
     part = F.col("_part")
@@ -73,7 +79,9 @@ def with_copies(
     slot = F.least(F.floor(F.lit(float(BUCKETS)) * F.col("_rank") / (F.lit(1.0) + F.col("_rank"))), F.lit(BUCKETS - 1))
 
     def placed(rows: DataFrame, by_source: DataFrame) -> DataFrame:
-        joined = rows.join(by_source, rows["_source"].eqNullSafe(by_source["_s"]))
+        dealt = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_part_of", F.pmod(F.xxhash64(key, "_size"), F.lit(SALTS)).cast("int"))
+        joined = rows.join(dealt, rows["_source"].eqNullSafe(dealt["_s"]) & (F.col("_part_of") == F.col("_salt"))).drop("_salt", "_part_of")
         return joined.withColumn("_rank", F.when(part > 0, ranked)).withColumn("_slot", F.when(part > 0, slot))
 
     rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("_size")).withColumnRenamed("_key", key)
@@ -97,7 +105,7 @@ def with_copies(
     out = placed(docs.withColumn("_source", F.col(source)).withColumn("_size", size), t)
     taken = (part > 0) & (F.col("_edge").isNull() | (F.col("_slot") < F.col("_edge")) | (F.col("_slot") == F.col("_edge")) & F.coalesce(place <= F.col("_last"), F.lit(False)))
     copies = (F.col("_whole") + F.when(taken, 1).otherwise(0)).cast("int")
-    return out.select(*[out[f"`{c}`"] for c in docs.columns], F.col("_size").alias(added[0]), F.col("_words").alias(added[1]), F.col("_target").alias(added[2]), copies.alias(added[3]))
+    return out.select(*[F.col(c) for c in docs.columns], "_size", "_words", "_target", copies).toDF(*names, *added)
 
 
 def pareto_mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **settings) -> DataFrame:
