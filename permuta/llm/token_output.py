@@ -145,13 +145,17 @@ def encoder(path: str, special: bool = False) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str, special: bool = False) -> bytes:
-    """A dictionary from the first ``SAMPLE_BYTES`` of ids of about ``SAMPLE_DOCS`` documents, twice as many at most.
+    """A dictionary from ``SAMPLE_BYTES`` of ids of about ``SAMPLE_DOCS`` documents, twice as many at most.
 
-    The documents are chosen by hash of their id.  Too few or too short documents give an empty
-    dictionary: frames are then compressed without one.
+    The documents are chosen by a hash of their id and text, and so is the place in a long text that is taken.
+    Where they are too few or too short to train on, their ids themselves are the dictionary (raw content);
+    it is empty only if there are no ids.
     """
-    # No more characters than that reach the first bytes of ids.
-    pick = docs.select(F.xxhash64(doc_id).alias("h"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_BYTES).alias("t"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    h = F.xxhash64(doc_id, text)
+    # So many characters are taken; their ids are cut to as many bytes below.
+    start = F.pmod(F.xxhash64(h), F.greatest(F.length(t) - SAMPLE_BYTES, F.lit(0)) + F.lit(1)) + F.lit(1)
+    pick = docs.select(h.alias("h"), F.substring(t, start.cast("int"), F.lit(SAMPLE_BYTES)).alias("t"))
     n = docs.count()
     if n > SAMPLE_DOCS:
         pick = pick.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * SAMPLE_DOCS / n))
@@ -162,7 +166,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str, sp
     try:
         return zstandard.train_dictionary(DICT_BYTES, ids).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(ids)[-DICT_BYTES:]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", level: int = 3, special: bool = False) -> None:
@@ -170,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
 
     Documents are in ascending order of ``doc_id``, null first; rows of one id are ordered by text.
     With ``special``, the text of a special token is that token, as in the library's plain ``encode``.
-    Null text is empty: its ids are the end id alone.  An empty table writes a dictionary and no shard.
+    Null text is empty: its ids are the end id alone.  An empty table writes an empty dictionary and no shard.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
