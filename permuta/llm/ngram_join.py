@@ -165,8 +165,9 @@ def _frequencies(sketch: DataFrame, parts: int) -> np.ndarray:
     return level
 
 
-def _postings(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+def _postings(docs: DataFrame, k: int, percent: int, held) -> DataFrame:
     """Prefix shingles of each entity that a task meets: shingle, ent, n, pos, need, level, rank, probe, pivot, key.
+    ``held`` is the broadcast of ``_frequencies``.
 
     ``rank`` orders entities by size class and then by the frequency of their prefix: a text that others are
     edited copies of has the fewest shingles of its own.  ``need`` is the entity's number of shared shingles as the longer partner, ``level`` the least need
@@ -174,7 +175,6 @@ def _postings(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> Data
     holds together the first is the others' ``pivot``, and only its row has the shingle as ``key``: a
     shingle of very many texts sends a few rows to its bucket.  A first with company is its own pivot.
     """
-    held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         frequency = held.value
@@ -328,9 +328,11 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     profiles = scratch.keep(_profiles(d, k), "profiles")
     rows = profiles.where("kind = 0").select("id", "n", "ent")
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = _postings(d, k, percent, _frequencies(profiles.where("kind = 1"), parts))
+    frequencies = d.sparkSession.sparkContext.broadcast(_frequencies(profiles.where("kind = 1"), parts))
+    posted = _postings(d, k, percent, frequencies)
     sorted_ = posted.repartition(parts, "key").sortWithinPartitions("key", "rank", "ent", F.col("pivot").isNull())
     buckets = scratch.keep(sorted_.mapInArrow(_buckets, f"{POSTINGS}, pivot long"), "buckets")
+    frequencies.destroy()
 
     # Links to pivots: of each entity the two pivots it meets most often.
     met = buckets.where("ent <> pivot").groupBy(F.col("ent").alias("b"), F.col("pivot").alias("a")).agg(F.count("*").alias("c"))
@@ -394,7 +396,8 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
     second = _untried(pair.where((F.col("m") >= F.col("need")) & ((100 + percent) * most >= percent * (F.col("x_n") + F.col("y_n")))).select("a", "b"), tried)
     second = scratch.keep(second, "prefix_pairs")
     more = _verified(second, rows, d, k, percent, scratch, "prefix_links")
-    reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "all")
+    if not more.isEmpty():
+        reached = components(reached.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "all")
 
     out = rows.join(reached.withColumnRenamed("id", "ent"), "ent", "left").withColumn("c", F.coalesce("component", "ent"))
     smallest = out.where("c is not null").groupBy("c").agg(F.min("id").alias("least"))

@@ -200,8 +200,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if n > sample:
         marked = marked.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int((1 << 20) * sample / n))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(marked, "k")
-    got = with_statistics(rows.select("text", "y", "k")).drop("text").orderBy("k").toPandas()
-    return fit_rules(got[["stat_" + f for f in FEATURES]].to_numpy(np.float64), got["y"].to_numpy(np.float64))
+    got = with_statistics(rows.select("text", "y", "k")).drop("text").orderBy("k").toArrow()
+    x = np.column_stack([got.column("stat_" + f).to_numpy() for f in FEATURES])
+    model = fit_rules(x, got.column("y").to_numpy().astype(np.float64))
+    del got, x
+    _text.release()
+    return model
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = 0.7) -> DataFrame:
