@@ -1,18 +1,20 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
 Seeds are minimizers of word k-mers: of every ``w`` consecutive k-mers the one of least hash.  Equal
-seeds meet in a join; each occurrence is matched with a first text that holds the seed, so n copies
-of a passage give n matches and not n * n.  A task matches the occurrences it reads with its own first
-one and sends only that to the others, so a seed of very many texts gives a few rows to its join.
+seeds meet in a join; each occurrence is matched with the first text of all that holds the seed, so n
+copies of a passage give n matches and not n * n.  A task matches the occurrences it reads with its own first
+one and sends only that to the others, so a seed of very many texts gives a few rows to its join; the
+task's other occurrences then take over the match of its first.
+The matches of two texts are chained in order with gap costs, the best predecessor being found through a
+Fenwick tree; a chain's gaps and ends are aligned word by word, which carries passages over small edits.
 The first text of a seed needn't be the one that holds the passage: where a text's seeds all stand in
-other texts, its windows of a whole passage's length meet in the same way, so every exact repeat of that
-length is found, whatever its parts match.  The matches of two texts are chained in order with gap
-costs, the best predecessor being sought among those near enough; a chain's gaps and ends are aligned word by
-word, which carries passages over small edits.
+other texts and no equal run explains them, its windows of a whole passage's length meet in the same
+way, so every exact repeat of that length is found, whatever its parts match.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,13 +49,13 @@ def minimizers(h: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
 
 
 ROWS = "key long, id long, pos int, src long, src_pos int, many boolean"
+MATCHES = "key long, id long, pos int, src long, src_pos int, via boolean"
 
 
 def _with_first(key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Occurrences beside the first text among them that has their key: key, id, pos, src, src_pos, many.
 
-    Those of the first text keep the key and have no source; ``many`` tells whether others have it.  The
-    others are matched with its first occurrence and have a key of their own.
+    Those of the first text have no source; ``many`` tells whether others have it.
     """
     order = np.lexsort((pos, ids, key))
     key, ids, pos = key[order], ids[order], pos[order]
@@ -62,7 +64,6 @@ def _with_first(key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordB
     src = ids[own]
     first, group = src == ids, np.cumsum(start) - 1
     many = np.bincount(group, weights=~first)[group] > 0
-    key = np.where(first, key, _text.mix(ids.view(np.uint64)).view(np.int64))
     return pa.RecordBatch.from_arrays(
         [pa.array(key), pa.array(ids), pa.array(pos), pa.array(src, mask=first), pa.array(pos[own], mask=first), pa.array(many)], [c.split()[0] for c in ROWS.split(", ")]
     )
@@ -91,6 +92,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row, h in _text.documents(batch, "text"):
                 s, at = minimizers(h)
                 yield s, ids[row], at
+        _text.release()
 
     return _in_runs(found())
 
@@ -107,20 +109,20 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of keys that several texts have beside the first of these, from rows sorted by key, id, pos.
 
-    Matched rows pass; those of the first text have no source.  Only the running first occurrence, and
-    the first text's rows until another text is met, are kept from one batch to the next.
+    Rows that a task matched pass (``via``: their source is that task's first text); those of the first
+    text of all are their own source.  Only the running first occurrence, and the first text's rows until
+    another text is met, are kept from one batch to the next.
     """
     last, known, pending = None, False, []  # key, id and pos of the first occurrence; whether others have the key
-    names = ["id", "src", "pos", "src_pos"]
+    names = [c.split()[0] for c in MATCHES.split(", ")]
 
-    def rows(ids, src, pos, src_pos):
-        own = src == ids
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(src, mask=own), pa.array(pos), pa.array(src_pos.astype(np.int32), mask=own)], names)
+    def rows(key, ids, pos, src, src_pos):
+        return pa.RecordBatch.from_arrays([*map(pa.array, (key, ids, pos, src)), pa.array(src_pos.astype(np.int32)), pa.array(np.zeros(len(ids), bool))], names)
 
     for batch in batches:
         passed = batch.filter(pc.is_valid(batch.column("src")))
         if passed.num_rows:
-            yield passed.select(names)
+            yield pa.RecordBatch.from_arrays([*[passed.column(c) for c in names[:5]], pa.array(np.ones(passed.num_rows, bool))], names)
         batch = batch.filter(pc.is_null(batch.column("src")))
         if not batch.num_rows:
             continue
@@ -135,16 +137,28 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = np.bincount(number, weights=(src != ids) | batch.column("many").to_numpy(zero_copy_only=False)) > 0
         shared[0] |= known
         if shared[0] and pending:
-            ids_, pos_ = (np.concatenate(x) for x in zip(*pending, strict=True))
-            yield rows(ids_, ids_, pos_, pos_)
+            yield rows(*(np.concatenate(x) for x in zip(*pending, strict=True)))
         if shared[0] or start.any():
             pending = []
         on = shared[number]
         if on.any():
-            yield rows(ids[on], src[on], pos[on], src_pos[on])
+            yield rows(key[on], ids[on], pos[on], src[on], src_pos[on])
         known = bool(shared[-1])
         if not known:
-            pending.append((ids[number == number[-1]], pos[number == number[-1]]))
+            on = number == number[-1]
+            pending.append((key[on], ids[on], pos[on], src[on], src_pos[on]))
+    _text.release()
+
+
+def first_matches(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(id, pos, src, src_pos): each occurrence of a shared key beside the first one of the first text of all that has it."""
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A matched row only passes: it goes anywhere, not to the task of its key.
+    to = F.when(F.col("src").isNull(), F.col("key")).otherwise(F.xxhash64("id"))
+    met = scratch.keep(found.repartition(parts, to).sortWithinPartitions("key", "id", "pos").mapInArrow(_matches, MATCHES), name)
+    firsts = met.where("not via").groupBy("key", F.col("id").alias("f")).agg(F.min("src").alias("g"), F.min("src_pos").alias("g_pos"))
+    via = met.where("via").select("key", "id", "pos", F.col("src").alias("f")).join(firsts, ["key", "f"])
+    return met.where("not via").select("id", "pos", "src", "src_pos").unionByName(via.select("id", "pos", F.col("g").alias("src"), F.col("g_pos").alias("src_pos")))
 
 
 def runs(pos: np.ndarray, src: np.ndarray, k: int = K, reach: int = K + W) -> list[tuple[int, int, int]]:
@@ -156,28 +170,70 @@ def runs(pos: np.ndarray, src: np.ndarray, k: int = K, reach: int = K + W) -> li
     return sorted((int(p[a]), int(p[a] - d[a]), int(p[b] - p[a] + k)) for a, b in zip(lo, hi, strict=True))
 
 
+class MaxTree:
+    """Fenwick tree of maxima over places 1..n: a place's value may rise and fall, a range is asked for its largest."""
+
+    def __init__(self, n: int):
+        self.n, self.value, self.most = n, [(0.0, -1)] * (n + 1), [(0.0, -1)] * (n + 1)
+
+    def put(self, i: int, value: tuple[float, int]) -> None:
+        self.value[i] = value
+        while i <= self.n:
+            best, step = self.value[i], 1
+            while step < (i & -i):
+                best = max(best, self.most[i - step])
+                step <<= 1
+            self.most[i] = best
+            i += i & -i
+
+    def largest(self, low: int, high: int) -> tuple[float, int]:
+        """Of the places low + 1 to high."""
+        best = (0.0, -1)
+        while high > low:
+            if high - (high & -high) >= low:
+                best = max(best, self.most[high])
+                high -= high & -high
+            else:
+                best = max(best, self.value[high])
+                high -= 1
+        return best
+
+
 def chains(anchors: list[tuple[int, int, int]], gap: int = GAP) -> list[list[tuple[int, int, int]]]:
-    """Collinear chains of anchors: each anchor's best predecessor ends before it in both texts.
+    """Collinear chains of anchors: each anchor's best predecessor ends before it in both texts, ``gap`` words at most.
 
     The score of a link is the predecessor's score less the cost of the words between and of the shift.
-    Only anchors whose end lies ``gap`` words back at most, in both texts, are asked: these are a window
-    over the anchors in order of their ends, and no two matches of two texts have one position, so the
-    window holds ``gap`` + 1 anchors at most.  An anchor with none starts a chain.
+    A Fenwick tree over the ends in the source holds score plus cost of the end's place, for the anchors
+    whose end lies ``gap`` words back at most; its largest value in the source's range is the
+    predecessor of least gap cost.  The last anchor on the same diagonal, which has no shift, is asked as well.
     """
+    if len(anchors) == 1:
+        return [list(anchors)]
     order = sorted(range(len(anchors)), key=lambda i: anchors[i][0])
     closing = sorted(range(len(anchors)), key=lambda i: anchors[i][0] + anchors[i][2])
+    ends = sorted((s + n, i) for i, (_, s, n) in enumerate(anchors))
+    place = {i: at + 1 for at, (_, i) in enumerate(ends)}
+    tree, diagonal = MaxTree(len(anchors)), {}
     score, before, low, c = [0.0] * len(anchors), [-1] * len(anchors), 0, 0
     for i in order:
         p, s, n = anchors[i]
         while c < len(closing) and anchors[closing[c]][0] + anchors[closing[c]][2] <= p:
+            j = closing[c]
+            q, t, m = anchors[j]
+            tree.put(place[j], (score[j] + GAP_COST * (q + t + 2 * m), j))
+            diagonal[q - t] = j
             c += 1
         while low < c and anchors[closing[low]][0] + anchors[closing[low]][2] < p - gap:
+            tree.put(place[closing[low]], (0.0, -1))
             low += 1
+        asked = (tree.largest(bisect_left(ends, (s - gap, -1)), bisect_left(ends, (s + 1, -1)))[1], diagonal.get(p - s, -1))
         best = 0.0
-        for j in closing[low:c]:
+        for j in asked:
+            if j < 0:
+                continue
             q, t, m = anchors[j]
             a, b = p - q - m, s - t - m
-            if 0 <= b <= gap:
+            if a <= gap and 0 <= b <= gap:
                 linked = score[j] - GAP_COST * (a + b) - SHIFT_COST * min(abs(a - b), 20)
                 if linked > best:
                     best, before[i] = linked, j
@@ -194,59 +250,114 @@ def chains(anchors: list[tuple[int, int, int]], gap: int = GAP) -> list[list[tup
     return out
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Words of ``a`` and ``b`` that their best common start takes, and its matches.
+def equal_runs(x: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, step: int) -> np.ndarray:
+    """Words that the texts at ``a`` and ``b`` of ``x`` share from there on, in direction ``step``, in lockstep."""
+    n, most, on, wide = np.zeros(len(a), np.int64), np.minimum(na, nb), np.arange(len(a)), 16
+    on = on[most > 0]
+    while len(on):
+        i = n[on][:, None] + np.arange(wide)
+        inside = i < most[on][:, None]
+        i = np.where(inside, i, 0)
+        same = inside & (x[a[on][:, None] + step * i] == x[b[on][:, None] + step * i])
+        run = np.where(same.all(1), wide, same.argmin(1))
+        n[on] += run
+        on = on[run == wide]
+        wide = min(2 * wide, 1024) if len(on) < 1000 else 16
+    return n
 
-    A banded alignment over rows of ``a`` that ends after a loss of ``DROP`` points.
+
+_POINT = 1 << 24  # a point of the score; matches are counted below it
+
+
+def extend(x: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of both texts that their best common start takes, and its matches, for many pairs of places in lockstep.
+
+    Banded alignments, row by row of the first text; one ends after a loss of ``DROP`` points.
     """
-    best, at = 0, (0, 0, 0)
-    row = {0: (0, 0)}  # position in b: score, matches
-    for j in range(1, min(len(b), BAND) + 1):
-        row[j] = (-j, 0)
-    for i in range(1, len(a) + 1):
-        new: dict[int, tuple[int, int]] = {}
-        for j in range(max(0, i - BAND), min(len(b), i + BAND) + 1):
-            found = (-(10**9), 0)
-            if j and j - 1 in row:
-                same = a[i - 1] == b[j - 1]
-                s, m = row[j - 1]
-                found = (s + (1 if same else -1), m + same)
-            if j in row:
-                found = max(found, (row[j][0] - 1, row[j][1]))
-            if j - 1 in new:
-                found = max(found, (new[j - 1][0] - 1, new[j - 1][1]))
-            if found[0] >= best - DROP:
-                new[j] = found
-                if found[0] > best:
-                    best, at = found[0], (i, j, int(found[1]))
-        if not new:
-            break
-        row = new
-    return at
-
-
-def _equal_run(a: np.ndarray, b: np.ndarray) -> int:
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
-
-
-def align(chain: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Start and end in both texts of a chain's passage, and its matching words."""
-    p, s, _ = chain[0]
-    reach = 400
-    n = _equal_run(a[:p][::-1], b[:s][::-1])
-    x, y, m = extend(a[max(0, p - n - reach) : p - n][::-1], b[max(0, s - n - reach) : s - n][::-1])
-    start, src_start, same = p - n - x, s - n - y, n + m
-    end, src_end = p, s
-    for p, s, n in chain:
-        if p > end:
-            same += extend(a[end:p], b[src_end:s])[2] if s > src_end else 0
-        same += int((a[p : p + n] == b[s : s + n]).sum())
-        end, src_end = p + n, s + n
-    n = _equal_run(a[end:], b[src_end:])
-    x, y, m = extend(a[end + n : end + n + reach], b[src_end + n : src_end + n + reach])
-    return start, end + n + x, src_start, src_end + n + y, same + n + m
+    took, src_took, same = (np.zeros(len(a), np.int64) for _ in range(3))
+    shift = np.arange(-BAND, BAND + 1)
+    low = -(1 << 50)
+    on = np.flatnonzero((na > 0) & (nb > 0))
+    row = np.where((shift >= 0) & (shift <= nb[on][:, None]), -shift * _POINT, low)
+    best = np.zeros(len(on), np.int64)
+    i = 0
+    while len(on):
+        i += 1
+        j = i + shift
+        valid = (j >= 0) & (j <= nb[on][:, None])
+        at = np.clip(j - 1, 0, np.maximum(nb[on] - 1, 0)[:, None])
+        match = x[(a[on] + step * (i - 1))[:, None]] == x[b[on][:, None] + step * at]
+        new = np.where(j >= 1, row + np.where(match, _POINT + 1, -_POINT), low)
+        new[:, :-1] = np.maximum(new[:, :-1], row[:, 1:] - _POINT)
+        new = np.where(valid, new, low)
+        new = np.maximum.accumulate(new + shift * _POINT, 1) - shift * _POINT
+        new = np.where(valid & (new >= (best - DROP * _POINT)[:, None]), new, low)
+        k = new.argmax(1)
+        top = new[np.arange(len(on)), k]
+        up = top >= best + _POINT // 2
+        best = np.where(up, top, best)
+        which = on[up]
+        took[which], src_took[which], same[which] = i, i + shift[k[up]], top[up] % _POINT
+        live = (top > low // 2) & (i < na[on])
+        on, row, best = on[live], new[live], best[live]
+    return took, src_took, same
+
+
+def align(x: np.ndarray, chain: np.ndarray, of: np.ndarray, first: np.ndarray, src_first: np.ndarray, n: np.ndarray, src_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages and equal runs of chains: start, end, source start and end, matches, for each chain and each anchor.
+
+    ``chain`` has an anchor (start, source start, words) in a row, ``of`` its chain's number from 0 in
+    order; of each chain ``first`` and ``src_first`` are the places of its texts in ``x``, ``n`` and
+    ``src_n`` their words.  The two ends run as far as the texts agree.
+    """
+    p, s, m = chain.T.astype(np.int64)
+    fa, fb, na, nb = first[of], src_first[of], n[of], src_n[of]
+    left = equal_runs(x, fa + p - 1, p, fb + s - 1, s, -1)
+    right = equal_runs(x, fa + p, na - p, fb + s, nb - s, 1)
+    runs_ = np.stack([p - left, p + right, s - left, s + right, left + right], 1)
+    head = np.concatenate([[True], of[1:] != of[:-1]])
+    tail = np.concatenate([of[1:] != of[:-1], [True]])
+    # Ends, beyond the equal words.
+    pa_, sa = (p - left)[head], (s - left)[head]
+    u, v, w = extend(x, first + pa_ - 1, pa_, src_first + sa - 1, sa, -1)
+    q, t = (p + np.maximum(right, m))[tail], (s + np.maximum(right, m))[tail]
+    u2, v2, w2 = extend(x, first + q, n - q, src_first + t, src_n - t, 1)
+    same = w + w2 + left[head] + np.maximum(right, m)[tail]
+    inner = np.flatnonzero(~tail)  # anchors with another behind them: their words and the gap
+    if len(inner):
+        e, d = (p + m)[inner], (s + m)[inner]
+        ga, gb = p[inner + 1] - e, s[inner + 1] - d
+        fa, fb = fa[inner], fb[inner]
+        y, z, c = extend(x, fa + e, ga, fb + d, gb, 1)
+        _, _, c2 = extend(x, fa + e + ga - 1, ga - y, fb + d + gb - 1, gb - z, -1)
+        np.add.at(same, of[inner], m[inner] + c + c2)
+    return np.stack([pa_ - u, q + u2, sa - v, t + v2, same], 1), runs_
+
+
+PASSAGE = "doc_id long, src_doc_id long, start long, end long, src_start long, src_end long, n_words long, n_same long, score double"
+
+
+def cover(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """The fewest spans (start, end, ...) that have all words of all of them."""
+    out, end, best = [], -1, None
+    for span in sorted(set(spans), key=lambda r: (r[0], -r[1], r)):
+        if best is not None and span[0] > end:
+            out.append(best)
+            end, best = best[1], None
+        if span[1] > end and (span[0] > end or best is None or span[1] > best[1]):
+            if span[0] > end:
+                end = span[0]
+            best = span if best is None or span[1] > best[1] else best
+    return out + ([best] if best is not None else [])
+
+
+def _inside(spans: np.ndarray, found: list) -> np.ndarray:
+    """Whether each span (start, end) lies in one of the spans found, which may overlap."""
+    if not len(found) or not len(spans):
+        return np.zeros(len(spans), bool)
+    f = np.array(sorted(found))
+    i = np.searchsorted(f[:, 0], spans[:, 0], "right") - 1
+    return (i >= 0) & (np.maximum.accumulate(f[:, 1])[np.maximum(i, 0)] >= spans[:, 1])
 
 
 def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", min_words: int = 50, min_share: float = 0.75) -> DataFrame:
@@ -254,80 +365,95 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
 
     A passage of at least ``min_words`` words (positions count ``[^\\x20\\x09-\\x0D]+`` words, A-Z folded,
     ``end`` excluded) of which at least ``min_share`` match in order a passage of the text ``src_doc_id``,
-    a smaller key: the first that holds its seeds or a window of ``min_words`` of it, of all texts or of
-    those a task reads together.  Every exact repeat of ``min_words`` words is covered.  Repeats inside one text and rows of null key or text
+    a smaller key: the first of all texts that holds a seed of it or a window of ``min_words`` of it, so
+    the result depends on the table alone.  Every exact repeat of ``min_words`` words is covered; a fuzzy one is
+    found if the first text of one of its seeds is its partner.  Its seeds are chained over gaps of ``GAP`` words at
+    most, and an alignment ends where it loses ``DROP`` points or leaves a band of ``BAND`` words: parts beyond
+    that are passages of their own, and of those that a text shares with one other the
+    fewest are given that have all words of all.  Repeats inside one text and rows of null key or text
     are left out; of rows that share a key the one with the greatest text counts.  Short and empty texts
     and an empty table give no rows.
     """
     d = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seeds = d.mapInArrow(_seeds, ROWS)
-    in_order = lambda rows: rows.repartition(parts, "key").sortWithinPartitions("key", "id", "pos").mapInArrow(_matches, "id long, src long, pos int, src_pos int")
-    met = in_order(seeds).groupBy("id").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("m"))
+    met = first_matches(d.mapInArrow(_seeds, ROWS), scratch, "seeds")
+    met = met.groupBy("id").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("m"))
+    kind = "id long, src long, chains binary"
 
     def chain_up(batches):
         for batch in batches:
             ids, srcs, out = [], [], []
+
+            def add(i, src, rows):
+                ids.append(i)
+                srcs.append(src)
+                out.append(rows.astype(np.int32).tobytes())
+
             for i, m in zip(batch.column("id").to_pylist(), batch.column("m"), strict=True):
-                pos, src_pos = (m.values.field(f).fill_null(0).to_numpy().astype(np.int64) for f in ("pos", "src_pos"))
-                src = m.values.field("src")
-                matched = pc.is_valid(src).to_numpy(zero_copy_only=False)
-                src = src.fill_null(0).to_numpy()
-                # In a window that other texts have, all seeds are shared: so many, so close together.
+                pos, src, src_pos = (m.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "src", "src_pos"))
+                # In a window that other texts have, all seeds are shared: so many, so close together.  Where they stand once in
+                # this text and in none before it, the others find them here.
                 p = np.unique(pos)
+                own, times = np.unique(src_pos[src == i], return_counts=True)
+                known = np.isin(p, np.setdiff1d(own[times == 1], pos[src != i]))
                 cut = np.flatnonzero(np.diff(p) > W)
-                lo, hi = p[np.concatenate([[0], cut + 1])], p[np.concatenate([cut, [len(p) - 1]])]
-                on = hi - lo >= min_words - K - 2 * (W - 1)
-                if on.any():
-                    ids.append(i)
-                    srcs.append(None)
-                    out.append(np.stack([np.maximum(lo[on] - W + 1, 0), hi[on] + K + W - 1], 1).astype(np.int32).tobytes())
-                if not matched.any():
-                    continue
-                pos, src, src_pos = pos[matched], src[matched], src_pos[matched]
-                near = np.unique(pos)
-                words = np.concatenate([[0], np.cumsum(np.minimum(np.diff(near), K))])
-
-                def fits(c):
-                    # A chain and its neighbours, whatever their source, must take a good part of a passage before texts are fetched.
-                    a, b = c[0][0], c[-1][0] + c[-1][2]
-                    x, y = np.searchsorted(near, [a - min_words, b + min_words - K + 1])
-                    return max(b - a, words[y - 1] - words[x] + K) >= min_words // 3
-
+                lo, hi = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(p) - 1]])
+                areas = []
+                for x, y in zip(lo, hi, strict=True):
+                    if p[y] - p[x] >= min_words - K - 2 * (W - 1):
+                        b = p[x : y + 1][~known[x : y + 1]]  # seeds that a window must hold
+                        gaps = np.flatnonzero(np.diff(b) > min_words)
+                        for u, v in zip(np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(b) - 1]]), strict=True) if len(b) else ():
+                            areas.append((max(p[x] - W + 1, b[u] - min_words + K, 0), min(p[y] + K + W - 1, b[v] + min_words)))
+                if areas:
+                    add(i, None, np.array(areas))
+                pos, src, src_pos = (x[src != i] for x in (pos, src, src_pos))
                 order = np.lexsort((pos, src))
-                for at in np.split(order, np.flatnonzero(np.diff(src[order])) + 1):
-                    kept = [c for c in chains(runs(pos[at], src_pos[at])) if fits(c)]
-                    if kept:
-                        ids.append(i)
-                        srcs.append(int(src[at[0]]))
-                        out.append(np.array([(n, *a) for n, c in enumerate(kept) for a in c], np.int32).tobytes())
+                for at in np.split(order, np.flatnonzero(np.diff(src[order])) + 1) if len(order) else ():
+                    add(i, int(src[at[0]]), np.array([(n, *a) for n, c in enumerate(chains(runs(pos[at], src_pos[at]))) for a in c]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(srcs, pa.int64()), pa.array(out, pa.binary())], ["id", "src", "chains"])
+        _text.release()
 
-    kind = "id long, src long, chains binary"
     chained = scratch.keep(met.mapInArrow(chain_up, kind), "chains")
+    scratch.drop("seeds")
     areas, chained = chained.where("src is null"), chained.where("src is not null")
-    wanted = areas.select("id", F.col("chains").alias("areas"))
-    for c in ("id", "src"):
-        wanted = wanted.unionByName(chained.select(F.col(c).alias("id"), F.lit(None).cast("binary").alias("areas")))
 
     def hashed(batches):
         for batch in batches:
             raw = [(h >> np.uint64(32)).astype(np.uint32).tobytes() for _, h in _text.documents(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), batch.column("areas")], ["id", "h", "areas"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["id", "h"])
+
+    wanted = scratch.spark.read.parquet(scratch.path("chains")).select("id").unionByName(chained.select(F.col("src").alias("id"))).distinct()
+    texts = d.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    texts = scratch.keep(texts.mapInArrow(hashed, "id long, h binary"), "texts")
+    found = scratch.keep(_aligned(chained, texts, min_words, min_share), "aligned")
+
+    # Windows that no equal run explains.
+    runs_ = found.where("equal_run").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    left = areas.select("id", F.col("chains").alias("areas")).join(runs_, "id", "left")
+
+    def unexplained(batches):
+        for batch in batches:
+            ids, out = [], []
+            for i, a, r in zip(*[batch.column(x).to_pylist() for x in ("id", "areas", "runs")], strict=True):
+                at = np.unique(np.concatenate([np.arange(x, max(x, y - min_words + 1)) for x, y in np.frombuffer(a, np.int32).reshape(-1, 2).tolist()]))
+                at = at[~_inside(np.stack([at, at + min_words], 1), [(x["start"], x["end"]) for x in r or ()])]
+                if len(at):
+                    ids.append(i)
+                    out.append(at.astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "at"])
 
-    texts = d.join(wanted.groupBy("id").agg(F.max("areas").alias("areas")), "id").groupBy("id").agg(F.max("text").alias("text"), F.max("areas").alias("areas"))
-    texts = scratch.keep(texts.mapInArrow(hashed, "id long, h binary, areas binary"), "texts")
+    left = left.mapInArrow(unexplained, "id long, at binary").join(texts, "id")
 
     def windows(batches):
-        def found():
+        def occurrences():
             for batch in batches:
-                for i, h, spans in zip(*[batch.column(x).to_pylist() for x in ("id", "h", "areas")], strict=True):
-                    h = np.frombuffer(h, np.uint32).astype(np.uint64)
-                    for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
-                        s = window_hashes(h[a:b], min_words)
-                        yield s, i, a + np.arange(len(s))
+                for i, h, at in zip(*[batch.column(x).to_pylist() for x in ("id", "h", "at")], strict=True):
+                    at = np.frombuffer(at, np.int32)
+                    s = window_hashes(np.frombuffer(h, np.uint32).astype(np.uint64), min_words)
+                    at = at[at < len(s)]
+                    yield s[at], i, at
 
-        return _in_runs(found())
+        return _in_runs(occurrences())
 
     def join_windows(batches):
         for batch in batches:
@@ -337,35 +463,54 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                 out.append(np.array([(n, *a) for n, a in enumerate(runs(pos, src, min_words, 1))], np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("src"), pa.array(out, pa.binary())], ["id", "src", "chains"])
 
-    whole = in_order(texts.where("areas is not null").mapInArrow(windows, ROWS)).where("src is not null")
+    whole = first_matches(left.mapInArrow(windows, ROWS), scratch, "windows").where("src <> id")
     whole = whole.groupBy("id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).mapInArrow(join_windows, kind)
-    pairs = chained.unionByName(whole).groupBy("id", "src").agg(F.collect_list("chains").alias("chains"))
+    more = _aligned(scratch.keep(whole, "whole"), texts, min_words, min_share)
+    return found.unionByName(more).drop("equal_run").where("n_words > 0").distinct()
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: float) -> DataFrame:
+    """Passages of pairs (id, src, chains), and with ``equal_run`` their equal runs of ``min_words`` (these are passages as well).
 
-    def align_all(batches):
-        names = ["doc_id", "src_doc_id", "start", "end", "src_start", "src_end", "n_words", "n_same", "score"]
+    The pairs of a source of many are dealt to several tasks, each with a copy of its text.
+    """
+    degree = pairs.groupBy("src").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
+    dealt = pairs.join(degree, "src").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+    source = texts.withColumnRenamed("id", "src").join(degree, "src").select("src", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("h").alias("hb"))
+    both = dealt.join(texts.withColumnRenamed("h", "ha"), "id").join(source, ["src", "salt"])
+
+    def run(batches):
+        names = [c.split()[0] for c in f"{PASSAGE}, equal_run boolean".split(", ")]
         for batch in batches:
-            out = []
-            for i, s, c, ha, hb in zip(*[batch.column(x).to_pylist() for x in ("id", "src", "chains", "ha", "hb")], strict=True):
-                a, b = np.frombuffer(ha, np.uint32), np.frombuffer(hb, np.uint32)
-                todo = []
-                for raw in c:
-                    rows = np.frombuffer(raw, np.int32).reshape(-1, 4)
-                    todo += [[tuple(r) for r in x[:, 1:].tolist()] for x in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1)]
-                found = []
-                for chain in sorted(todo, key=lambda c: (c[0][0] - c[-1][0] - c[-1][2], c)):
-                    (p, t, _), (q, u, n) = chain[0], chain[-1]
-                    if any(x[0] <= p and q + n <= x[1] and x[2] <= t and u + n <= x[3] for x in found):
-                        continue  # a part of a passage of these two texts
-                    start, end, src_start, src_end, same = align(chain, a, b)
-                    if end - start >= min_words and same >= min_share * (end - start):
-                        found.append((start, end, src_start, src_end))
-                        out.append((i, s, start, end, src_start, src_end, end - start, same, same / max(end - start, src_end - src_start)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 9
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:8]], pa.array(cols[8], pa.float64())], names)
-
-    both = pairs.join(texts.select("id", F.col("h").alias("ha")), "id").join(texts.select(F.col("id").alias("src"), F.col("h").alias("hb")), "src")
-    kinds = "doc_id long, src_doc_id long, start long, end long, src_start long, src_end long, n_words long, n_same long, score double"
-    return both.select("id", "src", "chains", "ha", "hb").mapInArrow(align_all, kinds).distinct()
+            rows = zip(*[batch.column(c).to_pylist() for c in ("id", "src", "chains", "ha", "hb")], strict=True)
+            anchors, of, keys, flat, size = [], [], [], [], 0
+            for i, s, raw, ha, hb in rows:
+                c = np.frombuffer(raw, np.int32).reshape(-1, 4)
+                texts_ = np.frombuffer(ha, np.uint32), np.frombuffer(hb, np.uint32)
+                for x in np.split(c[:, 1:], np.flatnonzero(np.diff(c[:, 0])) + 1):
+                    of.append(np.full(len(x), len(keys)))
+                    anchors.append(x)
+                    keys.append((i, s, size, size + len(texts_[0]), len(texts_[0]), len(texts_[1])))
+                flat += texts_
+                size += len(texts_[0]) + len(texts_[1])
+            if not keys:
+                continue
+            k, of = np.array(keys, np.int64), np.concatenate(of)
+            spans, runs_ = align(np.concatenate(flat), np.concatenate(anchors), of, *k.T[2:])
+            good = (spans[:, 1] - spans[:, 0] >= min_words) & (spans[:, 4] >= min_share * (spans[:, 1] - spans[:, 0]))
+            long_ = runs_[:, 4] >= min_words
+            of_pair: dict[tuple, list] = {}
+            for which, rows in ((np.flatnonzero(good), spans[good]), (of[long_], runs_[long_])):
+                for c, r in zip(which.tolist(), rows.tolist(), strict=True):
+                    of_pair.setdefault(tuple(keys[c][:2]), []).append(tuple(r))
+            out = [(*pair, a, b, x, y, b - a, m, m / max(b - a, y - x), False) for pair, rows in of_pair.items() for a, b, x, y, m in cover(rows)]
+            explained = {(*keys[c][:2], *r) for c, r in zip(of[long_].tolist(), runs_[long_].tolist(), strict=True)}
+            out += [(*r[:6], 0, r[6], 1.0, True) for r in sorted(explained)]
+            cols = list(zip(*out, strict=True)) if out else [()] * 10
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:8]], pa.array(cols[8], pa.float64()), pa.array(cols[9], pa.bool_())], names)
+        _text.release()
+
+    return both.select("id", "src", "chains", "ha", "hb").mapInArrow(run, f"{PASSAGE}, equal_run boolean")
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

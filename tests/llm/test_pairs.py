@@ -222,12 +222,84 @@ def test_matches_do_not_depend_on_batches():
     for k in set(key.tolist()):
         at = [i for i in order if key[i] == k]
         if len({ids[i] for i in at}) > 1:
-            want |= {(int(ids[i]), None if ids[i] == ids[at[0]] else int(ids[at[0]]), int(pos[i]), None if ids[i] == ids[at[0]] else int(pos[at[0]])) for i in at}
+            want |= {(k, int(ids[i]), int(pos[i]), int(ids[at[0]]), int(pos[at[0]]), False) for i in at}
     for n in (1, 3, 200):
         got = [tuple(r.values()) for b in substrings._matches(rows.slice(i, n) for i in range(0, 200, n)) for r in b.to_pylist()]
         assert len(got) == len(want) and set(got) == want
 
 
+def test_passages_do_not_depend_on_partitions(spark, docs, scratch):
+    rng = random.Random(5)
+    shared = [text(90, rng) for _ in range(2)]
+    rows = []
+    for i in range(24):
+        w = shared[i % 2].split(" ")
+        for _ in range(i // 4):
+            w[rng.randrange(90)] = "edit"
+        rows.append(f"{text(20, rng)} {' '.join(w)} {text(20, rng)}")
+    found = []
+    for n in (1, 6):
+        got = substrings.find_passages(docs(rows).repartition(n, "doc_id"), scratch.__class__(spark, f"parts{n}"))
+        found.append(sorted(map(tuple, got.collect())))
+    assert found[0] == found[1]
+    assert {r[1] for r in found[0]} <= {0, 1, 2, 3} and {r[0] for r in found[0]} == set(range(2, 24))
+
+
+def _best_start(a, b):
+    """Score and matches of the best common start, by the whole table of global alignments."""
+    row = [(-j, 0) for j in range(len(b) + 1)]
+    best = (0, 0)
+    for i, x in enumerate(a, 1):
+        new = [(-i, 0)]
+        for j, y in enumerate(b, 1):
+            s, m = row[j - 1]
+            new.append(max((s + (1 if x == y else -1), m + (x == y)), (row[j][0] - 1, row[j][1]), (new[-1][0] - 1, new[-1][1])))
+        row = new
+        best = max(best, *row)
+    return best
+
+
+def test_extension_matches_the_whole_table(monkeypatch):
+    monkeypatch.setattr(substrings, "DROP", 1000)
+    monkeypatch.setattr(substrings, "BAND", 40)
+    rng = np.random.default_rng(4)
+    texts, places = [], []
+    for _ in range(40):
+        a = rng.integers(0, 4, rng.integers(0, 25))
+        b = np.delete(a, rng.integers(0, len(a), 2)) if len(a) > 4 and rng.random() < 0.6 else rng.integers(0, 4, rng.integers(0, 25))
+        places.append((sum(map(len, texts)), len(a), sum(map(len, texts)) + len(a), len(b)))
+        texts += [a, b]
+    x, (pa_, na, pb, nb) = np.concatenate(texts).astype(np.uint32), np.array(places).T
+    took, src_took, same = substrings.extend(x, pa_, na, pb, nb, 1)
+    back = substrings.extend(x, pa_ + na - 1, na, pb + nb - 1, nb, -1)
+    for k in range(40):
+        a, b = texts[2 * k].tolist(), texts[2 * k + 1].tolist()
+        assert same[k] == (_best_start(a, b)[1] if a and b else 0)
+        assert back[2][k] == (_best_start(a[::-1], b[::-1])[1] if a and b else 0)
+        assert took[k] <= len(a) and src_took[k] <= len(b)
+
+
+def test_fewest_spans_cover_all_words():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 30) for _ in range(rng.randint(1, 12)))]
+        got = substrings.cover(spans)
+        held = lambda z: {i for a, b in z for i in range(a, b)}
+        assert held(got) == held(spans) and set(got) <= set(spans)
+
+
+def test_tree_finds_the_largest_of_a_range():
+    rng = random.Random(9)
+    tree, value = substrings.MaxTree(13), [(0.0, -1)] * 14
+    for k in range(300):
+        i = rng.randint(1, 13)
+        value[i] = (rng.choice([0.0, rng.random()]), k)
+        tree.put(i, value[i])
+        low = rng.randint(0, 13)
+        high = rng.randint(low, 13)
+        assert tree.largest(low, high) == max([(0.0, -1), *value[low + 1 : high + 1]])
+
+
 def test_passages_of_edge_tables(docs, scratch):
     assert substrings.find_passages(docs([]), scratch).count() == 0
     t = text(70)
