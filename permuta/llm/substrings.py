@@ -30,6 +30,8 @@ from permuta.llm._store import Scratch
 K, W = 6, 8
 #: Most words between neighbouring matches of a chain, cost of a word of gap and of a word of shift.
 GAP, GAP_COST, SHIFT_COST = 60, 0.05, 0.4
+#: Words around chains that their first alignment sees; where it comes to their end, another sees the whole texts.
+AROUND = 64
 #: Seeds that a task holds before it passes them on.
 RUN = 2_000_000
 #: Aligning stops after a loss of so many points (match 1, mismatch or gap -1), in a band of so many words.
@@ -163,6 +165,8 @@ def first_matches(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def runs(pos: np.ndarray, src: np.ndarray, k: int = K, reach: int = K + W) -> list[tuple[int, int, int]]:
     """Matches on one diagonal that touch or nearly touch, as (start, source start, words)."""
+    if len(pos) == 1:
+        return [(int(pos[0]), int(src[0]), k)]
     order = np.lexsort((pos, pos - src))
     p, d = pos[order], (pos - src)[order]
     cut = np.flatnonzero((d[1:] != d[:-1]) | (p[1:] - p[:-1] > reach))
@@ -250,6 +254,24 @@ def chains(anchors: list[tuple[int, int, int]], gap: int = GAP) -> list[list[tup
     return out
 
 
+def near(found: list[list[tuple[int, int, int]]]) -> list[list[list[tuple[int, int, int]]]]:
+    """Chains of two texts in groups: a group's stretch of either text is hardly longer than its chains with what is around them."""
+    if len(found) == 1:
+        return [found]
+    out, span, size = [], None, 0
+    for c in sorted(found, key=lambda c: c[0]):
+        own = (c[0][0], c[-1][0] + c[-1][2], c[0][1], c[-1][1] + c[-1][2])
+        joined = span and (min(span[0], own[0]), max(span[1], own[1]), min(span[2], own[2]), max(span[3], own[3]))
+        length = own[1] - own[0] + 2 * AROUND
+        if joined and max(joined[1] - joined[0], joined[3] - joined[2]) <= size + length:
+            out[-1].append(c)
+            span, size = joined, size + length
+        else:
+            out.append([c])
+            span, size = own, length
+    return out
+
+
 def equal_runs(x: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, step: int) -> np.ndarray:
     """Words that the texts at ``a`` and ``b`` of ``x`` share from there on, in direction ``step``, in lockstep."""
     n, most, on, wide = np.zeros(len(a), np.int64), np.minimum(na, nb), np.arange(len(a)), 16
@@ -294,7 +316,7 @@ def extend(x: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.n
         new = np.where(valid & (new >= (best - DROP * _POINT)[:, None]), new, low)
         k = new.argmax(1)
         top = new[np.arange(len(on)), k]
-        up = top >= best + _POINT // 2
+        up = top > best
         best = np.where(up, top, best)
         which = on[up]
         took[which], src_took[which], same[which] = i, i + shift[k[up]], top[up] % _POINT
@@ -409,7 +431,8 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                 pos, src, src_pos = (x[src != i] for x in (pos, src, src_pos))
                 order = np.lexsort((pos, src))
                 for at in np.split(order, np.flatnonzero(np.diff(src[order])) + 1) if len(order) else ():
-                    add(i, int(src[at[0]]), np.array([(n, *a) for n, c in enumerate(chains(runs(pos[at], src_pos[at]))) for a in c]))
+                    for group in near(chains(runs(pos[at], src_pos[at]))):
+                        add(i, int(src[at[0]]), np.array([(n, *a) for n, c in enumerate(group) for a in c]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(srcs, pa.int64()), pa.array(out, pa.binary())], ["id", "src", "chains"])
         _text.release()
 
@@ -425,7 +448,8 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
     wanted = scratch.spark.read.parquet(scratch.path("chains")).select("id").unionByName(chained.select(F.col("src").alias("id"))).distinct()
     texts = d.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     texts = scratch.keep(texts.mapInArrow(hashed, "id long, h binary"), "texts")
-    found = scratch.keep(_aligned(chained, texts, min_words, min_share), "aligned")
+    found = scratch.keep(_aligned(chained, texts, min_words, min_share, scratch, "aligned"), "aligned")
+    scratch.drop("aligned_near")
 
     # Windows that no equal run explains.
     runs_ = found.where("equal_run").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
@@ -465,52 +489,89 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
 
     whole = first_matches(left.mapInArrow(windows, ROWS), scratch, "windows").where("src <> id")
     whole = whole.groupBy("id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).mapInArrow(join_windows, kind)
-    more = _aligned(scratch.keep(whole, "whole"), texts, min_words, min_share)
+    more = _aligned(scratch.keep(whole, "whole"), texts, min_words, min_share, scratch, "whole")
     return found.unionByName(more).drop("equal_run").where("n_words > 0").distinct()
 
 
-def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: float) -> DataFrame:
+def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: float, scratch: Scratch, name: str) -> DataFrame:
     """Passages of pairs (id, src, chains), and with ``equal_run`` their equal runs of ``min_words`` (these are passages as well).
 
+    The stretches around a row's chains are aligned first and sent alone; where an alignment comes to the end of
+    one within its text, the row's whole texts are.
+    """
+    first = scratch.keep(_alignments(pairs, texts, min_words, min_share, AROUND), f"{name}_near")
+    again = _alignments(first.where("open is not null").select(F.col("doc_id").alias("id"), F.col("src_doc_id").alias("src"), F.col("open").alias("chains")), texts, min_words, min_share, None)
+    return first.where("open is null").unionByName(again).drop("open")
+
+
+def _alignments(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: float, around: int | None) -> DataFrame:
+    """Passages of pairs, equal runs, and the chains whose alignment is ``open``: it would see more than the stretches.
+
     The pairs of a source of many are dealt to several tasks, each with a copy of its text.
     """
+
+    def stretches(batches):
+        for batch in batches:
+            rows = [np.frombuffer(c, np.int32).reshape(-1, 4) for c in batch.column("chains").to_pylist()]
+            at = [np.maximum(0, np.array([(c[:, 1].min(), c[:, 2].min()) for c in rows]).reshape(-1, 2) - around), np.array([((c[:, 1] + c[:, 3]).max(), (c[:, 2] + c[:, 3]).max()) for c in rows]).reshape(-1, 2) + around]
+            cols = [pa.array(x.astype(np.int32)) for x in (at[0][:, 0], at[1][:, 0], at[0][:, 1], at[1][:, 1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["id", "src", "chains", "a0", "a1", "b0", "b1"])
+
+    pairs = pairs.select("id", "src", "chains")
+    if around is None:
+        pairs = pairs.select("*", *[F.lit(x).alias(c) for c, x in (("a0", 0), ("a1", (1 << 29) - 1), ("b0", 0), ("b1", (1 << 29) - 1))])
+    else:
+        pairs = pairs.mapInArrow(stretches, "id long, src long, chains binary, a0 int, a1 int, b0 int, b1 int")
+    part = lambda h, a, b: F.expr(f"substring({h}, {a} * 4 + 1, ({b} - {a}) * 4)")
+    size = lambda h: (F.octet_length(h) / 4).cast("int")
     degree = pairs.groupBy("src").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
     dealt = pairs.join(degree, "src").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
-    source = texts.withColumnRenamed("id", "src").join(degree, "src").select("src", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("h").alias("hb"))
-    both = dealt.join(texts.withColumnRenamed("h", "ha"), "id").join(source, ["src", "salt"])
+    dealt = dealt.join(texts, "id").withColumn("ha", part("h", "a0", "a1")).withColumn("na", size("h")).drop("h")
+    source = texts.withColumnRenamed("id", "src").join(degree, "src").select("src", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("h"))
+    both = dealt.join(source, ["src", "salt"]).withColumn("hb", part("h", "b0", "b1")).withColumn("nb", size("h")).drop("h")
 
     def run(batches):
-        names = [c.split()[0] for c in f"{PASSAGE}, equal_run boolean".split(", ")]
+        names = [c.split()[0] for c in f"{PASSAGE}, equal_run boolean, open binary".split(", ")]
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in ("id", "src", "chains", "ha", "hb")], strict=True)
+            rows = zip(*[batch.column(c).to_pylist() for c in ("id", "src", "chains", "ha", "hb", "a0", "b0", "na", "nb")], strict=True)
             anchors, of, keys, flat, size = [], [], [], [], 0
-            for i, s, raw, ha, hb in rows:
-                c = np.frombuffer(raw, np.int32).reshape(-1, 4)
+            for row, (i, s, raw, ha, hb, a0, b0, na, nb) in enumerate(rows):
+                c = np.frombuffer(raw, np.int32).reshape(-1, 4) - np.array([0, a0, b0, 0], np.int32)
                 texts_ = np.frombuffer(ha, np.uint32), np.frombuffer(hb, np.uint32)
                 for x in np.split(c[:, 1:], np.flatnonzero(np.diff(c[:, 0])) + 1):
                     of.append(np.full(len(x), len(keys)))
                     anchors.append(x)
-                    keys.append((i, s, size, size + len(texts_[0]), len(texts_[0]), len(texts_[1])))
+                    keys.append((i, s, size, size + len(texts_[0]), len(texts_[0]), len(texts_[1]), row, a0, b0, na, nb))
                 flat += texts_
                 size += len(texts_[0]) + len(texts_[1])
             if not keys:
                 continue
             k, of = np.array(keys, np.int64), np.concatenate(of)
-            spans, runs_ = align(np.concatenate(flat), np.concatenate(anchors), of, *k.T[2:])
-            good = (spans[:, 1] - spans[:, 0] >= min_words) & (spans[:, 4] >= min_share * (spans[:, 1] - spans[:, 0]))
-            long_ = runs_[:, 4] >= min_words
+            spans, runs_ = align(np.concatenate(flat), np.concatenate(anchors), of, *k.T[2:6])
+            na, nb, row, a0, b0, whole_a, whole_b = k.T[4:]
+            # A stretch's end that isn't its text's, reached by an alignment or nearly so.
+            x = spans[:, :4] + DROP * np.array([-1, 1, -1, 1])
+            stopped = (x[:, 0] <= 0) & (a0 > 0) | (x[:, 2] <= 0) & (b0 > 0) | (x[:, 1] >= na) & (a0 + na < whole_a) | (x[:, 3] >= nb) & (b0 + nb < whole_b)
+            stopped = np.isin(row, row[stopped])
+            spans[:, :4] += np.stack([a0, a0, b0, b0], 1)
+            runs_[:, :4] += np.stack([a0, a0, b0, b0], 1)[of]
+            k = k[:, :2]
+            good = ~stopped & (spans[:, 1] - spans[:, 0] >= min_words) & (spans[:, 4] >= min_share * (spans[:, 1] - spans[:, 0]))
+            long_ = (runs_[:, 4] >= min_words) & ~stopped[of]
             of_pair: dict[tuple, list] = {}
             for which, rows in ((np.flatnonzero(good), spans[good]), (of[long_], runs_[long_])):
                 for c, r in zip(which.tolist(), rows.tolist(), strict=True):
                     of_pair.setdefault(tuple(keys[c][:2]), []).append(tuple(r))
-            out = [(*pair, a, b, x, y, b - a, m, m / max(b - a, y - x), False) for pair, rows in of_pair.items() for a, b, x, y, m in cover(rows)]
+            out = [(*pair, a, b, x, y, b - a, m, m / max(b - a, y - x), False, None) for pair, rows in of_pair.items() for a, b, x, y, m in cover(rows)]
             explained = {(*keys[c][:2], *r) for c, r in zip(of[long_].tolist(), runs_[long_].tolist(), strict=True)}
-            out += [(*r[:6], 0, r[6], 1.0, True) for r in sorted(explained)]
-            cols = list(zip(*out, strict=True)) if out else [()] * 10
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:8]], pa.array(cols[8], pa.float64()), pa.array(cols[9], pa.bool_())], names)
+            out += [(*r[:6], 0, r[6], 1.0, True, None) for r in sorted(explained)]
+            raw = batch.column("chains")
+            out += [(*keys[c][:2], 0, 0, 0, 0, 0, 0, 0.0, False, raw[int(row[c])].as_py()) for c in np.flatnonzero(stopped & np.append(True, row[1:] != row[:-1])).tolist()]
+            cols = list(zip(*out, strict=True)) if out else [()] * 11
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:8]], pa.array(cols[8], pa.float64()), pa.array(cols[9], pa.bool_()), pa.array(cols[10], pa.binary())], names)
         _text.release()
 
-    return both.select("id", "src", "chains", "ha", "hb").mapInArrow(run, f"{PASSAGE}, equal_run boolean")
+    return both.select("id", "src", "chains", "ha", "hb", "a0", "b0", "na", "nb").mapInArrow(run, f"{PASSAGE}, equal_run boolean, open binary")
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

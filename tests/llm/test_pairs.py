@@ -242,7 +242,8 @@ def test_passages_do_not_depend_on_partitions(spark, docs, scratch):
         got = substrings.find_passages(docs(rows).repartition(n, "doc_id"), scratch.__class__(spark, f"parts{n}"))
         found.append(sorted(map(tuple, got.collect())))
     assert found[0] == found[1]
-    assert {r[1] for r in found[0]} <= {0, 1, 2, 3} and {r[0] for r in found[0]} == set(range(2, 24))
+    # Other sources hold an edit at the same place.
+    assert {r[0] for r in found[0] if r[1] == r[0] % 2} == set(range(2, 24))
 
 
 def _best_start(a, b):
