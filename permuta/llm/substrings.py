@@ -31,7 +31,9 @@ K, W = 6, 8
 #: Most words between neighbouring matches of a chain, cost of a word of gap and of a word of shift.
 GAP, GAP_COST, SHIFT_COST = 60, 0.05, 0.4
 #: Words around chains that their first alignment sees; where it comes to their end, another sees the whole texts.
-AROUND = 64
+AROUND = 32
+#: Most texts whose keys go to all tasks, 8 bytes each, to pick the texts a join needs.
+PICKED = 500_000
 #: Seeds that a task holds before it passes them on.
 RUN = 2_000_000
 #: Aligning stops after a loss of so many points (match 1, mismatch or gap -1), in a band of so many words.
@@ -51,7 +53,7 @@ def minimizers(h: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
 
 
 ROWS = "key long, id long, pos int, src long, src_pos int, many boolean"
-MATCHES = "key long, id long, pos int, src long, src_pos int, via boolean"
+MATCHES = "key long, id long, pos int, src long, src_pos int, via boolean, many boolean"
 
 
 def _with_first(key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -118,13 +120,13 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, known, pending = None, False, []  # key, id and pos of the first occurrence; whether others have the key
     names = [c.split()[0] for c in MATCHES.split(", ")]
 
-    def rows(key, ids, pos, src, src_pos):
-        return pa.RecordBatch.from_arrays([*map(pa.array, (key, ids, pos, src)), pa.array(src_pos.astype(np.int32)), pa.array(np.zeros(len(ids), bool))], names)
+    def rows(key, ids, pos, src, src_pos, many):
+        return pa.RecordBatch.from_arrays([*map(pa.array, (key, ids, pos, src)), pa.array(src_pos.astype(np.int32)), pa.array(np.zeros(len(ids), bool)), pa.array(many)], names)
 
     for batch in batches:
         passed = batch.filter(pc.is_valid(batch.column("src")))
         if passed.num_rows:
-            yield pa.RecordBatch.from_arrays([*[passed.column(c) for c in names[:5]], pa.array(np.ones(passed.num_rows, bool))], names)
+            yield pa.RecordBatch.from_arrays([*[passed.column(c) for c in names[:5]], pa.array(np.ones(passed.num_rows, bool)), passed.column("many")], names)
         batch = batch.filter(pc.is_null(batch.column("src")))
         if not batch.num_rows:
             continue
@@ -136,7 +138,8 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src_pos = np.where(group >= 0, pos[own], last[2] if last else 0)
         last = (key[-1], src[-1], src_pos[-1])
         number = np.cumsum(start)  # 0: the key of the batch before
-        shared = np.bincount(number, weights=(src != ids) | batch.column("many").to_numpy(zero_copy_only=False)) > 0
+        many = batch.column("many").to_numpy(zero_copy_only=False)
+        shared = np.bincount(number, weights=(src != ids) | many) > 0
         shared[0] |= known
         if shared[0] and pending:
             yield rows(*(np.concatenate(x) for x in zip(*pending, strict=True)))
@@ -144,11 +147,11 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pending = []
         on = shared[number]
         if on.any():
-            yield rows(key[on], ids[on], pos[on], src[on], src_pos[on])
+            yield rows(key[on], ids[on], pos[on], src[on], src_pos[on], many[on])
         known = bool(shared[-1])
         if not known:
             on = number == number[-1]
-            pending.append((key[on], ids[on], pos[on], src[on], src_pos[on]))
+            pending.append((key[on], ids[on], pos[on], src[on], src_pos[on], many[on]))
     _text.release()
 
 
@@ -158,7 +161,7 @@ def first_matches(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     # A matched row only passes: it goes anywhere, not to the task of its key.
     to = F.when(F.col("src").isNull(), F.col("key")).otherwise(F.xxhash64("id"))
     met = scratch.keep(found.repartition(parts, to).sortWithinPartitions("key", "id", "pos").mapInArrow(_matches, MATCHES), name)
-    firsts = met.where("not via").groupBy("key", F.col("id").alias("f")).agg(F.min("src").alias("g"), F.min("src_pos").alias("g_pos"))
+    firsts = met.where("many and not via").groupBy("key", F.col("id").alias("f")).agg(F.min("src").alias("g"), F.min("src_pos").alias("g_pos"))
     via = met.where("via").select("key", "id", "pos", F.col("src").alias("f")).join(firsts, ["key", "f"])
     return met.where("not via").select("id", "pos", "src", "src_pos").unionByName(via.select("id", "pos", F.col("g").alias("src"), F.col("g_pos").alias("src_pos")))
 
@@ -466,7 +469,8 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                     out.append(at.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "at"])
 
-    left = left.mapInArrow(unexplained, "id long, at binary").join(texts, "id")
+    left = scratch.keep(left.mapInArrow(unexplained, "id long, at binary"), "unexplained")
+    left = left.join(_picked(texts, left.select("id")), "id")
 
     def windows(batches):
         def occurrences():
@@ -489,7 +493,9 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
 
     whole = first_matches(left.mapInArrow(windows, ROWS), scratch, "windows").where("src <> id")
     whole = whole.groupBy("id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).mapInArrow(join_windows, kind)
-    more = _aligned(scratch.keep(whole, "whole"), texts, min_words, min_share, scratch, "whole")
+    whole = scratch.keep(whole, "whole")
+    texts = _picked(texts, whole.select("id").unionByName(whole.select(F.col("src").alias("id"))))
+    more = _aligned(whole, texts, min_words, min_share, scratch, "whole")
     return found.unionByName(more).drop("equal_run").where("n_words > 0").distinct()
 
 
@@ -504,6 +510,13 @@ def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: floa
     return first.where("open is null").unionByName(again).drop("open")
 
 
+def _picked(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Of ``texts`` those that ``keys`` names, before anything is shuffled where the keys are few enough to be sent to all tasks."""
+    keys = keys.distinct()
+    few = keys.limit(PICKED + 1).count() <= PICKED
+    return texts.join(F.broadcast(keys) if few else keys, "id", "left_semi")
+
+
 def _alignments(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: float, around: int | None) -> DataFrame:
     """Passages of pairs, equal runs, and the chains whose alignment is ``open``: it would see more than the stretches.
 
@@ -524,6 +537,8 @@ def _alignments(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: f
         pairs = pairs.mapInArrow(stretches, "id long, src long, chains binary, a0 int, a1 int, b0 int, b1 int")
     part = lambda h, a, b: F.expr(f"substring({h}, {a} * 4 + 1, ({b} - {a}) * 4)")
     size = lambda h: (F.octet_length(h) / 4).cast("int")
+    if around is None:
+        texts = _picked(texts, pairs.select("id").unionByName(pairs.select(F.col("src").alias("id"))))
     degree = pairs.groupBy("src").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
     dealt = pairs.join(degree, "src").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
     dealt = dealt.join(texts, "id").withColumn("ha", part("h", "a0", "a1")).withColumn("na", size("h")).drop("h")

@@ -222,7 +222,7 @@ def test_matches_do_not_depend_on_batches():
     for k in set(key.tolist()):
         at = [i for i in order if key[i] == k]
         if len({ids[i] for i in at}) > 1:
-            want |= {(k, int(ids[i]), int(pos[i]), int(ids[at[0]]), int(pos[at[0]]), False) for i in at}
+            want |= {(k, int(ids[i]), int(pos[i]), int(ids[at[0]]), int(pos[at[0]]), False, False) for i in at}
     for n in (1, 3, 200):
         got = [tuple(r.values()) for b in substrings._matches(rows.slice(i, n) for i in range(0, 200, n)) for r in b.to_pylist()]
         assert len(got) == len(want) and set(got) == want
