@@ -105,6 +105,8 @@ class Vocabulary:
     distinct: int
     class_words: np.ndarray
     class_distinct: np.ndarray
+    #: Words counted more often than this are all held; None: no word but the end need be.
+    least: int | None = None
 
     @property
     def n_classes(self) -> int:
@@ -121,6 +123,7 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the table of all counts: what every task needs, of a fixed size."""
     h, tail, c = _most(counts, HELD)
+    least = int(c.min()) if len(c) else None
     end = counts.where(F.col("word") == int(END.view(np.int64))).first()
     if end and END not in h:  # held however rare it is
         h, tail, c = np.append(h, END), np.append(tail, -1), np.append(c, end["c"])
@@ -136,7 +139,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             class_words[t] -= n
             class_distinct[t] -= 1
     order = np.argsort(h)
-    return Vocabulary(h[order], c[order], classes[order], int(total["n"] or 0), int(total["v"]), class_words, class_distinct)
+    return Vocabulary(h[order], c[order], classes[order], int(total["n"] or 0), int(total["v"]), class_words, class_distinct, least)
 
 
 def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -240,7 +243,10 @@ def _first_model(encoded: DataFrame, vocab: Vocabulary) -> Model:
     counts[vocab.classes[own]] += vocab.counts[own]
     counts[OWN:] += vocab.class_words
     emit = np.repeat((counts / counts.sum())[:, None], STATES, 1)
-    rows = encoded.where(F.length("ids") > 120).orderBy(F.xxhash64("row"), "row").select(F.substring("ids", 1, 4000).alias("ids")).limit(STATES).collect()
+    # Chosen by what the texts hold, so that the layout of the table doesn't matter; of a long one a stretch, by hash as well.
+    h = F.xxhash64("ids")
+    start = F.pmod(h, F.greatest(F.floor((F.length("ids") - 4000) / 2), F.lit(0)) + F.lit(1)) * 2 + F.lit(1)
+    rows = encoded.where(F.length("ids") > 120).select(h.alias("h"), F.substring("ids", start.cast("int"), F.lit(4000)).alias("ids")).distinct().orderBy("h", "ids").limit(STATES).collect()
     for z, r in enumerate(rows):
         seed = np.bincount(np.frombuffer(bytes(r["ids"]), np.uint16), minlength=vocab.n_classes).astype(float)
         emit[:, z] = 0.5 * emit[:, z] + 0.5 * (seed + emit[:, z]) / (seed.sum() + 1)
@@ -324,7 +330,7 @@ def score_texts(docs: DataFrame, held_out: Column, scratch: Scratch, text: str =
     # Words that no task holds: join with the table of counts, then sums for each row.  A word that the
     # training texts lack adds nothing to them.
     rare = encoded.select("row", F.explode("rare").alias("word"))
-    few = counts.where(F.col("c") <= int(vocab.counts.min())) if len(vocab.counts) else counts
+    few = counts if vocab.least is None else counts.where(F.col("c") <= vocab.least)
     joined = rare.join(few.select("word", F.log10(F.col("c") + F.lit(1.0)).alias("l")), "word")
     sums = joined.groupBy("row").agg(F.sum("l").alias("l"), F.count("*").alias("k"))
 
