@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # HTML element classes.
-RAW = "script style textarea title noscript iframe template svg math object xmp noframes select".split()
+RAW = "script style textarea title noscript iframe template svg object xmp noframes select".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split()
@@ -74,26 +75,60 @@ def _is_boilerplate(tag: str, found: dict[str, str], in_content: bool) -> bool:
     return bool(names) and not (in_content and names == {"header"})
 
 
-def blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """Blocks in page order: the open elements as (number, tag), the text, and its characters inside links."""
-    out, text, linked, number = [], [], 0, 0
-    stack: list[tuple[int, str, bool]] = []  # element number, tag, hidden
-    marked, holding, inside = set(), set(), []  # elements marked as boilerplate, those around article or main; of each block those around it
+@dataclass
+class Block:
+    """A run of text: its element, the element's tag path as a number, its text, and its characters inside links."""
+
+    node: int
+    path: int
+    text: str
+    linked: int
+
+
+@dataclass
+class Page:
+    """Blocks in page order, and of each block element its parent, tag, depth and whether it stands in an article or main."""
+
+    blocks: list[Block]
+    parent: list[int]
+    tag: list[str]
+    depth: list[int]
+    in_content: list[bool]
+
+
+def blocks(page: str) -> Page:
+    """The blocks of a page; elements are known by number and parent, so the work grows with the page alone."""
+    out, text, linked = [], [], 0
+    # Elements by number, 0 above all: parent, parent among block elements, tag, depth among those, in an article or main, marked.
+    parent, above, tags, depth, in_content, marked = [0], [0], [""], [0], [False], [False]
+    paths: dict[tuple[int, str], int] = {}  # tag paths, as a path and a tag below it
+    path_of = [0]
+    around: list[int] = []  # of each block the element it ended in, inline ones too
+    holding = [False]
+    stack: list[tuple[int, str, bool, bool]] = []  # element, tag, hidden, in a link
+    opened: dict[str, int] = defaultdict(int)
 
     def flush():
         nonlocal linked
         words = html.unescape("".join(text)).split()
         if words and not (stack and stack[-1][2]):
-            out.append((tuple(x[:2] for x in stack if x[1] not in INLINE), " ".join(words), linked))
-            inside.append([x[0] for x in stack if x[0] in marked])
+            here = stack[-1][0] if stack else 0
+            node = here if here == 0 or tags[here] not in INLINE else above[here]
+            out.append(Block(node, path_of[node], " ".join(words), linked))
+            around.append(here)
         text.clear()
         linked = 0
 
+    def shut(at):
+        for x in stack[at:]:
+            opened[x[1]] -= 1
+        del stack[at:]
+
     for m in _TOKEN.finditer(page):
         if m[8] is not None:
             if not (stack and stack[-1][2]):
                 text.append(m[8])
-                if any(x[1] == "a" for x in stack[-4:]):
+                if stack and stack[-1][3]:
                     linked += len(m[8])
             continue
         tag = (m[3] or m[6] or "").lower()
@@ -107,32 +142,49 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if tag in VOID:
             continue
         if m[2] or m[5]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][1] == tag), None)
-            if at is not None and not (tag in INLINE and any(x[1] not in INLINE for x in stack[at:])):
-                del stack[at:]
+            if opened[tag]:
+                at = len(stack) - 1
+                # An inline element's end doesn't reach beyond the block it stands in.
+                while stack[at][1] != tag and not (tag in INLINE and stack[at][1] not in INLINE):
+                    at -= 1
+                if stack[at][1] == tag:
+                    shut(at)
             continue
         if tag not in INLINE:
             # A block ends what can't hold it: an open paragraph or heading, or an item of its own kind.
             while stack and (stack[-1][1] in INLINE or stack[-1][1] == "p" or tag in CLOSED_BY.get(stack[-1][1], ())):
-                stack.pop()
-        number += 1
+                shut(len(stack) - 1)
         found = _attributes(m[4] or m[7] or "")
-        hidden = bool(stack and stack[-1][2]) or _is_hidden(tag, found)
-        if _is_boilerplate(tag, found, any(x[1] in CONTENT for x in stack)):
-            marked.add(number)
-        if tag in CONTENT and not hidden:
-            holding.update(x[0] for x in stack)
+        top = stack[-1] if stack else (0, "", False, False)
+        hidden = top[2] or _is_hidden(tag, found)
+        holder = top[0] if tags[top[0]] not in INLINE else above[top[0]]
+        number = len(parent)
+        parent.append(top[0])
+        above.append(holder)
+        tags.append(tag)
+        block = tag not in INLINE
+        depth.append(depth[holder] + block)
+        path_of.append(paths.setdefault((path_of[holder], tag), len(paths) + 1) if block else path_of[holder])
+        marked.append(_is_boilerplate(tag, found, in_content[top[0]]))
+        in_content.append(in_content[top[0]] or tag in CONTENT)
+        holding.append(tag in CONTENT and not hidden)
         if not (m[4] or "").endswith("/") or tag in INLINE:
-            stack.append((number, tag, hidden))
+            stack.append((number, tag, hidden, top[3] or tag == "a"))
+            opened[tag] += 1
     flush()
     # A mark on an element that holds the article, or most of the text outside links, doesn't count.
-    plain = [max(0, len(words) - n) for _, words, n in out]
-    held: dict[int, int] = defaultdict(int)
-    for n, around in zip(plain, inside, strict=True):
-        for x in around:
-            held[x] += n
-    marked = {x for x in marked if x not in holding and 2 * held[x] <= sum(plain)}
-    return [b for b, around in zip(out, inside, strict=True) if marked.isdisjoint(around)]
+    held = [0] * len(parent)
+    for b, x in zip(out, around, strict=True):
+        held[x] += max(0, len(b.text) - b.linked)
+    for x in range(len(parent) - 1, 0, -1):  # children come after their parents
+        held[parent[x]] += held[x]
+        if holding[x]:
+            holding[parent[x]] = True
+        marked[x] = marked[x] and not (holding[x] and tags[x] not in CONTENT)
+    gone = [False] * len(parent)
+    for x in range(1, len(parent)):
+        gone[x] = gone[parent[x]] or marked[x] and 2 * held[x] <= held[0]
+    return Page([b for b, x in zip(out, around, strict=True) if not gone[x]], above, tags, depth, in_content)
 
 
 def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
@@ -144,42 +196,57 @@ def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
 
 def extract(page: str | None, spread: float = 0.5) -> str:
     """Main text of one page: blocks joined by an empty line; null, empty or textless pages give ``""``."""
-    found = blocks(page or "")
+    tree = blocks(page or "")
+    found = tree.blocks
     if not found:
         return ""
     groups = defaultdict(list)  # in order of first appearance
-    for i, (path, _, _) in enumerate(found):
-        groups[tuple(tag for _, tag in path)].append(i)
-    length = np.array([sum(max(0, len(found[i][1]) - found[i][2]) for i in g) / len(g) for g in groups.values()])
-    marks = np.array([sum(len(_PUNCTUATION.findall(found[i][1])) * (found[i][2] < len(found[i][1]) / 2) for i in g) / len(g) for g in groups.values()])
+    for i, b in enumerate(found):
+        groups[b.path].append(i)
+    length = np.array([sum(max(0, len(found[i].text) - found[i].linked) for i in g) / len(g) for g in groups.values()])
+    marks = np.array([sum(len(_PUNCTUATION.findall(found[i].text)) * (found[i].linked < len(found[i].text) / 2) for i in g) / len(g) for g in groups.values()])
     fused = _smooth(length) * (1 + _smooth(marks))
     fused[length == 0] = 0
     chosen = fused >= min(spread * fused.std() + 1e-9, fused.max()) if len(fused) > 1 else fused >= 0
     content = [i for g, on in zip(groups.values(), chosen, strict=True) if on for i in g]
     # Where some of the chosen blocks stand in an article or main element, that element is the content.
-    marked = [i for i in content if any(tag in CONTENT for _, tag in found[i][0])]
+    marked = [i for i in content if tree.in_content[found[i].node]]
     content = marked or content
-    first = found[content[0]][0]
-    depth = len(first)
+    # The innermost element around all of them.
+    first = holder = found[content[0]].node
+    below = {first}  # elements known to stand in it
     for i in content:
-        path = found[i][0]
-        depth = next((d for d in range(min(depth, len(path))) if path[d] != first[d]), min(depth, len(path)))
+        other = found[i].node
+        while other not in below:
+            below.add(other)
+            if tree.depth[other] <= tree.depth[holder]:
+                holder = tree.parent[holder]
+                below.add(holder)
+            if tree.depth[other] > tree.depth[holder]:
+                other = tree.parent[other]
     if marked:
-        depth = min(depth, max(d + 1 for d, (_, tag) in enumerate(first) if tag in CONTENT))
-    elif depth == len(first):
-        depth -= 1
-    holder = first[: max(depth, 0)]
+        while holder and not (tree.tag[holder] in CONTENT or tree.in_content[holder]):
+            holder = tree.parent[holder]
+        inner = first
+        while inner and tree.tag[inner] not in CONTENT:
+            inner = tree.parent[inner]
+        holder = min(holder, inner) if holder else holder
+    elif holder == first:
+        holder = tree.parent[holder]
     picked = set(content)
-    if holder and holder[-1][1] not in ("html", "body"):
-        picked.update(i for i, (path, _, _) in enumerate(found) if path[: len(holder)] == holder)
+    if holder and tree.tag[holder] not in ("html", "body"):
+        inside = [False] * len(tree.parent)
+        for x in range(1, len(inside)):
+            inside[x] = x == holder or inside[tree.parent[x]]
+        picked.update(i for i, b in enumerate(found) if inside[b.node])
     else:
         # Nothing narrower than the body holds the content: it lasts from its first to its last chosen block, links apart, with
         # the headings right before.
-        picked.update(i for i in range(min(content), max(content)) if 2 * found[i][2] < len(found[i][1]))
+        picked.update(i for i in range(min(content), max(content)) if 2 * found[i].linked < len(found[i].text))
         for i in range(len(found) - 2, -1, -1):
-            if i + 1 in picked and found[i][0] and re.fullmatch("h[1-6]", found[i][0][-1][1]):
+            if i + 1 in picked and re.fullmatch("h[1-6]", tree.tag[found[i].node]):
                 picked.add(i)
-    return "\n\n".join(found[i][1] for i in sorted(picked))
+    return "\n\n".join(found[i].text for i in sorted(picked))
 
 
 def extract_pages(pages: DataFrame, html_column: str = "html") -> DataFrame:

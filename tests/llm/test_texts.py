@@ -262,3 +262,57 @@ def test_pages(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, len(extract(PAGE)), len(extract(PAGE))]
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_few_long_texts_keep_rare_counts(docs, scratch, monkeypatch):
+    """Words counted more often than the end, but too rare to be held by the tasks."""
+    monkeypatch.setattr(hmm, "HELD", 4)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 60) for _ in range(6)]
+    got = {r["doc_id"]: r for r in hmm.score_texts(docs(texts), held_out(F.col("doc_id"), 7, 2), scratch).collect()}
+    counts = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*t.split(" "), None])
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(texts):
+        tokens = [*t.split(" "), None]
+        assert got[i]["n_known"] == sum(x in counts for x in tokens) and got[i]["train_tokens"] == n
+        assert abs(got[i]["base_score"] - sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in tokens)) < 1e-6
+
+
+def test_baum_welch_raises_the_likelihood():
+    rng = np.random.default_rng(1)
+    seqs = [rng.integers(0, 6, n).astype(np.uint16) for n in (40, 25, 33, 8, 1)]
+    x, n = hmm._sequences([s.tobytes() for s in seqs])
+    model, before = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(6), 3).T), -np.inf
+    for _ in range(6):
+        now = hmm.forward(model, [s.tobytes() for s in seqs]).sum()
+        assert now > before
+        before = now
+        start, moves, emissions = hmm.expected_counts(model, x, n)
+        model = hmm.Model(start / start.sum(), moves / moves.sum(1, keepdims=True), emissions / emissions.sum(0))
+
+
+def test_rules_as_a_column_match_rules_row_by_row(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, len(quality.FEATURES)))
+    model = quality.fit_rules(x, (x[:, 0] + 0.5 * x[:, 3] > 0).astype(float))
+    names = ["stat_" + f for f in quality.FEATURES]
+    got = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *names]).select("i", model.column().alias("s"))
+    for r in got.collect():
+        z = model.bias
+        for weight, rule in model.rules:
+            if all((x[r["i"], f] > cut) if above else (x[r["i"], f] <= cut) for f, above, cut in rule):
+                z += weight
+        assert abs(r["s"] - 1 / (1 + math.exp(-z))) < 1e-9
+    assert model.rules
+
+
+def test_deep_pages_and_links_far_out():
+    from permuta.llm.html_extract import blocks, extract
+
+    assert len(extract("<div>x" * 20000)) == 3 * 20000 - 2
+    page = blocks("<body><a href=x><b><i><u><s><em>linked words</em></s></u></i></b></a> plain</body>")
+    assert [(b.text, b.linked) for b in page.blocks] == [("linked words plain", len("linked words"))]
+    assert "x + 1" in extract("<article><p>Let it be <math>x + 1</math>, he said, and so on.</p></article>")
