@@ -18,7 +18,7 @@ from permuta.sources.series import base_table
 from permuta.storage import cut
 
 #: Positions of a chunk: windows of a long series are formed by many tasks.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 #: Length from which survivors' positions are joined and no longer all windows ranked.
 LONG = 12
 
