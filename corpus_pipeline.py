@@ -1,7 +1,8 @@
 """A corpus from raw documents to token ids in five stages; each works on what the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as
-Parquet and read again.  All but the last return the columns of ``documents``.
+Parquet and read again.  All but the last return the columns of ``documents``, other columns included,
+whatever they are called; an empty table gives no rows in every stage.  Null text is empty text.
 """
 
 from __future__ import annotations
@@ -14,28 +15,31 @@ from permuta.llm._store import Scratch, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble doesn't reject."""
+    """Documents that the rule ensemble doesn't reject; each row is scored by itself, repeated rows and null keys too."""
     model = quality.learn(docs.where(~quality.held_out(F.col("doc_id"), 4, 2)), table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest id."""
+    """One document of each group of near duplicates: the one of smallest id, null last; of rows that repeat it the first written.
+
+    Null, empty and wordless texts link with nothing, so these rows all stay.
+    """
     return ngram_join.keep_first_of_group(docs, Scratch(spark, "distinct"))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window."""
+    """Documents that hold no benchmark window; null and wordless texts hold none and stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
+    """Documents as often as the mixture takes them; a null source is a source of its own, rows without words follow their source's rate."""
     return mixing.pareto_mix(docs)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids written in the file format and read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token ids written in the file format and read back: doc_id, start, n_tokens, ids_crc32, a row for each row of ``docs``, null keys first."""
     import public_tokenizers
 
     path = Scratch(spark, "corpus").root
