@@ -1,17 +1,15 @@
-"""Upper bounds on the support of a pair's children, and the rates an adaptive policy looks at."""
+"""Upper bounds on the support of a pair's children, and how often they rule a pair out."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
 #: The range bound is looked at below this factor of the threshold and up to this many occurrences.
 TIGHT, RANGE_MASS = 1.5, 50_000
-#: Fixed values of the gates: smallest series and pair count, probes, least prune rates of the gates, skew limits.
-GATE_MIN_N, GATE_MIN_PAIRS, PROBE_PAIRS, MIN_CHECKS = 20_000, 256, 24, 4
-MAJORITY, COST_RATIO, LEGACY_RATE = 0.5, 0.08, 0.12
-SKEW_MIN_LONG, SKEW_RATIO, SKEW_FRACTION, SKEW_SAMPLE, SKEW_FANOUT = 256, 8, 0.35, 48, 2
+#: From this count on, and from this ratio on, a pair's counts of occurrences are very unequal.
+SKEW_LEAST, SKEW_RATIO = 256, 8
 
 
 def pair_bounds(pairs: DataFrame) -> DataFrame:
@@ -56,52 +54,23 @@ def bound_tiers(pairs: DataFrame, occurrences: DataFrame, minsup: float, tight:
     return b.withColumn("tier", tier).drop("early", "asked", "p_in", "q_in")
 
 
-def _strided(patterns: DataFrame, sample: int) -> DataFrame:
-    """Every so many of a generation's patterns by descending support, ``sample`` about: deterministic probes."""
-    every = Window.partitionBy("series_id", "m")
-    ranked = patterns.withColumn("_r", F.row_number().over(every.orderBy(F.desc("support"), "pattern")) - 1).withColumn("_n", F.count("*").over(every))
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / sample))
-    return ranked.where(F.col("_r") % stride == 0).drop("_n")
+def prune_rate(pairs: DataFrame, minsup: float) -> DataFrame:
+    """For each series and length: pairs, those that each cheap bound rules out, and the share that any does.
 
-
-def _probed(patterns: DataFrame, sample: int, fanout: int) -> DataFrame:
-    """Probe pairs: strided patterns p with their first ``fanout`` partners by support, ``sample`` pairs at most."""
-    p = _strided(patterns, sample).select("series_id", "m", F.col("pattern").alias("p"), F.col("_r").alias("p_rank"))
-    pairs = candidate_pairs_of(patterns).join(p, ["series_id", "m", "p"])
-    order = Window.partitionBy("series_id", "m", "p").orderBy(F.desc("q_support"), "q")
-    pairs = pairs.withColumn("q_rank", F.row_number().over(order)).where(F.col("q_rank") <= fanout)
-    probe = Window.partitionBy("series_id", "m").orderBy("p_rank", "q_rank")
-    return pairs.withColumn("probe", F.row_number().over(probe)).where(F.col("probe") <= sample)
-
-
-def candidate_pairs_of(patterns: DataFrame) -> DataFrame:
-    from permuta.operators.mining import candidate_pairs
-
-    return candidate_pairs(patterns)
+    Every candidate pair counts, in one aggregation; the mined set doesn't depend on it.
+    """
+    b = pair_bounds(pairs)
+    residual, span, card = _below("residual_bound", minsup), F.col("low") > F.col("high"), _below("card_bound", minsup)
+    pruned = F.count_if(residual | span | card)
+    counts = {"by_residual": residual, "by_span": span, "by_card": card}
+    return b.groupBy("series_id", "m").agg(F.count("*").alias("pairs"), *[F.count_if(c).alias(n) for n, c in counts.items()], (pruned / F.count("*")).alias("prune_rate"))
 
 
-def gate_rates(patterns: DataFrame, minsup: float) -> DataFrame:
-    """For each series and length: pairs, checks, prune_rate and what gates A, B, C and D would decide.
+def skew_rate(pairs: DataFrame, least: int = SKEW_LEAST, ratio: int = SKEW_RATIO) -> DataFrame:
+    """For each series and length: pairs and the share of those whose counts of occurrences are very unequal.
 
-    A report on the cheap bounds (residual, span, card); the mined set doesn't depend on it.
+    Unequal: the larger count is ``least`` or more and ``ratio`` times the smaller or more.
     """
-    sizes = candidate_pairs_of(patterns).groupBy("series_id", "m").agg(F.count("*").alias("pairs"), F.max("n").alias("n"))
-    b = pair_bounds(_probed(patterns, PROBE_PAIRS, 1))
-    free = _below("residual_bound", minsup) | (F.col("low") > F.col("high")) | _below("card_bound", minsup)
-    probes = b.groupBy("series_id", "m").agg(F.count("*").alias("checks"), F.count_if(free).alias("prunes"))
-    rate = F.col("prunes") / F.col("checks")
-    big = (F.col("n") >= GATE_MIN_N) & (F.col("pairs") >= GATE_MIN_PAIRS)
-    asked = big & (F.col("checks") >= MIN_CHECKS)
-    out = sizes.join(probes, ["series_id", "m"])
-    return out.select(
-        "series_id", "m", "pairs", "checks", rate.alias("prune_rate"), (asked & (rate >= MAJORITY)).alias("gate_a"), (asked & (rate > COST_RATIO)).alias("gate_b"), big.alias("gate_c"), (asked & (rate >= LEGACY_RATE)).alias("gate_d")
-    )
-
-
-def skew_rate(patterns: DataFrame) -> DataFrame:
-    """For each series and length: sampled pairs, the share with very unequal counts, and whether it is high."""
-    long_, short = F.greatest("p_cnt", "q_cnt"), F.least("p_cnt", "q_cnt")
-    skewed = (long_ >= SKEW_MIN_LONG) & (long_ >= SKEW_RATIO * short)
-    out = _probed(patterns, SKEW_SAMPLE, SKEW_FANOUT).groupBy("series_id", "m").agg(F.count("*").alias("sampled"), F.count_if(skewed).alias("skewed"))
-    share = F.col("skewed") / F.col("sampled")
-    return out.select("series_id", "m", "sampled", share.alias("skew_rate"), (share >= SKEW_FRACTION).alias("gallop"))
+    large, small = F.greatest("p_cnt", "q_cnt"), F.least("p_cnt", "q_cnt")
+    skewed = F.count_if((large >= least) & (large >= ratio * small))
+    return pairs.groupBy("series_id", "m").agg(F.count("*").alias("pairs"), (skewed / F.count("*")).alias("skew_rate"))

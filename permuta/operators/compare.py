@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from permuta.sources.sinks import normalized_digest
@@ -36,7 +36,9 @@ def first_differences(a: DataFrame, b: DataFrame, n: int = 5) -> DataFrame:
     sides = []
     for name, x, y in (("only_a", a, b), ("only_b", b, a)):
         rest = x.select(*keys).join(y.select(*keys), keys, "left_anti")
-        sides.append(rest.groupBy("series_id").agg(F.slice(F.sort_array(F.collect_list("pattern")), 1, n).alias(name)))
+        # Spark keeps the first n of each task before the rows meet.
+        rest = rest.withColumn("_r", F.row_number().over(Window.partitionBy("series_id").orderBy("pattern"))).where(F.col("_r") <= n)
+        sides.append(rest.groupBy("series_id").agg(F.sort_array(F.collect_list("pattern")).alias(name)))
     return sides[0].join(sides[1], "series_id", "full")
 
 
@@ -71,6 +73,16 @@ def check_compared(compared: DataFrame) -> None:
         raise AssertionError(f"{row['failed']} comparisons failed")
 
 
+def common_keys(results: list[DataFrame], key: list[str]) -> DataFrame:
+    """Distinct keys that every one of the results has; null keys are equal."""
+    if not results:
+        raise ValueError("there is no result")
+    out = results[0].select(*key).distinct()
+    for more in results[1:]:
+        out = out.intersect(more.select(*key))
+    return out
+
+
 def same_work(runs: DataFrame, key: list[str], counters: list[str]) -> DataFrame:
     """Keys with the number of different counter values among their configurations, and whether it is one."""
     out = runs.groupBy(*key).agg(F.countDistinct(F.struct(*counters)).alias("variants"))

@@ -54,12 +54,15 @@ def pattern_support(occurrences: DataFrame) -> DataFrame:
 def frequent(patterns: DataFrame, minsup: float, parents: DataFrame | None = None) -> DataFrame:
     """Patterns that reach the threshold (inclusive) and, given ``parents``, whose two parents are among those."""
     kept = patterns.where(F.col("support") >= check_threshold(minsup))
-    if parents is None:
-        return kept
-    known = parents.select(F.col("series_id").alias("_s"), F.col("pattern").alias("_p"))
+    return kept if parents is None else with_parents(kept, parents, ["series_id"])
+
+
+def with_parents(patterns: DataFrame, parents: DataFrame, within: list[str]) -> DataFrame:
+    """Patterns whose prefix and suffix are both patterns of ``parents`` with equal ``within`` columns."""
+    known = parents.select(*within, F.col("pattern").alias("_q"))
     for part in (prefix, suffix):
-        kept = kept.withColumn("_q", part(F.col("pattern"))).join(known, (F.col("series_id") == F.col("_s")) & (F.col("_q") == F.col("_p")), "left_semi").drop("_q")
-    return kept
+        patterns = patterns.withColumn("_q", part(F.col("pattern"))).join(known, [*within, "_q"], "left_semi").drop("_q")
+    return patterns
 
 
 def seed_occurrences(base: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -120,6 +123,30 @@ def mine(series: DataFrame, minsup: float, k: float | None = None, semantics: st
     return out
 
 
+def mine_sweep(series: DataFrame, minsups: list[float], k: float | None = None, max_len: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """``mine`` for several thresholds at once: its columns and minsup, the closure of each threshold.
+
+    Windows of a length are ranked and summed once for all thresholds; a pattern then stands once for
+    each threshold that it reaches and needs its parents there.
+    """
+    sigmas = sorted({check_threshold(x) for x in minsups})
+    if not sigmas:
+        raise ValueError("there is no threshold")
+    base = cut(base_table(series.where(F.col("v").isNotNull()), k) if "w" not in series.columns else series)
+    found, m = [], 2
+    while max_len is None or m <= max_len:
+        each = frequent(pattern_support(window_occurrences(base, m, chunk)), sigmas[0])
+        each = each.withColumn("minsup", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in sigmas]), lambda x: x <= F.col("support"))))
+        found.append(cut(with_parents(each, found[-1], ["series_id", "minsup"]) if found else each))
+        if found[-1].isEmpty():
+            break
+        m += 1
+    out = found[0] if found else cut(pattern_support(window_occurrences(base, 2, chunk)).limit(0).withColumn("minsup", F.lit(0.0)))
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _with_ends(base: DataFrame, level: DataFrame, m: int, chunk: int) -> DataFrame:
     """Occurrences of a level's patterns with their windows' first and last value."""
     rows = tie_free_windows(base, m, chunk).withColumn("pattern", rank_encode(F.col("values")))

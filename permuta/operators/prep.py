@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,9 @@ def concatenate_clients(series: DataFrame, clients: list[str], name: str) -> Dat
     rows = series.where(F.col("series_id").isin(clients))
     number = F.array_position(F.array(*[F.lit(c) for c in clients]), F.col("series_id"))
     sizes = rows.groupBy("series_id").agg(F.count("*").alias("n")).withColumn("i", number)
-    # At most one row for each client asked for.
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.i") < F.col("a.i"), "left").groupBy("a.series_id").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # One row at most for each client asked for, so one task sums them up.
+    earlier = Window.partitionBy(F.lit(name)).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("series_id", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return rows.join(before, "series_id").select(F.lit(name).alias("series_id"), (F.col("pos") + F.col("before")).alias("pos"), "v")
 
 

@@ -33,6 +33,19 @@ def relative_to(summary: DataFrame, case: list[str], config: str, value: str, ba
     return summary.join(base, case).select(*case, config, (F.col(value) / F.col("_base")).alias("ratio"))
 
 
+def against_baseline(baseline: DataFrame, variant: DataFrame, value: str, key: tuple[str, ...] = ("Dataset", "minsup")) -> DataFrame:
+    """Key, base, variant and ratio (base over variant) of the keys that both sides have.
+
+    A key that a side holds twice is no pair: the query raises there when it runs.
+    """
+    sides = []
+    for name, rows in (("base", baseline), ("variant", variant)):
+        one = rows.groupBy(*key).agg(F.count("*").alias("_rows"), F.first(value).alias(name))
+        checked = F.when(F.col("_rows") > 1, F.raise_error(F.concat(F.lit(f"repeated key in {name}: "), F.to_json(F.struct(*key))))).otherwise(F.col(name))
+        sides.append(one.select(*key, checked.cast("double").alias(name)))
+    return sides[0].join(sides[1], list(key)).withColumn("ratio", F.col("base") / F.col("variant"))
+
+
 def pivot_metric(summary: DataFrame, case: str, config: str, value: str, configs: list[str]) -> DataFrame:
     """One row a case, one column a configuration."""
     return summary.groupBy(case).pivot(config, configs).agg(F.first(value))

@@ -96,12 +96,14 @@ def mine_threshold(spark, sf_dir):
 
 
 def minsup_sweep(spark, sf_dir):
-    b = src.base_table(events(spark, sf_dir))
-    found = op.pattern_support(op.window_occurrences(b, 2)).unionByName(op.pattern_support(op.window_occurrences(b, 3)))
-    sigma = F.explode(F.array(*[F.lit(x) for x in fn.parse_thresholds("2,4,6,8,10,12")]))
-    # Patterns of three ranks: one of two is a parent, and both are frequent at every threshold asked for.
-    kept = found.where("m = 3").withColumn("minsup", sigma).where(F.col("support") >= F.col("minsup"))
-    return kept.groupBy("series_id", "minsup").agg(F.count("*").alias("patterns"), F.round(F.sum("support"), 6).alias("mass"))
+    found = op.mine_sweep(events(spark, sf_dir), fn.parse_thresholds("2,4,6,8,10,12"), max_len=3)
+    return found.where("m = 3").groupBy("series_id", "minsup").agg(F.count("*").alias("patterns"), F.round(F.sum("support"), 6).alias("mass"))
+
+
+def sweep_closure(spark, sf_dir):
+    """Every level that a threshold reaches, for thresholds up to the whole mass of a pattern."""
+    found = op.mine_sweep(events(spark, sf_dir), [8.0, 30.0, 90.0, 200.0], max_len=5)
+    return found.groupBy("series_id", "minsup", "m").agg(F.count("*").alias("patterns"), F.round(F.sum("support"), 6).alias("mass"))
 
 
 def prefix_suffix_keys(spark, sf_dir):
@@ -149,11 +151,11 @@ def bound_tiers(spark, sf_dir):
 
 
 def skew_rate(spark, sf_dir):
-    return op.skew_rate(level(spark, sf_dir, 4)).withColumn("skew_rate", F.round("skew_rate", 6))
+    return op.skew_rate(op.candidate_pairs(level(spark, sf_dir, 4))).withColumn("skew_rate", F.round("skew_rate", 6))
 
 
 def prune_rate(spark, sf_dir):
-    return op.gate_rates(level(spark, sf_dir, 4), SIGMA).withColumn("prune_rate", F.round("prune_rate", 6))
+    return op.prune_rate(op.candidate_pairs(level(spark, sf_dir, 4)), SIGMA).withColumn("prune_rate", F.round("prune_rate", 6))
 
 
 def occurrence_density(spark, sf_dir):
@@ -187,7 +189,34 @@ def compare_sets(spark, sf_dir):
 def compare_strategies(spark, sf_dir):
     """Ranked windows against fused positions: must be the same."""
     b = base(spark, sf_dir)
-    return status_tally(op.comparison_status(op.pattern_support(op.window_occurrences(b, 3)), op.pattern_support(op.extend_occurrences(op.seed_occurrences(b)))).withColumn("status", F.when(F.col("status").contains("SHA256") | F.col("status").contains("TOLERANCE"), "SHA256_MATCH").otherwise(F.col("status"))))
+    ranked = op.pattern_support(op.window_occurrences(b, 3))
+    fused = op.pattern_support(op.extend_occurrences(op.seed_occurrences(b)))
+    # Sums differ in their last bits by the order of adding, so six decimals are compared.
+    return status_tally(op.comparison_status(*[x.withColumn("support", F.round("support", 6)) for x in (ranked, fused)]))
+
+
+def status_cases(spark, sf_dir):
+    """A level against itself with one fault for each of five series; the sixth status has no series."""
+    a = level(spark, sf_dir, 3).withColumn("support", F.round("support", 6))
+    s = F.col("series_id")
+    moved = F.when(s == "click", 1e-8).when(s == "error", 6e-7).when(s == "purchase", 0.5).otherwise(0.0)
+    b = a.withColumn("support", F.col("support") + moved).where((s != "signup") | (F.element_at("pattern", 1) != 1)).where(s != "view")
+    return op.comparison_status(a, b).withColumn("max_diff", F.round("max_diff", 4))
+
+
+def common_patterns(spark, sf_dir):
+    """Patterns of three and four ranks that the series of clicks, purchases and views share."""
+    p = level(spark, sf_dir, 3).unionByName(level(spark, sf_dir, 4)).withColumn("pattern", fn.pattern_text(F.col("pattern")))
+    return op.common_keys([p.where(F.col("series_id") == x) for x in ("click", "purchase", "view")], ["m", "pattern"])
+
+
+def variant_ratios(spark, sf_dir):
+    """Configuration c1 against c2, one row a return flag and supplier."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    key = ["l_returnflag", "l_suppkey"]
+    cases = rows.where("l_linenumber <= 2").groupBy(*key, "l_linenumber").agg(F.avg("l_extendedprice").alias("Time_s"))
+    out = op.against_baseline(cases.where("l_linenumber = 1"), cases.where("l_linenumber = 2"), "Time_s", tuple(key))
+    return out.select(*key, *[F.round(c, 6).alias(c) for c in ("base", "variant", "ratio")])
 
 
 def set_differences(spark, sf_dir):
@@ -297,8 +326,8 @@ QUERIES = {
     **{
         f.__name__: f
         for f in (
-            closure_all, closure_all_positions, closure_orders, mine_threshold, minsup_sweep, prefix_suffix_keys, pair_mass_by_level, group_labels, bound_tiers, skew_rate, prune_rate,
-            occurrence_density, work_counters, generation_trace, canonical_text, compare_sets, compare_strategies, set_differences, normalized_sha, repeat_series, unpivot_clients,
+            closure_all, closure_all_positions, closure_orders, mine_threshold, minsup_sweep, sweep_closure, prefix_suffix_keys, pair_mass_by_level, group_labels, bound_tiers, skew_rate, prune_rate,
+            occurrence_density, work_counters, generation_trace, canonical_text, compare_sets, compare_strategies, status_cases, common_patterns, variant_ratios, set_differences, normalized_sha, repeat_series, unpivot_clients,
             interleave_series, concatenate_series, number_text_lines, client_stats, bench_summary, best_config, win_counts, relative_to_baseline, pivot_methods, unstable_counters,
             same_work, run_averages, topk_patterns,
         )

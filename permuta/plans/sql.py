@@ -97,33 +97,63 @@ SELECT c.series_id, CASE WHEN early IS NOT NULL THEN early WHEN ranged + 1e-12 <
 FROM c LEFT JOIN r ON r.series_id = c.series_id AND r.p = c.p AND r.q = c.q GROUP BY ALL"""
 
 
-def _probes(sample: int, fanout: int) -> str:
-    return f"""ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY support DESC, p) - 1 AS r, count(*) OVER (PARTITION BY series_id) AS total FROM f4),
-picked AS (SELECT series_id, p, r FROM ranked WHERE r % greatest(1, total // {sample}) = 0),
-partners AS (
-  SELECT b.*, x.r, row_number() OVER (PARTITION BY b.series_id, b.p ORDER BY b.qs DESC, b.q) AS qr
-  FROM b JOIN picked x ON x.series_id = b.series_id AND x.p = b.p),
-probes AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY r, qr) AS probe FROM partners WHERE qr <= {fanout}) WHERE probe <= {sample})"""
-
-
 _FOUR = f"{_UP_TO[4]}, {_pairs(4)}, {_BOUNDS}"
 
-_SKEW = f"""{_FOUR}, {_probes(48, 2)},
-g AS (SELECT series_id, m, count(*) AS sampled, count(*) FILTER (WHERE greatest(pc, qc) >= 256 AND greatest(pc, qc) >= 8 * least(pc, qc)) AS skewed FROM probes GROUP BY ALL)
-SELECT series_id, m, sampled, round(skewed / sampled, 6) AS skew_rate, skewed / sampled >= 0.35 AS gallop FROM g"""
-
-_PRUNE = f"""{_FOUR}, {_probes(24, 1)},
-sizes AS (SELECT series_id, m, count(*) AS pairs, max(n) AS n FROM pairs GROUP BY ALL),
+_SKEW = f"""{_FOUR}
+SELECT series_id, m, count(*) AS pairs, round(count(*) FILTER (WHERE greatest(pc, qc) >= 256 AND greatest(pc, qc) >= 8 * least(pc, qc)) / count(*), 6) AS skew_rate FROM pairs GROUP BY ALL"""
+
+_PRUNE = f"""{_FOUR}, x AS (SELECT series_id, m, residual + 1e-12 < {SIGMA} AS r, low > high AS s, card + 1e-12 < {SIGMA} AS c FROM b)
+SELECT series_id, m, count(*) AS pairs, count(*) FILTER (WHERE r) AS by_residual, count(*) FILTER (WHERE s) AS by_span, count(*) FILTER (WHERE c) AS by_card,
+  round(count(*) FILTER (WHERE r OR s OR c) / count(*), 6) AS prune_rate FROM x GROUP BY ALL"""
+
+# Levels of each threshold: windows and supports once, closures apart.
+_SWEEP, _SWEEP3 = [8.0, 30.0, 90.0, 200.0], [2.0, 4.0, 6.0, 8.0, 10.0, 12.0]
+
+
+def _sweep(sigmas, top: int, shown) -> str:
+    shared = [x for m in range(2, top + 1) for x in (_windows(m), _support(m))]
+    closures = [_frequent(m, sigma, out=f"g{i}_") for i, sigma in enumerate(sigmas) for m in range(2, top + 1)]
+    parts = [f"SELECT series_id, {sigma}::DOUBLE AS minsup, m, support FROM g{i}_{m}" for i, sigma in enumerate(sigmas) for m in shown]
+    return f"WITH {_base()}, {', '.join(shared + closures)}, every AS ({' UNION ALL '.join(parts)})"
+
+
+# The same patterns of three ranks by comparing three neighbours.
+_FUSED = """fused AS (
+  SELECT series_id, [1 + (x > y)::INT + (x > v)::INT, 1 + (y > x)::INT + (y > v)::INT, 1 + (v > x)::INT + (v > y)::INT] AS p, w FROM (
+    SELECT *, lag(v, 2) OVER o AS x, lag(v) OVER o AS y FROM base WINDOW o AS (PARTITION BY series_id ORDER BY pos))
+  WHERE x <> y AND x <> v AND y <> v),
+neighbours AS (SELECT series_id, p, round(sum(w), 6) AS support FROM fused GROUP BY ALL)"""
+
+
+def _lines(decimals: int) -> str:
+    line = f"printf('\"%s\",%.{decimals}f', {_text('p')}, support)"
+    return f"sha256(string_agg({line}, chr(10) ORDER BY {line}))"
+
+
+_STRATEGIES = f"""WITH {_base()}, {_windows(3)}, {_support(3)}, {_FUSED},
+a AS (SELECT series_id, p, round(support, 6) AS support FROM s3),
+x AS (SELECT series_id, {_lines(10)} AS h10, {_lines(6)} AS h6 FROM a GROUP BY series_id),
+y AS (SELECT series_id, {_lines(10)} AS h10, {_lines(6)} AS h6 FROM neighbours GROUP BY series_id),
+d AS (
+  SELECT coalesce(a.series_id, b.series_id) AS series_id, bool_and(a.p IS NOT NULL AND b.p IS NOT NULL) AS same_set, max(abs(a.support - b.support)) AS diff
+  FROM a FULL JOIN neighbours b ON a.series_id = b.series_id AND a.p = b.p GROUP BY 1),
+t AS (
+  SELECT CASE WHEN x.h10 = y.h10 THEN 'r' WHEN x.h6 = y.h6 THEN 'n' WHEN same_set AND diff <= 1e-6 THEN 't' ELSE 'f' END AS kind
+  FROM d LEFT JOIN x USING (series_id) LEFT JOIN y USING (series_id))
+SELECT count(*) FILTER (WHERE kind = 'r') AS raw, count(*) FILTER (WHERE kind = 'n') AS normalized, count(*) FILTER (WHERE kind = 't') AS tolerance, count(*) FILTER (WHERE kind = 'f') AS failed FROM t"""
+_CASES = f"""{_UP_TO[3]}, a AS (SELECT series_id, p, round(support, 6) AS support FROM f3),
+b AS (
+  SELECT series_id, p, support + CASE series_id WHEN 'click' THEN 1e-8 WHEN 'error' THEN 6e-7 WHEN 'purchase' THEN 0.5 ELSE 0 END AS support
+  FROM a WHERE (series_id <> 'signup' OR p[1] <> 1) AND series_id <> 'view'),
+x AS (SELECT series_id, {_lines(10)} AS h10, {_lines(6)} AS h6 FROM a GROUP BY series_id),
+y AS (SELECT series_id, {_lines(10)} AS h10, {_lines(6)} AS h6 FROM b GROUP BY series_id),
 g AS (
-  SELECT series_id, m, count(*) AS checks, count(*) FILTER (WHERE residual + 1e-12 < {SIGMA} OR low > high OR card + 1e-12 < {SIGMA}) AS prunes FROM probes GROUP BY ALL)
-SELECT series_id, m, pairs, checks, round(prunes / checks, 6) AS prune_rate,
-  n >= 20000 AND pairs >= 256 AND checks >= 4 AND prunes / checks >= 0.5 AS gate_a,
-  n >= 20000 AND pairs >= 256 AND checks >= 4 AND prunes / checks > 0.08 AS gate_b,
-  n >= 20000 AND pairs >= 256 AS gate_c,
-  n >= 20000 AND pairs >= 256 AND checks >= 4 AND prunes / checks >= 0.12 AS gate_d
-FROM sizes JOIN g USING (series_id, m)"""
+  SELECT coalesce(a.series_id, b.series_id) AS series_id, count(a.p) AS n_a, count(b.p) AS n_b, count(*) FILTER (WHERE b.p IS NULL) AS only_a, count(*) FILTER (WHERE a.p IS NULL) AS only_b,
+    coalesce(max(abs(a.support - b.support)), 0) AS diff FROM a FULL JOIN b ON a.series_id = b.series_id AND a.p = b.p GROUP BY 1)
+SELECT series_id, n_a, n_b, only_a, only_b, round(diff, 4) AS max_diff,
+  CASE WHEN x.h10 = y.h10 THEN 'SHA256_MATCH' WHEN x.h6 = y.h6 THEN 'NORMALIZED_SHA256_MATCH' WHEN n_a = 0 OR n_b = 0 THEN 'MISSING_FILE'
+    WHEN only_a + only_b > 0 THEN 'PATTERN_SET_MISMATCH' WHEN diff > 1e-6 THEN 'SUPPORT_MISMATCH' ELSE 'CONTENT_MATCH_TOLERANCE' END AS status
+FROM g LEFT JOIN x USING (series_id) LEFT JOIN y USING (series_id)"""
 
 
 def _mass(m: int) -> str:
@@ -163,8 +193,8 @@ SELECT series_id, count(*) FILTER (WHERE v > b) AS ups, count(*) FILTER (WHERE v
     "closure_all": f"WITH {_base()}, {_levels(9)} {_union(range(2, 10), _SHOWN)}",
     "closure_orders": f"WITH {_base(_ORDERS)}, {_levels(8, 2.5)} {_union(range(2, 9), _SHOWN)}",
     "mine_threshold": f"WITH {_base()}, " + ", ".join(f"{_windows(m)}, {_support(m)}" for m in (2, 3, 4)) + " " + " UNION ALL ".join(f"SELECT {_SHOWN} FROM s{m} WHERE support >= {SIGMA}" for m in (2, 3, 4)),
-    "minsup_sweep": f"""WITH {_base()}, {_windows(3)}, {_support(3)}
-SELECT series_id, minsup, count(*) AS patterns, round(sum(support), 6) AS mass FROM s3, (SELECT unnest([2.0, 4.0, 6.0, 8.0, 10.0, 12.0])::DOUBLE AS minsup) WHERE support >= minsup GROUP BY ALL""",
+    "minsup_sweep": f"{_sweep(_SWEEP3, 3, [3])} SELECT series_id, minsup, count(*) AS patterns, round(sum(support), 6) AS mass FROM every GROUP BY ALL",
+    "sweep_closure": f"{_sweep(_SWEEP, 5, [2, 3, 4, 5])} SELECT series_id, minsup, m, count(*) AS patterns, round(sum(support), 6) AS mass FROM every GROUP BY ALL",
     "prefix_suffix_keys": f"{_UP_TO[4]} SELECT series_id, {_text('p')} AS pattern, {_text(_pre('p', 4))} AS pre, {_text(_suf('p', 4))} AS suf FROM f4",
     "pair_mass_by_level": f"{_UP_TO[4]} " + " UNION ALL ".join(_mass(m) for m in (2, 3, 4)),
     "group_labels": f"{_UP_TO[3]} SELECT series_id, {_text('p')} AS pattern, {_group('p', 3)} AS grp FROM f3",
@@ -185,7 +215,13 @@ FROM (SELECT series_id, m, count(*) AS n FROM f3 GROUP BY ALL) f LEFT JOIN c USI
 g AS (SELECT series_id, count(sa) AS n_a, count(sb) AS n_b, count(*) FILTER (WHERE sb IS NULL) AS only_a, count(*) FILTER (WHERE sa IS NULL) AS only_b,
   round(coalesce(max(abs(sa - sb)), 0), 6) AS max_diff FROM j GROUP BY series_id)
 SELECT *, CASE WHEN n_a = 0 OR n_b = 0 THEN 'MISSING_FILE' WHEN only_a + only_b > 0 THEN 'PATTERN_SET_MISMATCH' WHEN max_diff > 1e-6 THEN 'SUPPORT_MISMATCH' ELSE 'SHA256_MATCH' END AS status FROM g""",
-    "compare_strategies": f"WITH {_EVENTS} SELECT count(DISTINCT series_id) AS raw, 0::BIGINT AS normalized, 0::BIGINT AS tolerance, 0::BIGINT AS failed FROM series",
+    "compare_strategies": _STRATEGIES,
+    "status_cases": _CASES,
+    "common_patterns": f"{_UP_TO[4]}, t AS (SELECT series_id, m, {_text('p')} AS pattern FROM f3 UNION ALL SELECT series_id, m, {_text('p')} FROM f4) "
+    + " INTERSECT ".join(f"SELECT m, pattern FROM t WHERE series_id = '{x}'" for x in ("click", "purchase", "view")),
+    "variant_ratios": """WITH t AS (SELECT l_returnflag, l_suppkey, l_linenumber AS c, avg(l_extendedprice) AS t FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)
+SELECT a.l_returnflag, a.l_suppkey, round(a.t, 6) AS base, round(b.t, 6) AS variant, round(a.t / b.t, 6) AS ratio
+FROM t a JOIN t b ON a.l_returnflag = b.l_returnflag AND a.l_suppkey = b.l_suppkey AND a.c = 1 AND b.c = 2""",
     "set_differences": f"""{_UP_TO[4]}, t AS (SELECT series_id, {_text('p')} AS p, round(support, 6) AS support FROM f4),
 r AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY p) AS r FROM t WHERE support < 52)
 SELECT series_id, string_agg(p, ';' ORDER BY p) AS only_a, '' AS only_b FROM r WHERE r <= 5 GROUP BY series_id""",

@@ -3,6 +3,7 @@
 from permuta.sources.readers import (  # noqa: F401
     read_benchmark,
     read_canonical,
+    read_methods,
     read_runs,
     read_semicolon_csv,
     read_text_series,
@@ -13,6 +14,7 @@ from permuta.sources.sinks import (  # noqa: F401
     checksum_manifest,
     number_lines,
     write_canonical,
+    write_canonical_files,
     write_client_report,
     write_number_text,
     write_summary,

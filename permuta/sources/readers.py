@@ -50,14 +50,26 @@ def read_benchmark(spark: SparkSession, path: str, method: str) -> DataFrame:
     return rows.withColumns({"method": F.lit(method), "minsup": F.col("minsup").cast("double"), "Dataset": F.regexp_replace("Dataset", r"\.txt$", "")})
 
 
+def read_methods(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The benchmark tables of all methods under each other; a column that one lacks is null there."""
+    out = None
+    for method, path in paths.items():
+        rows = read_benchmark(spark, path, method)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("there is no method")
+    return out
+
+
 def read_runs(spark: SparkSession, folder: str, algorithm: str, runs: int) -> tuple[DataFrame, list[int]]:
     """Rows of ``<algorithm>_run_NN.csv`` with their run number, and the runs 1 to ``runs`` that are missing.
 
     No file at all raises.
     """
-    rows = spark.read.csv(folder, header=True, inferSchema=True, pathGlobFilter=f"{algorithm}_run_*.csv")
-    if not rows.columns:
+    glob = f"{algorithm}_run_*.csv"
+    if spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path").isEmpty():
         raise FileNotFoundError(f"no runs of {algorithm} in {folder}")
+    rows = spark.read.csv(folder, header=True, inferSchema=True, pathGlobFilter=glob)
     rows = rows.withColumn("run", F.regexp_extract(_file_name(), r"_run_(\d+)\.csv$", 1).cast("int")).where(F.col("run").between(1, runs))
     there = {r["run"] for r in rows.select("run").distinct().collect()}
     return rows, [r for r in range(1, runs + 1) if r not in there]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,30 @@ def write_canonical(patterns: DataFrame, path: str, minsup: float) -> str:
     return out
 
 
+def write_canonical_files(patterns: DataFrame, path: str, minsup: float) -> list[str]:
+    """``<series>_minsup_<label>.csv`` for each series: ``pattern,support``, sorted by pattern text; the paths written.
+
+    A file is written by one task, sorted by Spark's spilling sort; series are named by the driver, one
+    name each, and renamed from ``write_canonical``'s folders. A series whose name has a slash raises.
+    """
+    staged = write_canonical(patterns, f"{path}/_staged", minsup)
+    context = patterns.sparkSession.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(context._jsc.hadoopConfiguration())
+    out = []
+    for part in fs.globStatus(hadoop(f"{staged}/series_id=*/*.csv")) or []:
+        name = unquote(part.getPath().getParent().getName()[len("series_id=") :])
+        if "/" in name:
+            raise ValueError(f"no file can be named {name}")
+        target = f"{path}/{name}_minsup_{threshold_label(minsup)}.csv"
+        fs.delete(hadoop(target), False)
+        if not fs.rename(part.getPath(), hadoop(target)):
+            raise OSError(f"{target} can't be written")
+        out.append(target)
+    fs.delete(hadoop(f"{path}/_staged"), True)
+    return sorted(out)
+
+
 def write_summary(metrics: DataFrame, path: str) -> None:
     metrics.write.csv(path, header=True, mode="overwrite")
 

@@ -149,3 +149,13 @@ def test_scalars(spark):
     row = spark.createDataFrame([([3, 1, 2],)], "p array<int>").select(fn.pattern_text(F.col("p")).alias("t"))
     assert row.first()["t"] == "[3, 1, 2]" and row.select(fn.text_pattern(F.col("t")).alias("p")).first()["p"] == [3, 1, 2]
     assert [r[0] for r in spark.createDataFrame([(1.0,), (2.0,), (9.0,)], "x double").select(fn.ceil_log2(F.col("x"))).collect()] == [0, 1, 4]
+
+
+def test_sweep_is_the_closure_of_each_threshold(spark):
+    rng = random.Random(5)
+    series = table(spark, [rng.randrange(30) for _ in range(300)], [rng.random() for _ in range(120)])
+    keep = lambda d: sorted((r["series_id"], r["m"], tuple(r["pattern"]), round(r["support"], 9)) for r in d.collect())
+    swept = op.mine_sweep(series, [9.0, 3.0, 20.0])
+    for sigma in (3.0, 9.0, 20.0):
+        assert keep(swept.where(swept.minsup == sigma)) == keep(op.mine(series, sigma))
+    assert op.mine_sweep(series, [1e6]).count() == 0

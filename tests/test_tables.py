@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,4 +89,44 @@ def test_preparation(spark):
     assert concat_sizes(None, 6) == [1, 5] and concat_sizes("2,3", 2) == [2]
     stats = op.client_stats(table(spark, [0, 0, -5])).first()
     assert (stats["n_rows"], stats["non_zero"], stats["first_non_zero_row"], stats["max_value"]) == (3, 1, 3, 0.0)
-    src.write_client_report(op.client_stats(s), "/tmp/permuta-report")
+
+
+def test_client_report(spark, tmp_path):
+    src.write_client_report(op.client_stats(table(spark, [0, 2], [3, 4])), f"{tmp_path}/r")
+    rows = spark.read.csv(f"{tmp_path}/r", header=True)
+    assert rows.columns == ["Client", "Rows", "NonZero", "FirstNonZeroRow", "MaxValue", "OutputFile"]
+    assert sorted(tuple(r) for r in rows.collect()) == [("s0", "2", "1", "2", "2.0", "s0.txt"), ("s1", "2", "2", "1", "4.0", "s1.txt")]
+
+
+def test_no_runs(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        src.read_runs(spark, str(tmp_path), "hj", 3)
+
+
+def test_canonical_files(spark, tmp_path):
+    mined = op.mine(table(spark, [3, 1, 2, 5, 4], [1, 2]), 0.5)
+    written = src.write_canonical_files(mined, str(tmp_path), 0.5)
+    assert [os.path.basename(x) for x in written] == ["s0_minsup_0.5.csv", "s1_minsup_0.5.csv"] or len(written) == 2
+    for sid, path in zip(("s0", "s1"), written, strict=True):
+        lines = open(path.removeprefix("file:")).read().splitlines()
+        assert lines[0] == "pattern,support" and lines[1:] == sorted(lines[1:])
+        want = {r["pattern"] for r in src.canonical_lines(mined.where(mined.series_id == sid)).collect()}
+        assert {r["pattern"] for r in src.read_canonical(spark, path).collect()} == want
+
+
+def test_methods_together(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Dataset,minsup,Time_s\nd.txt,2,1.5\n")
+    (tmp_path / "b.csv").write_text("Dataset,minsup,Time_s,Fusions\nd.txt,2,3.0,7\n")
+    rows = src.read_methods(spark, {"a": str(tmp_path / "a.csv"), "b": str(tmp_path / "b.csv")})
+    assert sorted((r["method"], r["Dataset"], r["Time_s"], r["Fusions"]) for r in rows.collect()) == [("a", "d", 1.5, None), ("b", "d", 3.0, 7)]
+    pair = op.against_baseline(rows.where("method = 'b'"), rows.where("method = 'a'"), "Time_s").first()
+    assert (pair["base"], pair["variant"], pair["ratio"]) == (3.0, 1.5, 2.0)
+    with pytest.raises(Exception, match="repeated key"):
+        op.against_baseline(rows, rows, "Time_s").collect()
+
+
+def test_common_keys(spark):
+    one = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "p string, x int")
+    two = spark.createDataFrame([("b",), (None,), ("c",)], "p string")
+    assert {r["p"] for r in op.common_keys([one, two], ["p"]).collect()} == {"b", None}
+    assert op.common_keys([one], ["p"]).count() == 3
