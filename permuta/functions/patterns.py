@@ -17,14 +17,16 @@ def forgetting_weight(k: Column | float, n: Column, pos: Column) -> Column:
 
 def rank_encode(values: Column) -> Column:
     """Ranks 1..m of pairwise distinct values."""
-    ordered = F.array_sort(values)
-    return F.transform(values, lambda x: F.array_position(ordered, x).cast("int"))
+    # The outer lambda binds the sorted values: inside the inner one they would be sorted for every value.
+    ranks = F.transform(F.array(F.sort_array(values)), lambda ordered: F.transform(values, lambda x: F.array_position(ordered, x).cast("int")))
+    return F.get(ranks, F.lit(0))
 
 
 def is_tie_free(values: Column) -> Column:
     """Whether all values are comparable (no null, no NaN) and pairwise distinct."""
-    comparable = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x))
-    return comparable & (F.size(F.array_distinct(values)) == F.size(values))
+    # Nulls come first in a sorted array, and NaN is the greatest value.
+    comparable = F.get(F.sort_array(values), F.lit(0)).isNotNull() & ~F.isnan(F.array_max(values))
+    return (F.size(values) == 0) | comparable & (F.size(F.array_distinct(values)) == F.size(values))
 
 
 def prefix(pattern: Column) -> Column:

@@ -18,14 +18,25 @@ from permuta.sources.series import base_table
 from permuta.storage import cut
 
 #: Positions of a chunk: windows of a long series are formed by many tasks.
-CHUNK = 1 << 12
+CHUNK = 1 << 10
 #: Length from which survivors' positions are joined and no longer all windows ranked.
 LONG = 12
+#: Lengths whose windows are formed from one sorted pass.
+BLOCK = 4
 
 
 def tie_free_windows(base: DataFrame, m: int, chunk: int = CHUNK) -> DataFrame:
     """(series_id, pos, n, k, w, values): windows of m pairwise distinct values, by their last position.
 
+    A position that is missing ends windows as a tie does.
+    """
+    rows = _last_values(base, m, chunk).where((F.size("values") == m) & (F.col("_at")[0] == F.col("pos") - (m - 1)))
+    return rows.where(is_tie_free(F.col("values"))).select("series_id", "pos", "n", "k", "w", "values")
+
+
+def _last_values(base: DataFrame, m: int, chunk: int) -> DataFrame:
+    """Base rows with the values of the last ``m`` rows and their positions (``_at``), fewer at the start of a series.
+
     Series are cut into chunks of positions; the last m - 1 rows of a chunk are repeated in the next, so
     no window is lost and no task holds a whole series.
     """
@@ -33,10 +44,22 @@ def tie_free_windows(base: DataFrame, m: int, chunk: int = CHUNK) -> DataFrame:
         raise ValueError("a window must fit into a chunk")
     own = F.floor((F.col("pos") - 1) / chunk)
     copies = F.when((F.col("pos") - 1) % chunk >= chunk - (m - 1), F.array(own, own + 1)).otherwise(F.array(own))
-    rows = base.withColumn("_chunk", F.explode(copies))
+    # Ranking costs far more than the bytes of a window tell, so the number of tasks is stated and not merged by size.
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = base.where(F.col("v").isNotNull()).withColumn("_chunk", F.explode(copies)).repartition(parts, "series_id", "_chunk")
     window = Window.partitionBy("series_id", "_chunk").orderBy("pos").rowsBetween(-(m - 1), 0)
-    rows = rows.withColumn("values", F.collect_list("v").over(window)).where((F.size("values") == m) & (F.col("_chunk") == own))
-    return rows.where(is_tie_free(F.col("values"))).select("series_id", "pos", "n", "k", "w", "values")
+    return rows.withColumns({"values": F.collect_list("v").over(window), "_at": F.collect_list("pos").over(window)}).where(F.col("_chunk") == own)
+
+
+def windows_of_lengths(base: DataFrame, low: int, high: int, chunk: int = CHUNK) -> DataFrame:
+    """``window_occurrences`` of every length from ``low`` to ``high``, from one sorted pass over the series."""
+    each = []
+    for m in range(low, high + 1):
+        values = F.slice("values", -m, m)
+        whole = (F.size("values") >= m) & (F.try_element_at("_at", F.lit(-m)) == F.col("pos") - (m - 1))
+        each.append(F.when(whole & is_tie_free(values), F.struct(F.lit(m).alias("m"), rank_encode(values).alias("pattern"))))
+    rows = _last_values(base, high, chunk).withColumn("_w", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())))
+    return rows.select("series_id", "_w.m", "pos", "n", "k", "w", "_w.pattern")
 
 
 def window_occurrences(base: DataFrame, m: int, chunk: int = CHUNK) -> DataFrame:
@@ -89,7 +112,8 @@ def mine(series: DataFrame, minsup: float, k: float | None = None, semantics: st
     ``series`` is (series_id, pos, v); null and NaN values end windows as ties do.  ``semantics``: closure, or
     threshold (support alone).  ``strategy``: windows ranks every window of a length; positions joins the
     occurrences of frequent patterns, which shrink from level to level; auto starts with windows and goes
-    on with positions at ``LONG`` ranks.  Each level is one checkpointed table; the loop ends at an empty one.
+    on with positions at ``LONG`` ranks.  Windows of ``BLOCK`` lengths are ranked and summed in one pass; each
+    level is one checkpointed table, and the loop ends at an empty one.
     """
     check_threshold(minsup)
     if semantics not in ("closure", "threshold"):
@@ -98,6 +122,7 @@ def mine(series: DataFrame, minsup: float, k: float | None = None, semantics: st
         raise ValueError("strategy is auto, windows or, for the closure, positions")
     base = cut(base_table(series.where(F.col("v").isNotNull()), k) if "w" not in series.columns else series)
     found, level, occurrences = [], None, None
+    supports, known_to = None, 1
     m = 2
     while max_len is None or m <= max_len:
         if semantics == "closure" and (strategy == "positions" or strategy == "auto" and m >= LONG):
@@ -110,8 +135,11 @@ def mine(series: DataFrame, minsup: float, k: float | None = None, semantics: st
             known = level.select("series_id", "pattern")
             occurrences = cut(occurrences.join(known, ["series_id", "pattern"], "left_semi"))
         else:
-            parents = level if semantics == "closure" else None
-            level = cut(frequent(pattern_support(window_occurrences(base, m, chunk)), minsup, parents))
+            if m > known_to:
+                known_to = _block_end(m, max_len, chunk, LONG - 1 if strategy == "auto" and semantics == "closure" else None)
+                supports = cut(frequent(pattern_support(windows_of_lengths(base, m, known_to, chunk)), minsup))
+            same = supports.where(F.col("m") == m)
+            level = cut(with_parents(same, level, ["series_id"])) if semantics == "closure" and m > 2 else same
         found.append(level)
         # An occurrence of a longer pattern is one of its suffix, so nothing follows an empty level.
         if level.isEmpty():
@@ -123,6 +151,11 @@ def mine(series: DataFrame, minsup: float, k: float | None = None, semantics: st
     return out
 
 
+def _block_end(m: int, max_len: int | None, chunk: int, last: int | None) -> int:
+    """The last length of the block that starts at m: ``BLOCK`` lengths, fewer at a bound or at the size of a chunk."""
+    return max(m, min(x for x in (m + BLOCK - 1, max_len, chunk + 1, last) if x is not None))
+
+
 def mine_sweep(series: DataFrame, minsups: list[float], k: float | None = None, max_len: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """``mine`` for several thresholds at once: its columns and minsup, the closure of each threshold.
 
@@ -133,10 +166,12 @@ def mine_sweep(series: DataFrame, minsups: list[float], k: float | None = None,
     if not sigmas:
         raise ValueError("there is no threshold")
     base = cut(base_table(series.where(F.col("v").isNotNull()), k) if "w" not in series.columns else series)
-    found, m = [], 2
+    found, supports, known_to, m = [], None, 1, 2
     while max_len is None or m <= max_len:
-        each = frequent(pattern_support(window_occurrences(base, m, chunk)), sigmas[0])
-        each = each.withColumn("minsup", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in sigmas]), lambda x: x <= F.col("support"))))
+        if m > known_to:
+            known_to = _block_end(m, max_len, chunk, None)
+            supports = cut(frequent(pattern_support(windows_of_lengths(base, m, known_to, chunk)), sigmas[0]))
+        each = supports.where(F.col("m") == m).withColumn("minsup", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in sigmas]), lambda x: x <= F.col("support"))))
         found.append(cut(with_parents(each, found[-1], ["series_id", "minsup"]) if found else each))
         if found[-1].isEmpty():
             break
