@@ -45,7 +45,6 @@ def test_pipeline(spark):
     clean = [i for i, t in distinct.items() if not hits(t, items)[1]]
     copies = {r["doc_id"]: r["mix_copies"] for r in mixing.with_copies(docs.where(docs["doc_id"].isin(clean))).collect()}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     want, start = [], 0
     for i in sorted(clean):
         ids = library.encode(text[i] or "", add_special_tokens=False).ids + [0]
@@ -56,6 +55,23 @@ def test_pipeline(spark):
     assert len(good) < len(text) and len(distinct) < len(good) and len(clean) < len(distinct) and Counter(copies.values())
 
 
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_without_sql_covers_its_table(spark, name):
+    got = registry.queries()[name](spark, DATA).toPandas()
+    key, source = ("page_id", "pages") if "page_id" in got.columns else ("doc_id", "documents")
+    there = {r[key] for r in table(spark, DATA, source).select(key).collect()}
+    if name.startswith("op5"):  # a row for each passage
+        assert len(got) and set(got[key]) <= there
+        return
+    assert set(got[key]) == there and len(got) == len(there)
+    for column in set(got.columns) & {"predicted", "lang_pred", "held_out", "text", "n_chars", "n_tokens"}:
+        assert got[column].notna().all()
+    if "lang_pred" in got.columns:
+        lang = {r["doc_id"]: r["lang"] for r in table(spark, DATA, "documents").collect()}
+        rest = got[got.held_out & got.doc_id.map(lang).notna()]
+        assert (rest.lang_pred == rest.doc_id.map(lang)).mean() > 0.9
+
+
 def test_stage_columns(spark):
     docs = table(spark, DATA, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:

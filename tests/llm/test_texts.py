@@ -316,3 +316,32 @@ def test_deep_pages_and_links_far_out():
     page = blocks("<body><a href=x><b><i><u><s><em>linked words</em></s></u></i></b></a> plain</body>")
     assert [(b.text, b.linked) for b in page.blocks] == [("linked words plain", len("linked words"))]
     assert "x + 1" in extract("<article><p>Let it be <math>x + 1</math>, he said, and so on.</p></article>")
+
+
+def test_languages_match_votes_row_by_row(docs):
+    rng = np.random.default_rng(3)
+    words = {"en": "the and with house", "de": "der und mit haus", "nl": "het een met huis", "fr": "le et avec maison", "es": "el y con casa"}
+    texts = [" ".join(rng.choice(words[lang].split(), 12)) for lang in words for _ in range(6)]
+    model = language.fit(language.features([t.encode() for t in texts]), [lang for lang in words for _ in range(6)])
+
+    def vote(level, classes, margin):
+        votes, sums, sure = dict.fromkeys(classes, 0), dict.fromkeys(classes, 0.0), dict.fromkeys(classes, 1.0)
+        for k, (where, a, b) in enumerate(model.pairs):
+            if where == level:
+                p = 1 / (1 + np.exp(-np.clip(4 * margin[k], -30, 30)))
+                votes[a if margin[k] >= 0 else b] += 1
+                sums[a], sums[b] = sums[a] + margin[k], sums[b] - margin[k]
+                sure[a], sure[b] = min(sure[a], p), min(sure[b], 1 - p)
+        best = max(classes, key=lambda c: (votes[c], sums[c]))
+        return best, sure[best]
+
+    asked = [*texts, "mixed het und casa", "12 + 34", "", None, "maison house huis haus casa"]
+    got = [(r["lang_pred"], r["score"]) for r in sorted(language.identify(docs(asked), model).collect(), key=lambda r: r["doc_id"])]
+    for text, (lang, score) in zip(asked, got, strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        margin = language.features([text.encode()])[0].astype(np.float64) @ model.weights + model.bias
+        family, p = vote("", model.families, margin)
+        want, q = vote(family, model.languages[family], margin)
+        assert lang == want and abs(score - min(p, q)) < 1e-4
