@@ -3,8 +3,8 @@
 Vocabulary: every word of the training texts, counted over all of them.  The most frequent words are
 classes of their own; any other word belongs to the class of its last two bytes.  States emit classes
 and a class emits its words by their counts, so the model covers an open vocabulary with parameters
-of a fixed size.  Baum-Welch runs over all training texts: tasks compute expected counts with a scaled
-forward-backward pass, and the sums over partitions give the next parameters.  Scores are exact: the
+of a fixed size.  Baum-Welch runs over all training texts, whole: tasks compute expected counts with a
+scaled forward-backward pass, and the sums over partitions give the next parameters.  Scores are exact: the
 scaled forward recursion over the whole text plus the words' probabilities within their classes.
 Words are known by 64-bit hashes.
 """
@@ -23,8 +23,8 @@ from permuta.llm._store import Scratch, arrow_rows
 
 #: States, words with a class of their own, classes of the other words, words whose counts all tasks hold.
 STATES, OWN, SHARED, HELD = 8, 4096, 256, 1 << 16
-#: Words of a training sequence (scores are over whole texts), Baum-Welch steps.
-SEQUENCE, STEPS = 128, 5
+#: Words of a long text that run in one row of the lockstep, words of all rows in training, Baum-Welch steps.
+PIECE, WORDS, STEPS = 512, 150_000, 5
 #: The end of a text is a word of this hash.
 END = np.uint64(0xE17A3B5D9C0F4261)
 #: Distinct words a task counts before it passes them on.
@@ -196,44 +196,113 @@ class Model:
     emit: np.ndarray  # (classes, states)
 
 
-def _sequences(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Training sequences of ``SEQUENCE`` classes at most, padded: (steps, sequences), and their lengths."""
-    parts = []
-    for raw in rows:
-        x = np.frombuffer(raw, np.uint16)
-        parts += [x[i : i + SEQUENCE] for i in range(0, len(x), SEQUENCE)]
-    parts.sort(key=len, reverse=True)
-    n = np.array([len(p) for p in parts])
-    out = np.zeros((n[0], len(parts)), np.int64)
-    for j, p in enumerate(parts):
-        out[: len(p), j] = p
-    return out, n
-
-
-def expected_counts(model: Model, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of padded sequences, longest first, by scaled forward-backward."""
-    steps, states = len(x), len(model.start)
-    live = (n[None, :] > np.arange(steps)[:, None]).sum(1)
-    e = model.emit[x]
-    alpha = np.zeros_like(e)
-    scale = np.ones((steps, x.shape[1]))
-    for t in range(steps):
+def _by_step(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces laid out step by step, longest first: their order, the classes, where each step starts, pieces that reach it."""
+    n = np.array([len(p) for p in pieces])
+    order = np.argsort(-n, kind="stable")
+    n = n[order]
+    flat = np.concatenate([pieces[i] for i in order])
+    at = np.cumsum(n) - n
+    live = np.searchsorted(-n, -np.arange(n[0]), "left")
+    begin = np.cumsum(live) - live
+    step = np.repeat(np.arange(n[0]), live)
+    return order, flat[at[np.arange(len(flat)) - begin[step]] + step].astype(np.int64), begin, live
+
+
+def _transfers(model: Model, pieces: list[np.ndarray]) -> np.ndarray:
+    """For each piece the matrix that takes the state before its first word is seen to the one after its last (a scale aside)."""
+    order, x, begin, live = _by_step(pieces)
+    k = len(model.start)
+    out = np.empty((len(pieces), k, k))
+    r = np.eye(k) * model.emit[x[: live[0]]][:, None, :]
+    for t in range(1, len(live)):
         m = live[t]
-        a = (model.start if t == 0 else alpha[t - 1, :m] @ model.move) * e[t, :m]
-        scale[t, :m] = a.sum(1)
-        alpha[t, :m] = a / scale[t, :m, None]
-    beta = np.ones_like(e)
-    moves = np.zeros((states, states))
-    for t in range(steps - 2, -1, -1):
-        m = live[t + 1]
-        weighted = e[t + 1, :m] * beta[t + 1, :m] / scale[t + 1, :m, None]
-        moves += alpha[t, :m].T @ weighted
-        beta[t, :m] = weighted @ model.move.T
-    gamma = alpha * beta
-    gamma[np.arange(steps)[:, None] >= n[None, :]] = 0
-    flat = x.ravel()
-    emissions = np.column_stack([np.bincount(flat, gamma[:, :, z].ravel(), len(model.emit)) for z in range(states)])
-    return gamma[0].sum(0), moves * model.move, emissions
+        if m < len(r):
+            out[order[m : len(r)]] = r[m:]
+            r = r[:m]
+        r = (r.reshape(-1, k) @ model.move).reshape(m, k, k) * model.emit[x[begin[t] : begin[t] + m]][:, None, :]
+        r /= r.sum((1, 2))[:, None, None]
+    out[order[: len(r)]] = r
+    return out
+
+
+def _forward_backward(model: Model, pieces: list[np.ndarray], before: np.ndarray, after: np.ndarray):
+    """Expected moves (without the factor ``move``) and emissions inside pieces; of each piece the expected first
+    state, the last state by the words up to it, and the weight of the first state in the step to it.
+
+    ``before`` is the distribution of a piece's first state by the words of the pieces before, ``after``
+    weighs its last state by the words of those behind it.
+    """
+    order, x, begin, live = _by_step(pieces)
+    before, after = before[order], after[order]
+    k = len(model.start)
+    e = model.emit[x]
+    alpha, beta, scale = np.empty_like(e), np.empty_like(e), np.empty((len(e), 1))
+    for t, m in enumerate(live):
+        now = slice(begin[t], begin[t] + m)
+        a = (before if t == 0 else alpha[begin[t - 1] : begin[t - 1] + m] @ model.move) * e[now]
+        scale[now] = a.sum(1, keepdims=True)
+        alpha[now] = a / scale[now]
+    moves, last = np.zeros((k, k)), np.empty((len(pieces), k))
+    for t in range(len(live) - 1, -1, -1):
+        on, m = live[t + 1] if t + 1 < len(live) else 0, live[t]
+        if on < m:  # pieces that end here
+            ends = slice(begin[t] + on, begin[t] + m)
+            last[on:m] = alpha[ends]
+            beta[ends] = after[on:m] / (alpha[ends] * after[on:m]).sum(1, keepdims=True)
+        if on:
+            then = slice(begin[t + 1], begin[t + 1] + on)
+            weighted = e[then] * beta[then] / scale[then]
+            moves += alpha[begin[t] : begin[t] + on].T @ weighted
+            beta[begin[t] : begin[t] + on] = weighted @ model.move.T
+    first = np.arange(len(pieces))
+    enter = e[first] * beta[first] / scale[first]
+    alpha *= beta
+    emissions = np.column_stack([np.bincount(x, alpha[:, z], len(model.emit)) for z in range(k)])
+    back = np.argsort(order)
+    return moves, emissions, alpha[first][back], last[back], enter[back]
+
+
+def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of whole texts (class sequences), by scaled forward-backward.
+
+    A text longer than ``PIECE`` is worked on in pieces, as many as ``WORDS`` allows at once, which
+    bounds the memory.  The pieces' transfer matrices first give the state before each piece by all
+    words ahead of it and its weight by all words behind, so the counts are those of the uncut text,
+    moves across the cuts included.
+    """
+    texts = [t for t in texts if len(t)]
+    k = len(model.start)
+    moves, emissions = np.zeros((k, k)), np.zeros((len(model.emit), k))
+    if not texts:
+        return np.zeros(k), moves, emissions
+    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+    goes_on = np.concatenate([np.arange(0, len(t), PIECE) > 0 for t in texts])
+    cut = np.append(goes_on[1:], False)
+
+    def blocks(which: np.ndarray):
+        size = np.cumsum([len(pieces[i]) for i in which])
+        return np.split(which, np.flatnonzero(np.diff(size // WORDS)) + 1) if len(which) else []
+
+    before, after = np.repeat(model.start[None, :], len(pieces), 0), np.ones((len(pieces), k))
+    of_long = np.flatnonzero(goes_on | cut)
+    turn = {}
+    for block in blocks(of_long):
+        turn.update(zip(block.tolist(), _transfers(model, [pieces[i] for i in block]), strict=True))
+    for i in np.flatnonzero(goes_on).tolist():
+        a = before[i - 1] @ turn[i - 1]
+        before[i] = a / a.sum() @ model.move
+    for i in np.flatnonzero(cut)[::-1].tolist():
+        b = model.move @ (turn[i + 1] @ after[i + 1])
+        after[i] = b / b.sum()
+
+    first, last, enter = np.empty_like(before), np.empty_like(before), np.empty_like(before)
+    for block in blocks(np.arange(len(pieces))):
+        m, e, first[block], last[block], enter[block] = _forward_backward(model, [pieces[i] for i in block], before[block], after[block])
+        moves += m
+        emissions += e
+    moves += last[cut].T @ enter[goes_on]
+    return first[~goes_on].sum(0), moves * model.move, emissions
 
 
 def _first_model(encoded: DataFrame, vocab: Vocabulary) -> Model:
@@ -269,10 +338,10 @@ def train(encoded: DataFrame, vocab: Vocabulary, steps: int = STEPS) -> Model:
                 rows, size = [], 0
                 for r in [*batch.column("ids"), None]:
                     if r is not None:
-                        rows.append(r.as_py())
+                        rows.append(np.frombuffer(r.as_py(), np.uint16))
                         size += len(rows[-1])
-                    if rows and (r is None or size > 300_000):
-                        got = expected_counts(held.value, *_sequences(rows))
+                    if rows and (r is None or size > WORDS):
+                        got = expected_counts(held.value, rows)
                         total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
                         rows, size = [], 0
             if total is not None:

@@ -53,11 +53,47 @@ def test_forward_sums_over_all_state_paths():
                 p *= model.move[path[t - 1], path[t]] * model.emit[s[t], path[t]]
             total += p
         assert math.isclose(got, math.log10(total), abs_tol=1e-12)
-    x, n = hmm._sequences([s.tobytes() for s in seqs])
-    start, moves, emissions = hmm.expected_counts(model, x, n)
+    start, moves, emissions = hmm.expected_counts(model, seqs)
     assert math.isclose(start.sum(), 4) and math.isclose(moves.sum(), sum(map(len, seqs)) - 4) and math.isclose(emissions.sum(), sum(map(len, seqs)))
 
 
+@pytest.mark.parametrize(("piece", "words_"), [(1, 1), (2, 3), (3, 100), (100, 4)])
+def test_expected_counts_sum_over_all_state_paths(monkeypatch, piece, words_):
+    """Whole texts count, wherever pieces and blocks of them end."""
+    from itertools import product
+
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    monkeypatch.setattr(hmm, "WORDS", words_)
+    rng = np.random.default_rng(2)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    seqs = [rng.integers(0, 5, n).astype(np.uint16) for n in (4, 1, 7, 2, 6)]
+    start, moves, emissions = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for s in seqs:
+        paths = list(product(range(3), repeat=len(s)))
+        p = [model.start[x[0]] * np.prod([model.emit[w, z] for w, z in zip(s, x, strict=True)]) * np.prod([model.move[i, j] for i, j in zip(x, x[1:])]) for x in paths]
+        for x, share in zip(paths, np.array(p) / sum(p), strict=True):
+            start[x[0]] += share
+            for i, j in zip(x, x[1:]):
+                moves[i, j] += share
+            for w, z in zip(s, x, strict=True):
+                emissions[w, z] += share
+    for got, want in zip(hmm.expected_counts(model, seqs), (start, moves, emissions), strict=True):
+        assert np.allclose(got, want, rtol=1e-10, atol=1e-12)
+
+
+def test_expected_counts_of_a_very_long_text(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(50), 3).T)
+    seqs = [rng.integers(0, 50, n).astype(np.uint16) for n in (5000, 3, 700)]
+    monkeypatch.setattr(hmm, "PIECE", 10_000)
+    whole = hmm.expected_counts(model, seqs)
+    monkeypatch.setattr(hmm, "PIECE", 64)
+    monkeypatch.setattr(hmm, "WORDS", 1000)
+    for got, want in zip(hmm.expected_counts(model, seqs), whole, strict=True):
+        assert np.allclose(got, want, rtol=1e-8)
+    assert all(not x.any() for x in hmm.expected_counts(model, []))
+
+
 def test_scores_without_training_rows(docs, scratch):
     assert hmm.score_texts(docs([]), held_out(F.col("doc_id"), 7, 2), scratch).count() == 0
     only = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
@@ -284,13 +320,12 @@ def test_few_long_texts_keep_rare_counts(docs, scratch, monkeypatch):
 def test_baum_welch_raises_the_likelihood():
     rng = np.random.default_rng(1)
     seqs = [rng.integers(0, 6, n).astype(np.uint16) for n in (40, 25, 33, 8, 1)]
-    x, n = hmm._sequences([s.tobytes() for s in seqs])
     model, before = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(6), 3).T), -np.inf
     for _ in range(6):
         now = hmm.forward(model, [s.tobytes() for s in seqs]).sum()
         assert now > before
         before = now
-        start, moves, emissions = hmm.expected_counts(model, x, n)
+        start, moves, emissions = hmm.expected_counts(model, seqs)
         model = hmm.Model(start / start.sum(), moves / moves.sum(1, keepdims=True), emissions / emissions.sum(0))
 
 
