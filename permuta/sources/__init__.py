@@ -8,7 +8,7 @@ from permuta.sources.readers import (  # noqa: F401
     read_semicolon_csv,
     read_text_series,
 )
-from permuta.sources.series import base_table, positions  # noqa: F401
+from permuta.sources.series import base_table, number_rows, positions  # noqa: F401
 from permuta.sources.sinks import (  # noqa: F401
     canonical_lines,
     checksum_manifest,

@@ -6,21 +6,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from permuta.functions import forgetting_weight
+from permuta.storage import cut
+
+
+def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
+    """``df`` with the 1-based number of each row in its group, by ``order``, nulls first; a null group is a group.
+
+    Rows are range-partitioned by (group, order), so a group of any size is sorted by as many tasks as its
+    share of the rows; a row's number is its place in its partition and the rows of its group in the
+    partitions before, a table of one row a group and partition.  The order must be total, or equal rows may swap.
+    """
+    taken = {"_at", "_first", "_before", "_part", *[f"_g{i}" for i in range(len(group))]} & {c.lower() for c in df.columns}
+    if taken:
+        raise ValueError(f"reserved columns: {', '.join(sorted(taken))}")
+    by = [F.col(f"`{c}`") for c in [*group, *order]]
+    rows = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    keys = [F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group)]
+    # The upper bits of the id are the partition, the lower 33 the place in it.
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    names = [f"_g{i}" for i in range(len(group))]
+    earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).drop("_first", "_n"))
+    same = part == F.col("_part")
+    for i, c in enumerate(group):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}"))
+    numbered = rows.join(sizes, same).withColumn(name, F.col("_at") + F.col("_before") + 1)
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def positions(df: DataFrame, order_by: list[str], value: str, series_id: Column | str, bucket: Column | None = None) -> DataFrame:
     """(series_id string, pos long, v double): rows of each series in the given order.
 
     ``bucket`` is a non-decreasing function of the order, such as the day of a timestamp.  With it a
-    long series is numbered bucket by bucket in parallel: positions inside a bucket plus the running
-    count of the buckets before, a small table.  Without it each series is numbered by one task.
+    long series is numbered bucket by bucket in one plan: positions inside a bucket plus the running
+    count of the buckets before, a small table.  Without it rows are range-partitioned by series and order
+    (``number_rows``), which sorts a single huge series by all tasks and checkpoints it.
     The order must be total in a series, or equal rows may swap.
     """
     sid = F.col(series_id) if isinstance(series_id, str) else series_id
     rows = df.select(sid.cast("string").alias("series_id"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)], (F.col(value).cast("double") + F.lit(0.0)).alias("v"), (bucket if bucket is not None else F.lit(0)).alias("_b"))
     order = [f"_o{i}" for i in range(len(order_by))]
     if bucket is None:
-        return rows.select("series_id", F.row_number().over(Window.partitionBy("series_id").orderBy(*order)).cast("long").alias("pos"), "v")
+        return number_rows(rows.drop("_b"), ["series_id"], order).select("series_id", "pos", "v")
     sizes = rows.groupBy("series_id", "_b").agg(F.count("*").alias("_n"))
     before = sizes.select("series_id", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("series_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = rows.withColumn("_pos", F.row_number().over(Window.partitionBy("series_id", "_b").orderBy(*order)))
