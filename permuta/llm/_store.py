@@ -50,6 +50,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+    @classmethod
+    def at(cls, spark: SparkSession, root: str) -> "Scratch":
+        """The tables in a folder that is there."""
+        out = cls.__new__(cls)
+        out.spark, out.root = spark, root.rstrip("/")
+        return out
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -89,4 +89,58 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id)
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = d.doc_id
 """
 
-ORACLES = {"op2_pareto_mixing": OP2, "op3_spherical_kmeans": OP3, "op4_adaptive_prefix_join": OP4, "op8_wu_manber": OP8}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT rid, i, ls[i] AS line,
+    translate(trim(ls[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM d, unnest(range(1, len(ls) + 1)) AS q(i)),
+f AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10),
+k AS (
+  SELECT rid, count(*) AS n_lines, count(f.key) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL) AS kept
+  FROM l LEFT JOIN f USING (key) GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN k USING (rid)
+"""
+
+OP12 = r"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) AS r(i)),
+f AS (
+  SELECT doc_id, lang,
+    coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+      || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS a,
+    coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS n, coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1)::VARCHAR, '-') AS n1,
+    coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS z,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 7 = 0 AS bad
+  FROM documents, t),
+h AS (SELECT doc_id, lang, sha256(a || n || z) AS leaf, CASE WHEN bad THEN sha256(a || n1 || z) END AS changed FROM f),
+v AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+    count(*) OVER (PARTITION BY lang) AS size FROM h),
+nodes AS (
+  SELECT g, 0 AS l, r AS k, leaf AS h, size AS n FROM v
+  UNION ALL SELECT g, l + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, l, k // 2, n),
+subs AS (SELECT g, l AS height, h AS subroot FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS l, g AS k, subroot AS h, count(*) OVER () AS n FROM subs
+  UNION ALL SELECT l + 1, k // 2, sha256(string_agg(h, '' ORDER BY k)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY l, k // 2, n),
+low AS (SELECT DISTINCT g, l FROM nodes WHERE n > 1),
+high AS (SELECT DISTINCT l FROM tops WHERE n > 1),
+steps AS (
+  SELECT v.g, v.r, low.l AS s, (v.r >> low.l) & 1 AS side, x.h FROM v JOIN low ON low.g = v.g LEFT JOIN nodes x ON x.g = v.g AND x.l = low.l AND x.k = xor(v.r >> low.l, 1::BIGINT)
+  UNION ALL
+  SELECT v.g, v.r, subs.height + high.l, (v.g >> high.l) & 1, x.h FROM v JOIN subs ON subs.g = v.g CROSS JOIN high LEFT JOIN tops x ON x.l = high.l AND x.k = xor(v.g >> high.l, 1::BIGINT)),
+p AS (
+  SELECT g, r, coalesce(string_agg(h, '' ORDER BY s) FILTER (WHERE h IS NOT NULL), '') AS proof,
+    list(CASE WHEN h IS NULL THEN 'N' WHEN side = 1 THEN 'L' || h ELSE 'R' || h END ORDER BY s) AS path
+  FROM steps GROUP BY g, r),
+o AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_concat([coalesce(changed, leaf)], coalesce(path, [])),
+      lambda c, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || c WHEN 'R' THEN c || x[2:] ELSE c END)) AS folded_root
+  FROM v JOIN subs USING (g) LEFT JOIN p USING (g, r))
+SELECT *, folded_root = root AS verified FROM o
+"""
+
+ORACLES = {"op2_pareto_mixing": OP2, "op3_spherical_kmeans": OP3, "op4_adaptive_prefix_join": OP4, "op8_wu_manber": OP8, "op11_cuckoo_lines": OP11, "op12_nested_intervals": OP12}

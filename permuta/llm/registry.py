@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permuta.llm import decontaminate, hmm, html_extract, language, mixing, near_vectors, ngram_join, quality, substrings, token_output
+from permuta.llm import decontaminate, hmm, html_extract, language, line_dedup, manifest, mixing, near_vectors, ngram_join, quality, substrings, token_output
 from permuta.llm._store import Scratch, table
 from permuta.llm.oracles import ORACLES
 
@@ -63,9 +63,22 @@ def op10_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = line_dedup.LineIndex(spark, Scratch(spark, "lines"), least=10)
+    index.insert(docs)
+    return index.clean(docs, counted=True).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    return manifest.verify_documents(table(spark, sf_dir, "documents"), Scratch(spark, "manifest"), tampered)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_hidden_markov, op2_pareto_mixing, op3_spherical_kmeans, op4_adaptive_prefix_join, op5_collinear_chaining, op6_token_output, op7_language_id, op8_wu_manber, op9_rule_ensemble, op10_tag_path_ratios)
+    for f in (op1_hidden_markov, op2_pareto_mixing, op3_spherical_kmeans, op4_adaptive_prefix_join, op5_collinear_chaining, op6_token_output, op7_language_id, op8_wu_manber, op9_rule_ensemble, op10_tag_path_ratios,
+              op11_cuckoo_lines, op12_nested_intervals)
 }
 
 
