@@ -71,14 +71,14 @@ class Manifest:
 
     def roots(self) -> DataFrame:
         """(g, digest): the root of each group."""
-        return _union([r.where(LAST).select("g", F.get(F.element_at("levels", -1), F.lit(0)).alias("digest")) for r in self.rounds])
+        return _union([r.where(_last()).select("g", F.get(F.element_at("levels", -1), F.lit(0)).alias("digest")) for r in self.rounds])
 
     def nodes(self) -> DataFrame:
         """(g, level, lo, hi, digest) of every node; lo and hi are the ranks of the first and last leaf below it."""
         out = []
         for j, r in enumerate(self.rounds):
             # The top of a bucket is a node of the next round, if there is one for its group.
-            levels = F.when(LAST, F.col("levels")).otherwise(F.slice("levels", F.lit(1), F.col("height")))
+            levels = F.when(_last(), F.col("levels")).otherwise(F.slice("levels", F.lit(1), F.col("height")))
             each = r.select("g", "leaves", "b", F.posexplode(levels).alias("up", "digests")).select("g", "leaves", "b", "up", F.posexplode("digests").alias("i", "digest"))
             level = F.col("up") + j * SPAN_BITS
             k = F.call_function("shiftleft", F.col("b"), F.lit(SPAN_BITS) - F.col("up")) + F.col("i")
@@ -87,8 +87,9 @@ class Manifest:
         return _union(out)
 
 
-#: Whether a bucket holds its group's root.
-LAST = F.expr(f"count <= {1 << SPAN_BITS}")
+def _last() -> Column:
+    """Whether a bucket holds its group's root."""
+    return F.col("count") <= (1 << SPAN_BITS)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -109,7 +110,7 @@ def build(numbered: DataFrame, scratch: Scratch, name: str) -> Manifest:
     rounds = []
     while True:
         # ceil(log2(count)) from whole numbers: the binary digits of count - 1.
-        height = F.when(F.col("count") == 1, 0).when(LAST, F.length(F.bin(F.col("count") - 1))).otherwise(SPAN_BITS).cast("int")
+        height = F.when(F.col("count") == 1, 0).when(_last(), F.length(F.bin(F.col("count") - 1))).otherwise(SPAN_BITS).cast("int")
         extra = [] if rounds else carried
         packed = cur.groupBy("g", "leaves", "count", F.shiftright("r", SPAN_BITS).alias("b")).agg(F.sort_array(F.collect_list(F.struct("r", "digest", *extra))).alias("x"))
         covered = 1 << (SPAN_BITS * (len(rounds) + 1))
@@ -119,7 +120,7 @@ def build(numbered: DataFrame, scratch: Scratch, name: str) -> Manifest:
             _levels(F.transform("x", lambda s: s["digest"]), height).alias("levels"), *shown,
         )
         rounds.append(scratch.keep(packed, f"{name}{len(rounds)}"))
-        rest = rounds[-1].where(~LAST)
+        rest = rounds[-1].where(~_last())
         if rest.isEmpty():
             return Manifest(rounds)
         cur = rest.select("g", F.col("b").alias("r"), F.get(F.element_at("levels", -1), F.lit(0)).alias("digest"), "leaves", F.ceil(F.col("count") / (1 << SPAN_BITS)).alias("count"))
@@ -134,7 +135,7 @@ def paths(tree: Manifest, above: DataFrame | None, scratch: Scratch, name: str)
     outer = None
     for j in range(len(tree.rounds) - 1, -1, -1):
         own = tree.rounds[j]
-        last = own.where(LAST)
+        last = own.where(_last())
         if above is None:
             reached = last.withColumn("outer", F.expr(f"cast(array() as {STEP})"))
         else:
@@ -143,7 +144,7 @@ def paths(tree: Manifest, above: DataFrame | None, scratch: Scratch, name: str)
             up = outer.select(*[F.col(c).alias(f"_{c}") for c in ("g", "b", "lo", "hi", "height", "levels", "outer")])
             inside = F.col("g").eqNullSafe(F.col("_g")) & (F.shiftright("b", SPAN_BITS) == F.col("_b")) & (F.col("lo") >= F.col("_lo")) & (F.col("hi") <= F.col("_hi"))
             steps = F.concat(_path(F.col("_levels"), F.col("_height"), F.col("b") % (1 << SPAN_BITS)), F.col("_outer"))
-            reached = reached.unionByName(own.where(~LAST).join(up, inside).select(*own.columns, steps.alias("outer")))
+            reached = reached.unionByName(own.where(~_last()).join(up, inside).select(*own.columns, steps.alias("outer")))
         outer = reached if j == 0 else scratch.keep(reached, f"{name}{j}")
     return outer
 

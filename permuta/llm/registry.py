@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permuta.llm import decontaminate, hmm, html_extract, language, line_dedup, manifest, mixing, near_vectors, ngram_join, quality, substrings, token_output
+from permuta.llm import conversations, decontaminate, hmm, html_extract, language, line_dedup, manifest, mixing, near_vectors, ngram_join, quality, substrings, token_output
 from permuta.llm._store import Scratch, table
 from permuta.llm.oracles import ORACLES
 
@@ -75,10 +75,15 @@ def op12_nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify_documents(table(spark, sf_dir, "documents"), Scratch(spark, "manifest"), tampered)
 
 
+def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.inject_faults(table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, Scratch(spark, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_hidden_markov, op2_pareto_mixing, op3_spherical_kmeans, op4_adaptive_prefix_join, op5_collinear_chaining, op6_token_output, op7_language_id, op8_wu_manber, op9_rule_ensemble, op10_tag_path_ratios,
-              op11_cuckoo_lines, op12_nested_intervals)
+              op11_cuckoo_lines, op12_nested_intervals, op13_grammar_repair)
 }
 
 
