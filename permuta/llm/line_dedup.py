@@ -11,6 +11,7 @@ shuffled; what a filter holds by chance is found among the exact counts and exce
 from __future__ import annotations
 
 import random
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -128,12 +129,13 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, scratch: Scratch, least: int = 10):
         self.spark, self.scratch, self.least, self.version, self.shards, self.made = spark, scratch, least, 0, 1, ""
+        self.counted = ""
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> LineIndex:
         state = spark.read.json(f"{root}/state/*").orderBy(F.desc("version")).first()
         index = cls(spark, Scratch.at(spark, root), state["least"])
-        index.version, index.shards, index.made = state["version"], state["shards"], state["made"]
+        index.version, index.shards, index.made, index.counted = (state[c] for c in ("version", "shards", "made", "counted"))
         return index
 
     @property
@@ -141,7 +143,7 @@ class LineIndex:
         """(h1, h2, docs) of every key that stands in a document."""
         if not self.version:
             return self.spark.createDataFrame([], "h1 long, h2 long, docs long")
-        return self.spark.read.parquet(self.scratch.path(f"counts{self.version}")).where("docs > 0").select("h1", "h2", "docs")
+        return self.spark.read.parquet(self.scratch.path(self.counted)).where("docs > 0").select("h1", "h2", "docs")
 
     @property
     def filters(self) -> DataFrame:
@@ -164,19 +166,21 @@ class LineIndex:
 
     def _change(self, delta: DataFrame) -> None:
         new, nothing = self.version + 1, self.spark.createDataFrame([], FILTERS)
+        # A change that failed leaves tables behind that no state names.
+        tag = f"{new}-{uuid.uuid4().hex}"
         both = self.counts.withColumn("was", F.col("docs")).unionByName(delta.withColumn("was", F.lit(0).cast("long")))
         after = both.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.sum("was").alias("was"))
         known = F.when(F.col("docs") < 0, F.raise_error(F.lit("documents are deleted that were not inserted"))).otherwise(F.col("docs"))
         on, off = F.col("docs") >= self.least, F.col("was") >= self.least
         change = F.when(on & ~off, 1).when(off & ~on, -1).otherwise(0)
-        counts = self.scratch.keep(after.select("h1", "h2", known.cast("long").alias("docs"), change.cast("int").alias("change")), f"counts{new}")
+        counts = self.scratch.keep(after.select("h1", "h2", known.cast("long").alias("docs"), change.cast("int").alias("change")), f"counts{tag}")
         every = counts.where(F.col("docs") >= self.least).withColumn("change", F.lit(1))
         frequent, shards = every.count(), self.shards
         fresh = not self.version or frequent > SHARD_KEYS * shards * 3 // 2
         if fresh:
             shards = 1 << max(0, -(-frequent // SHARD_KEYS) - 1).bit_length()
         while True:
-            made = f"filters{new}-{shards}"
+            made = f"filters{tag}-{shards}"
             old, keys = (nothing, every) if fresh else (self.filters, counts.where("change <> 0"))
             by = _shard(shards).alias("shard")
             changed = old.groupBy("shard").cogroup(keys.withColumn("shard", by).groupBy("shard")).applyInArrow(_change_filter, FILTERS)
@@ -184,9 +188,9 @@ class LineIndex:
                 break
             # A filter can't be widened without its keys: all are made anew from the exact counts.
             fresh, shards = True, shards * 2
-        state = {"version": new, "least": self.least, "shards": shards, "made": made}
-        self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in state.items()]).write.json(self.scratch.path(f"state/{new}"))
-        self.version, self.shards, self.made = new, shards, made
+        state = {"version": new, "least": self.least, "shards": shards, "made": made, "counted": f"counts{tag}"}
+        self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in state.items()]).write.json(self.scratch.path(f"state/{tag}"))
+        self.version, self.shards, self.made, self.counted = new, shards, made, state["counted"]
 
     def clean(self, docs: DataFrame, counted: bool = False) -> DataFrame:
         """``docs`` with n_lines, n_dropped and kept_text: the text without its lines of frequent keys.
@@ -212,13 +216,14 @@ class LineIndex:
             rows = self._joined(plain, text)
         lines = text_lines(text)
         kept = F.array_join(F.filter(lines, lambda x, i: ~F.get(F.col("drop"), i)), "\n")
-        out = [F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in ("n_lines", "n_dropped", "kept_text")]
+        own = [i for i, c in enumerate(names) if c not in ("n_lines", "n_dropped", "kept_text")]
         dropped = F.size(F.filter("drop", lambda x: x))
-        return rows.select(*out, F.size("drop").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
+        out = rows.select(*[f"c{i}" for i in own], F.size("drop").cast("long"), dropped.cast("long"), kept)
+        return out.toDF(*[names[i] for i in own], "n_lines", "n_dropped", "kept_text")
 
     def _joined(self, plain: DataFrame, text: Column) -> DataFrame:
         """Lines joined with the exact counts, for filters too large to send; a key in many documents is split by Spark's join."""
-        rows = self.scratch.keep(plain.withColumn("rid", F.monotonically_increasing_id()), f"rows{self.version}-{random.getrandbits(64):x}")
+        rows = self.scratch.keep(plain.withColumn("rid", F.monotonically_increasing_id()), f"rows-{uuid.uuid4().hex}")
         lines = rows.select("rid", F.posexplode(line_hashes(text)).alias("i", "k")).where("k IS NOT NULL").select("rid", "i", "k.h1", "k.h2")
         drops = lines.join(self.frequent, ["h1", "h2"]).groupBy("rid").agg(F.collect_set("i").alias("at"))
         drop = F.transform(text_lines(text), lambda x, i: F.coalesce(F.array_contains("at", i), F.lit(False)))
