@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from permuta.storage import cut
+
 EPSILON = 1e-12
-#: The range bound is looked at below this factor of the threshold and up to this many occurrences.
-TIGHT, RANGE_MASS = 1.5, 50_000
+#: Positions whose occurrences are counted together.
+CHUNK = 1 << 16
 #: From this count on, and from this ratio on, a pair's counts of occurrences are very unequal.
 SKEW_LEAST, SKEW_RATIO = 256, 8
 
@@ -29,29 +31,48 @@ def _below(bound: str, minsup: float) -> Column:
     return F.col(bound) + EPSILON < minsup
 
 
-def bound_tiers(pairs: DataFrame, occurrences: DataFrame, minsup: float, tight: float = TIGHT, mass: int = RANGE_MASS) -> DataFrame:
+def counts_up_to(occurrences: DataFrame, asked: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``asked`` (series_id, pattern, pos and other columns) with ``upto``: occurrences of the pattern up to the position, itself included.
+
+    Occurrences and questions are sorted together by position in chunks of a pattern, and the counts of the chunks
+    before are added, a table of one row a pattern and chunk; so neither a frequent pattern nor many
+    questions about one meet in a task.
+    """
+    others = [c for c in asked.columns if c not in ("series_id", "pattern", "pos")]
+    one = occurrences.select("series_id", "pattern", "pos", F.lit(0).alias("_asks"))
+    both = one.unionByName(asked.select("series_id", "pattern", "pos", F.lit(1).alias("_asks"), *others), allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("pos") / chunk))
+    key = ["series_id", "pattern", "_chunk"]
+    sizes = both.groupBy(*key).agg(F.count_if(F.col("_asks") == 0).alias("_n"))
+    earlier = Window.partitionBy("series_id", "pattern").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(c).alias(f"{c}_") for c in key], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.count_if(F.col("_asks") == 0).over(Window.partitionBy(*key).orderBy("pos", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = both.withColumn("_inside", inside).where("_asks = 1")
+    same = F.col("series_id").eqNullSafe(F.col("series_id_")) & (F.col("pattern") == F.col("pattern_")) & (F.col("_chunk") == F.col("_chunk_"))
+    return counted.join(before, same).select(*asked.columns, (F.col("_inside") + F.col("_before")).alias("upto"))
+
+
+def bound_tiers(pairs: DataFrame, occurrences: DataFrame, minsup: float, chunk: int = CHUNK) -> DataFrame:
     """Pairs with range_bound and tier: the first of residual, span, card, range that rules the pair out, or pass.
 
-    The range bound counts the occurrences that can take part; it is looked at for pairs that no other
-    bound rules out, whose residual bound is below ``tight`` times the threshold and that have at most
-    ``mass`` occurrences; for others it is null.
+    The range bound counts the occurrences of both sides that can take part, by two look-ups of running
+    counts a side; it is null for pairs that another bound rules out.
     """
     b = pair_bounds(pairs)
     early = F.when(_below("residual_bound", minsup), "residual").when(F.col("low") > F.col("high"), "span").when(_below("card_bound", minsup), "card")
-    b = b.withColumn("early", early)
-    asked = b.where(F.col("early").isNull() & (F.col("residual_bound") < tight * minsup) & (F.col("p_cnt") + F.col("q_cnt") <= mass))
-    counted = None
-    for side, shift in (("p", 1), ("q", 0)):
-        o = occurrences.select("series_id", F.col("pattern").alias(side), "pos")
-        hits = asked.join(o, ["series_id", side]).where(F.col("pos").between(F.col("low") - shift, F.col("high") - shift))
-        hits = hits.groupBy("series_id", "m", "p", "q").agg(F.count("*").alias(f"{side}_in"))
-        counted = hits if counted is None else counted.join(hits, ["series_id", "m", "p", "q"], "full")
-    keys = asked.select("series_id", "m", "p", "q", F.lit(True).alias("asked"))
-    b = b.join(keys.join(counted, ["series_id", "m", "p", "q"], "left"), ["series_id", "m", "p", "q"], "left")
-    inside = F.least(F.coalesce("p_in", F.lit(0)), F.coalesce("q_in", F.lit(0)))
-    b = b.withColumn("range_bound", F.when(F.col("asked"), inside * F.exp(-F.col("k") * (F.col("n") - F.col("high")))))
+    b = cut(b.withColumn("early", early))
+    ends = [(side, shift, sign) for side, shift in (("p", 1), ("q", 0)) for sign in (1, -1)]
+    each = [F.struct(F.col(side).alias("pattern"), (F.col("high" if sign > 0 else "low") - (shift + (sign < 0))).alias("pos"), F.lit(side).alias("side"), F.lit(sign).alias("sign")) for side, shift, sign in ends]
+    asked = b.where(F.col("early").isNull()).select("series_id", "m", "p", "q", F.inline(F.array(*each)))
+    counted = counts_up_to(occurrences, asked, chunk)
+    key = ["series_id", "m", "p", "q"]
+    inside = counted.groupBy(*key).agg(*[F.sum(F.when(F.col("side") == x, F.col("sign") * F.col("upto"))).alias(f"{x}_in") for x in ("p", "q")])
+    same = F.col("series_id").eqNullSafe(F.col("series_id_"))
+    for c in key[1:]:
+        same = same & (F.col(c) == F.col(f"{c}_"))
+    b = b.join(inside.withColumnsRenamed({c: f"{c}_" for c in key}), same, "left").drop(*[f"{c}_" for c in key])
+    b = b.withColumn("range_bound", F.least("p_in", "q_in") * F.exp(-F.col("k") * (F.col("n") - F.col("high"))))
     tier = F.when(F.col("early").isNotNull(), F.col("early")).when(_below("range_bound", minsup), "range").otherwise("pass")
-    return b.withColumn("tier", tier).drop("early", "asked", "p_in", "q_in")
+    return b.withColumn("tier", tier).drop("early", "p_in", "q_in")
 
 
 def prune_rate(pairs: DataFrame, minsup: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permuta.sources.sinks import normalized_digest
+from permuta.sources.sinks import digest_list
 
 TOLERANCE = 1e-6
 
@@ -49,13 +49,20 @@ def comparison_status(a: DataFrame, b: DataFrame, decimals: int = 6, tolerance:
     text = lambda t: t.select("series_id", pattern_text(F.col("pattern")).alias("pattern"), "support")
     out = compare_patterns(text(a), text(b), tolerance)
     for digits, status in ((decimals, "NORMALIZED_SHA256_MATCH"), (10, "SHA256_MATCH")):
-        x = normalized_digest(a, digits).withColumnRenamed("sha256", "xa")
-        y = normalized_digest(b, digits).withColumnRenamed("sha256", "xb")
-        same = x.join(y, "series_id").where("xa = xb").select("series_id", F.lit(True).alias("same"))
-        out = out.join(same, "series_id", "left").withColumn("status", F.when(F.col("same"), status).otherwise(F.col("status"))).drop("same")
+        parts = differing_parts(a, b, digits).groupBy("series_id").agg(F.count("*").alias("n")).select(F.col("series_id").alias("_s"), F.lit(True).alias("differ"))
+        out = out.join(parts, F.col("series_id").eqNullSafe(F.col("_s")), "left").withColumn("status", F.when(F.col("differ").isNull(), status).otherwise(F.col("status"))).drop("differ", "_s")
     return out
 
 
+def differing_parts(a: DataFrame, b: DataFrame, decimals: int = 6, lines: int = 4096) -> DataFrame:
+    """(series_id, part, lines_a, lines_b): parts of two results' digest lists that aren't the same; none if the results are."""
+    x = digest_list(a, decimals, lines).select("series_id", "part", F.col("lines").alias("lines_a"), F.col("sha256").alias("_a"))
+    y = digest_list(b, decimals, lines).select(F.col("series_id").alias("_s"), F.col("part").alias("_p"), F.col("lines").alias("lines_b"), F.col("sha256").alias("_b"))
+    both = x.join(y, F.col("series_id").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")), "full").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select(F.coalesce("series_id", "_s").alias("series_id"), F.coalesce("part", "_p").alias("part"), zero("lines_a"), zero("lines_b"))
+
+
 def status_tally(compared: DataFrame) -> DataFrame:
     """One row: raw, normalized, tolerance and failed comparisons."""
     s = F.col("status")

@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from permuta.functions import fuse_ranks, is_tie_free, prefix, rank_encode, suffix
 from permuta.functions.thresholds import check_threshold
+from permuta.operators.levels import STARTS, closed_levels
 from permuta.sources.series import base_table
 from permuta.storage import cut
 
 #: Positions of a chunk: windows of a long series are formed by many tasks.
 CHUNK = 1 << 10
-#: Length from which survivors' positions are joined and no longer all windows ranked.
-LONG = 12
 #: Lengths whose windows are formed from one sorted pass.
 BLOCK = 4
 
@@ -106,37 +105,48 @@ def extend_occurrences(occurrences: DataFrame) -> DataFrame:
     return both.select("series_id", (F.col("m") + 1).alias("m"), "pos", "n", "k", "w", fuse_ranks(F.col("p"), F.col("q"), F.col("first"), F.col("last")).alias("pattern"), "first", "last")
 
 
-def mine(series: DataFrame, minsup: float, k: float | None = None, semantics: str = "closure", max_len: int | None = None, strategy: str = "auto", chunk: int = CHUNK) -> DataFrame:
+def mine(series: DataFrame, minsup: float, k: float | None = None, semantics: str = "closure", max_len: int | None = None, strategy: str = "auto", chunk: int | None = None) -> DataFrame:
     """All patterns of at least two ranks: (series_id, m, pattern, support, cnt, first_pos, last_pos, n, k).
 
     ``series`` is (series_id, pos, v); null and NaN values end windows as ties do.  ``semantics``: closure, or
-    threshold (support alone).  ``strategy``: windows ranks every window of a length; positions joins the
-    occurrences of frequent patterns, which shrink from level to level; auto starts with windows and goes
-    on with positions at ``LONG`` ranks.  Windows of ``BLOCK`` lengths are ranked and summed in one pass; each
-    level is one checkpointed table, and the loop ends at an empty one.
+    threshold (support alone).  ``strategy``: auto mines the closure by doubling the length (``levels``); windows ranks
+    every window of a length, ``BLOCK`` lengths in one pass; positions joins the occurrences of frequent patterns, which
+    shrink from level to level.  The last two take a checkpointed table each level, and end at an empty one.
+    ``chunk``: positions of a series that are worked on together.
     """
     check_threshold(minsup)
     if semantics not in ("closure", "threshold"):
         raise ValueError("semantics is closure or threshold")
     if strategy not in ("auto", "windows", "positions") or semantics == "threshold" and strategy == "positions":
         raise ValueError("strategy is auto, windows or, for the closure, positions")
-    base = cut(base_table(series.where(F.col("v").isNotNull()), k) if "w" not in series.columns else series)
+    base = cut(series if "w" in series.columns else base_table(series.where(F.col("v").isNotNull()).select("series_id", "pos", "v"), k))
+    if semantics == "closure" and strategy == "auto":
+        found = [x.drop("held") for x in closed_levels(base, [minsup], max_len, chunk or STARTS)]
+    else:
+        found = _level_by_level(base, minsup, semantics, max_len, strategy, chunk or CHUNK)
+    return _union(found) if found else cut(pattern_support(window_occurrences(base, 2)).limit(0))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _level_by_level(base: DataFrame, minsup: float, semantics: str, max_len: int | None, strategy: str, chunk: int) -> list[DataFrame]:
     found, level, occurrences = [], None, None
     supports, known_to = None, 1
     m = 2
     while max_len is None or m <= max_len:
-        if semantics == "closure" and (strategy == "positions" or strategy == "auto" and m >= LONG):
-            if occurrences is None:
-                occurrences = seed_occurrences(base, chunk) if level is None else _with_ends(base, level, m - 1, chunk)
-            if m > 2:
-                occurrences = extend_occurrences(occurrences)
-            occurrences = cut(occurrences)
+        if strategy == "positions":
+            occurrences = cut(seed_occurrences(base, chunk) if occurrences is None else extend_occurrences(occurrences))
             level = cut(frequent(pattern_support(occurrences), minsup))
             known = level.select("series_id", "pattern")
             occurrences = cut(occurrences.join(known, ["series_id", "pattern"], "left_semi"))
         else:
             if m > known_to:
-                known_to = _block_end(m, max_len, chunk, LONG - 1 if strategy == "auto" and semantics == "closure" else None)
+                known_to = max(m, min(x for x in (m + BLOCK - 1, max_len, chunk + 1) if x is not None))
                 supports = cut(frequent(pattern_support(windows_of_lengths(base, m, known_to, chunk)), minsup))
             same = supports.where(F.col("m") == m)
             level = cut(with_parents(same, level, ["series_id"])) if semantics == "closure" and m > 2 else same
@@ -145,48 +155,23 @@ def mine(series: DataFrame, minsup: float, k: float | None = None, semantics: st
         if level.isEmpty():
             break
         m += 1
-    out = found[0] if found else cut(pattern_support(window_occurrences(base, 2, chunk)).limit(0))
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
+    return found
 
-def _block_end(m: int, max_len: int | None, chunk: int, last: int | None) -> int:
-    """The last length of the block that starts at m: ``BLOCK`` lengths, fewer at a bound or at the size of a chunk."""
-    return max(m, min(x for x in (m + BLOCK - 1, max_len, chunk + 1, last) if x is not None))
 
-
-def mine_sweep(series: DataFrame, minsups: list[float], k: float | None = None, max_len: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def mine_sweep(series: DataFrame, minsups: list[float], k: float | None = None, max_len: int | None = None, chunk: int | None = None) -> DataFrame:
     """``mine`` for several thresholds at once: its columns and minsup, the closure of each threshold.
 
-    Windows of a length are ranked and summed once for all thresholds; a pattern then stands once for
-    each threshold that it reaches and needs its parents there.
+    Windows are walked once for all thresholds; a pattern then stands once for each threshold that it and all its prefixes reach.
     """
     sigmas = sorted({check_threshold(x) for x in minsups})
     if not sigmas:
         raise ValueError("there is no threshold")
-    base = cut(base_table(series.where(F.col("v").isNotNull()), k) if "w" not in series.columns else series)
-    found, supports, known_to, m = [], None, 1, 2
-    while max_len is None or m <= max_len:
-        if m > known_to:
-            known_to = _block_end(m, max_len, chunk, None)
-            supports = cut(frequent(pattern_support(windows_of_lengths(base, m, known_to, chunk)), sigmas[0]))
-        each = supports.where(F.col("m") == m).withColumn("minsup", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in sigmas]), lambda x: x <= F.col("support"))))
-        found.append(cut(with_parents(each, found[-1], ["series_id", "minsup"]) if found else each))
-        if found[-1].isEmpty():
-            break
-        m += 1
-    out = found[0] if found else cut(pattern_support(window_occurrences(base, 2, chunk)).limit(0).withColumn("minsup", F.lit(0.0)))
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _with_ends(base: DataFrame, level: DataFrame, m: int, chunk: int) -> DataFrame:
-    """Occurrences of a level's patterns with their windows' first and last value."""
-    rows = tie_free_windows(base, m, chunk).withColumn("pattern", rank_encode(F.col("values")))
-    rows = rows.join(level.select("series_id", "pattern"), ["series_id", "pattern"], "left_semi")
-    return rows.select("series_id", F.lit(m).alias("m"), "pos", "n", "k", "w", "pattern", F.col("values")[0].alias("first"), F.element_at("values", -1).alias("last"))
+    base = cut(series if "w" in series.columns else base_table(series.where(F.col("v").isNotNull()).select("series_id", "pos", "v"), k))
+    found = closed_levels(base, sigmas, max_len, chunk or STARTS)
+    if not found:
+        return cut(pattern_support(window_occurrences(base, 2)).limit(0).withColumn("minsup", F.lit(0.0)))
+    each = F.explode(F.slice(F.array(*[F.lit(float(x)) for x in sigmas]), F.lit(1), F.col("held")))
+    return _union(found).withColumn("minsup", each).drop("held")
 
 
 def candidate_pairs(patterns: DataFrame) -> DataFrame:

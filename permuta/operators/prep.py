@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from permuta.sources.series import with_lengths
+
 
 def repeat_series(series: DataFrame, times: int) -> DataFrame:
     """Each series end to end ``times`` times."""
-    lengths = series.groupBy("series_id").agg(F.count("*").alias("n"))
-    rows = series.join(lengths, "series_id").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    rows = (series if "n" in series.columns else with_lengths(series)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     return rows.select("series_id", (F.col("r") * F.col("n") + F.col("pos")).alias("pos"), "v")
 
 

@@ -5,14 +5,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permuta.storage import cut
 
-def summarize_runs(runs: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Key with n_runs, mean, std (sample, 0 for fewer than two), median, min, max and geo_mean of the value."""
+#: Values of a key that one task may hold to find their median.
+FEW_VALUES = 200_000
+#: Values that cut a key's range into parts of about equal counts.
+GRID = 128
+
+
+def summarize_runs(runs: DataFrame, key: list[str], value: str, few: int = FEW_VALUES) -> DataFrame:
+    """Key with n_runs, mean, std (sample, 0 for fewer than two), median, min, max and geo_mean of the value.
+
+    The median is exact.  Where a key has more than ``few`` values it is found by ``exact_medians``.
+    """
     v = F.col(value)
-    return runs.groupBy(*key).agg(
-        F.count(v).alias("n_runs"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.percentile(v, 0.5).alias("median"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.exp(F.avg(F.ln(v))).alias("geo_mean"),
-    )
+    sums = [
+        F.count(v).alias("n_runs"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.exp(F.avg(F.ln(v))).alias("geo_mean"),
+    ]
+    largest = runs.groupBy(*key).agg(F.count(v).alias("n")).agg(F.max("n")).first()[0] or 0
+    order = [*key, "n_runs", "mean", "std", "median", "min", "max", "geo_mean"]
+    if largest <= few:
+        return runs.groupBy(*key).agg(*sums, F.percentile(v, 0.5).alias("median")).select(*order)
+    medians = exact_medians(runs, key, value, few)
+    return _null_safe_join(runs.groupBy(*key).agg(*sums), medians, key, "left").select(*order)
+
+
+def _null_safe_join(a: DataFrame, b: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    other = b.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(key)})
+    same = F.lit(True)
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    return a.join(other, same, how).drop(*[f"_{i}" for i in range(len(key))])
+
+
+def exact_medians(rows: DataFrame, key: list[str], value: str, few: int = FEW_VALUES) -> DataFrame:
+    """(key, median) of keys that have a value: the middle value, or the mean of the two middle ones.
+
+    A pass lays a grid of some ``GRID`` quantiles over each key's values that are left (a sketch of fixed size, summed in each
+    task first), counts the values of each part, and keeps only the parts with the middle ones; so the
+    values left fall by about ``GRID`` a pass, and no task ever holds more than ``few`` of a key.
+    """
+    left = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("v"))
+    sizes = left.groupBy(*key).agg(F.count("*").alias("n"))
+    # Ranks of the middle values among those left, from 0, and the number left.
+    state = cut(sizes.select(*key, F.floor((F.col("n") - 1) / 2).alias("lo"), F.floor(F.col("n") / 2).alias("hi"), F.col("n").alias("left")))
+    found = None
+    while True:
+        small = state.where(F.col("left") <= few)
+        held = _null_safe_join(left, small, key).groupBy(*key, "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("x"))
+        at = lambda c: F.get("x", F.col(c).cast("int"))
+        done = held.select(*key, ((at("lo") + at("hi")) / 2).alias("median"))
+        big = state.where(F.col("left") > few)
+        if big.isEmpty():
+            return done if found is None else found.unionByName(done)
+        found = cut(done if found is None else found.unionByName(done))
+        own = _null_safe_join(left, big, key)
+        grid = own.groupBy(*key).agg(F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], 100 * GRID).alias("grid"))
+        # The parts of a key: each grid value by itself and what lies between two; all copies of a value are in one part.
+        grid = grid.withColumn("grid", F.array_sort(F.array_distinct("grid")))
+        placed = _null_safe_join(own, cut(grid), key)
+        below = F.size(F.filter("grid", lambda g: g < F.col("v")))
+        placed = placed.withColumn("part", 2 * below + F.when(F.array_contains("grid", F.col("v")), 1).otherwise(0))
+        counts = placed.groupBy(*key, "lo", "hi", "part").agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        # At most 2 GRID + 3 rows a key.
+        parts = counts.groupBy(*key, "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("part", "c", "least", "most"))).alias("p"))
+        upto = F.aggregate("p", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["c"])))
+        parts = cut(parts.withColumn("start", upto))
+        each = parts.select(*key, "lo", "hi", F.inline(F.zip_with("p", F.slice("start", F.lit(1), F.size("p")), lambda x, s: F.struct(x["part"].alias("part"), x["c"].alias("c"), x["least"].alias("least"), x["most"].alias("most"), s.alias("s")))))
+        middle = each.where((F.col("s") <= F.col("hi")) & (F.col("s") + F.col("c") > F.col("lo")))
+        spans = middle.groupBy(*key, "lo", "hi").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("s").alias("s"), F.sum("c").alias("c"), F.max("part").alias("last"), F.min("part").alias("first"), F.max(F.struct("part", "least")).alias("upper"), F.min(F.struct("part", "most")).alias("lower"))
+        spans = cut(spans)
+        # Where the ranks fall into two parts, they are the end of one and the start of the next; else one value may take both.
+        single = (F.col("least") == F.col("most")) | (F.col("first") != F.col("last"))
+        found = cut(found.unionByName(spans.where(single).select(*key, ((F.col("lower.most") + F.col("upper.least")) / 2).alias("median"))))
+        rest = spans.where(~single)
+        state = cut(rest.select(*key, (F.col("lo") - F.col("s")).alias("lo"), (F.col("hi") - F.col("s")).alias("hi"), F.col("c").alias("left")))
+        limits = rest.select(*key, "least", "most")
+        left = cut(_null_safe_join(left, limits, key).where(F.col("v").between(F.col("least"), F.col("most"))).select(*key, "v"))
 
 
 def best_config(summary: DataFrame, case: list[str], config: str, value: str) -> DataFrame:

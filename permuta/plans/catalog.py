@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permuta import functions as fn
 from permuta import operators as op
 from permuta import sources as src
-from permuta.operators.compare import first_differences, status_tally
+from permuta.operators.compare import differing_parts, first_differences, status_tally
 from permuta.operators.summary import average_runs
 from permuta.plans.sql import SQL
-from permuta.sources.sinks import normalized_digest, rank_by_support
+from permuta.sources.sinks import normalized_digest, rank_by_support, write_client_report, write_number_text
+from permuta.storage import cut, new_folder
 
 #: Threshold of the registered queries; no support of the test tables lies within 1e-6 of it.
 SIGMA = 4.0
@@ -34,13 +35,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def level(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
-    """Frequent patterns of m ranks of the closure; short ones as one plan without checkpoints."""
-    if m > 3:
-        return op.mine(events(spark, sf_dir), SIGMA, max_len=m).where(F.col("m") == m)
-    b, out = base(spark, sf_dir), None
-    for n in range(2, m + 1):
-        out = op.frequent(op.pattern_support(op.window_occurrences(b, n)), SIGMA, out)
-    return out
+    """Frequent patterns of m ranks of the closure, a written table."""
+    return op.mine(events(spark, sf_dir), SIGMA, max_len=m).where(F.col("m") == m)
 
 
 def shown(patterns: DataFrame) -> DataFrame:
@@ -51,11 +47,17 @@ def series_weights(spark, sf_dir):
     return base(spark, sf_dir).select("series_id", "pos", "v", "n", F.round("w", 9).alias("w"))
 
 
-def step_directions(spark, sf_dir):
-    from pyspark.sql import Window
+def events_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same series numbered without buckets."""
+    return src.positions(spark.read.parquet(f"{sf_dir}/events.parquet"), ["ts", "event_id"], "value", "event_type")
+
+
+def positions_by_range(spark, sf_dir):
+    return events_by_range(spark, sf_dir)
+
 
-    previous = F.lag("v").over(Window.partitionBy("series_id").orderBy("pos"))
-    rows = events(spark, sf_dir).withColumn("step", fn.step_direction(F.col("v"), previous))
+def step_directions(spark, sf_dir):
+    rows = src.previous_values(events_by_range(spark, sf_dir)).withColumn("step", fn.step_direction(F.col("v"), F.col("previous")))
     return rows.groupBy("series_id").agg(F.count_if(F.col("step") == 1).alias("ups"), F.count_if(F.col("step") == -1).alias("downs"), F.count_if(F.col("step").isNull()).alias("ties"))
 
 
@@ -96,16 +98,22 @@ def mine_threshold(spark, sf_dir):
 
 
 def minsup_sweep(spark, sf_dir):
-    found = op.mine_sweep(events(spark, sf_dir), fn.parse_thresholds("2,4,6,8,10,12"), max_len=3)
-    return found.where("m = 3").groupBy("series_id", "minsup").agg(F.count("*").alias("patterns"), F.round(F.sum("support"), 6).alias("mass"))
+    found = op.mine_sweep(events(spark, sf_dir), fn.parse_thresholds("40,48,52,56,60,200"))
+    return found.groupBy("series_id", "minsup").agg(F.count("*").alias("patterns"), F.max("m").alias("longest"), F.round(F.sum("support"), 6).alias("mass"))
 
 
 def sweep_closure(spark, sf_dir):
     """Every level that a threshold reaches, for thresholds up to the whole mass of a pattern."""
-    found = op.mine_sweep(events(spark, sf_dir), [8.0, 30.0, 90.0, 200.0], max_len=5)
+    found = op.mine_sweep(events(spark, sf_dir), [8.0, 30.0, 90.0, 200.0])
     return found.groupBy("series_id", "minsup", "m").agg(F.count("*").alias("patterns"), F.round(F.sum("support"), 6).alias("mass"))
 
 
+def closure_rising(spark, sf_dir):
+    """The running total of each customer's orders: one pattern a length, up to the length of the series."""
+    totals = orders(spark, sf_dir).withColumn("v", F.sum("v").over(Window.partitionBy("series_id").orderBy("pos")))
+    return shown(op.mine(totals, 0.5))
+
+
 def prefix_suffix_keys(spark, sf_dir):
     p = level(spark, sf_dir, 4).withColumnRenamed("pattern", "p")
     pattern = F.col("p")
@@ -122,10 +130,7 @@ def _candidate_pairs(m):
 
 
 def pair_mass_by_level(spark, sf_dir):
-    out = None
-    for m in (2, 3, 4):
-        part = op.pair_mass(level(spark, sf_dir, m))
-        out = part if out is None else out.unionByName(part)
+    out = op.pair_mass(op.mine(events(spark, sf_dir), SIGMA, max_len=4))
     return out.withColumn("fan_out", F.round("fan_out", 6))
 
 
@@ -145,9 +150,11 @@ def _position_fusion(m):
 
 
 def bound_tiers(spark, sf_dir):
-    p = level(spark, sf_dir, 3)
-    tiers = op.bound_tiers(op.candidate_pairs(p), op.window_occurrences(base(spark, sf_dir), 3), 12.0)
-    return tiers.groupBy("series_id", "tier").agg(F.count("*").alias("pairs"), F.round(F.sum("residual_bound"), 4).alias("residual"), F.round(F.sum("card_bound"), 4).alias("card"), F.round(F.sum("range_bound"), 4).alias("ranged"))
+    """Pairs of patterns mined at 1 and bounded at 1.5, so that every tier has some."""
+    o = src.base_table(orders(spark, sf_dir)).transform(op.window_occurrences, 3)
+    p = op.mine(orders(spark, sf_dir), 1.0, max_len=3).where("m = 3")
+    tiers = op.bound_tiers(op.candidate_pairs(p), o, 1.5)
+    return tiers.groupBy("tier").agg(F.count("*").alias("pairs"), F.round(F.sum("residual_bound"), 4).alias("residual"), F.round(F.sum("card_bound"), 4).alias("card"), F.round(F.sum("range_bound"), 4).alias("ranged"))
 
 
 def skew_rate(spark, sf_dir):
@@ -167,7 +174,7 @@ def work_counters(spark, sf_dir):
 
 
 def generation_trace(spark, sf_dir):
-    b = op.mine(events(spark, sf_dir), SIGMA, max_len=4)
+    b = op.mine(events(spark, sf_dir), SIGMA)
     return op.generation_trace(b).withColumn("density", F.round("density", 9))
 
 
@@ -180,17 +187,14 @@ def compare_sets(spark, sf_dir):
     """The same level with the default forgetting rate and with twice as much."""
     a = level(spark, sf_dir, 4)
     twice = base(spark, sf_dir).withColumn("k", 2 * F.col("k")).withColumn("w", fn.forgetting_weight(F.col("k"), F.col("n"), F.col("pos")))
-    b = None
-    for m in (2, 3, 4):
-        b = op.frequent(op.pattern_support(op.window_occurrences(twice, m)), SIGMA, b)
-    return op.comparison_status(a, b).withColumn("max_diff", F.round("max_diff", 6))
+    return op.comparison_status(a, op.mine(twice, SIGMA, max_len=4).where("m = 4")).withColumn("max_diff", F.round("max_diff", 6))
 
 
 def compare_strategies(spark, sf_dir):
     """Ranked windows against fused positions: must be the same."""
     b = base(spark, sf_dir)
-    ranked = op.pattern_support(op.window_occurrences(b, 3))
-    fused = op.pattern_support(op.extend_occurrences(op.seed_occurrences(b)))
+    ranked = cut(op.pattern_support(op.window_occurrences(b, 3)))
+    fused = cut(op.pattern_support(op.extend_occurrences(op.seed_occurrences(b))))
     # Sums differ in their last bits by the order of adding, so six decimals are compared.
     return status_tally(op.comparison_status(*[x.withColumn("support", F.round("support", 6)) for x in (ranked, fused)]))
 
@@ -206,7 +210,7 @@ def status_cases(spark, sf_dir):
 
 def common_patterns(spark, sf_dir):
     """Patterns of three and four ranks that the series of clicks, purchases and views share."""
-    p = level(spark, sf_dir, 3).unionByName(level(spark, sf_dir, 4)).withColumn("pattern", fn.pattern_text(F.col("pattern")))
+    p = op.mine(events(spark, sf_dir), SIGMA, max_len=4).where("m > 2").withColumn("pattern", fn.pattern_text(F.col("pattern")))
     return op.common_keys([p.where(F.col("series_id") == x) for x in ("click", "purchase", "view")], ["m", "pattern"])
 
 
@@ -314,6 +318,85 @@ def topk_patterns(spark, sf_dir):
     return rank_by_support(rounded).where("rank <= 10").select("series_id", fn.pattern_text(F.col("pattern")).alias("pattern"), "support", F.col("rank").cast("long").alias("rank"))
 
 
+def canonical_files(spark, sf_dir):
+    """Two results written side by side, a file a series, and read back."""
+    p, folder = level(spark, sf_dir, 3).withColumn("support", F.round("support", 6)), new_folder(spark, "canonical")
+    for minsup in (SIGMA, 200.0):
+        src.write_canonical_files(p.where(F.col("support") >= minsup), folder, minsup)
+    return src.read_canonical(spark, folder)
+
+
+def text_files(spark, sf_dir):
+    """Series written as text files and read back by several tasks, two of them by their names."""
+    folder = new_folder(spark, "text")
+    write_number_text(events(spark, sf_dir).withColumn("v", F.floor("v")), folder)
+    return src.read_text_series(spark, folder, r"(click|view)\.txt")
+
+
+def file_checksums(spark, sf_dir):
+    folder = new_folder(spark, "text")
+    write_number_text(events(spark, sf_dir).withColumn("v", F.floor("v")), folder)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return src.file_digests(spark, folder, "*.txt", 1 << 12).select(name.alias("file"), "bytes", "sha256")
+
+
+def client_report(spark, sf_dir):
+    folder = new_folder(spark, "report")
+    write_client_report(op.client_stats(events(spark, sf_dir)), folder)
+    return spark.read.csv(folder, header=True, schema="Client string, Rows long, NonZero long, FirstNonZeroRow long, MaxValue double, OutputFile string")
+
+
+def semicolon_clients(spark, sf_dir):
+    """A wide table with decimal commas, written, read for two of its clients and unpivoted."""
+    rows, folder = spark.read.parquet(f"{sf_dir}/orders.parquet"), new_folder(spark, "wide")
+    comma = lambda c: F.regexp_replace(F.format_string("%.2f", F.col(c).cast("double")), r"\.", ",")
+    wide = rows.select(F.col("o_orderkey").cast("string").alias("ts"), comma("o_totalprice").alias("MT_001"), comma("o_custkey").alias("MT_002"), comma("o_orderkey").alias("MT_003"))
+    wide.write.csv(folder, sep=";", header=True, quote='"', quoteAll=True)
+    return op.unpivot_clients(src.read_semicolon_csv(spark, folder, ["MT_001", "MT_003"]), "ts", ["MT_001", "MT_003"])
+
+
+def _run_files(spark, sf_dir):
+    """Line items as result files of two methods, a file for each run."""
+    rows, folder = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), new_folder(spark, "runs")
+    cases = rows.where("l_linenumber <> 3").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.min("l_extendedprice").alias("t"), F.max("l_quantity").alias("f"))
+    name = F.format_string("%s_run_%02d.csv", F.when(F.col("l_linestatus") == "F", "fast").otherwise("open"), F.col("l_linenumber").cast("int"))
+    line = F.concat_ws(",", F.concat("l_returnflag", F.lit(".txt")), F.lit("2.5"), F.format_string("%.2f", F.col("t").cast("double")), F.col("f").cast("long").cast("string"))
+    src.write_named_files(cases.select(name.alias("name"), line.alias("line")), folder, "Dataset,minsup,Time_s,Fusions")
+    return folder
+
+
+def run_files(spark, sf_dir):
+    """Runs of one method and the numbers of those that are missing."""
+    rows, missing = src.read_runs(spark, _run_files(spark, sf_dir), "fast", 8)
+    return rows.select("Dataset", F.col("run").cast("long").alias("run"), F.round("Time_s", 2).alias("Time_s"), F.col("Fusions").cast("long").alias("Fusions"), F.lit(",".join(map(str, missing))).alias("missing"))
+
+
+def method_files(spark, sf_dir):
+    folder = _run_files(spark, sf_dir)
+    out = src.read_methods(spark, {"a": f"{folder}/fast_run_01.csv", "b": f"{folder}/open_run_02.csv"})
+    return out.select("method", "Dataset", "minsup", F.round("Time_s", 2).alias("Time_s"), F.col("Fusions").cast("long").alias("Fusions"))
+
+
+def text_patterns(spark, sf_dir):
+    """Patterns from their text, with the least power of two that reaches their count."""
+    p = shown(level(spark, sf_dir, 4))
+    return p.select("series_id", "pattern", F.element_at(fn.text_pattern(F.col("pattern")), -1).alias("last"), fn.ceil_log2(F.col("cnt")).alias("bits"))
+
+
+def result_differences(spark, sf_dir):
+    """Parts of two digest lists that differ, where one side lacks a pattern and another's support has moved."""
+    a = level(spark, sf_dir, 3).withColumn("support", F.round("support", 6))
+    b = a.where((F.col("series_id") != "click") | (F.element_at("pattern", 1) != 1)).withColumn("support", F.col("support") + F.when(F.col("series_id") == "view", 0.5).otherwise(0.0))
+    return differing_parts(a, b)
+
+
+def hot_medians(spark, sf_dir):
+    """Exact medians of keys with more values than a task may hold, by counting passes."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linestatus", F.col("l_extendedprice").alias("Time_s"))
+    s = op.summarize_runs(rows, ["l_linestatus"], "Time_s", few=500)
+    return s.select("l_linestatus", "n_runs", *[F.round(c, 4).alias(c) for c in ("median", "min", "max")])
+
+
 QUERIES = {
     "series_weights": series_weights,
     "step_directions": step_directions,
@@ -329,7 +412,8 @@ QUERIES = {
             closure_all, closure_all_positions, closure_orders, mine_threshold, minsup_sweep, sweep_closure, prefix_suffix_keys, pair_mass_by_level, group_labels, bound_tiers, skew_rate, prune_rate,
             occurrence_density, work_counters, generation_trace, canonical_text, compare_sets, compare_strategies, status_cases, common_patterns, variant_ratios, set_differences, normalized_sha, repeat_series, unpivot_clients,
             interleave_series, concatenate_series, number_text_lines, client_stats, bench_summary, best_config, win_counts, relative_to_baseline, pivot_methods, unstable_counters,
-            same_work, run_averages, topk_patterns,
+            same_work, run_averages, topk_patterns, positions_by_range, closure_rising, canonical_files, text_files, file_checksums, client_report, semicolon_clients, run_files, method_files,
+            text_patterns, result_differences, hot_medians,
         )
     },
 }

@@ -83,18 +83,18 @@ _BOUNDS = """b AS (
   SELECT *, greatest(pf + 1, qf) AS low, least(pl + 1, ql) AS high, least(ps * exp(k), qs) AS residual,
     least(pc, qc) * exp(-k * (n - least(pl + 1, ql))) AS card FROM pairs)"""
 
-_TIERS = f"""WITH {_base()}, {_levels(3)}, {_pairs(3)}, {_BOUNDS},
+# Occurrences counted for each pair by its own range.
+_TIERS = f"""WITH {_base(_ORDERS)}, {_levels(3, 1.0)}, {_pairs(3)}, {_BOUNDS},
 c AS (
-  SELECT *, CASE WHEN residual + 1e-12 < 12 THEN 'residual' WHEN low > high THEN 'span' WHEN card + 1e-12 < 12 THEN 'card' END AS early FROM b),
-asked AS (SELECT * FROM c WHERE early IS NULL AND residual < 1.5 * 12 AND pc + qc <= 50000),
-hp AS (SELECT a.series_id, a.p, a.q, count(*) AS c FROM asked a JOIN w3 o ON o.series_id = a.series_id AND o.p = a.p AND o.pos BETWEEN a.low - 1 AND a.high - 1 GROUP BY ALL),
-hq AS (SELECT a.series_id, a.p, a.q, count(*) AS c FROM asked a JOIN w3 o ON o.series_id = a.series_id AND o.p = a.q AND o.pos BETWEEN a.low AND a.high GROUP BY ALL),
+  SELECT *, row_number() OVER () AS id,
+    CASE WHEN residual + 1e-12 < 1.5 THEN 'residual' WHEN low > high THEN 'span' WHEN card + 1e-12 < 1.5 THEN 'card' END AS early FROM b),
 r AS (
-  SELECT a.series_id, a.p, a.q, least(coalesce(hp.c, 0), coalesce(hq.c, 0)) * exp(-a.k * (a.n - a.high)) AS ranged
-  FROM asked a LEFT JOIN hp ON hp.series_id = a.series_id AND hp.p = a.p AND hp.q = a.q LEFT JOIN hq ON hq.series_id = a.series_id AND hq.p = a.p AND hq.q = a.q)
-SELECT c.series_id, CASE WHEN early IS NOT NULL THEN early WHEN ranged + 1e-12 < 12 THEN 'range' ELSE 'pass' END AS tier, count(*) AS pairs,
+  SELECT c.id, least(count(*) FILTER (WHERE o.p = c.p AND o.pos BETWEEN c.low - 1 AND c.high - 1), count(*) FILTER (WHERE o.p = c.q AND o.pos BETWEEN c.low AND c.high))
+    * exp(-any_value(c.k) * (any_value(c.n) - any_value(c.high))) AS ranged
+  FROM c LEFT JOIN w3 o ON o.series_id = c.series_id WHERE early IS NULL GROUP BY c.id)
+SELECT CASE WHEN early IS NOT NULL THEN early WHEN ranged + 1e-12 < 1.5 THEN 'range' ELSE 'pass' END AS tier, count(*) AS pairs,
   round(sum(residual), 4) AS residual, round(sum(card), 4) AS card, round(sum(ranged), 4) AS ranged
-FROM c LEFT JOIN r ON r.series_id = c.series_id AND r.p = c.p AND r.q = c.q GROUP BY ALL"""
+FROM c LEFT JOIN r USING (id) GROUP BY ALL"""
 
 
 _FOUR = f"{_UP_TO[4]}, {_pairs(4)}, {_BOUNDS}"
@@ -107,7 +107,9 @@ SELECT series_id, m, count(*) AS pairs, count(*) FILTER (WHERE r) AS by_residual
   round(count(*) FILTER (WHERE r OR s OR c) / count(*), 6) AS prune_rate FROM x GROUP BY ALL"""
 
 # Levels of each threshold: windows and supports once, closures apart.
-_SWEEP, _SWEEP3 = [8.0, 30.0, 90.0, 200.0], [2.0, 4.0, 6.0, 8.0, 10.0, 12.0]
+_SWEEP, _SWEEP3 = [8.0, 30.0, 90.0, 200.0], [40.0, 48.0, 52.0, 56.0, 60.0, 200.0]
+#: Levels written out; the last is empty at the scale of the comparison.
+_TOP = 9
 
 
 def _sweep(sigmas, top: int, shown) -> str:
@@ -162,7 +164,7 @@ FROM f{m} a LEFT JOIN f{m} b ON a.series_id = b.series_id AND {_suf('a.p', m)} =
 
 
 def _trace(m: int) -> str:
-    following = f"(SELECT count(*) FROM f{m + 1} x WHERE x.series_id = a.series_id)" if m < 4 else "0"
+    following = f"(SELECT count(*) FROM f{m + 1} x WHERE x.series_id = a.series_id)"
     return f"""SELECT a.series_id, a.m, count(*) AS input_patterns, sum(cnt)::BIGINT AS input_occurrences,
   round(sum(cnt) / sum(last_pos - first_pos + 1), 9) AS density, {following} AS output_patterns,
   (SELECT count(*) FROM f{m} x JOIN f{m} y ON x.series_id = y.series_id AND {_suf('x.p', m)} = {_pre('y.p', m)} WHERE x.series_id = a.series_id) AS pairs
@@ -193,8 +195,8 @@ SELECT series_id, count(*) FILTER (WHERE v > b) AS ups, count(*) FILTER (WHERE v
     "closure_all": f"WITH {_base()}, {_levels(9)} {_union(range(2, 10), _SHOWN)}",
     "closure_orders": f"WITH {_base(_ORDERS)}, {_levels(8, 2.5)} {_union(range(2, 9), _SHOWN)}",
     "mine_threshold": f"WITH {_base()}, " + ", ".join(f"{_windows(m)}, {_support(m)}" for m in (2, 3, 4)) + " " + " UNION ALL ".join(f"SELECT {_SHOWN} FROM s{m} WHERE support >= {SIGMA}" for m in (2, 3, 4)),
-    "minsup_sweep": f"{_sweep(_SWEEP3, 3, [3])} SELECT series_id, minsup, count(*) AS patterns, round(sum(support), 6) AS mass FROM every GROUP BY ALL",
-    "sweep_closure": f"{_sweep(_SWEEP, 5, [2, 3, 4, 5])} SELECT series_id, minsup, m, count(*) AS patterns, round(sum(support), 6) AS mass FROM every GROUP BY ALL",
+    "minsup_sweep": f"{_sweep(_SWEEP3, _TOP, range(2, _TOP + 1))} SELECT series_id, minsup, count(*) AS patterns, max(m) AS longest, round(sum(support), 6) AS mass FROM every GROUP BY ALL",
+    "sweep_closure": f"{_sweep(_SWEEP, _TOP, range(2, _TOP + 1))} SELECT series_id, minsup, m, count(*) AS patterns, round(sum(support), 6) AS mass FROM every GROUP BY ALL",
     "prefix_suffix_keys": f"{_UP_TO[4]} SELECT series_id, {_text('p')} AS pattern, {_text(_pre('p', 4))} AS pre, {_text(_suf('p', 4))} AS suf FROM f4",
     "pair_mass_by_level": f"{_UP_TO[4]} " + " UNION ALL ".join(_mass(m) for m in (2, 3, 4)),
     "group_labels": f"{_UP_TO[3]} SELECT series_id, {_text('p')} AS pattern, {_group('p', 3)} AS grp FROM f3",
@@ -208,7 +210,7 @@ c AS (SELECT series_id, count(*) AS pair_checks, sum(CASE WHEN p[1] = q[3] THEN
 x AS (SELECT a.series_id, count(*) AS support_ops FROM o a JOIN o b ON a.series_id = b.series_id AND b.pos = a.pos + 1 GROUP BY a.series_id)
 SELECT f.series_id, f.m, f.n AS freq_patterns, coalesce(pair_checks, 0) AS pair_checks, coalesce(candidates, 0) AS candidates, coalesce(pair_checks, 0) AS fusions, coalesce(support_ops, 0) AS support_ops
 FROM (SELECT series_id, m, count(*) AS n FROM f3 GROUP BY ALL) f LEFT JOIN c USING (series_id) LEFT JOIN x USING (series_id)""",
-    "generation_trace": f"{_UP_TO[4]} " + " UNION ALL ".join(_trace(m) for m in (2, 3, 4)),
+    "generation_trace": f"WITH {_base()}, {_levels(_TOP)} " + " UNION ALL ".join(_trace(m) for m in range(2, _TOP)),
     "canonical_text": f"{_UP_TO[3]} SELECT series_id, printf('\"%s\",%.10f', {_text('p')}, round(support, 6)) AS line FROM f3",
     "compare_sets": f"""{_TWICE}, j AS (
   SELECT coalesce(a.series_id, b.series_id) AS series_id, a.support AS sa, b.support AS sb FROM f4 a FULL JOIN ft4 b ON a.series_id = b.series_id AND a.p = b.p),
@@ -242,4 +244,26 @@ SELECT series_id, string_agg(p, ';' ORDER BY p) AS only_a, '' AS only_b FROM r W
     "run_averages": "SELECT l_orderkey AS Dataset, arg_min(l_quantity, l_extendedprice) AS Fusions, count(*) AS Runs, round(avg(l_extendedprice), 7) AS Time_s, round(avg(l_tax), 7) AS MaxMem_MB, round(coalesce(stddev_samp(l_extendedprice), 0), 7) AS Time_s_std, round(coalesce(stddev_samp(l_tax), 0), 7) AS MaxMem_MB_std FROM lineitem GROUP BY l_orderkey",
     "topk_patterns": f"{_UP_TO[4]}, r AS (SELECT series_id, p, round(support, 6) AS support, row_number() OVER (PARTITION BY series_id ORDER BY round(support, 6) DESC, p) AS rank FROM f4) SELECT series_id, {_text('p')} AS pattern, support, rank FROM r WHERE rank <= 10",
 }
-SQL["closure_all_positions"] = SQL["closure_all"]
+_NUMBERS = f"""WITH {_EVENTS}, lines AS (SELECT series_id, (pos - 1) // 20 AS line_no, string_agg(floor(v)::BIGINT::VARCHAR, ' ' ORDER BY pos) AS line FROM series GROUP BY ALL),
+files AS (SELECT series_id || '.txt' AS file, string_agg(line || chr(10), '' ORDER BY line_no) AS content FROM lines GROUP BY series_id)"""
+_FILES = "SELECT l_returnflag || '.txt' AS Dataset, l_linestatus, l_linenumber, round(min(l_extendedprice), 2) AS Time_s, max(l_quantity)::BIGINT AS Fusions FROM lineitem WHERE l_linenumber <> 3 GROUP BY ALL"
+
+SQL |= {
+    "closure_all_positions": SQL["closure_all"],
+    "positions_by_range": f"WITH {_EVENTS} SELECT * FROM series",
+    # Of a rising series only the pattern 1, 2, .., m occurs, at every position from m on.
+    "closure_rising": f"""WITH {_base(_ORDERS)}, x AS (SELECT a.series_id, a.pos AS m, sum(b.w) AS support, count(*) AS cnt, min(b.pos) AS first_pos, max(b.pos) AS last_pos
+  FROM base a JOIN base b ON a.series_id = b.series_id AND b.pos >= a.pos AND a.pos >= 2 GROUP BY ALL)
+SELECT series_id, m::INT AS m, '[' || array_to_string(range(1, m + 1), ', ') || ']' AS pattern, round(support, 6) AS support, cnt, first_pos, last_pos FROM x WHERE support >= 0.5""",
+    "canonical_files": f"{_UP_TO[3]}, t AS (SELECT series_id, {_text('p')} AS pattern, round(support, 6) AS support FROM f3) "
+    + " UNION ALL ".join(f"SELECT series_id || '_minsup_{label}.csv' AS file, pattern, support FROM t WHERE support >= {sigma}" for label, sigma in (("4", 4), ("200", 200))),
+    "text_files": f"WITH {_EVENTS} SELECT series_id || '.txt' AS series_id, pos, floor(v) AS v FROM series WHERE series_id IN ('click', 'view')",
+    "file_checksums": f"{_NUMBERS} SELECT file, strlen(content) AS bytes, sha256(content) AS sha256 FROM files",
+    "client_report": f"WITH {_EVENTS} SELECT series_id AS Client, count(*) AS Rows, count(*) FILTER (WHERE v <> 0) AS NonZero, min(pos) FILTER (WHERE v <> 0) AS FirstNonZeroRow, greatest(0.0::DOUBLE, max(v)) AS MaxValue, series_id || '.txt' AS OutputFile FROM series GROUP BY series_id",
+    "semicolon_clients": "SELECT 'MT_001' AS series_id, o_orderkey AS pos, round(o_totalprice, 2)::DOUBLE AS v FROM orders UNION ALL SELECT 'MT_003', o_orderkey, o_orderkey::DOUBLE FROM orders",
+    "run_files": f"WITH t AS ({_FILES}) SELECT Dataset, l_linenumber AS run, Time_s, Fusions, (SELECT string_agg(i::VARCHAR, ',' ORDER BY i) FROM range(1, 9) AS r(i) WHERE i NOT IN (SELECT l_linenumber FROM t WHERE l_linestatus = 'F')) AS missing FROM t WHERE l_linestatus = 'F'",
+    "method_files": f"WITH t AS ({_FILES}) SELECT CASE l_linestatus WHEN 'F' THEN 'a' ELSE 'b' END AS method, replace(Dataset, '.txt', '') AS Dataset, 2.5::DOUBLE AS minsup, Time_s, Fusions FROM t WHERE l_linestatus = 'F' AND l_linenumber = 1 OR l_linestatus <> 'F' AND l_linenumber = 2",
+    "text_patterns": f"{_UP_TO[4]} SELECT series_id, {_text('p')} AS pattern, p[4]::INT AS last, ceil(log2(cnt))::INT AS bits FROM f4",
+    "result_differences": f"{_UP_TO[3]} SELECT series_id, 0::BIGINT AS part, count(*) AS lines_a, CASE series_id WHEN 'click' THEN count(*) FILTER (WHERE p[1] <> 1) ELSE count(*) END AS lines_b FROM f3 WHERE series_id IN ('click', 'view') GROUP BY series_id",
+    "hot_medians": "SELECT l_linestatus, count(l_extendedprice) AS n_runs, round(median(l_extendedprice), 4) AS median, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem GROUP BY l_linestatus",
+}

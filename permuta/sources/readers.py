@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
 def _file_name():
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
 
 
-def read_text_series(spark: SparkSession, path: str, file_regex: str | None = None) -> DataFrame:
+def read_text_series(spark: SparkSession, path: str, file_regex: str | None = None, separator: str = "\n") -> DataFrame:
     """One series for each ``.txt`` file (any case): whitespace-separated numbers in reading order.
 
-    ``file_regex`` must match a whole file name.  A part that isn't a number raises.  The series id is
-    the file name.  A file is one row while it is split.
+    ``file_regex`` must match a whole file name.  A part that isn't a number raises.  The series id is the file name.
+    A large file is read by several tasks, each from a block that ends after a ``separator``; the numbers in the blocks
+    before, found from the blocks' starts in the file, are a block's offset.  ``separator`` is one white space; where a file has
+    all numbers in one line, ask for a space, since what stands between two separators is one row.
     """
-    files = spark.read.text(path, wholetext=True).select(F.url_decode(_file_name()).alias("series_id"), "value").where(F.lower("series_id").endswith(".txt"))
+    lines = spark.read.text(path, lineSep=separator)
+    lines = lines.select(F.url_decode(_file_name()).alias("series_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.where(F.lower("series_id").endswith(".txt"))
     if file_regex is not None:
-        files = files.where(F.col("series_id").rlike(f"^(?:{file_regex})$"))
-    parts = files.select("series_id", F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("p", "x"))
-    return parts.select("series_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("x").cast("double").alias("v"))
+        lines = lines.where(F.col("series_id").rlike(f"^(?:{file_regex})$"))
+    lines = lines.withColumn("parts", F.filter(F.split("value", r"\s+"), lambda x: x != "")).withColumn("n", F.size("parts")).where("n > 0").drop("value")
+    blocks = lines.groupBy("series_id", "block").agg(F.sum("n").alias("n"))
+    earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = blocks.select(F.col("series_id").alias("_s"), F.col("block").alias("_b"), earlier(["series_id"], "block").alias("before"))
+    # The rows of a block come in order, so their numbers do.
+    lines = lines.withColumn("inside", earlier(["series_id", "block"], "at"))
+    lines = lines.join(before, (F.col("series_id") == F.col("_s")) & (F.col("block") == F.col("_b")))
+    parts = lines.select("series_id", (F.col("before") + F.col("inside")).alias("start"), F.posexplode("parts").alias("p", "x"))
+    return parts.select("series_id", (F.col("start") + F.col("p") + 1).cast("long").alias("pos"), F.col("x").cast("double").alias("v"))
 
 
 def read_semicolon_csv(spark: SparkSession, path: str, clients: list[str] | None = None) -> DataFrame:
@@ -38,10 +50,10 @@ def read_semicolon_csv(spark: SparkSession, path: str, clients: list[str] | None
 
 
 def read_canonical(spark: SparkSession, path: str) -> DataFrame:
-    """(pattern string, support double) from canonical files; of a repeated pattern the last row of its file holds."""
-    rows = spark.read.csv(path, header=True, schema="pattern string, support double", quote='"')
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    return rows.groupBy("pattern").agg(F.max_by("support", "_at").alias("support"))
+    """(file, pattern string, support double) from canonical files; of a pattern repeated in a file the last row there holds."""
+    rows = spark.read.csv(path, header=True, schema="pattern string, support double", quote='"', recursiveFileLookup=True)
+    rows = rows.select(F.url_decode(_file_name()).alias("file"), "pattern", "support", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"))
+    return rows.groupBy("file", "pattern").agg(F.max_by("support", "_at").alias("support"))
 
 
 def read_benchmark(spark: SparkSession, path: str, method: str) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from permuta.functions import forgetting_weight
 from permuta.storage import cut
 
+#: Lengths of so many series are broadcast, some 100 bytes each.
+FEW_SERIES = 20_000
+#: Positions of a series that a task looks at together.
+CHUNK = 1 << 16
+
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> DataFrame:
     """``df`` with the 1-based number of each row in its group, by ``order``, nulls first; a null group is a group.
@@ -36,7 +41,7 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "
 
 
 def positions(df: DataFrame, order_by: list[str], value: str, series_id: Column | str, bucket: Column | None = None) -> DataFrame:
-    """(series_id string, pos long, v double): rows of each series in the given order.
+    """(series_id string, pos long, v double): rows of each series in the given order; by buckets also n, the length of the series.
 
     ``bucket`` is a non-decreasing function of the order, such as the day of a timestamp.  With it a
     long series is numbered bucket by bucket in one plan: positions inside a bucket plus the running
@@ -50,18 +55,41 @@ def positions(df: DataFrame, order_by: list[str], value: str, series_id: Column
     if bucket is None:
         return number_rows(rows.drop("_b"), ["series_id"], order).select("series_id", "pos", "v")
     sizes = rows.groupBy("series_id", "_b").agg(F.count("*").alias("_n"))
-    before = sizes.select("series_id", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("series_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = sizes.select("series_id", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("series_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("series_id")).alias("n"))
     inside = rows.withColumn("_pos", F.row_number().over(Window.partitionBy("series_id", "_b").orderBy(*order)))
     joined = inside.join(before.withColumnRenamed("series_id", "_s").withColumnRenamed("_b", "_c"), F.col("series_id").eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_c")))
-    return joined.select("series_id", (F.col("_pos") + F.col("_before")).cast("long").alias("pos"), "v")
+    return joined.select("series_id", (F.col("_pos") + F.col("_before")).cast("long").alias("pos"), "v", "n")
+
+
+def with_lengths(series: DataFrame) -> DataFrame:
+    """Series rows with n, their number in the series.
+
+    Lengths are counted first, a row a series; up to ``FEW_SERIES`` of them are broadcast, so that a series isn't
+    gathered at its key; more are joined, when no series holds most of the rows of a task.
+    """
+    lengths = cut(series.groupBy(F.col("series_id").alias("_s")).agg(F.count("*").alias("n")))
+    few = lengths.count() <= FEW_SERIES
+    return series.join(F.broadcast(lengths) if few else lengths, F.col("series_id").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def previous_values(series: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Series rows with ``previous``: the value of the row before, null at the start.
+
+    Positions count from 1 without a gap.  A series is dealt to tasks in chunks of positions; the last row
+    of a chunk is repeated in the next.
+    """
+    own = F.floor((F.col("pos") - 1) / chunk)
+    copies = F.when(F.col("pos") % chunk == 0, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = series.withColumn("_chunk", F.explode(copies))
+    rows = rows.withColumn("previous", F.lag("v").over(Window.partitionBy("series_id", "_chunk").orderBy("pos")))
+    return rows.where(F.col("_chunk") == own).drop("_chunk")
 
 
 def base_table(series: DataFrame, k: float | None = None) -> DataFrame:
     """Series rows with n (length) and w (forgetting weight); k defaults to 1/n for each series."""
     if k is not None and not k >= 0:
         raise ValueError("k must be 0 or more")
-    lengths = series.groupBy("series_id").agg(F.count("*").alias("n"))
     rate = F.lit(float(k)) if k is not None else F.lit(1.0) / F.col("n")
-    joined = series.join(lengths.withColumnRenamed("series_id", "_s"), F.col("series_id").eqNullSafe(F.col("_s"))).drop("_s")
+    joined = series if "n" in series.columns else with_lengths(series)
     # A negative zero counts as zero.
     return joined.select("series_id", "pos", (F.col("v") + F.lit(0.0)).alias("v"), "n", rate.alias("k"), forgetting_weight(rate, F.col("n"), F.col("pos")).alias("w"))

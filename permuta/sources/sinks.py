@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permuta.functions import pattern_text, threshold_label
+from permuta.sources.files import file_digests, stream_digests, write_named_files
 
 
 def canonical_lines(patterns: DataFrame) -> DataFrame:
@@ -24,28 +23,16 @@ def write_canonical(patterns: DataFrame, path: str, minsup: float) -> str:
     return out
 
 
-def write_canonical_files(patterns: DataFrame, path: str, minsup: float) -> list[str]:
-    """``<series>_minsup_<label>.csv`` for each series: ``pattern,support``, sorted by pattern text; the paths written.
+def write_canonical_files(patterns: DataFrame, path: str, minsup: float) -> str:
+    """``<series>_minsup_<label>.csv`` for each series in a folder of the threshold: ``pattern,support``, sorted by pattern text; the folder.
 
-    A file is written by one task, sorted by Spark's spilling sort; series are named by the driver, one
-    name each, and renamed from ``write_canonical``'s folders. A series whose name has a slash raises.
+    The files appear together or not at all.  A series whose name has a slash raises.
     """
-    staged = write_canonical(patterns, f"{path}/_staged", minsup)
-    context = patterns.sparkSession.sparkContext
-    hadoop = context._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(context._jsc.hadoopConfiguration())
-    out = []
-    for part in fs.globStatus(hadoop(f"{staged}/series_id=*/*.csv")) or []:
-        name = unquote(part.getPath().getParent().getName()[len("series_id=") :])
-        if "/" in name:
-            raise ValueError(f"no file can be named {name}")
-        target = f"{path}/{name}_minsup_{threshold_label(minsup)}.csv"
-        fs.delete(hadoop(target), False)
-        if not fs.rename(part.getPath(), hadoop(target)):
-            raise OSError(f"{target} can't be written")
-        out.append(target)
-    fs.delete(hadoop(f"{path}/_staged"), True)
-    return sorted(out)
+    out = f"{path}/minsup_{threshold_label(minsup)}"
+    lines = canonical_lines(patterns)
+    name = F.concat("series_id", F.lit(f"_minsup_{threshold_label(minsup)}.csv"))
+    write_named_files(lines.select(name.alias("name"), "pattern", "line"), out, "pattern,support", ["pattern"])
+    return out
 
 
 def write_summary(metrics: DataFrame, path: str) -> None:
@@ -60,9 +47,9 @@ def number_lines(series: DataFrame, line_width: int) -> DataFrame:
 
 
 def write_number_text(series: DataFrame, path: str, line_width: int = 20) -> None:
-    """A folder of text parts for each series, lines in order over the parts."""
-    lines = number_lines(series, line_width).repartitionByRange("series_id", "line_no").sortWithinPartitions("series_id", "line_no")
-    lines.select("series_id", "value").write.partitionBy("series_id").text(path, lineSep="\n")
+    """``<series>.txt`` for each series in a folder, lines in order."""
+    lines = number_lines(series, line_width).select(F.concat("series_id", F.lit(".txt")).alias("name"), "line_no", F.col("value").alias("line"))
+    write_named_files(lines, path, order=["line_no"])
 
 
 def write_client_report(stats: DataFrame, path: str) -> None:
@@ -72,16 +59,33 @@ def write_client_report(stats: DataFrame, path: str) -> None:
 
 
 def checksum_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, sha256) of every file below ``path`` that fits the glob."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of every file below ``path`` that fits the glob, of any size."""
+    return file_digests(spark, path, glob).select("path", "sha256")
+
+
+def rounded_lines(patterns: DataFrame, decimals: int) -> DataFrame:
+    """(series_id, pattern text, line): canonical lines with supports of so many decimals."""
+    text = pattern_text(F.col("pattern"))
+    return patterns.select("series_id", text.alias("pattern"), F.format_string(f'"%s",%.{decimals}f', text, F.col("support")).alias("line"))
 
 
 def normalized_digest(patterns: DataFrame, decimals: int = 6) -> DataFrame:
     """(series_id, sha256) of a result's sorted lines with rounded supports."""
-    line = F.format_string(f'"%s",%.{decimals}f', pattern_text(F.col("pattern")), F.col("support"))
-    lines = patterns.groupBy("series_id").agg(F.sort_array(F.collect_list(line)).alias("x"))
-    return lines.select("series_id", F.sha2(F.array_join("x", "\n").cast("binary"), 256).alias("sha256"))
+    return stream_digests(rounded_lines(patterns, decimals), ["line"])
+
+
+def digest_list(patterns: DataFrame, decimals: int = 6, lines: int = 4096) -> DataFrame:
+    """(series_id, part, lines, sha256): a result as a list of digests of about ``lines`` lines each.
+
+    Lines fall into a series' parts by the hash of their pattern, as many parts as its count asks for, to a power of 8; the
+    same pattern falls into the same part of any result with as many parts, and a line that one side lacks spoils one part only.
+    """
+    each = rounded_lines(patterns, decimals)
+    sizes = each.groupBy(F.col("series_id").alias("_s")).agg(F.count("*").alias("n"))
+    bits = (3 * F.ceil(F.log2(F.greatest(F.col("n") / lines, F.lit(1.0))) / 3)).cast("int")
+    rows = each.join(sizes, F.col("series_id").eqNullSafe(F.col("_s"))).withColumn("part", F.pmod(F.xxhash64("pattern"), F.call_function("shiftleft", F.lit(1).cast("long"), bits)))
+    held = rows.groupBy("series_id", "part").agg(F.count("*").alias("lines"), F.sort_array(F.collect_list("line")).alias("x"))
+    return held.select("series_id", "part", "lines", F.sha2(F.array_join("x", "\n"), 256).alias("sha256"))
 
 
 def rank_by_support(patterns: DataFrame) -> DataFrame:

@@ -57,8 +57,8 @@ def test_random_series_with_ties(spark, seed):
     rng = random.Random(seed)
     series = [[rng.randint(0, 6) for _ in range(rng.randint(0, 40))] for _ in range(5)] + [[], [1], [2, 2], [1, 2]]
     k, sigma = rng.choice([None, 0.0, 0.05]), rng.choice([0.4, 1.0, 1.7])
-    for strategy in ("windows", "positions"):
-        got = op.mine(table(spark, *series), sigma, k=k, strategy=strategy)
+    for strategy, chunk in (("windows", None), ("positions", None), ("auto", None), ("auto", 4)):
+        got = op.mine(table(spark, *series), sigma, k=k, strategy=strategy, chunk=chunk)
         for i, t in enumerate(series):
             same(mined(got, f"s{i}"), closure(t, sigma, k))
 
@@ -76,6 +76,36 @@ def test_monotone_series_gives_one_pattern_a_length(spark):
     assert set(got) == {tuple(range(1, m + 1)) for m in range(2, 17)}
 
 
+def test_long_patterns_take_few_jobs(spark):
+    n = 4096
+    tracker, before = spark.sparkContext.statusTracker(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    series = spark.range(1, n + 1).select(F.lit("s0").alias("series_id"), F.col("id").alias("pos"), (F.col("id") * 3.0).alias("v"))
+    got = op.mine(series, 0.5, k=0.0)
+    want = F.transform(F.sequence(F.lit(1), F.col("m")), lambda x: x)
+    row = got.agg(F.count("*").alias("rows"), F.count_if(F.col("pattern") == want).alias("rising"), F.sum("cnt").alias("windows"), F.sum(F.abs(F.col("support") - F.col("cnt"))).alias("off")).first()
+    assert (row["rows"], row["rising"], row["windows"], row["off"]) == (n - 1, n - 1, sum(n - m + 1 for m in range(2, n + 1)), 0.0)
+    assert len(tracker.getJobIdsForGroup(None)) - before < 250
+
+
+def test_long_random_walks_match_brute_force(spark):
+    rng = random.Random(11)
+    rise = [10 * i + rng.random() for i in range(40)]
+    series = [rise + rise[::-1] + rise, [5 * (i % 20) + i / 100 for i in range(90)], rise[:30] + [rise[29]] + rise[:30]]
+    for chunk in (None, 16):
+        got = op.mine(table(spark, *series), 1.5, k=0.0, chunk=chunk)
+        for i, t in enumerate(series):
+            same(mined(got, f"s{i}"), closure(t, 1.5, 0.0))
+    assert max(len(p) for p in closure(series[1], 1.5, 0.0)) > 32
+
+
+def test_lengths_bound_and_missing_positions(spark):
+    rows = table(spark, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]).where("pos <> 6")
+    for top in (None, 1, 2, 3, 7, 8, 9, 20):
+        got = mined(op.mine(rows, 0.5, k=0.0, max_len=top))
+        assert set(got) == {tuple(range(1, m + 1)) for m in range(2, min(top or 6, 6) + 1)}
+    assert got[1, 2] == 9.0
+
+
 def test_ranks_above_127_by_position_join(spark):
     base = src.base_table(table(spark, range(140)), 0.0)
     o = op.seed_occurrences(base)
@@ -138,9 +168,73 @@ def test_bounds_never_rule_out_a_frequent_child(spark):
 
 def test_positions_by_bucket(spark):
     rows = [(i, "a" if i % 3 else "b", float(i % 7)) for i in range(200)]
-    df = spark.createDataFrame(rows, "o int, s string, v double")
+    df = spark.createDataFrame(rows, "o int, s string, v double").repartition(7)
     plain = src.positions(df, ["o"], "v", "s").collect()
-    assert sorted(plain) == sorted(src.positions(df, ["o"], "v", "s", F.floor(F.col("o") / 16)).collect())
+    bucketed = src.positions(df, ["o"], "v", "s", F.floor(F.col("o") / 16))
+    assert sorted(plain) == sorted(bucketed.drop("n").collect())
+    assert [(r["series_id"], r["pos"], r["v"]) for r in sorted(plain)] == [(s, p + 1, v) for s in "ab" for p, v in enumerate([v for _, t, v in rows if t == s])]
+    assert {(r["series_id"], r["n"]) for r in bucketed.collect()} == {("a", 133), ("b", 67)}
+
+
+def test_one_series_is_numbered_by_many_tasks(spark, monkeypatch):
+    from permuta.sources import series as module
+
+    written, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda d: written.append(cut(d)) or written[-1])
+    rng = random.Random(3)
+    rows = [(None if rng.random() < 0.2 else "s", rng.choice([None, *range(500)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o int, i int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = src.number_rows(df, ["g"], ["o", "i"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert written[0].where("g = 's'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    for g in (None, "s"):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert sorted((r["pos"], r["i"]) for r in got.collect() if r["g"] == g) == [(p + 1, r[2]) for p, r in enumerate(own)]
+    assert src.number_rows(df.limit(0), ["g"], ["o"]).count() == 0
+    with pytest.raises(ValueError, match="reserved"):
+        src.number_rows(df.withColumn("_at", F.lit(1)), ["g"], ["o"])
+
+
+def test_previous_values_over_chunks(spark):
+    series = table(spark, [3, 1, 4, 1, 5, 9, 2, 6, 5], [7])
+    for chunk in (1, 2, 4, 100):
+        got = {(r["series_id"], r["pos"]): r["previous"] for r in src.previous_values(series, chunk).collect()}
+        assert [got["s0", p] for p in range(1, 10)] == [None, 3, 1, 4, 1, 5, 9, 2, 6] and got["s1", 1] is None and len(got) == 10
+
+
+def test_lengths_of_many_series(spark, monkeypatch):
+    from permuta.sources import series as module
+
+    rows = table(spark, [1, 2, 3], [4], [5, 6])
+    want = sorted(map(tuple, src.with_lengths(rows).collect()))
+    monkeypatch.setattr(module, "FEW_SERIES", 0)
+    assert sorted(map(tuple, src.with_lengths(rows).collect())) == want and {r[3] for r in want} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 16])
+def test_range_bound_counts_every_occurrence(spark, chunk):
+    t = random.Random(2).sample(range(1000), 150)
+    base = src.base_table(table(spark, t, t[::-1]), 0.02)
+    occ = op.window_occurrences(base, 3)
+    pairs = op.candidate_pairs(op.frequent(op.pattern_support(occ), 0.01))
+    at = {}
+    for r in occ.collect():
+        at.setdefault((r["series_id"], tuple(r["pattern"])), []).append(r["pos"])
+    seen = set()
+    for sigma in (0.9, 4.0, 6.0, 12.0):
+        for r in op.bound_tiers(pairs, occ, sigma, chunk).collect():
+            p, q = at[r["series_id"], tuple(r["p"])], at[r["series_id"], tuple(r["q"])]
+            seen.add(r["tier"])
+            if r["range_bound"] is not None:
+                inside = min(sum(r["low"] - 1 <= x <= r["high"] - 1 for x in p), sum(r["low"] <= x <= r["high"] for x in q))
+                assert math.isclose(r["range_bound"], inside * math.exp(-r["k"] * (r["n"] - r["high"])))
+                assert r["tier"] == ("range" if r["range_bound"] + 1e-12 < sigma else "pass")
+            else:
+                assert r["tier"] in ("residual", "span", "card")
+    assert {"residual", "pass"} <= seen
 
 
 def test_scalars(spark):

@@ -1,5 +1,7 @@
 import hashlib
 import os
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from test_mining import table
 
 from permuta import operators as op
 from permuta import sources as src
-from permuta.operators.compare import check_compared, status_tally
+from permuta.operators.compare import check_compared, differing_parts, status_tally
 from permuta.operators.prep import concat_sizes
 from permuta.operators.summary import average_runs, first_run_values
 from permuta.sources.sinks import write_number_text
@@ -25,6 +27,25 @@ def test_text_series(spark, tmp_path):
         src.read_text_series(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize("separator", ["\n", " "])
+def test_text_of_one_file_is_read_by_many_tasks(spark, tmp_path, separator):
+    rng = random.Random(1)
+    numbers = [str(rng.choice([rng.randint(0, 9), rng.randint(10**9, 10**10), rng.random()])) for _ in range(400)]
+    text = "".join(x + rng.choice([separator, separator * 3, " \t", "\n"]) for x in numbers)
+    (tmp_path / "a.txt").write_text(text)
+    (tmp_path / "b.txt").write_text("  \n ")
+    (tmp_path / "c.txt").write_text("1")
+    # The first block ends inside the first number longer than a digit.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(next(i for i in range(40, 4000) if text[i - 1 : i + 1].isdigit())))
+    try:
+        got = src.read_text_series(spark, str(tmp_path), separator=separator)
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 10
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(tuple, rows)) == [*[("a.txt", i + 1, float(x)) for i, x in enumerate(numbers)], ("c.txt", 1, 1.0)]
+
+
 def test_semicolon_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text('"";"A";"B"\n"2011-01-01 00:15:00";1,5;0\n"2011-01-01 00:30:00";2;3,25\n')
     assert [tuple(r)[1:] for r in src.read_semicolon_csv(spark, str(tmp_path / "x.csv")).collect()] == [(1.5, 0.0), (2.0, 3.25)]
@@ -42,9 +63,56 @@ def test_canonical_round_trip(spark, tmp_path):
 
 
 def test_number_text(spark, tmp_path):
-    write_number_text(table(spark, range(45)), f"{tmp_path}/o", 20)
-    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/o/series_id=s0").collect()]
-    assert sorted(len(x.split()) for x in lines) == [5, 20, 20]
+    write_number_text(table(spark, range(45), [7]), f"{tmp_path}/o", 20)
+    lines = (tmp_path / "o" / "s0.txt").read_text().splitlines()
+    assert [len(x.split()) for x in lines] == [20, 20, 5] and " ".join(lines).split() == [str(float(x)) for x in range(45)]
+    assert sorted(os.listdir(tmp_path / "o")) == ["s0.txt", "s1.txt"]
+
+
+def test_named_files_appear_together_or_not_at_all(spark, tmp_path):
+    lines = spark.createDataFrame([("a.csv", "2"), ("b.csv", "9"), ("a.csv", "1")], "name string, line string")
+    out = f"{tmp_path}/out"
+    src.write_named_files(lines, out, "head")
+    assert {n: (tmp_path / "out" / n).read_text() for n in os.listdir(out)} == {"a.csv": "head\n1\n2\n", "b.csv": "head\n9\n"}
+    bad = lines.withColumn("line", F.when(F.col("name") == "b.csv", F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
+    for broken in (bad, lines.withColumn("name", F.lit("x/y"))):
+        with pytest.raises(Exception, match="lost|no file can be named"):
+            src.write_named_files(broken, out)
+        assert sorted(os.listdir(tmp_path)) == ["out"] and sorted(os.listdir(out)) == ["a.csv", "b.csv"]
+    src.write_named_files(lines.where("name = 'b.csv'"), out)
+    assert os.listdir(out) == ["b.csv"]
+
+
+def test_files_are_hashed_piece_by_piece(spark, tmp_path):
+    data = bytes(range(256)) * 100
+    (tmp_path / "x y.bin").write_bytes(data)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "one.bin").write_bytes(b"1")
+    got = {os.path.basename(r["path"]): (r["bytes"], r["sha256"]) for r in src.file_digests(spark, str(tmp_path), block=1000).collect()}
+    assert got == {"x y.bin": (len(data), hashlib.sha256(data).hexdigest()), "one.bin": (1, hashlib.sha256(b"1").hexdigest())}
+
+
+@pytest.mark.parametrize("few", [3, 40, 10**6])
+def test_exact_medians_of_large_keys(spark, few):
+    rng = random.Random(few)
+    draw = {"a": lambda: rng.random(), "b": lambda: rng.choice([1.0, 2.0]), "c": lambda: 5.0, None: lambda: rng.gauss(0, 1e9), "d": lambda: float(rng.randint(0, 3)) if rng.random() < 0.5 else rng.random() * 3}
+    rows = [(g, f()) for g, f in draw.items() for _ in range(rng.randint(900, 1001))] + [("e", 1.0), ("e", 2.0), ("f", None), ("g", 7.0), *[("h", float(i)) for i in [0] * 50 + [1] * 50]]
+    df = spark.createDataFrame(rows, "g string, t double")
+    got = {r["g"]: (r["n_runs"], r["median"]) for r in op.summarize_runs(df, ["g"], "t", few).collect()}
+    for g in {r[0] for r in rows}:
+        own = [v for k, v in rows if k == g and v is not None]
+        assert got[g] == (len(own), statistics.median(own) if own else None)
+
+
+def test_differences_are_located(spark):
+    a = op.mine(table(spark, [rng for rng in random.Random(1).sample(range(10**6), 400)], [1, 2]), 0.01)
+    changed = a.where("series_id = 's0' and m = 4").first()["pattern"]
+    b = a.withColumn("support", F.when((F.col("pattern") == F.lit(changed)) & (F.col("series_id") == "s0"), F.col("support") + 1).otherwise(F.col("support")))
+    assert differing_parts(a, a, lines=16).isEmpty()
+    parts = differing_parts(a, b, lines=16).collect()
+    assert len(parts) == 1 and parts[0]["series_id"] == "s0" and parts[0]["lines_a"] == parts[0]["lines_b"] < a.count() / 4
+    lacks = differing_parts(a, a.where(F.col("pattern") != F.lit(changed)), lines=10**6).first()
+    assert lacks["lines_a"] == lacks["lines_b"] + 1
 
 
 def test_runs_and_averages(spark, tmp_path):
@@ -105,15 +173,23 @@ def test_no_runs(spark, tmp_path):
 
 def test_canonical_files(spark, tmp_path):
     mined = op.mine(table(spark, [3, 1, 2, 5, 4], [1, 2]), 0.5)
-    written = src.write_canonical_files(mined, str(tmp_path), 0.5)
-    assert [os.path.basename(x) for x in written] == ["s0_minsup_0.5.csv", "s1_minsup_0.5.csv"] or len(written) == 2
-    for sid, path in zip(("s0", "s1"), written, strict=True):
-        lines = open(path.removeprefix("file:")).read().splitlines()
+    folder = src.write_canonical_files(mined, str(tmp_path), 0.5)
+    assert sorted(os.listdir(folder)) == ["s0_minsup_0p5.csv", "s1_minsup_0p5.csv"]
+    for sid in ("s0", "s1"):
+        path = f"{folder}/{sid}_minsup_0p5.csv"
+        lines = open(path).read().splitlines()
         assert lines[0] == "pattern,support" and lines[1:] == sorted(lines[1:])
         want = {r["pattern"] for r in src.canonical_lines(mined.where(mined.series_id == sid)).collect()}
         assert {r["pattern"] for r in src.read_canonical(spark, path).collect()} == want
 
 
+def test_canonical_files_side_by_side(spark, tmp_path):
+    (tmp_path / "a_minsup_2.csv").write_text('pattern,support\n"[1, 2]",3.0\n"[2, 1]",1.0\n"[2, 1]",2.0\n')
+    (tmp_path / "b_minsup_2.csv").write_text('pattern,support\n"[1, 2]",7.0\n')
+    got = sorted(map(tuple, src.read_canonical(spark, str(tmp_path)).collect()))
+    assert got == [("a_minsup_2.csv", "[1, 2]", 3.0), ("a_minsup_2.csv", "[2, 1]", 2.0), ("b_minsup_2.csv", "[1, 2]", 7.0)]
+
+
 def test_methods_together(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Dataset,minsup,Time_s\nd.txt,2,1.5\n")
     (tmp_path / "b.csv").write_text("Dataset,minsup,Time_s,Fusions\nd.txt,2,3.0,7\n")
