@@ -17,7 +17,8 @@ from permuta.llm._store import Scratch, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble doesn't reject; each row is scored by itself, repeated rows and null keys too."""
     model = quality.learn(docs.where(~quality.held_out(F.col("doc_id"), 4, 2)), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return quality.score(plain, model, f"c{docs.columns.index('text')}").where("predicted = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,6 +202,9 @@ def link_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93,
 
 
 def keep_representatives(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, vec_id: str = "vec_id", **names: str) -> DataFrame:
-    """The rows of ``vectors`` that represent their group (the smallest id), columns unchanged."""
-    kept = link_vectors(vectors, scratch, threshold, vec_id, **names).where("kept").select(F.col("vec_id").alias("_kept")).distinct()
-    return vectors.join(kept, vectors[vec_id] == F.col("_kept"), "left_semi")
+    """The rows of ``vectors`` that represent their group (the smallest id), columns unchanged; rows of a null id link with nothing and stay."""
+    plain = vectors.toDF(*[f"c{i}" for i in range(len(vectors.columns))])
+    kept = link_vectors(vectors, scratch, threshold, vec_id, **names).where("kept").select("vec_id").distinct()
+    own = plain[f"c{vectors.columns.index(vec_id)}"]
+    with_id = plain.join(kept, own == kept["vec_id"], "left_semi")
+    return with_id.unionByName(plain.where(own.isNull())).toDF(*vectors.columns)

@@ -592,12 +592,16 @@ def _alignments(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: f
 def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the words of the passages that repeat an earlier text, columns unchanged.
 
-    The remaining words are joined by single spaces; a text without passages stays as it is.
+    The remaining words are joined by single spaces; a text without passages stays as it is, as does a null text
+    or a row of a null key.
     """
-    spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    spans = spans.withColumnRenamed("doc_id", "_key")
-    joined = docs.join(spans, docs[key] == F.col("_key"), "left")
-    split = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-    inside = lambda i: F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, words = F.col(f"c{names.index(key)}"), F.col(f"c{names.index(text)}")
+    spans = passages.groupBy(F.col("doc_id").alias("repeating")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = plain.join(spans, own == F.col("repeating"), "left")
+    split = F.regexp_extract_all(words, F.lit(r"([^\x20\x09-\x0D]+)"), 1)
+    inside = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
     kept = F.array_join(F.filter(split, lambda w, i: ~inside(i)), " ")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    out = [F.when(F.col("spans").isNull(), words).otherwise(kept) if c == text else F.col(f"c{i}") for i, c in enumerate(names)]
+    return joined.select(*out).toDF(*names)
