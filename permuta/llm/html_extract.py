@@ -4,8 +4,11 @@ A page is cut into blocks of text in page order.  Blocks with the same root-to-l
 one group: its text length outside links and its punctuation, each for one block, are smoothed over the
 paths' page order, fused into one ratio and thresholded.  The element that holds the blocks of the
 chosen paths is the content; its short blocks belong to it as well, whatever their path's ratio.
-Subtrees that mark themselves as boilerplate (by tag, role, or a whole class or id) don't count, unless they hold
-an article or main element or most of the page's text; hidden ones never do.
+Subtrees that mark themselves as boilerplate (by tag, role, class or id) don't count, however long they are, as long as
+there is prose beside them: prose in the sense of the ratios, text outside links with punctuation.  A mark is taken
+back where the element holds an article or main element, or where nothing else on the page is prose; a weak mark
+(a form, a header, a name of which only a part is a known one) also where it holds most of the page's prose.
+Hidden subtrees never count.
 """
 
 from __future__ import annotations
@@ -37,6 +40,12 @@ NAMES = frozenset(
     "header masthead menu menubar nav navbar navigation newsletter notice notices notification popup promo promotion related reply replies respond share "
     "sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets alert modal paywall login search".split()
 )
+#: Beside one of these in a class or id, the name of a boilerplate tells what the element has or lacks, not what it is.
+PLAIN = frozenset("article articles body container content entry has main no page post posts story text with without wrapper wrap layout title".split())
+#: Parts of a name that tell a boilerplate's shape or place.
+SHAPES = frozenset("area bar block bottom box column feed group holder inner item items left link links list module outer panel right row section slot strip top unit zone".split())
+#: Tags that often hold a whole page, or the article's own heading.
+WEAK = frozenset("form fieldset header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -56,23 +65,29 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _is_name(token: str) -> bool:
-    """Whether a class or id is a boilerplate name, or made of such names alone."""
-    parts = re.split(r"[-_]+", token)
-    return token in NAMES or len(parts) > 1 and NAMES.issuperset(parts)
+def _name_weight(token: str) -> int:
+    """2 for a class or id of boilerplate names, with or without shapes; 1 if only a part is such a name; else 0."""
+    parts = {x for x in re.split(r"[-_]+", token) if x}
+    if token in NAMES or parts & NAMES and parts <= NAMES | SHAPES:
+        return 2
+    return int(bool(parts & NAMES) and not parts & PLAIN)
 
 
 def _is_hidden(tag: str, found: dict[str, str]) -> bool:
     return tag == "head" or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
 
 
-def _is_boilerplate(tag: str, found: dict[str, str], in_content: bool) -> bool:
-    if tag in BOILERPLATE and not (tag == "header" and in_content) or found.get("role") in ROLES:
-        return True
+def _mark(tag: str, found: dict[str, str], in_content: bool) -> int:
+    """How strongly an element marks itself as boilerplate: 2, 1 (weakly) or 0."""
+    own = 0 if tag not in BOILERPLATE or tag == "header" and in_content else 1 if tag in WEAK else 2
+    if own == 2 or found.get("role") in ROLES:
+        return 2
     if tag in ("html", "body", "article", "main"):
-        return False
-    names = {x for c in ("class", "id") for x in found.get(c, "").split() if _is_name(x)}
-    return bool(names) and not (in_content and names == {"header"})
+        return own
+    names = {x for c in ("class", "id") for x in found.get(c, "").split()}
+    weight = max([0, *[_name_weight(x) for x in names if not (in_content and x == "header")]])
+    # Inside an article a name in part is more likely the article's own.
+    return max(own, 0 if in_content and weight == 1 else weight)
 
 
 @dataclass
@@ -100,7 +115,7 @@ def blocks(page: str) -> Page:
     """The blocks of a page; elements are known by number and parent, so the work grows with the page alone."""
     out, text, linked = [], [], 0
     # Elements by number, 0 above all: parent, parent among block elements, tag, depth among those, in an article or main, marked.
-    parent, above, tags, depth, in_content, marked = [0], [0], [""], [0], [False], [False]
+    parent, above, tags, depth, in_content, marked = [0], [0], [""], [0], [False], [0]
     paths: dict[tuple[int, str], int] = {}  # tag paths, as a path and a tag below it
     path_of = [0]
     around: list[int] = []  # of each block the element it ended in, inline ones too
@@ -165,28 +180,51 @@ def blocks(page: str) -> Page:
         block = tag not in INLINE
         depth.append(depth[holder] + block)
         path_of.append(paths.setdefault((path_of[holder], tag), len(paths) + 1) if block else path_of[holder])
-        marked.append(_is_boilerplate(tag, found, in_content[top[0]]))
+        marked.append(_mark(tag, found, in_content[top[0]]))
         in_content.append(in_content[top[0]] or tag in CONTENT)
         holding.append(tag in CONTENT and not hidden)
         if not (m[4] or "").endswith("/") or tag in INLINE:
             stack.append((number, tag, hidden, top[3] or tag == "a"))
             opened[tag] += 1
     flush()
-    # A mark on an element that holds the article, or most of the text outside links, doesn't count.
-    held = [0] * len(parent)
-    for b, x in zip(out, around, strict=True):
-        held[x] += max(0, len(b.text) - b.linked)
     for x in range(len(parent) - 1, 0, -1):  # children come after their parents
-        held[parent[x]] += held[x]
         if holding[x]:
             holding[parent[x]] = True
-        marked[x] = marked[x] and not (holding[x] and tags[x] not in CONTENT)
-    gone = [False] * len(parent)
-    for x in range(1, len(parent)):
-        gone[x] = gone[parent[x]] or marked[x] and 2 * held[x] <= held[0]
+            marked[x] *= tags[x] in CONTENT
+    gone = _boilerplate(parent, marked, [_prose(b) for b in out], around)
     return Page([b for b, x in zip(out, around, strict=True) if not gone[x]], above, tags, depth, in_content)
 
 
+def _prose(b: Block) -> int:
+    """Characters of a block that read like prose: outside links, with punctuation or of some length."""
+    own = len(b.text) - b.linked
+    return own if 2 * b.linked < len(b.text) and (own >= 20 and _PUNCTUATION.search(b.text) or own >= 60) else 0
+
+
+def _boilerplate(parent: list[int], marked: list[int], prose: list[int], around: list[int]) -> list[bool]:
+    """Which elements stand in a marked one, after marks were taken back where they hold the page's prose."""
+    marked = list(marked)
+    while True:
+        # The innermost mark around each element, and how much prose stands right below each mark (0: below none).
+        mark = [0] * len(parent)
+        for x in range(1, len(parent)):
+            mark[x] = x if marked[x] else mark[parent[x]]
+        below = [0] * len(parent)
+        for n, x in zip(prose, around, strict=True):
+            below[mark[x]] += n
+        best = max((x for x in range(1, len(parent)) if marked[x]), key=lambda x: below[x], default=0)
+        weak = max((x for x in range(1, len(parent)) if marked[x] == 1), key=lambda x: below[x], default=0)
+        if best and below[best] and not below[0]:
+            x = best
+        elif weak and below[weak] > 2 * below[0]:
+            x = weak
+        else:
+            return [bool(m) for m in mark]
+        while x:
+            marked[x] = 0
+            x = parent[x]
+
+
 def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
     """Gaussian smoothing over neighbouring paths."""
     weights = np.exp(-0.5 * np.arange(-radius, radius + 1) ** 2.0)
@@ -194,12 +232,8 @@ def _smooth(x: np.ndarray, radius: int = 1) -> np.ndarray:
     return x if total is None else np.convolve(x, weights, "same") / total
 
 
-def extract(page: str | None, spread: float = 0.5) -> str:
-    """Main text of one page: blocks joined by an empty line; null, empty or textless pages give ``""``."""
-    tree = blocks(page or "")
-    found = tree.blocks
-    if not found:
-        return ""
+def chosen_blocks(found: list[Block], spread: float = 0.5) -> list[int]:
+    """Blocks of the paths whose fused ratio reaches ``spread`` standard deviations, or the largest one."""
     groups = defaultdict(list)  # in order of first appearance
     for i, b in enumerate(found):
         groups[b.path].append(i)
@@ -208,7 +242,16 @@ def extract(page: str | None, spread: float = 0.5) -> str:
     fused = _smooth(length) * (1 + _smooth(marks))
     fused[length == 0] = 0
     chosen = fused >= min(spread * fused.std() + 1e-9, fused.max()) if len(fused) > 1 else fused >= 0
-    content = [i for g, on in zip(groups.values(), chosen, strict=True) if on for i in g]
+    return [i for g, on in zip(groups.values(), chosen, strict=True) if on for i in g]
+
+
+def extract(page: str | None, spread: float = 0.5) -> str:
+    """Main text of one page: blocks joined by an empty line; null, empty or textless pages give ``""``."""
+    tree = blocks(page or "")
+    found = tree.blocks
+    if not found:
+        return ""
+    content = chosen_blocks(found, spread)
     # Where some of the chosen blocks stand in an article or main element, that element is the content.
     marked = [i for i in content if tree.in_content[found[i].node]]
     content = marked or content

@@ -10,7 +10,7 @@ import pytest
 from llm_brute import hits, words
 from pyspark.sql import functions as F
 
-from permuta.llm import decontaminate, hmm, language, mixing, quality, token_output
+from permuta.llm import decontaminate, hmm, html_extract, language, mixing, quality, token_output
 from permuta.llm.html_extract import extract, extract_pages
 from permuta.llm.quality import held_out
 
@@ -380,3 +380,76 @@ def test_languages_match_votes_row_by_row(docs):
         family, p = vote("", model.families, margin)
         want, q = vote(family, model.languages[family], margin)
         assert lang == want and abs(score - min(p, q)) < 1e-4
+
+
+def prose(word, n):
+    return "".join(f"<p>{word} {i} goes on for a while, and then some. It has two sentences.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "mark", ['id="comments"', 'class="widget"', 'class="cookie-bar"', 'class="ad-unit"', 'id="footer_links"', 'class="related-items"', 'role="complementary"', 'class="x sidebar"']
+)
+@pytest.mark.parametrize("first", [False, True])
+def test_boilerplate_longer_than_the_article_goes(mark, first):
+    article, other = f'<div id="content"><h1>Title</h1>{prose("Article", 2)}</div>', f"<div {mark}><h2>Beside</h2>{prose('Other', 6)}</div>"
+    text = html_extract.extract(f"<html><body>{other + article if first else article + other}</body></html>")
+    assert text.count("Article") == 2 and "Title" in text and "Other" not in text and "Beside" not in text
+
+
+@pytest.mark.parametrize("wrap", ["<form>{}</form>", '<div class="widget">{}</div>', '<div class="no-sidebar">{}</div>', '<div class="sidebar"><div class="search-results">{}</div></div>', '<div class="header-fixed">{}</div>'])
+def test_marks_around_the_only_prose_are_taken_back(wrap):
+    page = f'<html><body><div class="nav"><a href="/">Home</a> <a href="/x">More of it</a></div>{wrap.format(prose("Article", 3))}<div class="footer">Terms and such, 2024.</div></body></html>'
+    text = html_extract.extract(page)
+    assert text.count("Article") == 3 and "Home" not in text and "Terms" not in text
+
+
+def plain_choice(found, spread):
+    """The ratios written out: by path the mean length outside links and punctuation, smoothed, multiplied, thresholded."""
+    paths = list(dict.fromkeys(b.path for b in found))
+    length, marks = [], []
+    for p in paths:
+        own = [b for b in found if b.path == p]
+        length.append(sum(max(0, len(b.text) - b.linked) for b in own) / len(own))
+        marks.append(sum(sum(c in ".,;:!?" for c in b.text) for b in own if b.linked < len(b.text) / 2) / len(own))
+
+    def smooth(x):
+        if len(x) < 3:
+            return x
+        near = lambda i: [(math.exp(-0.5 * (i - j) ** 2), x[j]) for j in (i - 1, i, i + 1) if 0 <= j < len(x)]
+        return [sum(w * v for w, v in near(i)) / sum(w for w, _ in near(i)) for i in range(len(x))]
+
+    fused = [0 if not n else a * (1 + b) for n, a, b in zip(length, smooth(length), smooth(marks), strict=True)]
+    mean = sum(fused) / len(fused)
+    level = min(spread * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)) + 1e-9, max(fused))
+    chosen = {p for p, f in zip(paths, fused, strict=True) if len(paths) == 1 or f >= level - 1e-12}
+    return [i for i, b in enumerate(found) if b.path in chosen]
+
+
+def random_page(rng):
+    """A page of random boilerplate around an article, and the article's blocks."""
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(n))
+    sentence = lambda: f"{words(rng.randint(5, 16)).capitalize()}{rng.choice('.!?')}"
+    blocks = [f"Title {words(4)}", *[" ".join(sentence() for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(2, 9))]]
+    inner = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    holder = rng.choice(['<article>{}</article>', '<div id="content">{}</div>', '<div class="post-body"><div>{}</div></div>', '<main>{}</main>', '<div>{}</div>'])
+    links = "".join(f'<li><a href="/{i}">{words(2)}</a></li>' for i in range(rng.randint(3, 12)))
+    said = "".join(f"<div><b>{words(1)}</b><p>{sentence()} {sentence()}</p></div>" for _ in range(rng.randint(1, 12)))
+    before = [f"<nav><ul>{links}</ul></nav>", f'<div class="menu-bar"><ul>{links}</ul></div>', f'<div class="cookie-bar"><p>{sentence()}</p><button>OK</button></div>', f"<header><h2>{words(2)}</h2></header>"]
+    after = [f'<div class="comments-section">{said}</div>', f'<div id="comments">{said}</div>', f'<div class="ad-unit"><p>{sentence()}</p></div>', f'<div class="sidebar"><h3>{words(2)}</h3><ul>{links}</ul></div>', f"<footer><p>{sentence()}</p></footer>", f"<form><p>{words(3)}</p><input></form>"]
+    pick = lambda x: "".join(rng.sample(x, rng.randint(0, len(x))))
+    return f"<html><head><title>{words(3)}</title><style>p{{}}</style></head><body>{pick(before)}{holder.format(inner)}{pick(after)}<script>x=1;</script></body></html>", blocks
+
+
+def test_ratios_match_a_plain_form_and_marked_pages_keep_their_article():
+    rng = random.Random(7)
+    kept = lost = extra = 0
+    for _ in range(300):
+        page, article = random_page(rng)
+        found = html_extract.blocks(page).blocks
+        assert html_extract.chosen_blocks(found) == plain_choice(found, 0.5)
+        got = html_extract.extract(page).split("\n\n")
+        kept += sum(len(b) for b in article if b in got)
+        lost += sum(len(b) for b in article if b not in got)
+        extra += sum(len(b) for b in got if b not in article)
+    print(f"kept {kept / (kept + lost):.4f} of the articles, {extra / (kept + lost):.4f} beside them")
+    assert lost < 0.02 * kept and extra < 0.02 * kept
