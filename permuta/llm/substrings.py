@@ -7,7 +7,9 @@ one and sends only that to the others, so a seed of very many texts gives a few
 task's other occurrences then take over the match of its first.
 The matches of two texts are chained in order with gap costs, the best predecessor being found through a
 Fenwick tree; a chain's gaps and ends are aligned word by word, which carries passages over small edits.
-The first text of a seed needn't be the one that holds the passage: where a text's seeds all stand in
+The first text of a seed needn't be the one that holds the passage: where neighbouring seeds of a text have different
+first texts, the two together are a seed as well (``LINKED``), and that pair's first text is a partner too; so a
+fuzzy copy is found although each of its lines stands in an earlier text.  And where a text's seeds all stand in
 other texts and no equal run explains them, its windows of a whole passage's length meet in the same
 way, so every exact repeat of that length is found, whatever its parts match.
 """
@@ -36,6 +38,8 @@ AROUND = 32
 PICKED = 500_000
 #: Seeds that a task holds before it passes them on.
 RUN = 2_000_000
+#: Seeds behind a seed that are joined with it, and joined seeds that two texts must share to be aligned for them.
+LINKED, LEAST_LINKED = 4, 3
 #: Aligning stops after a loss of so many points (match 1, mismatch or gap -1), in a band of so many words.
 DROP, BAND = 8, 12
 
@@ -166,6 +170,23 @@ def first_matches(found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return met.where("not via").select("id", "pos", "src", "src_pos").unionByName(via.select("id", "pos", F.col("g").alias("src"), F.col("g_pos").alias("src_pos")))
 
 
+def linked_seeds(pos: np.ndarray, src: np.ndarray, src_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and positions of pairs of a text's shared seeds, near each other and of sources that no one chain explains.
+
+    A seed is named by its first occurrence of all; pairs of one source on nearly one diagonal are left to its chain.
+    """
+    order = np.lexsort((src_pos, pos))
+    pos, src, src_pos = pos[order], src[order], src_pos[order]
+    name = _text.mix(src.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _text.mix(src_pos.astype(np.uint64)))
+    keys, at = [], []
+    for d in range(1, min(LINKED, len(pos) - 1) + 1):
+        step = pos[d:] - pos[:-d]
+        on = np.flatnonzero((step > 0) & (step <= GAP) & ((src[d:] != src[:-d]) | (np.abs(src_pos[d:] - src_pos[:-d] - step) > BAND)))
+        keys.append(_text.mix(name[on] + _text.mix(name[on + d] ^ np.uint64(0xD6E8FEB86659FD93))))
+        at.append(pos[on])
+    return (np.concatenate(keys), np.concatenate(at)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def runs(pos: np.ndarray, src: np.ndarray, k: int = K, reach: int = K + W) -> list[tuple[int, int, int]]:
     """Matches on one diagonal that touch or nearly touch, as (start, source start, words)."""
     if len(pos) == 1:
@@ -390,9 +411,9 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
 
     A passage of at least ``min_words`` words (positions count ``[^\\x20\\x09-\\x0D]+`` words, A-Z folded,
     ``end`` excluded) of which at least ``min_share`` match in order a passage of the text ``src_doc_id``,
-    a smaller key: the first of all texts that holds a seed of it or a window of ``min_words`` of it, so
+    a smaller key: the first of all texts that holds a seed of it, two joined seeds or a window of ``min_words`` of it, so
     the result depends on the table alone.  Every exact repeat of ``min_words`` words is covered; a fuzzy one is
-    found if the first text of one of its seeds is its partner.  Its seeds are chained over gaps of ``GAP`` words at
+    found if the first text of one of its seeds, or of ``LEAST_LINKED`` of its joined ones, is its partner.  Its seeds are chained over gaps of ``GAP`` words at
     most, and an alignment ends where it loses ``DROP`` points or leaves a band of ``BAND`` words: parts beyond
     that are passages of their own, and of those that a text shares with one other the
     fewest are given that have all words of all.  Repeats inside one text and rows of null key or text
@@ -403,6 +424,7 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
     met = first_matches(d.mapInArrow(_seeds, ROWS), scratch, "seeds")
     met = met.groupBy("id").agg(F.collect_list(F.struct("pos", "src", "src_pos")).alias("m"))
     kind = "id long, src long, chains binary"
+    linked = np.int64(-(2**63))  # in place of a source: joined seeds
 
     def chain_up(batches):
         for batch in batches:
@@ -431,6 +453,11 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                             areas.append((max(p[x] - W + 1, b[u] - min_words + K, 0), min(p[y] + K + W - 1, b[v] + min_words)))
                 if areas:
                     add(i, None, np.array(areas))
+                keys, at = linked_seeds(pos, src, src_pos)
+                if len(keys):
+                    ids.append(i)
+                    srcs.append(linked)
+                    out.append(np.stack([keys.view(np.int64), at]).tobytes())
                 pos, src, src_pos = (x[src != i] for x in (pos, src, src_pos))
                 order = np.lexsort((pos, src))
                 for at in np.split(order, np.flatnonzero(np.diff(src[order])) + 1) if len(order) else ():
@@ -441,14 +468,43 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
 
     chained = scratch.keep(met.mapInArrow(chain_up, kind), "chains")
     scratch.drop("seeds")
-    areas, chained = chained.where("src is null"), chained.where("src is not null")
+    areas, joined, chained = chained.where("src is null"), chained.where(F.col("src") == int(linked)), chained.where(F.col("src") != int(linked))
+
+    def joined_seeds(batches):
+        def occurrences():
+            for batch in batches:
+                for i, raw in zip(batch.column("id").to_pylist(), batch.column("chains").to_pylist(), strict=True):
+                    keys, at = np.frombuffer(raw, np.int64).reshape(2, -1)
+                    yield keys.view(np.uint64), i, at
+
+        return _in_runs(occurrences())
+
+    def chain_linked(batches):
+        for batch in batches:
+            ids, srcs, out = [], [], []
+            for i, src, m in zip(batch.column("id").to_pylist(), batch.column("src").to_pylist(), batch.column("m"), strict=True):
+                at = np.unique(np.stack([m.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "src_pos")]), axis=1)
+                for group in near(chains(runs(*at))):
+                    ids.append(i)
+                    srcs.append(src)
+                    out.append(np.array([(n, *a) for n, c in enumerate(group) for a in c], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(srcs, pa.int64()), pa.array(out, pa.binary())], ["id", "src", "chains"])
+        _text.release()
+
+    # Partners by joined seeds, where the seeds alone led to others.
+    pairs = first_matches(joined.mapInArrow(joined_seeds, ROWS), scratch, "linked").where("src <> id")
+    pairs = pairs.groupBy("id", "src").agg(F.collect_list(F.struct("pos", "src_pos")).alias("m")).where(F.size("m") >= LEAST_LINKED)
+    pairs = pairs.join(chained.select("id", "src").distinct(), ["id", "src"], "left_anti").select("id", "src", "m")
+    extra = scratch.keep(pairs.mapInArrow(chain_linked, kind), "linked_chains")
+    scratch.drop("linked")
+    chained = chained.unionByName(extra)
 
     def hashed(batches):
         for batch in batches:
             raw = [(h >> np.uint64(32)).astype(np.uint32).tobytes() for _, h in _text.documents(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["id", "h"])
 
-    wanted = scratch.spark.read.parquet(scratch.path("chains")).select("id").unionByName(chained.select(F.col("src").alias("id"))).distinct()
+    wanted = areas.select("id").unionByName(chained.select("id")).unionByName(chained.select(F.col("src").alias("id"))).distinct()
     texts = d.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     texts = scratch.keep(texts.mapInArrow(hashed, "id long, h binary"), "texts")
     found = scratch.keep(_aligned(chained, texts, min_words, min_share, scratch, "aligned"), "aligned")

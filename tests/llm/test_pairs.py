@@ -214,6 +214,51 @@ def test_repeats_whose_parts_stand_in_other_texts(docs, scratch):
     assert all(r["start"] <= 25 and r["end"] >= 85 for r in got)
 
 
+def test_fuzzy_copies_whose_lines_stand_in_earlier_texts(docs, scratch):
+    rng = random.Random(31)
+    early, first, second = [], [], []
+    for _ in range(30):
+        lines = [text(20, rng).split(" ") for _ in range(4)]
+        early += [f"{text(30, rng)} {' '.join(line)} {text(30, rng)}" for line in lines]
+        changed = [["changed" + str(rng.random()), *line[1:]] for line in lines]
+        first.append(f"{text(25, rng)} {' '.join(w for x in lines for w in x)} {text(25, rng)}")
+        second.append(f"{text(25, rng)} {' '.join(w for x in changed for w in x)} {text(25, rng)}")
+    n = len(early)
+    got = substrings.find_passages(docs(early + first + second), scratch).collect()
+    assert {(r["doc_id"], r["src_doc_id"]) for r in got} == {(n + 30 + i, n + i) for i in range(30)}
+    assert all(r["start"] <= 27 and r["end"] >= 103 and r["n_same"] >= 74 for r in got)
+
+
+def close(a, b, n=50, share=0.75):
+    """Whether a stretch of ``n`` words of ``a`` has a local alignment with ``b`` of that share of equal words, by plain dynamic programming."""
+    best = 0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+        best = row[-1]
+    return len(a) >= n and best >= share * len(a)
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15])
+def test_fuzzy_passages_match_brute_force(docs, scratch, rate):
+    """Every planted fuzzy passage is one by dynamic programming; at least 95 of 100 are found, and nothing else."""
+    rng = random.Random(int(rate * 100))
+    rows, want = [], set()
+    for i in range(40):
+        passage = text(90, rng).split(" ")
+        copy = [rng.choice([[], ["x" + str(rng.random())], [w, "y" + str(rng.random())]]) if rng.random() < rate else [w] for w in passage]
+        copy = [w for x in copy for w in x]
+        assert close(passage, copy)
+        rows += [f"{text(20, rng)} {' '.join(passage)} {text(20, rng)}", f"{text(20, rng)} {' '.join(copy)} {text(20, rng)}"]
+        want.add((2 * i + 1, 2 * i))
+    got = {(r["doc_id"], r["src_doc_id"]) for r in substrings.find_passages(docs(rows), scratch).collect()}
+    print(f"edits of {rate:.0%}: {len(got & want)} of {len(want)}")
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_matches_do_not_depend_on_batches():
     rng = np.random.default_rng(2)
     key, ids, pos = np.sort(rng.integers(0, 30, 200)), rng.integers(0, 4, 200), np.arange(200, dtype=np.int32)
