@@ -6,9 +6,9 @@ support after n values is the sum of exp(-k (n - pos)) over the occurrences writ
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +29,14 @@ def stream_windows(values: DataFrame, m: int) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pos, tail = state.get if state.exists else (0, [])
-        tail = list(tail)
-        rows = pd.concat(list(frames)).sort_values("seq")["v"].tolist()
-        ends, windows = [], []
-        for v in rows:
-            pos += 1
-            tail = [*tail, math.nan if v is None else float(v) + 0.0][-m:]
-            if len(tail) == m and not any(map(math.isnan, tail)) and len(set(tail)) == m:
-                ends.append(pos)
-                windows.append(tail)
-        state.update((pos, tail[-(m - 1) :]))
-        yield pd.DataFrame({"series_id": [key[0]] * len(ends), "pos": ends, "values": windows})
+        rows = pd.concat(list(frames)).sort_values("seq")["v"].to_numpy(float) + 0.0
+        known = np.concatenate([np.array(tail, float), rows])
+        windows = np.lib.stride_tricks.sliding_window_view(known, m) if len(known) >= m else np.zeros((0, m))
+        ordered = np.sort(windows, axis=1)
+        whole = ~np.isnan(ordered[:, -1]) & (ordered[:, 1:] != ordered[:, :-1]).all(1)
+        ends = pos - len(tail) + m + np.flatnonzero(whole)
+        state.update((pos + len(rows), known[len(known) - min(m - 1, len(known)) :].tolist()))
+        yield pd.DataFrame({"series_id": [key[0]] * len(ends), "pos": ends, "values": windows[whole].tolist()})
 
     found = values.groupBy("series_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
     return found.select("series_id", "pos", rank_encode(F.col("values")).alias("pattern"))
