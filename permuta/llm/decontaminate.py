@@ -125,7 +125,7 @@ def _passes(benchmark: DataFrame, text: str, item: str, n: int) -> Iterator[tupl
     for row in rows.toLocalIterator():
         held[0].append(bytes(row["w"]))
         held[1].append(row["items"])
-        size += len(row["w"])
+        size += len(row["w"]) + sum(map(len, row["items"]))
         if size >= PASS_BYTES:
             yield held
             held, size = ([], []), 0
@@ -153,7 +153,10 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 def _searcher(broadcast, text: str, n_columns: int):
     def search(batches):
         patterns, owners = broadcast.value
-        found = matchers(patterns) if patterns else []
+        # A worker has one object for a broadcast, so later tasks find the tables of the first.
+        if not hasattr(broadcast, "tables"):
+            broadcast.tables = matchers(patterns) if patterns else []
+        found = broadcast.tables
         for batch in batches:
             data, off = _text.flat(batch.column(text))
             n_words, hits, items = [], [], []
