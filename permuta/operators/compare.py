@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from permuta.sources.files import file_digests, stream_digests
+from permuta.sources.readers import read_canonical
 from permuta.sources.sinks import digest_list
 
 TOLERANCE = 1e-6
@@ -63,6 +65,27 @@ def differing_parts(a: DataFrame, b: DataFrame, decimals: int = 6, lines: int =
     return both.select(F.coalesce("series_id", "_s").alias("series_id"), F.coalesce("part", "_p").alias("part"), zero("lines_a"), zero("lines_b"))
 
 
+def compare_folders(spark: SparkSession, a: str, b: str, decimals: int = 6, tolerance: float = TOLERANCE) -> DataFrame:
+    """(file, status, max_diff, raw_a, raw_b, normalized_a, normalized_b) of two folders of canonical files, matched by name.
+
+    raw is the digest of the file as it was written, normalized that of its sorted lines with ``decimals``; a file that
+    one side lacks has nulls there.  status as in ``comparison_status``.
+    """
+    text, raw, normal = [], [], []
+    for side, folder in (("a", a), ("b", b)):
+        rows = read_canonical(spark, folder).withColumnRenamed("file", "series_id")
+        text.append(rows)
+        files = file_digests(spark, folder, "*.csv").select(F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)).alias("series_id"), F.col("sha256").alias(f"raw_{side}"))
+        raw.append(files)
+        lines = rows.withColumn("line", F.format_string(f'"%s",%.{decimals}f', F.col("pattern"), F.col("support")))
+        normal.append(stream_digests(lines, ["line"]).withColumnRenamed("sha256", f"normalized_{side}"))
+    out = compare_patterns(*text, tolerance)
+    for more in (*raw, *normal):
+        out = out.join(more, "series_id", "left")
+    status = F.when(F.col("raw_a") == F.col("raw_b"), "SHA256_MATCH").when(F.col("normalized_a") == F.col("normalized_b"), "NORMALIZED_SHA256_MATCH").otherwise(F.col("status"))
+    return out.select(F.col("series_id").alias("file"), status.alias("status"), "max_diff", "raw_a", "raw_b", "normalized_a", "normalized_b")
+
+
 def status_tally(compared: DataFrame) -> DataFrame:
     """One row: raw, normalized, tolerance and failed comparisons."""
     s = F.col("status")

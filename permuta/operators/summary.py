@@ -84,6 +84,13 @@ def exact_medians(rows: DataFrame, key: list[str], value: str, few: int = FEW_VA
         left = cut(_null_safe_join(left, limits, key).where(F.col("v").between(F.col("least"), F.col("most"))).select(*key, "v"))
 
 
+def result_summary(mined: DataFrame, minsup: float) -> DataFrame:
+    """(Dataset, minsup, Length, FreqPatterns, MaxPattern, Support) of each series of a mined set: its values, patterns, longest pattern and summed support."""
+    return mined.groupBy(F.col("series_id").alias("Dataset")).agg(
+        F.lit(float(minsup)).alias("minsup"), F.max("n").alias("Length"), F.count("*").alias("FreqPatterns"), F.max("m").alias("MaxPattern"), F.sum("support").alias("Support")
+    )
+
+
 def best_config(summary: DataFrame, case: list[str], config: str, value: str) -> DataFrame:
     """The configuration of least value of each case; ties go to the first name."""
     best = summary.groupBy(*case).agg(F.min(F.struct(F.col(value).alias("v"), F.col(config).alias("c"))).alias("b"))

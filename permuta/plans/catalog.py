@@ -390,6 +390,25 @@ def result_differences(spark, sf_dir):
     return differing_parts(a, b)
 
 
+def file_comparison(spark, sf_dir):
+    """``status_cases`` over two folders of written files."""
+    a = level(spark, sf_dir, 3).withColumn("support", F.round("support", 6))
+    s = F.col("series_id")
+    moved = F.when(s == "click", 1e-8).when(s == "error", 6e-7).when(s == "purchase", 0.5).otherwise(0.0)
+    b = a.withColumn("support", F.col("support") + moved).where((s != "signup") | (F.element_at("pattern", 1) != 1)).where(s != "view")
+    folders = [src.write_canonical_files(x, new_folder(spark, "compared"), SIGMA) for x in (a, b)]
+    out = op.compare_folders(spark, *folders)
+    return out.select("file", "status", F.round("max_diff", 4).alias("max_diff"), "raw_a", "raw_b")
+
+
+def summary_file(spark, sf_dir):
+    """A summary of the whole closure, written and read back."""
+    folder = new_folder(spark, "summary")
+    src.write_summary(op.result_summary(op.mine(events(spark, sf_dir), SIGMA), SIGMA), folder)
+    rows = spark.read.csv(folder, header=True, schema="Dataset string, minsup double, Length long, FreqPatterns long, MaxPattern long, Support double")
+    return rows.withColumn("Support", F.round("Support", 6))
+
+
 def hot_medians(spark, sf_dir):
     """Exact medians of keys with more values than a task may hold, by counting passes."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linestatus", F.col("l_extendedprice").alias("Time_s"))
@@ -413,7 +432,7 @@ QUERIES = {
             occurrence_density, work_counters, generation_trace, canonical_text, compare_sets, compare_strategies, status_cases, common_patterns, variant_ratios, set_differences, normalized_sha, repeat_series, unpivot_clients,
             interleave_series, concatenate_series, number_text_lines, client_stats, bench_summary, best_config, win_counts, relative_to_baseline, pivot_methods, unstable_counters,
             same_work, run_averages, topk_patterns, positions_by_range, closure_rising, canonical_files, text_files, file_checksums, client_report, semicolon_clients, run_files, method_files,
-            text_patterns, result_differences, hot_medians,
+            text_patterns, result_differences, hot_medians, file_comparison, summary_file,
         )
     },
 }

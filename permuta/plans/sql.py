@@ -265,5 +265,13 @@ SELECT series_id, m::INT AS m, '[' || array_to_string(range(1, m + 1), ', ') ||
     "method_files": f"WITH t AS ({_FILES}) SELECT CASE l_linestatus WHEN 'F' THEN 'a' ELSE 'b' END AS method, replace(Dataset, '.txt', '') AS Dataset, 2.5::DOUBLE AS minsup, Time_s, Fusions FROM t WHERE l_linestatus = 'F' AND l_linenumber = 1 OR l_linestatus <> 'F' AND l_linenumber = 2",
     "text_patterns": f"{_UP_TO[4]} SELECT series_id, {_text('p')} AS pattern, p[4]::INT AS last, ceil(log2(cnt))::INT AS bits FROM f4",
     "result_differences": f"{_UP_TO[3]} SELECT series_id, 0::BIGINT AS part, count(*) AS lines_a, CASE series_id WHEN 'click' THEN count(*) FILTER (WHERE p[1] <> 1) ELSE count(*) END AS lines_b FROM f3 WHERE series_id IN ('click', 'view') GROUP BY series_id",
+    "file_comparison": f"""{_CASES[: _CASES.index('SELECT series_id, n_a')].rstrip()},
+fa AS (SELECT series_id, sha256('pattern,support' || chr(10) || string_agg(printf('"%s",%.10f', {_text('p')}, support) || chr(10), '' ORDER BY {_text('p')})) AS raw FROM a GROUP BY series_id),
+fb AS (SELECT series_id, sha256('pattern,support' || chr(10) || string_agg(printf('"%s",%.10f', {_text('p')}, support) || chr(10), '' ORDER BY {_text('p')})) AS raw FROM b GROUP BY series_id)
+SELECT g.series_id || '_minsup_4.csv' AS file, round(diff, 4) AS max_diff, fa.raw AS raw_a, fb.raw AS raw_b,
+  CASE WHEN fa.raw = fb.raw THEN 'SHA256_MATCH' WHEN x.h6 = y.h6 THEN 'NORMALIZED_SHA256_MATCH' WHEN n_a = 0 OR n_b = 0 THEN 'MISSING_FILE'
+    WHEN only_a + only_b > 0 THEN 'PATTERN_SET_MISMATCH' WHEN diff > 1e-6 THEN 'SUPPORT_MISMATCH' ELSE 'CONTENT_MATCH_TOLERANCE' END AS status
+FROM g LEFT JOIN x USING (series_id) LEFT JOIN y USING (series_id) LEFT JOIN fa USING (series_id) LEFT JOIN fb USING (series_id)""",
+    "summary_file": f"WITH {_base()}, {_levels(_TOP)}, u AS ({_union(range(2, _TOP + 1), 'series_id, m, support, n')}) SELECT series_id AS Dataset, {SIGMA}::DOUBLE AS minsup, max(n) AS Length, count(*) AS FreqPatterns, max(m)::BIGINT AS MaxPattern, round(sum(support), 6) AS Support FROM u GROUP BY series_id",
     "hot_medians": "SELECT l_linestatus, count(l_extendedprice) AS n_runs, round(median(l_extendedprice), 4) AS median, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem GROUP BY l_linestatus",
 }

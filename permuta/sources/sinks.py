@@ -35,8 +35,16 @@ def write_canonical_files(patterns: DataFrame, path: str, minsup: float) -> str:
     return out
 
 
+#: Columns of a summary file, in order.
+SUMMARY = ["Dataset", "minsup", "Length", "FreqPatterns", "MaxPattern", "Support"]
+
+
 def write_summary(metrics: DataFrame, path: str) -> None:
-    metrics.write.csv(path, header=True, mode="overwrite")
+    """A folder of CSV parts with the columns of ``SUMMARY``, in that order; other columns raise."""
+    other = sorted(set(metrics.columns) ^ set(SUMMARY))
+    if other:
+        raise ValueError(f"not the columns of a summary: {', '.join(other)}")
+    metrics.select(*SUMMARY).write.csv(path, header=True, mode="overwrite")
 
 
 def number_lines(series: DataFrame, line_width: int) -> DataFrame:
