@@ -105,7 +105,7 @@ def test_exact_medians_of_large_keys(spark, few):
 
 
 def test_differences_are_located(spark):
-    a = op.mine(table(spark, [rng for rng in random.Random(1).sample(range(10**6), 400)], [1, 2]), 0.01)
+    a = op.mine(table(spark, [rng for rng in random.Random(1).sample(range(10**6), 400)], [1, 2]), 0.01, max_len=5)
     changed = a.where("series_id = 's0' and m = 4").first()["pattern"]
     b = a.withColumn("support", F.when((F.col("pattern") == F.lit(changed)) & (F.col("series_id") == "s0"), F.col("support") + 1).otherwise(F.col("support")))
     assert differing_parts(a, a, lines=16).isEmpty()
