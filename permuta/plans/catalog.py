@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from permuta import functions as fn
 from permuta import operators as op
 from permuta import sources as src
-from permuta.operators.compare import differing_parts, first_differences, status_tally
+from permuta.operators.compare import check_compared, differing_parts, first_differences, status_tally
+from permuta.operators.prep import concat_sizes
 from permuta.operators.summary import average_runs
 from permuta.plans.sql import SQL
 from permuta.sources.sinks import normalized_digest, rank_by_support, write_client_report, write_number_text
@@ -196,7 +197,9 @@ def compare_strategies(spark, sf_dir):
     ranked = cut(op.pattern_support(op.window_occurrences(b, 3)))
     fused = cut(op.pattern_support(op.extend_occurrences(op.seed_occurrences(b))))
     # Sums differ in their last bits by the order of adding, so six decimals are compared.
-    return status_tally(op.comparison_status(*[x.withColumn("support", F.round("support", 6)) for x in (ranked, fused)]))
+    compared = cut(op.comparison_status(*[x.withColumn("support", F.round("support", 6)) for x in (ranked, fused)]))
+    check_compared(compared)
+    return status_tally(compared)
 
 
 def status_cases(spark, sf_dir):
@@ -256,6 +259,16 @@ def concatenate_series(spark, sf_dir):
     return op.concatenate_clients(events(spark, sf_dir), ["click", "purchase", "view"], "joined")
 
 
+def concatenated_sizes(spark, sf_dir):
+    """The first one and three of five clients, end to end; ten aren't there."""
+    clients, out = ["click", "error", "purchase", "signup", "view"], None
+    series = events(spark, sf_dir).select("series_id", "pos", "v")
+    for size in concat_sizes("1,3,10", len(clients)):
+        part = op.concatenate_clients(series, clients[:size], f"clients_{size}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def number_text_lines(spark, sf_dir):
     whole = events(spark, sf_dir).withColumn("v", F.floor("v"))
     return src.number_lines(whole, 20)
@@ -321,7 +334,7 @@ def topk_patterns(spark, sf_dir):
 def canonical_files(spark, sf_dir):
     """Two results written side by side, a file a series, and read back."""
     p, folder = level(spark, sf_dir, 3).withColumn("support", F.round("support", 6)), new_folder(spark, "canonical")
-    for minsup in (SIGMA, 200.0):
+    for minsup in fn.parse_thresholds("4, 200.0"):
         src.write_canonical_files(p.where(F.col("support") >= minsup), folder, minsup)
     return src.read_canonical(spark, folder)
 
@@ -432,7 +445,7 @@ QUERIES = {
             occurrence_density, work_counters, generation_trace, canonical_text, compare_sets, compare_strategies, status_cases, common_patterns, variant_ratios, set_differences, normalized_sha, repeat_series, unpivot_clients,
             interleave_series, concatenate_series, number_text_lines, client_stats, bench_summary, best_config, win_counts, relative_to_baseline, pivot_methods, unstable_counters,
             same_work, run_averages, topk_patterns, positions_by_range, closure_rising, canonical_files, text_files, file_checksums, client_report, semicolon_clients, run_files, method_files,
-            text_patterns, result_differences, hot_medians, file_comparison, summary_file,
+            text_patterns, result_differences, hot_medians, file_comparison, summary_file, concatenated_sizes,
         )
     },
 }

@@ -232,6 +232,7 @@ SELECT series_id, string_agg(p, ';' ORDER BY p) AS only_a, '' AS only_b FROM r W
     "unpivot_clients": " UNION ALL ".join(f"SELECT '{c}' AS series_id, l_orderkey * 10 + l_linenumber AS pos, {c}::DOUBLE AS v FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")),
     "interleave_series": "SELECT 'both' AS series_id, (o_orderkey - 1) * 2 + 1 AS pos, o_totalprice::DOUBLE AS v FROM orders UNION ALL SELECT 'both', (o_orderkey - 1) * 2 + 2, o_custkey * 2.0::DOUBLE FROM orders",
     "concatenate_series": f"WITH {_EVENTS} SELECT 'joined' AS series_id, row_number() OVER (ORDER BY series_id, pos) AS pos, v FROM series WHERE series_id IN ('click', 'purchase', 'view')",
+    "concatenated_sizes": f"WITH {_EVENTS} SELECT 'clients_3' AS series_id, row_number() OVER (ORDER BY series_id, pos) AS pos, v FROM series WHERE series_id IN ('click', 'error', 'purchase') UNION ALL SELECT 'clients_1', pos, v FROM series WHERE series_id = 'click'",
     "number_text_lines": f"WITH {_EVENTS} SELECT series_id, (pos - 1) // 20 AS line_no, string_agg(floor(v)::BIGINT::VARCHAR, ' ' ORDER BY pos) AS value FROM series GROUP BY ALL",
     "client_stats": f"WITH {_EVENTS} SELECT series_id AS client, count(*) AS n_rows, count(*) FILTER (WHERE v <> 0) AS non_zero, min(pos) FILTER (WHERE v <> 0) AS first_non_zero_row, greatest(0.0::DOUBLE, max(v)) AS max_value FROM series GROUP BY series_id",
     "bench_summary": f"WITH {_RUNS} SELECT Dataset, Configuration, n_runs, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("mean", "std", "median", "min", "max", "geo_mean")) + " FROM s",
