@@ -12,7 +12,7 @@ from permuta import sources as src
 from permuta.operators.compare import check_compared, differing_parts, status_tally
 from permuta.operators.prep import concat_sizes
 from permuta.operators.summary import average_runs, first_run_values
-from permuta.sources.sinks import write_number_text
+from permuta.sources.sinks import write_number_text, write_summary
 
 
 def test_text_series(spark, tmp_path):
@@ -206,3 +206,26 @@ def test_common_keys(spark):
     two = spark.createDataFrame([("b",), (None,), ("c",)], "p string")
     assert {r["p"] for r in op.common_keys([one, two], ["p"]).collect()} == {"b", None}
     assert op.common_keys([one], ["p"]).count() == 3
+
+
+def test_folders_are_compared_by_file(spark, tmp_path):
+    a = op.mine(table(spark, [3, 1, 2, 5, 4], [1, 2], [2, 1, 3]), 0.5)
+    b = a.withColumn("support", F.col("support") + F.when(F.col("series_id") == "s0", 3e-9).otherwise(0.0)).where("series_id <> 's2'")
+    x, y = src.write_canonical_files(a, f"{tmp_path}/a", 0.5), src.write_canonical_files(b, f"{tmp_path}/b", 0.5)
+    got = {r["file"]: r for r in op.compare_folders(spark, x, y).collect()}
+    assert {f: r["status"] for f, r in got.items()} == {"s0_minsup_0p5.csv": "NORMALIZED_SHA256_MATCH", "s1_minsup_0p5.csv": "SHA256_MATCH", "s2_minsup_0p5.csv": "MISSING_FILE"}
+    for f, r in got.items():
+        for side, folder in (("a", x), ("b", y)):
+            there = os.path.join(folder, f)
+            assert r[f"raw_{side}"] == (hashlib.sha256(open(there, "rb").read()).hexdigest() if os.path.exists(there) else None)
+    assert got["s0_minsup_0p5.csv"]["normalized_a"] == got["s0_minsup_0p5.csv"]["normalized_b"] and got["s2_minsup_0p5.csv"]["normalized_b"] is None
+
+
+def test_summary_has_declared_columns(spark, tmp_path):
+    mined = op.mine(table(spark, [3, 1, 2, 5, 4]), 0.5)
+    summary = op.result_summary(mined, 0.5)
+    write_summary(summary, f"{tmp_path}/s")
+    row = spark.read.csv(f"{tmp_path}/s", header=True).first()
+    assert (row["Dataset"], row["minsup"], row["Length"], int(row["FreqPatterns"])) == ("s0", "0.5", "5", mined.count())
+    with pytest.raises(ValueError, match="Fusions"):
+        write_summary(summary.withColumn("Fusions", F.lit(1)), f"{tmp_path}/t")
