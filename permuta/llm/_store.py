@@ -60,9 +60,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table; Spark then removes the shuffle files of that job."""
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), batch_bytes(self.spark):
+    def keep(self, df: DataFrame, name: str, batch: int = 4 << 20) -> DataFrame:
+        """Write ``df`` and return the written table; Spark then removes the shuffle files of that job.  Arrow batches have ``batch`` bytes."""
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), batch_bytes(self.spark, batch):
             df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

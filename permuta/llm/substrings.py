@@ -40,6 +40,8 @@ PICKED = 500_000
 RUN = 2_000_000
 #: Seeds behind a seed that are joined with it, and joined seeds that two texts must share to be aligned for them.
 LINKED, LEAST_LINKED = 4, 3
+#: Bytes of a batch of stretches that are aligned in lockstep: many pairs share the cost of a step.
+LOCKSTEP = 16 << 20
 #: Aligning stops after a loss of so many points (match 1, mismatch or gap -1), in a band of so many words.
 DROP, BAND = 8, 12
 
@@ -177,6 +179,8 @@ def linked_seeds(pos: np.ndarray, src: np.ndarray, src_pos: np.ndarray) -> tuple
     """
     order = np.lexsort((src_pos, pos))
     pos, src, src_pos = pos[order], src[order], src_pos[order]
+    if not ((src[1:] != src[:-1]) | (np.abs(src_pos[1:] - src_pos[:-1] - pos[1:] + pos[:-1]) > BAND)).any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     name = _text.mix(src.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _text.mix(src_pos.astype(np.uint64)))
     keys, at = [], []
     for d in range(1, min(LINKED, len(pos) - 1) + 1):
@@ -435,8 +439,11 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                 srcs.append(src)
                 out.append(rows.astype(np.int32).tobytes())
 
-            for i, m in zip(batch.column("id").to_pylist(), batch.column("m"), strict=True):
-                pos, src, src_pos = (m.values.field(f).to_numpy().astype(np.int64) for f in ("pos", "src", "src_pos"))
+            column = batch.column("m")
+            values, ends = column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            every = [values.field(f).to_numpy().astype(np.int64) for f in ("pos", "src", "src_pos")]
+            for i, low, high in zip(batch.column("id").to_pylist(), ends[:-1], ends[1:], strict=True):
+                pos, src, src_pos = (x[low:high] for x in every)
                 # In a window that other texts have, all seeds are shared: so many, so close together.  Where they stand once in
                 # this text and in none before it, the others find them here.
                 p = np.unique(pos)
@@ -507,7 +514,7 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
     wanted = areas.select("id").unionByName(chained.select("id")).unionByName(chained.select(F.col("src").alias("id"))).distinct()
     texts = d.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     texts = scratch.keep(texts.mapInArrow(hashed, "id long, h binary"), "texts")
-    found = scratch.keep(_aligned(chained, texts, min_words, min_share, scratch, "aligned"), "aligned")
+    found = scratch.keep(_aligned(chained, texts, min_words, min_share, scratch, "aligned"), "aligned", LOCKSTEP)
     scratch.drop("aligned_near")
 
     # Windows that no equal run explains.
@@ -561,7 +568,7 @@ def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: floa
     The stretches around a row's chains are aligned first and sent alone; where an alignment comes to the end of
     one within its text, the row's whole texts are.
     """
-    first = scratch.keep(_alignments(pairs, texts, min_words, min_share, AROUND), f"{name}_near")
+    first = scratch.keep(_alignments(pairs, texts, min_words, min_share, AROUND), f"{name}_near", LOCKSTEP)
     again = _alignments(first.where("open is not null").select(F.col("doc_id").alias("id"), F.col("src_doc_id").alias("src"), F.col("open").alias("chains")), texts, min_words, min_share, None)
     return first.where("open is null").unionByName(again).drop("open")
 
