@@ -4,12 +4,15 @@ Equal vectors are one class with a count.  Classes are assigned to the nearest o
 centroids.  Two unit vectors with cosine >= t are within d = sqrt(2 - 2t) of each other; if y is nearest to
 centroid c' and x to c, x lies within d of the plane between c and c', that is x.(c - c') <= d|c - c'|.
 So x visits exactly the cells for which that holds and no link is lost between cells.  A pair is
-compared in the lower of its two home cells only.  Cells are compared block against block.
+compared in the lower of its two home cells only.  A cell and its guests are sent once as long as each
+fits a block of ``BLOCK_BYTES``; only larger cells are compared block against block, so that what is
+shuffled grows with the vectors and their guests and not with pairs of blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +23,12 @@ from pyspark.sql import functions as F
 from permuta.llm._components import components, local_components
 from permuta.llm._store import Scratch
 
-#: Vectors that a cell should hold, most cells of a label, and vectors of a block.
-CELL, MAX_CELLS, BLOCK = 1500, 1024, 1024
+#: Vectors that a cell should hold, and bytes that all centroids may have (about twice that at most); cells grow where more would be needed.
+CELL, CENTER_BYTES = 1500, 16_000_000
+#: Bytes and least vectors of a block, and vectors of a side of one product inside a task.
+BLOCK_BYTES, BLOCK, TILE = 8_000_000, 1024, 1024
+#: Most cells of several blocks that are broadcast; more are joined.
+BROADCAST_CELLS = 200_000
 ROUNDS = 4
 
 
@@ -64,56 +71,88 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 0))
 
 
-def _by_part(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    parts = np.array(batch.column("part").to_pylist(), object)
-    raw = batch.column("unit").to_pylist()
-    for part in sorted(set(parts.tolist())):
-        rows = np.flatnonzero(parts == part)
-        yield part, rows, np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(len(rows), -1)
+def _by_part(batch: pa.RecordBatch, wanted) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Rows and vectors of each part of a batch that is ``wanted``."""
+    rows = defaultdict(list)
+    for i, part in enumerate(batch.column("part").to_pylist()):
+        if part in wanted:
+            rows[part].append(i)
+    unit = batch.column("unit")
+    for part, own in rows.items():
+        yield part, np.array(own), _matrix(unit.take(pa.array(own)))
+
+
+def _chunks(x: np.ndarray, centers: np.ndarray) -> Iterator[np.ndarray]:
+    """Slices of ``x`` whose products with all centroids stay small."""
+    step = max(1, (1 << 21) // len(centers))
+    for a in range(0, len(x), step):
+        yield x[a : a + step]
+
+
+def _linked(x: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of linked rows of ``x`` and ``y``, tile by tile; each pair once where both are the ``same``."""
+    for a in range(0, len(x), TILE):
+        for b in range(a if same else 0, len(y), TILE):
+            near = x[a : a + TILE] @ y[b : b + TILE].T >= threshold
+            i, j = np.nonzero(np.triu(near, 1) if same and a == b else near)
+            if len(i):
+                yield a + i, b + j
 
 
 def fit_cells(classes: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Unit centroids of each part (label and length), by Lloyd steps over all classes.
+    """Unit centroids of each part (label and length) of more than one cell, by Lloyd steps over all its classes.
 
-    Starts are the classes of smallest hash; sums of a step are aggregated over partitions, the driver
-    holds the centroids: at most ``MAX_CELLS`` a part.
+    A part that one cell holds has no centroid, so the number of labels costs the driver nothing.  Starts
+    are the classes of smallest hash; sums of a step are aggregated over partitions in two steps.
     """
     spark = classes.sparkSession
-    sizes = {r["part"]: r["n"] for r in classes.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    k = {p: max(1, min(MAX_CELLS, math.ceil(n / CELL))) for p, n in sizes.items()}
-    share = {p: min(1.0, 3 * k[p] / n) for p, n in sizes.items()}
-    centers: dict[str, list] = {p: [] for p in sizes}
-    if not sizes:
+    sizes = classes.groupBy("part").agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("width")).where(F.col("n") > CELL)
+    needed = sizes.agg(F.sum(F.ceil(F.col("n") / CELL) * F.col("width")).alias("b")).first()["b"]
+    if not needed:
+        return {}
+    cell = math.ceil(CELL * max(1.0, needed / CENTER_BYTES))
+    # Parts of more than ``cell`` classes: no more than there are centroids.
+    k = {r["part"]: math.ceil(r["n"] / cell) for r in sizes.where(F.col("n") > cell).collect()}
+    if not k:
         return {}
-    wanted = F.element_at(F.create_map(*[F.lit(v) for p, s in share.items() for v in (p, int(s * (1 << 30)))]), F.col("part"))
-    for r in classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) <= wanted).orderBy(F.xxhash64("cid"), "cid").toLocalIterator():
+    big = spark.createDataFrame(list(k.items()), "part string, k long").join(sizes, "part")
+    chance = (3 * F.col("k") / F.col("n") * (1 << 30)).cast("long")
+    starts = classes.join(F.broadcast(big.select("part", chance.alias("chance"))), "part").where(F.pmod(F.xxhash64("cid"), F.lit(1 << 30)) <= F.col("chance"))
+    centers = defaultdict(list)
+    for r in starts.select("part", "unit").orderBy(F.xxhash64("cid"), "cid").toArrow().to_pylist():
         if len(centers[r["part"]]) < k[r["part"]]:
-            centers[r["part"]].append(np.frombuffer(bytes(r["unit"]), np.float64))
-    if any(not c for c in centers.values()):  # too small a share to hit a class
-        for r in classes.groupBy("part").agg(F.min_by("unit", "cid").alias("unit")).collect():
-            centers[r["part"]] = centers[r["part"]] or [np.frombuffer(bytes(r["unit"]), np.float64)]
+            centers[r["part"]].append(np.frombuffer(r["unit"], np.float64))
     out = {p: np.array(c) for p, c in centers.items()}
-    for _ in range(rounds if max(k.values()) > 1 else 0):
+    for _ in range(rounds):
         held = spark.sparkContext.broadcast(out)
 
         def sums(batches, held=held):
             total = {}
             for batch in batches:
-                for part, _, x in _by_part(batch):
-                    cell = (x @ held.value[part].T).argmax(1)
-                    for c in np.unique(cell).tolist():
-                        s = x[cell == c].sum(0)
-                        total[part, c] = total[part, c] + s if (part, c) in total else s
+                for part, _, x in _by_part(batch, held.value):
+                    for chunk in _chunks(x, held.value[part]):
+                        cell = (chunk @ held.value[part].T).argmax(1)
+                        order = np.argsort(cell, kind="stable")
+                        own, first = np.unique(cell[order], return_index=True)
+                        for c, s in zip(own.tolist(), np.add.reduceat(chunk[order], first), strict=True):
+                            total[part, c] = total[part, c] + s if (part, c) in total else s
             if total:
-                yield pa.RecordBatch.from_pydict({"part": [p for p, _ in total], "cell": [c for _, c in total], "s": [v.tolist() for v in total.values()]})
-
-        got = classes.mapInArrow(sums, "part string, cell long, s array<double>").groupBy("part", "cell").agg(F.collect_list("s").alias("all"))
-        # One array for each partition that met the cell.
-        got = got.select("part", "cell", F.aggregate("all", F.transform(F.col("all")[0], lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("s"))
-        for r in got.collect():
-            s = np.array(r["s"])
-            if norm := np.linalg.norm(s):
-                out[r["part"]][r["cell"]] = s / norm
+                at = np.cumsum([0, *map(len, total.values())]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(at, np.concatenate(list(total.values())))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in total]), pa.array([c for _, c in total], pa.int64()), flat], ["part", "cell", "s"])
+
+        got = classes.mapInArrow(sums, "part string, cell long, s array<double>").withColumn("dealt", F.spark_partition_id() % 64)
+        # One array for each of a 64th of the partitions, then one for each of these.
+        for keys in (["part", "cell", "dealt"], ["part", "cell"]):
+            got = got.groupBy(*keys).agg(F.collect_list("s").alias("all"))
+            got = got.select(*keys, F.aggregate("all", F.transform(F.col("all")[0], lambda x: F.lit(0.0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("s"))
+        for batch in got.toArrow().to_batches():
+            lists = batch.column("s")
+            for i, (part, c) in enumerate(zip(batch.column("part").to_pylist(), batch.column("cell").to_pylist(), strict=True)):
+                s = lists[i].values.to_numpy()
+                if norm := np.linalg.norm(s):
+                    out[part][c] = s / norm
+        held.unpersist()
     return out
 
 
@@ -134,35 +173,46 @@ def link_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93,
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
 
     def place(batches):
-        """Home cell (guest false) and visited lower cells (guest true) of each class."""
+        """Home cell (guest false) and visited lower cells (guest true) of each class; parts without centroids are one cell."""
         for batch in batches:
-            take, cell, guest = [], [], []
-            for part, rows, x in _by_part(batch):
-                c = held.value[part]
-                dot = x @ c.T
-                home = dot.argmax(1)
-                gap = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
-                near = dot[np.arange(len(x)), home][:, None] - dot <= reach * gap[home] + 1e-9
-                near &= np.arange(len(c))[None, :] < home[:, None]
-                i, d = np.nonzero(near)
-                take += [rows, rows[i]]
-                cell += [home, d]
-                guest += [np.zeros(len(x), bool), np.ones(len(i), bool)]
-            if take:
-                b = batch.take(pa.array(np.concatenate(take)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(guest))], [*b.schema.names, "cell", "guest"])
+            n = batch.num_rows
+            home, take, cell = np.zeros(n, np.int32), [], []
+            for part, rows, x in _by_part(batch, held.value):
+                c, at = held.value[part], 0
+                for chunk in _chunks(x, c):
+                    own = rows[at : at + len(chunk)]
+                    at += len(chunk)
+                    dot = chunk @ c.T
+                    best = dot.argmax(1)
+                    home[own] = best
+                    met, which = np.unique(best, return_inverse=True)
+                    gap = np.sqrt(np.maximum(0, 2 - 2 * c[met] @ c.T))[which]
+                    near = dot[np.arange(len(chunk)), best][:, None] - dot <= reach * gap + 1e-9
+                    near &= np.arange(len(c))[None, :] < best[:, None]
+                    i, d = np.nonzero(near)
+                    take.append(own[i])
+                    cell.append(d)
+            guests = np.concatenate([np.zeros(0, np.int64), *take])
+            b = batch.take(pa.array(np.concatenate([np.arange(n), guests])))
+            cells = np.concatenate([home, *cell]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells), pa.array(np.arange(len(cells)) >= n)], [*b.schema.names, "cell", "guest"])
 
     placed = scratch.keep(classes.mapInArrow(place, "cid long, rep long, m long, part string, unit binary, cell int, guest boolean"), "placed")
-    sizes = placed.groupBy("part", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"))
-    blocks = sizes.select("part", "cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("nh"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("ng")).where("nh > 0")
-    placed = placed.join(F.broadcast(blocks), ["part", "cell"])  # at most MAX_CELLS rows a label
-    block = F.pmod(F.xxhash64("cid"), F.when(F.col("guest"), F.col("ng")).otherwise(F.col("nh"))).cast("int")
-    # Units (i, j): home block i against home block j >= i, or against guest block j - nh.
-    units = F.when(F.col("guest"), F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda i: F.struct(i.alias("i"), (F.col("nh") + F.col("block")).alias("j"))))
+    sizes = placed.groupBy("part", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"), F.max(F.octet_length("unit")).alias("width"))
+    block = F.greatest(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.col("width")))
+    blocks = sizes.select("part", "cell", F.greatest(F.lit(1), F.ceil(F.col("homes") / block)).cast("int").alias("nh"), F.ceil(F.col("guests") / block).cast("int").alias("ng"))
+    blocks = scratch.keep(blocks.where("nh > 1 or ng > 1"), "blocks")
+    if blocks.count() <= BROADCAST_CELLS:
+        blocks = F.broadcast(blocks)
+    placed = placed.join(blocks, ["part", "cell"], "left").withColumns({"nh": F.coalesce("nh", F.lit(1)), "several": F.col("nh").isNotNull(), "ng": F.coalesce("ng", F.lit(0))})
+    block = F.pmod(F.xxhash64("cid"), F.when(F.col("guest"), F.greatest(F.lit(1), "ng")).otherwise(F.col("nh"))).cast("int")
+    # Units (i, j): home block i against home block j >= i, or against guest block j - nh.  A cell of one block and its guests are unit (0, 0).
+    units = F.when(~F.col("several"), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))
+    units = units.when(F.col("guest"), F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda i: F.struct(i.alias("i"), (F.col("nh") + F.col("block")).alias("j"))))
     units = units.otherwise(
         F.transform(F.sequence(F.lit(0), F.col("nh") + F.col("ng") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
     )
-    work = placed.withColumn("block", block).select("cid", "rep", "m", "unit", "part", "cell", "guest", "nh", F.col("block"), F.explode(units).alias("u"))
+    work = placed.withColumn("block", block).select("cid", "rep", "m", "unit", "part", "cell", "guest", "block", F.explode(units).alias("u"))
     work = work.withColumn("side", F.when(F.col("guest"), F.lit(1)).when(F.col("block") == F.col("u.i"), F.lit(0)).otherwise(F.lit(1)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,19 +220,25 @@ def link_vectors(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93,
         side = t.column("side").to_numpy()
         x = _matrix(t.column("unit"))
         cid, rep, m = (t.column(c).to_numpy() for c in ("cid", "rep", "m"))
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(b) and t.column("i")[0].as_py() == t.column("j")[0].as_py():
-            i, j = np.nonzero(np.triu(x[a] @ x[a].T >= threshold, 1))
-            i, j = a[i], a[j]
-        else:
-            i, j = np.nonzero(x[a] @ x[b].T >= threshold)
-            i, j = a[i], b[j]
-        links = np.bincount(i, m[j], len(x)) + np.bincount(j, m[i], len(x))
+        first = np.flatnonzero(side == 0)
+        pairs = [(first, np.flatnonzero(side == 1), False)]
+        if t.column("i")[0].as_py() == t.column("j")[0].as_py():
+            pairs.append((first, first, True))
+        links, ends = np.zeros(len(x), np.int64), []
+        for a, b, same in pairs:
+            for i, j in _linked(x[a], x[b], same, threshold):
+                i, j = a[i], b[j]
+                links += (np.bincount(i, m[j], len(x)) + np.bincount(j, m[i], len(x))).astype(np.int64)
+                # Of a tile's links, those that hold its components together.
+                met, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+                label = local_components(len(met), at[: len(i)], at[len(i) :])
+                ends.append(np.stack([met, met[label]]))
         on = np.flatnonzero(links)
+        i, j = np.concatenate([np.zeros((2, 0), np.int64), *ends], 1)
         label = local_components(len(x), i, j)
         edge = np.flatnonzero(label != np.arange(len(x)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([0, 1], [len(on), len(edge)]).astype(np.int32)), pa.array(np.concatenate([cid[on], rep[edge]])), pa.array(np.concatenate([links[on].astype(np.int64), rep[label[edge]]]))],
+            [pa.array(np.repeat([0, 1], [len(on), len(edge)]).astype(np.int32)), pa.array(np.concatenate([cid[on], rep[edge]])), pa.array(np.concatenate([links[on], rep[label[edge]]]))],
             ["kind", "a", "b"],
         )
 

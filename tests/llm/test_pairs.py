@@ -117,10 +117,14 @@ def vector_links(rows):
     return links
 
 
-@pytest.mark.parametrize("cell", [1500, 12])
-def test_vectors_match_brute_force(spark, scratch, monkeypatch, cell):
+@pytest.mark.parametrize(("cell", "block_bytes", "center_bytes", "broadcast"), [(1500, 1, 1 << 20, 1), (12, 1, 1 << 20, 0), (12, 1 << 20, 1 << 20, 1), (12, 1, 256, 100)])
+def test_vectors_match_brute_force(spark, scratch, monkeypatch, cell, block_bytes, center_bytes, broadcast):
     monkeypatch.setattr(near_vectors, "CELL", cell)
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
+    monkeypatch.setattr(near_vectors, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(near_vectors, "CENTER_BYTES", center_bytes)
+    monkeypatch.setattr(near_vectors, "BROADCAST_CELLS", broadcast)
+    monkeypatch.setattr(near_vectors, "TILE", 7)
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(6, 8))
     rows = [(i, [float(np.float32(x)) for x in centers[i % 6] + rng.normal(size=8) * 0.35], i % 2) for i in range(150)]
@@ -139,6 +143,20 @@ def test_vectors_match_brute_force(spark, scratch, monkeypatch, cell):
     assert kept.columns == df.columns and kept.count() == len(set(want.values()))
 
 
+def test_centroids_stay_within_their_bytes(spark, scratch, monkeypatch):
+    monkeypatch.setattr(near_vectors, "CELL", 10)
+    rng = np.random.default_rng(3)
+    units = rng.normal(size=(400, 8))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    rows = [(i, i, 1, "a:8" if i < 300 else f"p{i}:8", units[i].tobytes()) for i in range(400)]
+    classes = spark.createDataFrame(rows, "cid long, rep long, m long, part string, unit binary")
+    for limit, most in ((1 << 20, 30), (640, 10)):
+        monkeypatch.setattr(near_vectors, "CENTER_BYTES", limit)
+        centers = near_vectors.fit_cells(classes, rounds=2)
+        assert list(centers) == ["a:8"] and 1 < len(centers["a:8"]) <= most
+        assert np.allclose(np.linalg.norm(centers["a:8"], axis=1), 1)
+
+
 def test_vectors_of_edge_tables(spark, scratch):
     kinds = "vec_id long, embedding array<float>, label int"
     assert near_vectors.link_vectors(spark.createDataFrame([], kinds), scratch).count() == 0
