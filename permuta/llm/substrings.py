@@ -317,6 +317,7 @@ def equal_runs(x: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb:
 
 
 _POINT = 1 << 24  # a point of the score; matches are counted below it
+_AHEAD = 16  # rows whose words are taken at once
 
 
 def extend(x: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -326,30 +327,37 @@ def extend(x: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.n
     """
     took, src_took, same = (np.zeros(len(a), np.int64) for _ in range(3))
     shift = np.arange(-BAND, BAND + 1)
+    slope = shift * _POINT  # scores of a row are kept with the cost of their shift added: moves along the row are free
     low = -(1 << 50)
     on = np.flatnonzero((na > 0) & (nb > 0))
-    row = np.where((shift >= 0) & (shift <= nb[on][:, None]), -shift * _POINT, low)
+    n, m = na[on], nb[on]
+    row = np.where((shift >= 0) & (shift <= m[:, None]), 0, low)
     best = np.zeros(len(on), np.int64)
     i = 0
     while len(on):
+        ahead = i % _AHEAD
+        if not ahead:  # the words of the next rows
+            x_a = x[a[on][:, None] + step * np.minimum(i + np.arange(_AHEAD), n[:, None] - 1)]
+            x_b = x[b[on][:, None] + step * np.clip(i + np.arange(-BAND, BAND + _AHEAD), 0, m[:, None] - 1)]
         i += 1
-        j = i + shift
-        valid = (j >= 0) & (j <= nb[on][:, None])
-        at = np.clip(j - 1, 0, np.maximum(nb[on] - 1, 0)[:, None])
-        match = x[(a[on] + step * (i - 1))[:, None]] == x[b[on][:, None] + step * at]
-        new = np.where(j >= 1, row + np.where(match, _POINT + 1, -_POINT), low)
-        new[:, :-1] = np.maximum(new[:, :-1], row[:, 1:] - _POINT)
-        new = np.where(valid, new, low)
-        new = np.maximum.accumulate(new + shift * _POINT, 1) - shift * _POINT
-        new = np.where(valid & (new >= (best - DROP * _POINT)[:, None]), new, low)
-        k = new.argmax(1)
-        top = new[np.arange(len(on)), k]
+        match = x_a[:, ahead, None] == x_b[:, ahead : ahead + len(shift)]
+        new = row + np.where(match, _POINT + 1, -_POINT)
+        np.maximum(new[:, :-1], row[:, 1:] - 2 * _POINT, out=new[:, :-1])
+        np.maximum.accumulate(new, 1, out=new)
+        if (m < i + BAND).any():
+            new[shift > (m - i)[:, None]] = low
+        score = new - slope
+        k = score.argmax(1)
+        top = score[np.arange(len(on)), k]
+        least = best - DROP * _POINT
         up = top > best
-        best = np.where(up, top, best)
         which = on[up]
         took[which], src_took[which], same[which] = i, i + shift[k[up]], top[up] % _POINT
-        live = (top > low // 2) & (i < na[on])
-        on, row, best = on[live], new[live], best[live]
+        row = np.where(score >= least[:, None], new, low)
+        best = np.where(up, top, best)
+        live = (top >= least) & (i < n)
+        if not live.all():
+            on, n, m, row, best, x_a, x_b = (v[live] for v in (on, n, m, row, best, x_a, x_b))
     return took, src_took, same
 
 
@@ -447,8 +455,12 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                 # In a window that other texts have, all seeds are shared: so many, so close together.  Where they stand once in
                 # this text and in none before it, the others find them here.
                 p = np.unique(pos)
-                own, times = np.unique(src_pos[src == i], return_counts=True)
-                known = np.isin(p, np.setdiff1d(own[times == 1], pos[src != i]))
+                first = src == i
+                if first.any():
+                    own, times = np.unique(src_pos[first], return_counts=True)
+                    known = np.isin(p, np.setdiff1d(own[times == 1], pos[~first]))
+                else:
+                    known = np.zeros(len(p), bool)
                 cut = np.flatnonzero(np.diff(p) > W)
                 lo, hi = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(p) - 1]])
                 areas = []
@@ -465,7 +477,7 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                     ids.append(i)
                     srcs.append(linked)
                     out.append(np.stack([keys.view(np.int64), at]).tobytes())
-                pos, src, src_pos = (x[src != i] for x in (pos, src, src_pos))
+                pos, src, src_pos = (x[~first] for x in (pos, src, src_pos))
                 order = np.lexsort((pos, src))
                 for at in np.split(order, np.flatnonzero(np.diff(src[order])) + 1) if len(order) else ():
                     for group in near(chains(runs(pos[at], src_pos[at]))):
