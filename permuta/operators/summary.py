@@ -11,6 +11,8 @@ from permuta.storage import cut
 FEW_VALUES = 200_000
 #: Values that cut a key's range into parts of about equal counts.
 GRID = 128
+#: A key with more values left is hot: what is known of it is sent to its rows.
+HOT = 1 << 20
 
 
 def summarize_runs(runs: DataFrame, key: list[str], value: str, few: int = FEW_VALUES) -> DataFrame:
@@ -38,12 +40,24 @@ def _null_safe_join(a: DataFrame, b: DataFrame, key: list[str], how: str = "inne
     return a.join(other, same, how).drop(*[f"_{i}" for i in range(len(key))])
 
 
-def exact_medians(rows: DataFrame, key: list[str], value: str, few: int = FEW_VALUES) -> DataFrame:
+def _join_known(rows: DataFrame, known: DataFrame, hot: DataFrame | None, key: list[str]) -> DataFrame:
+    """``rows`` with what is ``known`` of their keys, a row a key; keys that aren't known go.
+
+    Rows of ``hot`` keys stay where they are, the others may be gathered at their key.
+    """
+    if hot is None:
+        return _null_safe_join(rows, known, key)
+    spread = _null_safe_join(rows, F.broadcast(_null_safe_join(known, F.broadcast(hot), key)), key)
+    return spread.unionByName(_null_safe_join(_null_safe_join(rows, F.broadcast(hot), key, "left_anti"), _null_safe_join(known, F.broadcast(hot), key, "left_anti"), key))
+
+
+def exact_medians(rows: DataFrame, key: list[str], value: str, few: int = FEW_VALUES, hot: int = HOT) -> DataFrame:
     """(key, median) of keys that have a value: the middle value, or the mean of the two middle ones.
 
     A pass lays a grid of some ``GRID`` quantiles over each key's values that are left (a sketch of fixed size, summed in each
     task first), counts the values of each part, and keeps only the parts with the middle ones; so the
-    values left fall by about ``GRID`` a pass, and no task ever holds more than ``few`` of a key.
+    values left fall by about ``GRID`` a pass, and no task ever holds more than ``few`` of a key.  Rows of a key with more than
+    ``hot`` values are never shuffled: there is one such key at most for each ``hot`` rows, so these are broadcast.
     """
     left = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("v"))
     sizes = left.groupBy(*key).agg(F.count("*").alias("n"))
@@ -51,19 +65,23 @@ def exact_medians(rows: DataFrame, key: list[str], value: str, few: int = FEW_VA
     state = cut(sizes.select(*key, F.floor((F.col("n") - 1) / 2).alias("lo"), F.floor(F.col("n") / 2).alias("hi"), F.col("n").alias("left")))
     found = None
     while True:
+        # Small keys are none of the hot ones.
+        least_hot = max(hot, few)
+        keys, n_small, n_hot = state.agg(F.count("*"), F.count_if(F.col("left") <= few), F.count_if(F.col("left") > least_hot)).first()
+        hot_keys = state.where(F.col("left") > least_hot).select(*key) if n_hot else None
         small = state.where(F.col("left") <= few)
-        held = _null_safe_join(left, small, key).groupBy(*key, "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("x"))
+        held = _join_known(left if n_small else left.limit(0), small, hot_keys, key).groupBy(*key, "lo", "hi").agg(F.sort_array(F.collect_list("v")).alias("x"))
         at = lambda c: F.get("x", F.col(c).cast("int"))
         done = held.select(*key, ((at("lo") + at("hi")) / 2).alias("median"))
         big = state.where(F.col("left") > few)
-        if big.isEmpty():
+        if keys == n_small:
             return done if found is None else found.unionByName(done)
         found = cut(done if found is None else found.unionByName(done))
-        own = _null_safe_join(left, big, key)
+        own = _join_known(left, big, hot_keys, key)
         grid = own.groupBy(*key).agg(F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], 100 * GRID).alias("grid"))
         # The parts of a key: each grid value by itself and what lies between two; all copies of a value are in one part.
         grid = grid.withColumn("grid", F.array_sort(F.array_distinct("grid")))
-        placed = _null_safe_join(own, cut(grid), key)
+        placed = _join_known(own, cut(grid), hot_keys, key)
         below = F.size(F.filter("grid", lambda g: g < F.col("v")))
         placed = placed.withColumn("part", 2 * below + F.when(F.array_contains("grid", F.col("v")), 1).otherwise(0))
         counts = placed.groupBy(*key, "lo", "hi", "part").agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
@@ -81,7 +99,7 @@ def exact_medians(rows: DataFrame, key: list[str], value: str, few: int = FEW_VA
         rest = spans.where(~single)
         state = cut(rest.select(*key, (F.col("lo") - F.col("s")).alias("lo"), (F.col("hi") - F.col("s")).alias("hi"), F.col("c").alias("left")))
         limits = rest.select(*key, "least", "most")
-        left = cut(_null_safe_join(left, limits, key).where(F.col("v").between(F.col("least"), F.col("most"))).select(*key, "v"))
+        left = cut(_join_known(left, limits, hot_keys, key).where(F.col("v").between(F.col("least"), F.col("most"))).select(*key, "v"))
 
 
 def result_summary(mined: DataFrame, minsup: float) -> DataFrame:

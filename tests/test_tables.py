@@ -9,6 +9,7 @@ from test_mining import table
 
 from permuta import operators as op
 from permuta import sources as src
+from permuta.operators import summary
 from permuta.operators.compare import check_compared, differing_parts, status_tally
 from permuta.operators.prep import concat_sizes
 from permuta.operators.summary import average_runs, first_run_values
@@ -229,3 +230,21 @@ def test_summary_has_declared_columns(spark, tmp_path):
     assert (row["Dataset"], row["minsup"], row["Length"], int(row["FreqPatterns"])) == ("s0", "0.5", "5", mined.count())
     with pytest.raises(ValueError, match="Fusions"):
         write_summary(summary.withColumn("Fusions", F.lit(1)), f"{tmp_path}/t")
+
+
+@pytest.mark.parametrize("hot", [10, 950, 10**6])
+def test_rows_of_hot_keys_are_not_gathered(spark, hot):
+    rng = random.Random(hot)
+    rows = [(g, rng.random() if g != "c" else 5.0) for g, n in (("a", 2000), (None, 1500), ("b", 60), ("c", 999), ("d", 400)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g string, t double").repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    joined = []
+    real, summary.cut = summary.cut, lambda x: joined.append(x._jdf.queryExecution().executedPlan().toString()) or real(x)
+    try:
+        got = {r["g"]: r["median"] for r in summary.exact_medians(df, ["g"], "t", 50, hot).collect()}
+    finally:
+        summary.cut = real
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {g: statistics.median(v for k, v in rows if k == g) for g in {r[0] for r in rows}}
+    # With every key hot what is known of the keys is broadcast wherever rows meet it.
+    assert hot > 10 or any("BroadcastHashJoin" in x for x in joined)
