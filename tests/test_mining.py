@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from permuta import functions as fn
 from permuta import operators as op
 from permuta import sources as src
+from permuta.operators import levels
 
 EXAMPLE = [15, 32, 29, 27, 34, 33, 25, 20, 28, 23]
 
@@ -253,3 +254,26 @@ def test_sweep_is_the_closure_of_each_threshold(spark):
     for sigma in (3.0, 9.0, 20.0):
         assert keep(swept.where(swept.minsup == sigma)) == keep(op.mine(series, sigma))
     assert op.mine_sweep(series, [1e6]).count() == 0
+
+
+def test_block_ends_where_supports_fall_below_the_threshold():
+    # Of random values a pattern of m ranks has 1 / m! of the windows; of a rising series all of them.
+    falling = {m: 760_000 / math.factorial(m) for m in range(2, 8)}
+    assert levels._next_top(falling, 7, 40.0) == 8 and levels._next_top(falling, 7, 4.0) == 9
+    assert levels._next_top({6: 500.0, 7: 500.0}, 7, 4.0) == 15 and levels._next_top({7: 500.0}, 7, 4.0) == 15
+
+
+def test_short_series_are_mined_in_one_pass(spark, monkeypatch):
+    rng = random.Random(5)
+    base = src.base_table(table(spark, list(range(30)), [rng.randint(0, 40) for _ in range(60)], [rng.random() for _ in range(200)], [2.0, 2.0])).checkpoint()
+    written, real = [], levels.cut
+    monkeypatch.setattr(levels, "cut", lambda x: written.append(x) or real(x))
+    short = mined_of(levels.closed_levels(base, [1.5, 4.0]))
+    assert len(written) == 1
+    monkeypatch.setattr(levels, "FEW_PATTERNS", 3)
+    assert mined_of(levels.closed_levels(base, [1.5, 4.0], starts=16)) == short
+    assert len(written) > 4
+
+
+def mined_of(tables):
+    return {(r["series_id"], tuple(r["pattern"]), round(r["support"], 9), r["cnt"], r["first_pos"], r["last_pos"], r["held"]) for x in tables for r in x.collect()}
