@@ -36,19 +36,23 @@ def counts_up_to(occurrences: DataFrame, asked: DataFrame, chunk: int = CHUNK) -
 
     Occurrences and questions are sorted together by position in chunks of a pattern, and the counts of the chunks
     before are added, a table of one row a pattern and chunk; so neither a frequent pattern nor many
-    questions about one meet in a task.
+    questions about one meet in a task.  Where all questions are about first chunks nothing is added.
     """
     others = [c for c in asked.columns if c not in ("series_id", "pattern", "pos")]
     one = occurrences.select("series_id", "pattern", "pos", F.lit(0).alias("_asks"))
     both = one.unionByName(asked.select("series_id", "pattern", "pos", F.lit(1).alias("_asks"), *others), allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("pos") / chunk))
     key = ["series_id", "pattern", "_chunk"]
+    inside = F.count_if(F.col("_asks") == 0).over(Window.partitionBy(*key).orderBy("pos", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = cut(both.withColumn("_inside", inside).where("_asks = 1").drop("_asks"))
+    near = counted.where("_chunk <= 0").select(*asked.columns, F.col("_inside").alias("upto"))
+    far = counted.where("_chunk > 0")
+    if far.isEmpty():
+        return near
     sizes = both.groupBy(*key).agg(F.count_if(F.col("_asks") == 0).alias("_n"))
     earlier = Window.partitionBy("series_id", "pattern").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(*[F.col(c).alias(f"{c}_") for c in key], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.count_if(F.col("_asks") == 0).over(Window.partitionBy(*key).orderBy("pos", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = both.withColumn("_inside", inside).where("_asks = 1")
     same = F.col("series_id").eqNullSafe(F.col("series_id_")) & (F.col("pattern") == F.col("pattern_")) & (F.col("_chunk") == F.col("_chunk_"))
-    return counted.join(before, same).select(*asked.columns, (F.col("_inside") + F.col("_before")).alias("upto"))
+    return near.unionByName(far.join(before, same).select(*asked.columns, (F.col("_inside") + F.col("_before")).alias("upto")))
 
 
 def bound_tiers(pairs: DataFrame, occurrences: DataFrame, minsup: float, chunk: int = CHUNK) -> DataFrame:

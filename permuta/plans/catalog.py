@@ -152,8 +152,8 @@ def _position_fusion(m):
 
 def bound_tiers(spark, sf_dir):
     """Pairs of patterns mined at 1 and bounded at 1.5, so that every tier has some."""
-    o = src.base_table(orders(spark, sf_dir)).transform(op.window_occurrences, 3)
-    p = op.mine(orders(spark, sf_dir), 1.0, max_len=3).where("m = 3")
+    b = cut(src.base_table(orders(spark, sf_dir)))
+    o, p = op.window_occurrences(b, 3), op.mine(b, 1.0, max_len=3).where("m = 3")
     tiers = op.bound_tiers(op.candidate_pairs(p), o, 1.5)
     return tiers.groupBy("tier").agg(F.count("*").alias("pairs"), F.round(F.sum("residual_bound"), 4).alias("residual"), F.round(F.sum("card_bound"), 4).alias("card"), F.round(F.sum("range_bound"), 4).alias("ranged"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from permuta import functions as fn
 from permuta import operators as op
 from permuta import sources as src
-from permuta.operators import levels
+from permuta.operators import bounds, levels
 
 EXAMPLE = [15, 32, 29, 27, 34, 33, 25, 20, 28, 23]
 
@@ -277,3 +277,14 @@ def test_short_series_are_mined_in_one_pass(spark, monkeypatch):
 
 def mined_of(tables):
     return {(r["series_id"], tuple(r["pattern"]), round(r["support"], 9), r["cnt"], r["first_pos"], r["last_pos"], r["held"]) for x in tables for r in x.collect()}
+
+
+def test_counts_of_first_chunks_need_no_join(spark):
+    at = {"x": [1, 2, 5, 9, 14], "y": [3, 4]}
+    o = spark.createDataFrame([("s", [1, 2] if g == "x" else [2, 1], p) for g, own in at.items() for p in own], "series_id string, pattern array<int>, pos long")
+    asked = [(g, p) for g in at for p in (0, 1, 4, 9, 20)]
+    q = spark.createDataFrame([("s", [1, 2] if g == "x" else [2, 1], p, g) for g, p in asked], "series_id string, pattern array<int>, pos long, name string")
+    for chunk in (4, 100):
+        got = bounds.counts_up_to(o, q, chunk)
+        assert sorted((r["name"], r["pos"], r["upto"]) for r in got.collect()) == sorted((g, p, sum(x <= p for x in at[g])) for g, p in asked)
+        assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (chunk == 4)
