@@ -38,7 +38,7 @@ POSTINGS = "shingle long, ent long, n int, pos int, need int, level int, rank in
 #: A rank is the size class and below it how rare a set's prefix is: the least rank of a class is its centre.
 CENTRE = 1 << 12
 #: 64-bit words of an entity's bitmap: each of its bits is the parity of the shingles that hash to it.
-PARITY = 8
+PARITY = 32
 POSTING = [c.split()[0] for c in POSTINGS.split(", ")]
 
 
@@ -316,6 +316,39 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, k: int, percen
     return found
 
 
+def _shared(apart: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """What two entities of different components share in their prefixes: a, b, x_n, y_n, y_need, shared, x_pos, y_pos.
+
+    ``apart`` has a row for each entity of a shingle.  Shingles that just the same entities hold in the same
+    roles are one bucket, so a pair meets once for all of them: ``shared`` is their number, and the
+    positions are those of the last.  The shorter partner is a, by name where sizes are equal.
+    """
+    short = F.col("level") <= LEVELS
+    role = F.xxhash64("ent", "probe", short)
+    holders = apart.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(role).alias("bucket")).where("lo <> hi").select("shingle", "bucket")
+    b = apart.join(holders, "shingle").groupBy("bucket", "ent").agg(
+        *[F.max(c).alias(c) for c in ("n", "pos", "need", "c", "probe")], F.max(short).alias("short"), F.count("*").alias("shared")
+    )
+    b = b.join(bits, "ent")
+    # Partners of x have x_n to 100 / percent * x_n shingles: they are in one or two classes of size.
+    size = lambda n: F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int")
+    x = b.where("short").select("bucket", "shared", *[F.col(c).alias(f"x_{c}") for c in ("ent", "n", "pos", "c", *_BITS)])
+    x = x.withColumn("size", F.explode(F.sequence(size(F.col("x_n")), size(F.col("x_n") * F.lit(100.0001 / percent)))))
+    y = b.where("probe").select("bucket", size(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("ent", "n", "pos", "need", "c", *_BITS)])
+    # What can still be shared after the last common shingle bounds the overlap.
+    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos")
+    # What their bitmaps differ in the sets differ in as well.
+    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _BITS), F.lit(0))
+    on = x.join(y, ["bucket", "size"]).where(
+        (F.col("x_c") != F.col("y_c"))
+        & ((F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x_ent") < F.col("y_ent")))
+        & (100 * F.col("x_n") >= percent * F.col("y_n"))
+        & ((100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n")))
+        & ((100 + percent) * (F.col("x_n") + F.col("y_n") - differ) >= 2 * percent * (F.col("x_n") + F.col("y_n")))
+    )
+    return on.select(F.col("x_ent").alias("a"), F.col("y_ent").alias("b"), "x_n", "y_n", "y_need", "shared", "x_pos", "y_pos")
+
+
 def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
     """One row for each row of ``docs``: key, n_shingles, component_id.
 
@@ -365,32 +398,17 @@ def join_components(docs: DataFrame, scratch: Scratch, text: str = "text", key:
         b, r = b.drop("c"), r + 1
         if links.count() < YIELD * more.count():
             break
+    held = f"labelled{r if 'c' in b.columns else r - 1}"
     if "c" not in b.columns:
         b = b.join(reached, b["ent"] == reached["id"], "left").withColumn("c", F.coalesce("component", "ent"))
 
     # The prefix join between entities still in different components.
+    apart = scratch.keep(b.select("shingle", "ent", "n", "pos", "need", "level", "probe", "c").dropDuplicates(["shingle", "ent"]), "apart")
+    scratch.drop(held)
     bits = profiles.where("kind = 0").groupBy("ent").agg(*[F.first(c).alias(c) for c in _BITS])
-    b = b.join(bits, "ent")
-    # Partners of x have x_n to 100 / percent * x_n shingles: they are in one or two classes of size.
-    size = lambda n: F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int")
-    x = b.where(F.col("level") <= LEVELS).select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("ent", "n", "pos", "level", "c", *_BITS)])
-    x = x.withColumn("size", F.explode(F.sequence(size(F.col("x_n")), size(F.col("x_n") * F.lit(100.0001 / percent)))))
-    y = b.where("probe").select("shingle", size(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("ent", "n", "pos", "need", "c", *_BITS)])
-    # What can still be shared after the first common shingle bounds the overlap.
-    left = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) + F.least("x_pos", "y_pos")
-    # What their bitmaps differ in the sets differ in as well.
-    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _BITS), F.lit(0))
-    on = x.join(y, ["shingle", "size"]).where(
-        (F.col("x_c") != F.col("y_c"))
-        & ((F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x_ent") < F.col("y_ent")))
-        & (100 * F.col("x_n") >= percent * F.col("y_n"))
-        & (F.col("x_level") <= F.col("y_need"))
-        & ((100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n")))
-        & ((100 + percent) * (F.col("x_n") + F.col("y_n") - differ) >= 2 * percent * (F.col("x_n") + F.col("y_n")))
-    )
     # All common shingles up to the last match are counted, so the rest bounds what may follow.
-    pair = on.groupBy(F.col("x_ent").alias("a"), F.col("y_ent").alias("b"), "x_n", "y_n").agg(
-        F.count("*").alias("m"), F.max("y_need").alias("need"), F.max("x_pos").alias("x_last"), F.max("y_pos").alias("y_last")
+    pair = _shared(apart, bits, percent).groupBy("a", "b", "x_n", "y_n").agg(
+        F.sum("shared").alias("m"), F.max("y_need").alias("need"), F.max("x_pos").alias("x_last"), F.max("y_pos").alias("y_last")
     )
     most = F.col("m") + F.least(F.col("x_n") - 1 - F.col("x_last"), F.col("y_n") - 1 - F.col("y_last"))
     second = _untried(pair.where((F.col("m") >= F.col("need")) & ((100 + percent) * most >= percent * (F.col("x_n") + F.col("y_n")))).select("a", "b"), tried)

@@ -93,6 +93,22 @@ def test_pivots_keep_their_postings_when_equal_texts_stand_apart(spark, docs, sc
     assert {r["doc_id"]: r["component_id"] for r in join.collect()} == {i + j: i for i in range(6) for j in (0, 10, 20)}
 
 
+def test_a_pair_meets_once_for_all_that_just_the_two_share(docs, scratch, monkeypatch):
+    shared, met = ngram_join._shared, []
+    monkeypatch.setattr(ngram_join, "_shared", lambda *a: met.extend(shared(*a).collect()) or shared(*a))
+    rng = random.Random(5)
+    starts, ends = [text(343, rng) for _ in range(4)], [text(57, rng) for _ in range(8)]
+    rows = [f"{starts[i // 2]} {t}" for i, t in enumerate(ends)]  # of two with one start 74.8 % is shared
+    rows += [f"{t} {text(3, rng)}" for t in ends for _ in range(3)]  # so that the ends are frequent and the starts are the prefixes
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(docs(rows), scratch).collect()}
+    assert got == jaccard_components(dict(enumerate(rows)))[1] and all(got[i] == i for i in range(8))
+    pairs = {}
+    for r in met:
+        if r["x_n"] > 100:
+            pairs.setdefault((r["a"], r["b"]), []).append(r["shared"])
+    assert len(pairs) == 4 and all(sum(x) > 40 and len(x) <= 4 for x in pairs.values())
+
+
 def test_one_of_each_group_stays(docs, scratch):
     t, u = text(40), text(40)
     d = docs([t, u, t + " more", None, t]).withColumn("id", F.lit(1))
