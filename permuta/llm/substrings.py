@@ -32,6 +32,8 @@ from permuta.llm._store import Scratch
 K, W = 6, 8
 #: Most words between neighbouring matches of a chain, cost of a word of gap and of a word of shift.
 GAP, GAP_COST, SHIFT_COST = 60, 0.05, 0.4
+#: So many anchors whose ends lie within ``GAP`` words are looked through one by one; a tree holds more.
+FEW = 16
 #: Words around chains that their first alignment sees; where it comes to their end, another sees the whole texts.
 AROUND = 32
 #: Most texts whose keys go to all tasks, 8 bytes each, to pick the texts a join needs.
@@ -182,13 +184,14 @@ def linked_seeds(pos: np.ndarray, src: np.ndarray, src_pos: np.ndarray) -> tuple
     if not ((src[1:] != src[:-1]) | (np.abs(src_pos[1:] - src_pos[:-1] - pos[1:] + pos[:-1]) > BAND)).any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     name = _text.mix(src.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _text.mix(src_pos.astype(np.uint64)))
+    second = _text.mix(name ^ np.uint64(0xD6E8FEB86659FD93))
     keys, at = [], []
     for d in range(1, min(LINKED, len(pos) - 1) + 1):
         step = pos[d:] - pos[:-d]
-        on = np.flatnonzero((step > 0) & (step <= GAP) & ((src[d:] != src[:-d]) | (np.abs(src_pos[d:] - src_pos[:-d] - step) > BAND)))
-        keys.append(_text.mix(name[on] + _text.mix(name[on + d] ^ np.uint64(0xD6E8FEB86659FD93))))
+        on = ((step > 0) & (step <= GAP) & ((src[d:] != src[:-d]) | (np.abs(src_pos[d:] - src_pos[:-d] - step) > BAND))).nonzero()[0]
+        keys.append(name[on] + second[on + d])
         at.append(pos[on])
-    return (np.concatenate(keys), np.concatenate(at)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (_text.mix(np.concatenate(keys)), np.concatenate(at)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def runs(pos: np.ndarray, src: np.ndarray, k: int = K, reach: int = K + W) -> list[tuple[int, int, int]]:
@@ -237,28 +240,42 @@ def chains(anchors: list[tuple[int, int, int]], gap: int = GAP) -> list[list[tup
     The score of a link is the predecessor's score less the cost of the words between and of the shift.
     A Fenwick tree over the ends in the source holds score plus cost of the end's place, for the anchors
     whose end lies ``gap`` words back at most; its largest value in the source's range is the
-    predecessor of least gap cost.  The last anchor on the same diagonal, which has no shift, is asked as well.
+    predecessor of least gap cost.  While these anchors are few they are looked through instead.  The last
+    anchor on the same diagonal, which has no shift, is asked as well.
     """
     if len(anchors) == 1:
         return [list(anchors)]
     order = sorted(range(len(anchors)), key=lambda i: anchors[i][0])
     closing = sorted(range(len(anchors)), key=lambda i: anchors[i][0] + anchors[i][2])
-    ends = sorted((s + n, i) for i, (_, s, n) in enumerate(anchors))
-    place = {i: at + 1 for at, (_, i) in enumerate(ends)}
-    tree, diagonal = MaxTree(len(anchors)), {}
+    closed = [anchors[i][0] + anchors[i][2] for i in closing]
+    few = all(x > closed[i] + gap for i, x in enumerate(closed[FEW:]))  # no more than FEW ends within gap words
+    if not few:
+        ends = sorted((s + n, i) for i, (_, s, n) in enumerate(anchors))
+        place = {i: at + 1 for at, (_, i) in enumerate(ends)}
+        tree = MaxTree(len(anchors))
+    near_, diagonal = [], {}  # end in the source and value of the anchors closed so far
     score, before, low, c = [0.0] * len(anchors), [-1] * len(anchors), 0, 0
     for i in order:
         p, s, n = anchors[i]
-        while c < len(closing) and anchors[closing[c]][0] + anchors[closing[c]][2] <= p:
+        while c < len(closing) and closed[c] <= p:
             j = closing[c]
             q, t, m = anchors[j]
-            tree.put(place[j], (score[j] + GAP_COST * (q + t + 2 * m), j))
+            value = (score[j] + GAP_COST * (q + t + 2 * m), j)
+            if few:
+                near_.append((t + m, value))
+            else:
+                tree.put(place[j], value)
             diagonal[q - t] = j
             c += 1
-        while low < c and anchors[closing[low]][0] + anchors[closing[low]][2] < p - gap:
-            tree.put(place[closing[low]], (0.0, -1))
+        while low < c and closed[low] < p - gap:
+            if not few:
+                tree.put(place[closing[low]], (0.0, -1))
             low += 1
-        asked = (tree.largest(bisect_left(ends, (s - gap, -1)), bisect_left(ends, (s + 1, -1)))[1], diagonal.get(p - s, -1))
+        if few:
+            largest = max((value for end, value in near_[low:c] if s - gap <= end <= s), default=(0.0, -1))
+        else:
+            largest = tree.largest(bisect_left(ends, (s - gap, -1)), bisect_left(ends, (s + 1, -1)))
+        asked = (largest[1], diagonal.get(p - s, -1))
         best = 0.0
         for j in asked:
             if j < 0:
@@ -623,40 +640,37 @@ def _alignments(pairs: DataFrame, texts: DataFrame, min_words: int, min_share: f
     def run(batches):
         names = [c.split()[0] for c in f"{PASSAGE}, equal_run boolean, open binary".split(", ")]
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in ("id", "src", "chains", "ha", "hb", "a0", "b0", "na", "nb")], strict=True)
-            anchors, of, keys, flat, size = [], [], [], [], 0
-            for row, (i, s, raw, ha, hb, a0, b0, na, nb) in enumerate(rows):
-                c = np.frombuffer(raw, np.int32).reshape(-1, 4) - np.array([0, a0, b0, 0], np.int32)
-                texts_ = np.frombuffer(ha, np.uint32), np.frombuffer(hb, np.uint32)
-                for x in np.split(c[:, 1:], np.flatnonzero(np.diff(c[:, 0])) + 1):
-                    of.append(np.full(len(x), len(keys)))
-                    anchors.append(x)
-                    keys.append((i, s, size, size + len(texts_[0]), len(texts_[0]), len(texts_[1]), row, a0, b0, na, nb))
-                flat += texts_
-                size += len(texts_[0]) + len(texts_[1])
-            if not keys:
+            if not batch.num_rows:
                 continue
-            k, of = np.array(keys, np.int64), np.concatenate(of)
-            spans, runs_ = align(np.concatenate(flat), np.concatenate(anchors), of, *k.T[2:6])
-            na, nb, row, a0, b0, whole_a, whole_b = k.T[4:]
+            raw, at = _text.flat(batch.column("chains"))
+            of_row = np.repeat(np.arange(batch.num_rows), np.diff(at) // 16)
+            i, s, a0, b0, whole_a, whole_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("id", "src", "a0", "b0", "na", "nb"))
+            c = raw.view(np.int32).reshape(-1, 4) - np.stack([np.zeros_like(a0), a0, b0, np.zeros_like(a0)], 1)[of_row]
+            new = np.concatenate([[True], (of_row[1:] != of_row[:-1]) | (c[1:, 0] != c[:-1, 0])])
+            of, row = np.cumsum(new) - 1, of_row[new]
+            (ha, at_a), (hb, at_b) = (_text.flat(batch.column(x)) for x in ("ha", "hb"))
+            na, nb = np.diff(at_a) // 4, np.diff(at_b) // 4
+            x = np.concatenate([ha.view(np.uint32), hb.view(np.uint32)])
+            spans, runs_ = align(x, c[:, 1:], of, at_a[row] // 4, (len(ha) + at_b[row]) // 4, na[row], nb[row])
+            na, nb, a0, b0, whole_a, whole_b = (v[row] for v in (na, nb, a0, b0, whole_a, whole_b))
             # A stretch's end that isn't its text's, reached by an alignment or nearly so.
             x = spans[:, :4] + DROP * np.array([-1, 1, -1, 1])
             stopped = (x[:, 0] <= 0) & (a0 > 0) | (x[:, 2] <= 0) & (b0 > 0) | (x[:, 1] >= na) & (a0 + na < whole_a) | (x[:, 3] >= nb) & (b0 + nb < whole_b)
             stopped = np.isin(row, row[stopped])
             spans[:, :4] += np.stack([a0, a0, b0, b0], 1)
             runs_[:, :4] += np.stack([a0, a0, b0, b0], 1)[of]
-            k = k[:, :2]
+            keys = list(zip(i[row].tolist(), s[row].tolist(), strict=True))
             good = ~stopped & (spans[:, 1] - spans[:, 0] >= min_words) & (spans[:, 4] >= min_share * (spans[:, 1] - spans[:, 0]))
             long_ = (runs_[:, 4] >= min_words) & ~stopped[of]
             of_pair: dict[tuple, list] = {}
             for which, rows in ((np.flatnonzero(good), spans[good]), (of[long_], runs_[long_])):
                 for c, r in zip(which.tolist(), rows.tolist(), strict=True):
-                    of_pair.setdefault(tuple(keys[c][:2]), []).append(tuple(r))
+                    of_pair.setdefault(keys[c], []).append(tuple(r))
             out = [(*pair, a, b, x, y, b - a, m, m / max(b - a, y - x), False, None) for pair, rows in of_pair.items() for a, b, x, y, m in cover(rows)]
-            explained = {(*keys[c][:2], *r) for c, r in zip(of[long_].tolist(), runs_[long_].tolist(), strict=True)}
+            explained = {(*keys[c], *r) for c, r in zip(of[long_].tolist(), runs_[long_].tolist(), strict=True)}
             out += [(*r[:6], 0, r[6], 1.0, True, None) for r in sorted(explained)]
             raw = batch.column("chains")
-            out += [(*keys[c][:2], 0, 0, 0, 0, 0, 0, 0.0, False, raw[int(row[c])].as_py()) for c in np.flatnonzero(stopped & np.append(True, row[1:] != row[:-1])).tolist()]
+            out += [(*keys[c], 0, 0, 0, 0, 0, 0, 0.0, False, raw[int(row[c])].as_py()) for c in np.flatnonzero(stopped & np.append(True, row[1:] != row[:-1])).tolist()]
             cols = list(zip(*out, strict=True)) if out else [()] * 11
             yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:8]], pa.array(cols[8], pa.float64()), pa.array(cols[9], pa.bool_()), pa.array(cols[10], pa.binary())], names)
         _text.release()

@@ -221,6 +221,21 @@ def test_chain_goes_on_after_a_long_match_that_is_too_far():
     assert sorted(substrings.chains([(0, 0, 300), *parts])) == [[(0, 0, 300)], parts]
 
 
+@pytest.mark.parametrize("words", [120, 600, 5000])
+def test_chains_are_the_same_with_and_without_a_tree(monkeypatch, words):
+    rng, trees = random.Random(words), []
+    tree = substrings.MaxTree
+    monkeypatch.setattr(substrings, "MaxTree", lambda n: trees.append(n) or tree(n))
+    for _ in range(30):
+        anchors = sorted({(rng.randrange(words), rng.randrange(words // 4), rng.randint(6, 14)) for _ in range(60)})
+        monkeypatch.setattr(substrings, "FEW", 16)
+        got, before = substrings.chains(anchors), len(trees)
+        assert words < 5000 or not trees  # few anchors are near each other
+        monkeypatch.setattr(substrings, "FEW", 0)
+        assert got == substrings.chains(anchors) and len(trees) == before + 1
+        trees.clear()
+
+
 def test_exact_repeats_match_brute_force(docs, scratch):
     rng = random.Random(11)
     shared = [text(rng.randint(55, 90), rng) for _ in range(4)]
