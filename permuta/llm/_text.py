@@ -36,13 +36,18 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+_MIX, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_30, _27, _31 = np.uint64(30), np.uint64(27), np.uint64(31)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (multiply, xor-shift)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> _30)
+    x *= _MIX
+    x ^= x >> _27
+    x *= _MIX2
+    x ^= x >> _31
+    return x
 
 
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
@@ -81,19 +86,26 @@ def words(data: np.ndarray, off: np.ndarray, keep: np.ndarray) -> tuple[np.ndarr
     return starts, np.searchsorted(starts, off)
 
 
+def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base``: of 0 to 1023, and of the multiples of 1024 up to ``n``."""
+    low = np.full(1025, base, np.uint64)
+    low[0] = 1
+    np.cumprod(low, out=low)
+    high = np.full((n + 1023) // 1024, low[-1], np.uint64)
+    high[:1] = 1
+    return low[:-1], np.cumprod(high, out=high)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, keep: np.ndarray, fold: np.ndarray = FOLD) -> np.ndarray:
     """A 64-bit hash of each word; equal words hash alike wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power = np.full(len(data), _P, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
+    low, high = _powers(_P, len(data))
+    power = np.multiply.outer(high, low).ravel()[: len(data)]
     power *= np.where(keep, _BYTE[fold], np.uint64(0))[data]
     sums = np.add.reduceat(power, starts)
-    inverse = np.full(len(data), _P_INV, np.uint64)
-    inverse[0] = 1
-    np.cumprod(inverse, out=inverse)
-    return mix(sums * inverse[starts])
+    low, high = _powers(_P_INV, len(data))
+    return mix(sums * high[starts >> 10] * low[starts & 1023])
 
 
 _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,8 +120,9 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mix(np.array([np.sum(h * _STEP[:n]) + np.uint64(n)], np.uint64))
     out = h[: n - k + 1] * _STEP[0]
     for i in range(1, k):
-        out = out + h[i : n - k + 1 + i] * _STEP[i]
-    return mix(out + np.uint64(k))
+        out += h[i : n - k + 1 + i] * _STEP[i]
+    out += np.uint64(k)
+    return mix(out)
 
 
 def documents(batch: pa.RecordBatch, column: str, keep: np.ndarray = NOT_SPACE) -> Iterator[tuple[int, np.ndarray]]:

@@ -56,7 +56,13 @@ def minimizers(h: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
     if len(s) <= w:
         at = np.array([int(s.argmin())])
     else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(s, w).argmin(1) + np.arange(len(s) - w + 1))
+        least, at, wide = s, np.arange(len(s)), 1  # of the windows of ``wide`` k-mers
+        while wide < w:
+            step = min(wide, w - wide)
+            at = np.where(least[step:] < least[:-step], at[step:], at[:-step])
+            least = np.minimum(least[step:], least[:-step])
+            wide += step
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
     return s[at], at
 
 
@@ -69,9 +75,13 @@ def _with_first(key: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> pa.RecordB
 
     Those of the first text have no source; ``many`` tells whether others have it.
     """
-    order = np.lexsort((pos, ids, key))
+    order = np.argsort(key)
+    equal = key[order[1:]] == key[order[:-1]]
+    again = np.flatnonzero(np.append(equal, False) | np.insert(equal, 0, False))  # only rows of one key are put in order of text and position
+    rows = order[again]
+    order[again] = rows[np.lexsort((pos[rows], ids[rows], key[rows]))]
     key, ids, pos = key[order], ids[order], pos[order]
-    start = np.concatenate([[True], key[1:] != key[:-1]])
+    start = np.concatenate([[True], ~equal])
     own = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
     src = ids[own]
     first, group = src == ids, np.cumsum(start) - 1
@@ -212,13 +222,22 @@ class MaxTree:
         self.n, self.value, self.most = n, [(0.0, -1)] * (n + 1), [(0.0, -1)] * (n + 1)
 
     def put(self, i: int, value: tuple[float, int]) -> None:
+        old, most = self.value[i], self.most
         self.value[i] = value
         while i <= self.n:
-            best, step = self.value[i], 1
-            while step < (i & -i):
-                best = max(best, self.most[i - step])
-                step <<= 1
-            self.most[i] = best
+            if value >= old:
+                if most[i] >= value:  # and so are those above
+                    return
+                best = value
+            elif most[i] > old:  # another place's, above as well
+                return
+            else:
+                best, step, low = self.value[i], 1, i & -i
+                while step < low:
+                    if most[i - step] > best:
+                        best = most[i - step]
+                    step <<= 1
+            most[i] = best
             i += i & -i
 
     def largest(self, low: int, high: int) -> tuple[float, int]:
@@ -471,14 +490,16 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                 pos, src, src_pos = (x[low:high] for x in every)
                 # In a window that other texts have, all seeds are shared: so many, so close together.  Where they stand once in
                 # this text and in none before it, the others find them here.
-                p = np.unique(pos)
+                p = np.sort(pos)
+                p = p[np.concatenate([[True], p[1:] != p[:-1]])]
                 first = src == i
                 if first.any():
-                    own, times = np.unique(src_pos[first], return_counts=True)
-                    known = np.isin(p, np.setdiff1d(own[times == 1], pos[~first]))
+                    times = np.bincount(src_pos[first], minlength=p[-1] + 1)
+                    times[pos[~first]] = 0
+                    known = times[p] == 1
                 else:
                     known = np.zeros(len(p), bool)
-                cut = np.flatnonzero(np.diff(p) > W)
+                cut = (p[1:] - p[:-1] > W).nonzero()[0]
                 lo, hi = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(p) - 1]])
                 areas = []
                 for x, y in zip(lo, hi, strict=True):
@@ -495,10 +516,14 @@ def find_passages(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
                     srcs.append(linked)
                     out.append(np.stack([keys.view(np.int64), at]).tobytes())
                 pos, src, src_pos = (x[~first] for x in (pos, src, src_pos))
+                if not len(pos):
+                    continue
                 order = np.lexsort((pos, src))
-                for at in np.split(order, np.flatnonzero(np.diff(src[order])) + 1) if len(order) else ():
-                    for group in near(chains(runs(pos[at], src_pos[at]))):
-                        add(i, int(src[at[0]]), np.array([(n, *a) for n, c in enumerate(group) for a in c]))
+                pos, src, src_pos = pos[order], src[order], src_pos[order]
+                cut = [0, *((src[1:] != src[:-1]).nonzero()[0] + 1).tolist(), len(src)]
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    for group in near(chains(runs(pos[x:y], src_pos[x:y]))):
+                        add(i, int(src[x]), np.array([(n, *a) for n, c in enumerate(group) for a in c]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(srcs, pa.int64()), pa.array(out, pa.binary())], ["id", "src", "chains"])
         _text.release()
 

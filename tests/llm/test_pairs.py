@@ -402,3 +402,29 @@ def test_passages_of_edge_tables(docs, scratch):
     rows = docs([(None, t), (1, t), (1, t), (2, t)]).withColumn("seed", F.lit(1)).withColumn("pos", F.lit(1))
     got = substrings.find_passages(rows, scratch.__class__(rows.sparkSession, "again")).collect()
     assert [(r["doc_id"], r["src_doc_id"], r["n_words"]) for r in got] == [(2, 1, 70)]
+
+
+def test_tree_stops_where_nothing_above_changes():
+    class Counted(list):
+        writes = 0
+
+        def __setitem__(self, i, value):
+            self.writes += 1
+            super().__setitem__(i, value)
+
+    tree = substrings.MaxTree(1 << 10)
+    tree.put(1, (2.0, 0))
+    tree.most = Counted(tree.most)
+    tree.put(3, (1.0, 1))  # 4 and all above it have the first
+    tree.put(3, (0.0, -1))
+    assert tree.most.writes <= 2 and tree.largest(0, 1 << 10) == (2.0, 0) and tree.largest(1, 1 << 10) == (0.0, -1)
+
+
+@pytest.mark.parametrize("w", [1, 3, 8])
+def test_minimizers_are_the_leftmost_least_of_their_windows(w):
+    rng = random.Random(w)
+    for n in (6, 7, 13, 14, 60):
+        h = np.array([rng.randrange(3) for _ in range(n)], np.uint64)
+        s = substrings._text.shingle_hashes(h, 6).tolist()
+        windows = [range(i, i + w) for i in range(len(s) - w + 1)] or [range(len(s))]
+        assert substrings.minimizers(h, 6, w)[1].tolist() == sorted({min(x, key=lambda j: (s[j], j)) for x in windows})
