@@ -64,7 +64,9 @@ class Scratch:
         """Write ``df`` and return the written table; Spark then removes the shuffle files of that job.  Arrow batches have ``batch`` bytes."""
         with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), batch_bytes(self.spark, batch):
             df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        # The session's cache of listings would hold this table's files for as long as the driver lives.
+        with setting(self.spark, "spark.sql.hive.filesourcePartitionFileCacheSize", "0"):
+            return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""

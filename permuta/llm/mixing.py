@@ -12,10 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from permuta.llm._store import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranges of the Pareto rank; sums over them replace one long running sum for each source.
 BUCKETS = 4096
-#: Parts into which each source's rows are dealt for the join with its target: one source may hold most rows.
+#: So many sources at most are sent to the rows; a table of more meets them by a shuffle.
+SOURCES = 4096
+#: Parts into which each source's rows are dealt for that shuffle: one source may hold most rows.
 SALTS = 64
 
 
@@ -65,7 +69,8 @@ def with_copies(
     other columns come back unchanged, whatever they are called.
 
     Where a source's order is cut is found from sums over ranges of the rank and from the rows of the
-    one range in which its words run out; every row is then decided by itself.
+    one range in which its words run out; every row is then decided by itself.  Keys, sources and sizes
+    are written once, and so is what is known of each source after a step, so no step repeats another's work.
     """
     added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
     docs = docs.drop(*added)
@@ -79,28 +84,36 @@ def with_copies(
     slot = F.least(F.floor(F.lit(float(BUCKETS)) * F.col("_rank") / (F.lit(1.0) + F.col("_rank"))), F.lit(BUCKETS - 1))
 
     def placed(rows: DataFrame, by_source: DataFrame) -> DataFrame:
-        dealt = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_part_of", F.pmod(F.xxhash64(key, "_size"), F.lit(SALTS)).cast("int"))
-        joined = rows.join(dealt, rows["_source"].eqNullSafe(dealt["_s"]) & (F.col("_part_of") == F.col("_salt"))).drop("_salt", "_part_of")
+        if few:
+            joined = rows.join(F.broadcast(by_source), rows["_source"].eqNullSafe(by_source["_s"]))
+        else:
+            dealt = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.withColumn("_part_of", F.pmod(F.xxhash64(key, "_size"), F.lit(SALTS)).cast("int"))
+            # A file's size says little about the rows dealt from it, so it isn't asked.
+            joined = rows.join(dealt.hint("merge"), rows["_source"].eqNullSafe(dealt["_s"]) & (F.col("_part_of") == F.col("_salt"))).drop("_salt", "_part_of")
         return joined.withColumn("_rank", F.when(part > 0, ranked)).withColumn("_slot", F.when(part > 0, slot))
 
-    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("_size")).withColumnRenamed("_key", key)
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = scratch.keep(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), size.alias("_size")).withColumnRenamed("_key", key), "sizes")
     t = targets(rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), cycle, share, max_repeat)
     rate = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(F.lit(0.0))
     t = t.select(F.col("source").alias("_s"), F.col("source_size").alias("_words"), F.col("target").alias("_target"))
     t = t.withColumn("_whole", F.floor(rate)).withColumn("_part", rate - F.col("_whole")).withColumn("_rest", F.col("_target") - F.col("_whole") * F.col("_words"))
+    t = scratch.keep(t, "targets")
+    few = t.count() <= SOURCES
 
-    met = placed(rows, t)
-    sums = met.where(part > 0).groupBy("_s", "_slot", "_rest").agg(F.sum("_size").alias("words"))
+    sums = placed(rows, t).where(part > 0).groupBy("_s", "_slot", "_rest").agg(F.sum("_size").alias("words"))
     run = Window.partitionBy("_s").orderBy("_slot")
     sums = sums.withColumn("after", F.sum("words").over(run)).where(F.col("after") >= F.col("_rest"))
     edge = sums.groupBy("_s").agg(F.min(F.struct("_slot", (F.col("after") - F.col("words")).alias("before"))).alias("e")).select(F.col("_s").alias("_es"), F.col("e._slot").alias("_edge"), F.col("e.before").alias("_before"))
-    inner = met.join(edge, met["_s"].eqNullSafe(edge["_es"]) & (F.col("_slot") == F.col("_edge")))
+    t = scratch.keep(t.join(edge, t["_s"].eqNullSafe(edge["_es"]), "left").drop("_es"), "edges")
+    inner = placed(rows, t).where(F.col("_slot") == F.col("_edge"))
     inside = Window.partitionBy("_s", "_slot").orderBy("_rank", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
     inner = inner.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     place = F.struct("_rank", F.col(key).alias("k"), "_size")
     last = inner.where(F.col("_start") + F.col("_size") / 2 <= F.col("_rest")).groupBy(F.col("_s").alias("_ls")).agg(F.max(place).alias("_last"))
-    t = t.join(edge, t["_s"].eqNullSafe(edge["_es"]), "left").join(last, t["_s"].eqNullSafe(last["_ls"]), "left").drop("_es", "_ls", "_before")
+    t = scratch.keep(t.join(last, t["_s"].eqNullSafe(last["_ls"]), "left").drop("_ls", "_before"), "cuts")
+    scratch.drop("sizes")
 
     out = placed(docs.withColumn("_source", F.col(source)).withColumn("_size", size), t)
     taken = (part > 0) & (F.col("_edge").isNull() | (F.col("_slot") < F.col("_edge")) | (F.col("_slot") == F.col("_edge")) & F.coalesce(place <= F.col("_last"), F.lit(False)))

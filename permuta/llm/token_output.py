@@ -149,7 +149,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str, sp
 
     The documents are chosen by a hash of their id and text, and so is the place in a long text that is taken.
     Where they are too few or too short to train on, their ids themselves are the dictionary (raw content);
-    it is empty only if there are no ids.
+    it is empty only if there are no ids.  The tokenizer is loaded where the sample is encoded, in one task.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     h = F.xxhash64(doc_id, text)
@@ -160,13 +160,18 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str, text: str, sp
     if n > SAMPLE_DOCS:
         pick = pick.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * SAMPLE_DOCS / n))
     pick = pick.orderBy("h", "t").limit(2 * SAMPLE_DOCS)
-    texts = [r["t"].encode() for r in pick.collect()]
-    x, at = encoder(tokenizer, special).encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-    ids = [x[a:b].tobytes()[:SAMPLE_BYTES] for a, b in zip(at[:-1], at[1:], strict=True)]
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, ids).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(ids)[-DICT_BYTES:]
+
+    def train(batches):
+        texts = [t.encode() for batch in batches for t in batch.column("t").to_pylist()]
+        x, at = encoder(tokenizer, special).encode(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        ids = [x[a:b].tobytes()[:SAMPLE_BYTES] for a, b in zip(at[:-1], at[1:], strict=True)]
+        try:
+            trained = zstandard.train_dictionary(DICT_BYTES, ids).as_bytes()
+        except zstandard.ZstdError:
+            trained = b"".join(ids)[-DICT_BYTES:]
+        yield pa.RecordBatch.from_arrays([pa.array([trained], pa.binary())], ["dictionary"])
+
+    return b"".join(bytes(r["dictionary"]) for r in pick.select("t").coalesce(1).mapInArrow(train, "dictionary binary").collect())
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", level: int = 3, special: bool = False) -> None:

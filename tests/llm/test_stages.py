@@ -1,6 +1,8 @@
 """Every pipeline stage with null, repeated, empty and very long rows, clashing columns and an empty table; and the operators that keep a caller's columns."""
 
 import os
+import shutil
+import sys
 from collections import Counter
 
 import pytest
@@ -8,7 +10,7 @@ from llm_brute import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from permuta.llm import near_vectors, substrings
+from permuta.llm import mixing, near_vectors, substrings, token_output
 from permuta.llm._store import table
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -69,3 +71,28 @@ def test_cutting_passages_keeps_a_callers_columns(spark, docs):
     assert out.columns == d.columns
     assert sorted((str(r["doc_id"]), r["text"]) for r in out.where("text is not null").collect()) == [("1", "d"), ("2", "a  b"), ("5", "q"), ("None", "x y")]
     assert out.count() == 5 and {r["_key"] for r in out.collect()} == {"x"}
+
+
+def test_mixing_steps_stay_small_and_move_no_text(spark, docs):
+    d = docs([(i, "w " * (i % 7), None, "ab"[i % 2] if i % 5 else None) for i in range(300)])
+    mixed = mixing.with_copies(d)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SinglePartition" not in plan and "Window" not in plan
+    assert mixed.count() == 300
+
+
+def test_mixing_of_many_sources_is_the_same(spark, docs, monkeypatch):
+    d = docs([(i % 90, "w " * (i % 7), None, f"s{i % 40}" if i % 5 else None) for i in range(300)])
+    few = Counter(tuple(r) for r in mixing.with_copies(d).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 5)
+    assert Counter(tuple(r) for r in mixing.with_copies(d).collect()) == few and sum(few.values()) == 300
+
+
+def test_the_driver_loads_no_tokenizer(spark, docs, scratch, tmp_path):
+    import public_tokenizers
+
+    own = str(tmp_path / "own.json")
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), own)
+    token_output.write_tokens(docs(["some text of a few words", "", None]), scratch.root, own)
+    assert token_output.read_tokens(spark, scratch.root).count() == 3
+    assert (own, False) not in vars(sys.modules.get("_permuta_encoders", token_output))
